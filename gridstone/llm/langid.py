@@ -110,7 +110,7 @@ def _svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, rounds: int = 120) -> tup
     share = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)).astype(np.float32)
     w = np.zeros(x.shape[1] + 1, np.float32)
     z, t = w.copy(), 1.0
-    step = 1 / (2 * c * float((share * ((x**2).sum(1) + 1)).sum()) + 1e-3)
+    step = 1 / (2 * c * float((share * (np.einsum("ij,ij->i", x, x) + 1)).sum()) + 1e-3)
     for _ in range(rounds):
         gap = np.maximum(0, 1 - y * (x @ z[:-1] + z[-1])) * share * y
         slope = np.append(1e-3 * z[:-1] - 2 * c * (x.T @ gap), -2 * c * gap.sum()).astype(np.float32)
@@ -131,30 +131,34 @@ def train(x: np.ndarray, langs: list[str]) -> Model:
     weights, bias = np.zeros((BUCKETS, len(tasks)), np.float32), np.zeros(len(tasks))
     for i, (_, one, other) in enumerate(tasks):
         both = one | other
-        weights[:, i], bias[i] = _svm(x[both], np.where(one[both], 1.0, -1.0).astype(np.float32))
+        weights[:, i], bias[i] = _svm(x if both.all() else x[both], np.where(one[both], 1.0, -1.0).astype(np.float32))
     return Model(families, members, [t[0] for t in tasks], weights, bias)
 
 
-def fit(labelled: DataFrame, per_language: int = 500, languages: int = 64, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def fit(labelled: DataFrame, per_language: int = 200, languages: int = 64, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Train on ``labelled``: up to ``per_language`` documents with letters of each of the ``languages`` most common languages.
 
     The documents are those whose ids have the smallest hashes, so the choice is the same at every run. Null labels and ids are left out.
     """
     known = labelled.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    common = [r[0] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = known.where(F.col("lang").isin(common)).select("doc_id", "lang").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("doc_id", "lang")
+    common = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    # only hashes low enough for three times the wanted number reach the window, so a common language sends no more rows than a rare one
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    low = F.create_map(*(F.lit(v) for r in common for v in (r[0], min(1 << 30, (1 << 30) * 3 * per_language // r[1] + 1)))) if common else F.create_map()
+    order = Window.partitionBy("lang").orderBy(draw, "doc_id")
+    few = known.select("doc_id", "lang").where(draw < F.try_element_at(low, F.col("lang"))).distinct() if common else known.select("doc_id", "lang").limit(0)
+    picked = few.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("doc_id", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [(g, features(t).tobytes()) for g, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if t and _LETTER.search(t)]
+            kept = [(g, features(t).astype(np.float16).tobytes()) for g, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if t and _LETTER.search(t)]
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in kept], pa.string()), pa.array([k[1] for k in kept], pa.binary())], names=["lang", "x"])
 
     chosen = known.join(F.broadcast(picked), ["doc_id", "lang"]).select("lang", "text").mapInArrow(run, "lang string, x binary")
-    rows = chosen.orderBy("lang", "x").limit(2 * per_language * max(len(common), 1)).toArrow()
+    rows = chosen.toArrow().sort_by([("lang", "ascending"), ("x", "ascending")])
     if not len(rows):
         return Model([], {}, [], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
-    x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float32).reshape(len(rows), BUCKETS)
+    x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float16).reshape(len(rows), BUCKETS).astype(np.float32)
     return train(x, rows["lang"].to_pylist())
 
 
