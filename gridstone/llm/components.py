@@ -13,7 +13,7 @@ def _stars(pairs: DataFrame, sym: bool) -> DataFrame:
     if sym:
         both = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("to"))
-        return both.join(least, "u").where("v > u and v > to").select(F.col("v").alias("u"), F.col("to").alias("v")).distinct()
+        return both.join(least, "u").where("v > u and v > to").select(F.col("v").alias("u"), F.col("to").alias("v"))  # the small star drops repeats
     least = pairs.groupBy("u").agg(F.min("v").alias("to"))
     moved = pairs.join(least, "u").where("v > to").select(F.col("v").alias("u"), F.col("to").alias("v"))
     return moved.union(least.select("u", F.col("to").alias("v"))).distinct()
@@ -30,6 +30,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     shared_folder(edges.sparkSession)
     x, y = F.col(a), F.col(b)
     pairs = edges.where(x.isNotNull() & y.isNotNull() & (x != y)).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct().checkpoint()
+    pairs = _stars(pairs, False).checkpoint()  # many edges to few hubs shrink to few at once
     before = None
     for _ in range(max_rounds):
         seen = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

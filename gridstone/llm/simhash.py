@@ -16,7 +16,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
@@ -105,8 +105,7 @@ def links(distinct: DataFrame, radius: int = 3, fp: str = "fp", pair_bucket: int
     pair has one, so components are exact while rows grow with the members, not with their pairs.
     """
     masks = covering_masks(radius)
-    keys = F.array(*(F.struct(F.lit(t).alias("t"), F.xxhash64(F.lit(t), F.col(fp).bitwiseAND(F.lit(_signed(m)))).alias("key")) for t, m in enumerate(masks)))
-    rows = distinct.select(F.col(fp).alias("x"), F.explode(keys).alias("k")).select("x", "k.t", "k.key")
+    rows = distinct.select(F.col(fp).alias("x"), F.posexplode(_keys(fp, masks)).alias("t", "key"))
     sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = written(rows.join(sizes, "key"), "simhash-buckets")
     light, heavy = shared.where(F.col("n") <= pair_bucket), shared.where(F.col("n") > pair_bucket)
@@ -125,6 +124,11 @@ def links(distinct: DataFrame, radius: int = 3, fp: str = "fp", pair_bucket: int
     return pairs.union(stars)
 
 
+def _keys(fp: str, masks: list[int], first: int = 0) -> Column:
+    """A table's key for each mask, as one short expression: plans stay small however many tables there are."""
+    return F.transform(F.expr(_array(masks)), lambda m, t: F.xxhash64(t + first, F.col(fp).bitwiseAND(m)))
+
+
 def _array(numbers: list[int]) -> str:
     return f"array({','.join(f"bigint('{_signed(x)}')" for x in numbers)})"
 
@@ -156,23 +160,24 @@ SIMILAR_BITS = 56
 
 
 def _forest(a: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Edges that connect all rows of fingerprints (rows x lanes) within ``most`` bits of each other: at most one a row.
+    """Edges that connect all rows of fingerprints (rows x lanes) that links of at most ``most`` bits connect: a star for each class, so at most one edge a row.
 
     Breadth first: the rows near a taken row are taken and leave the rest, so few comparisons remain in dense groups.
     """
     rest, out = np.arange(len(a)), []
     while len(rest):
-        queue, rest = [int(rest[0])], rest[1:]
+        first, rest = int(rest[0]), rest[1:]
+        queue = [first]
         while queue and len(rest):
             at = queue.pop()
             near = np.bitwise_count(a[rest] ^ a[at]).sum(1) <= most
             queue += rest[near].tolist()
-            out += [(at, int(i)) for i in rest[near]]
+            out += [(first, int(i)) for i in rest[near]]
             rest = rest[~near]
     return out
 
 
-def similar(docs: DataFrame, words: int = 2, lanes: int = 8, radius: int = 3, most: int = SIMILAR_BITS, pair_bucket: int = 24, group_bucket: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar(docs: DataFrame, words: int = 2, lanes: int = 8, radius: int = 3, most: int = SIMILAR_BITS, pair_bucket: int = 8, group_bucket: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, component_id)``: near-duplicate classes of a wider similarity than one fingerprint's radius allows.
 
     Each text has ``lanes`` independent fingerprints of word pairs. Two texts are candidates if some lane differs in at most ``radius`` bits (by the covering
@@ -184,7 +189,7 @@ def similar(docs: DataFrame, words: int = 2, lanes: int = 8, radius: int = 3, mo
     marks = written(fingerprints(docs, words, lanes=lanes, id_col=id_col, text_col=text_col).withColumn("node", F.xxhash64(*names)), "similar-marks")
     distinct = marks.groupBy("node", *names).agg(F.min("doc_id").alias("least"))
     masks = covering_masks(radius)
-    keys = F.array(*(F.xxhash64(F.lit(lane * len(masks) + t), F.col(n).bitwiseAND(F.lit(_signed(m)))) for lane, n in enumerate(names) for t, m in enumerate(masks)))
+    keys = F.flatten(F.array(*(_keys(n, masks, lane * len(masks)) for lane, n in enumerate(names))))
     rows = distinct.select("node", F.explode(keys).alias("key"))
     sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = rows.join(sizes, "key")
@@ -195,6 +200,7 @@ def similar(docs: DataFrame, words: int = 2, lanes: int = 8, radius: int = 3, mo
     pairs = side("a", "x").join(side("b", "y"), "key").where((F.col("a") < F.col("b")) & (apart <= most)).select("a", "b")
 
     def group(table: pa.Table) -> pa.Table:
+        table = table.sort_by("node")  # the least node leads, so that a dense group's many buckets mostly give the same edges
         node = table["node"].to_numpy()
         a = table["all"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
         edges = np.array(_forest(a, most), np.int64).reshape(-1, 2)
