@@ -22,8 +22,8 @@ BUCKET_BYTES = 24 << 20
 
 
 def _weight(term: Column) -> Column:
-    """Short words (mostly function words) count little: length - 2, at least 1, at most LONGEST - 2."""
-    return F.greatest(F.lit(1), F.least(F.length(term), F.lit(LONGEST)) - 2).cast("long")
+    """Short words (mostly function words) count little: length - 2, at least 1, at most LONGEST - 2. No word: 0."""
+    return F.when(term.isNull(), F.lit(0)).otherwise(F.greatest(F.lit(1), F.least(F.length(term), F.lit(LONGEST)) - 2)).cast("long")
 
 
 def _votes(term: Column, weight: Column) -> list[Column]:

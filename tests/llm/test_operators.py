@@ -1,0 +1,415 @@
+"""Each operator against a brute-force version, on nulls, empty and long texts, ties, repeated rows, empty tables and clashing names."""
+
+from __future__ import annotations
+
+import hashlib
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from gridstone.llm import ann, bpe, components, langid, packing, quality, secrets, sharding, simhash, termprints, warc
+from gridstone.llm.common import fresh_path
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+LONG = " ".join(f"word{i % 977} other{i % 31}" for i in range(40_000))
+ODD = ["", None, "   ", "One two", "one TWO", "a b c d e f g", "a b c d e f g", "é É ß 漢字 テスト 😀", LONG, "!!! ... 123", "don't I'LL <|endoftext|> x<|startoftext|>", "tail\n\n"]
+
+
+def odd_docs(spark, extra: bool = False):
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(ODD)] + [(3, "One two", "en", "s", 7), (None, "no id here", None, None, None), (3, "One two", "en", "s", 7)]
+    df = spark.createDataFrame(rows, DOCS)
+    return df.selectExpr("*", "'x' AS fingerprint", "1 AS shard", "2.0 AS score", "'y' AS fp", "0 AS part") if extra else df
+
+
+def nothing(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def brute_components(n: int, linked) -> list[int]:
+    root = list(range(n))
+    for i in range(n):
+        for j in range(i):
+            if linked(i, j):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    return root
+
+
+# 1 ---------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("radius", [1, 2, 3, 4])
+def test_covering_masks_meet_every_pair(radius):
+    rng = np.random.default_rng(radius)
+    masks = simhash.covering_masks(radius)
+    assert len(masks) == 2 ** (radius + 1) - 1
+    for _ in range(300):
+        bits = sum(1 << int(b) for b in rng.choice(64, radius, replace=False))
+        assert any(not bits & m for m in masks)
+
+
+@pytest.mark.parametrize("bucket", [1, 512])
+def test_links_give_the_brute_force_components(spark, bucket):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 6)
+    values = sorted({int(b) ^ sum(1 << int(x) for x in rng.choice(63, int(k))) for b in base for k in rng.integers(0, 6, 12)})
+    df = spark.createDataFrame([(v,) for v in values], "fp long")
+    got = {r.node: r.root for r in components.connected_components(simhash.links(df, 3, pair_bucket=bucket)).collect()}
+    want = brute_components(len(values), lambda i, j: (values[i] ^ values[j]).bit_count() <= 3)
+    groups = {}
+    for i, v in enumerate(values):
+        groups.setdefault(want[i], set()).add(v)
+    for members in groups.values():
+        assert {got.get(v, v) for v in members} == {min(members)}
+
+
+def test_near_duplicates_match_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = docs.select("doc_id", "text").orderBy("doc_id").collect()
+    prints = [simhash.fingerprint(simhash.shingle_hashes(r.text, 3)) for r in rows]
+    want = brute_components(len(rows), lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 3)
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_duplicates(docs).collect()}
+    assert got == {r.doc_id: (f"{p:016x}", rows[w].doc_id) for r, p, w in zip(rows, prints, want)}
+
+
+def test_near_duplicates_of_odd_rows(spark):
+    for df in (odd_docs(spark), odd_docs(spark, True)):
+        rows = simhash.near_duplicates(df).collect()
+        assert len(rows) == len(ODD) + 3
+        by_id = {r.doc_id: r for r in rows}
+        assert by_id[0].fingerprint == "0" * 16 and {by_id[i].component_id for i in (0, 1, 2)} == {0}
+        assert by_id[5].component_id == by_id[6].component_id == 5 and by_id[3].fingerprint == by_id[4].fingerprint
+    assert simhash.near_duplicates(nothing(spark)).count() == 0
+
+
+def test_similar_keeps_one_of_each_class_and_all_others(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = docs.orderBy("doc_id").collect()
+    sets = [set(simhash.shingle_hashes(r.text, 5).tolist()) for r in rows]
+    alike = lambda i, j: len(sets[i] & sets[j]) / max(1, len(sets[i] | sets[j]))
+    kept = {r.doc_id for r in simhash.first_of_each(docs).collect()}
+    at = {r.doc_id: i for i, r in enumerate(rows)}
+    for i, r in enumerate(rows):
+        best = max((alike(i, j) for j in range(len(rows)) if j != i), default=0)
+        if best < 0.5:
+            assert r.doc_id in kept
+        if any(alike(i, at[k]) >= 0.9 for k in kept if k < r.doc_id):
+            assert r.doc_id not in kept
+    assert simhash.first_of_each(nothing(spark)).columns == docs.columns
+    assert simhash.first_of_each(odd_docs(spark)).count() > 0
+
+
+def test_components_of_long_paths_and_hubs(spark):
+    edges = [(i, i + 1) for i in range(200)] + [(1000, i) for i in range(1001, 1300)] + [(5, 5), (2000, 2001), (2001, 2000)]
+    got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert all(got[i] == 0 for i in range(201)) and all(got[i] == 1000 for i in range(1000, 1300)) and got[2001] == 2000
+    assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# 2 ---------------------------------------------------------------------------------------------------------
+
+
+def brute_nearest(ids, x, q, k=5):
+    n = x / np.linalg.norm(x, axis=1, keepdims=True)
+    score = n @ n[q]
+    order = [i for i in np.lexsort((ids, -np.round(score, 12))) if i != q]
+    return [ids[i] for i in order[:k]]
+
+
+def test_nearest_recall_and_scores(spark, sf):
+    df = spark.read.parquet(f"{sf}/embeddings.parquet")
+    base = ann.usable(df)
+    rows = df.orderBy("vec_id").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    got = {}
+    for r in ann.nearest(base, base.where("vec_id % 50 = 0")).collect():
+        got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+    hits = [len({v for v, _ in got[int(ids[q])].values()} & set(brute_nearest(ids, x, q))) for q in range(len(ids)) if ids[q] % 50 == 0]
+    assert np.sum(hits) / (5 * len(hits)) >= 0.9
+    at = {v: i for i, v in enumerate(ids.tolist())}
+    for q, found in got.items():
+        assert sorted(found) == list(range(1, len(found) + 1))
+        for v, s in found.values():
+            a, b = x[at[q]], x[at[v]]
+            assert abs(s - a @ b / np.linalg.norm(a) / np.linalg.norm(b)) < 1e-12
+
+
+def test_nearest_of_odd_vectors(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 0.0]), (1, None), (2, []), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [1.0, None]), (None, [1.0, 1.0])] + [(i, [2.0, 0.0]) for i in range(10, 40)] + [(50, [0.0, 1.0])]
+    base = ann.usable(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    got = {}
+    for r in ann.nearest(base, base.where("vec_id in (0, 20, 50)")).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {0: [10, 11, 12, 13, 14], 20: [0, 10, 11, 12, 13], 50: [0, 10, 11, 12, 13]}
+    assert ann.nearest(base.limit(0), base).count() == 0
+    assert ann.nearest(base.where("vec_id = 0"), base.where("vec_id = 0")).count() == 0
+
+
+# 3 ---------------------------------------------------------------------------------------------------------
+
+
+def pages(spark):
+    big, other = "<p>" + "é" * 200 + "</p>", "x" * 100
+    rows = [(1, "http://a/", None), (5, "http://b/\r\nWARC-Type: evil", big), (2, None, big), (9, "u", big), (3, "u", ""), (4, "u", "short"), (6, "u", "short"), (7, "u", "WARC/1.1\r\n\r\n\r\nWARC-Type: response" + other), (8, "u", other), (8, "u", other), (None, "u", big), (None, "v", "y" * 150)]
+    return rows, spark.createDataFrame(rows, "page_id long, url string, html string")
+
+
+def test_warc_round_trip(spark):
+    rows, df = pages(spark)
+    payload = {p: (h or "").encode() for p, _, h in rows}
+    got = warc.round_trip(df.selectExpr("*", "'x' AS payload", "'z' AS digest")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r.page_id is not None:
+            assert (r.payload_bytes, r.payload_digest) == (len(payload[r.page_id]), hashlib.sha256(payload[r.page_id]).hexdigest())
+            assert (r.record_type, r.refers_to) == (("revisit", 2) if r.page_id in (5, 9) else ("response", None))
+    assert sorted((r.record_type, r.refers_to or 0) for r in got if r.page_id is None) == [("response", 0), ("revisit", 2)]
+    assert warc.round_trip(df.limit(0)).count() == 0
+
+
+def test_warc_cuts_and_pushed_filters(spark):
+    rows, df = pages(spark)
+    path = fresh_path(spark, "warc-test")
+    warc.archive(df.coalesce(1), path)
+    whole = spark.read.format("warc").load(path)
+    cut = spark.read.format("warc").option("partitionBytes", 700).load(path)
+    key = lambda d: sorted((r.record_type, r.record_id or "", bytes(r.payload or b"")) for r in d.collect())
+    assert cut.rdd.getNumPartitions() > 3 and key(cut) == key(whole)
+    one = whole.where("record_id = '<urn:page:5>' and record_type = 'revisit'")
+    assert [r.http_length for r in one.collect()] == [len(rows[1][2].encode())]
+    assert "evil" not in {r.record_type for r in whole.collect()}
+    reader = warc.WarcReader({"path": path})
+    assert list(reader.pushFilters([warc.EqualTo(("record_type",), "revisit"), warc.EqualTo(("payload",), b"")])) == [warc.EqualTo(("payload",), b"")]
+    assert spark.read.format("warc").option("payload", "false").load(path).where("payload is not null").count() == 0
+
+
+# 4 ---------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_bpe_is_exact_on_words(name):
+    if name.startswith("byte"):
+        pytest.skip("the encoder is for split and suffix vocabularies; packing has its own")
+    path = public_tokenizers.path(name)
+    mine, library = bpe.vocabulary(path), Tokenizer.from_file(path)
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.text() | st.text(alphabet="abcdeinorst ' AZ0é") | st.text(alphabet="ab", min_size=50, max_size=400))
+    def check(text):
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert mine.encode(text) == ids
+        assert mine.decode(ids) == library.decode(ids, skip_special_tokens=False)
+
+    check()
+
+
+def test_bpe_digests(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    got = bpe.digests(odd_docs(spark, True), path).collect()
+    assert len(got) == len(ODD) + 3
+    for r in got:
+        if r.doc_id is not None:
+            ids = library.encode(ODD[r.doc_id] or "", add_special_tokens=False).ids
+            text = library.decode(ids, skip_special_tokens=False)
+            assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+    assert bpe.digests(nothing(spark), path).count() == 0
+    assert bpe.encoded(odd_docs(spark), path).where("doc_id = 3").count() == 3
+
+
+# 5 ---------------------------------------------------------------------------------------------------------
+
+
+def test_forest_on_unseen_findings():
+    forest = secrets.fit(secrets.sample_findings(2000, 1))
+    rows = secrets.sample_findings(1000, 2)
+    score = forest.score(np.array([secrets.describe(t, s, n) for t, s, n, _ in rows]))
+    truth = np.array([y for *_, y in rows])
+    assert ((score >= 0.5) == truth).mean() > 0.93
+
+
+def test_scan_and_redact(spark):
+    key = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    text = f'Some prose token = "{key}" and commit {key} ends.'
+    df = spark.createDataFrame([(1, text), (1, text), (2, None), (3, ""), (None, f'password: "{key}"'), (4, "plain words only " * 2000)], "doc_id long, text string").selectExpr("*", "1 AS start", "'f' AS finding")
+    got = secrets.scan(df).collect()
+    assert sorted((r.doc_id or 0, r.start) for r in got) == [(0, 11), (1, text.index(key)), (1, text.index(key))]
+    assert all(r.finding == key and 0.5 <= r.score <= 1 for r in got)
+    clean = secrets.redacted(df)
+    assert clean.columns == df.columns and clean.count() == 6
+    assert {r.text for r in clean.where("doc_id = 1").collect()} == {text.replace(f'"{key}"', '"[SECRET]"')}
+    assert secrets.scan(nothing(spark)).count() == 0
+
+
+# 6 ---------------------------------------------------------------------------------------------------------
+
+
+def test_label_model_recovers_accuracies():
+    rng = np.random.default_rng(0)
+    truth = rng.random(4000) < 0.8
+    right = np.array([0.95, 0.85, 0.9, 0.75])
+    vote = np.where(rng.random((4000, 4)) < right, np.where(truth[:, None], 1, -1), np.where(truth[:, None], -1, 1))
+    vote[rng.random((4000, 4)) < 0.3] = 0
+    table, counts = np.unique(vote, axis=0, return_counts=True)
+    model = quality.fit_labels(table, counts.astype(float))
+    assert np.abs(model.accuracies() - right).max() < 0.05
+    assert ((model.posterior(vote) > 0.5) == truth).mean() > 0.93
+
+
+def test_quality_agrees_with_labels(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = quality.fit(docs)
+    got = {r.doc_id: r.score >= 0.5 for r in quality.scored(docs, model).collect()}
+    labels = spark.read.parquet(f"{sf}/labels.parquet").collect()
+    assert np.mean([got[r.doc_id] == bool(r.quality) for r in labels]) > 0.97
+    odd = quality.scored(odd_docs(spark, True), model).collect()
+    assert len(odd) == len(ODD) + 3 and all(0 <= r.score <= 1 for r in odd)
+    assert quality.scored(nothing(spark), quality.fit(nothing(spark))).count() == 0
+
+
+# 7 ---------------------------------------------------------------------------------------------------------
+
+
+def test_edited_texts_and_likeness(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = docs.select("doc_id", "text").orderBy("doc_id").collect()
+    for size in (1 << 30, 1 << 14):  # one range, and many
+        got = {r.doc_id: r for r in termprints.edited_likeness(docs, size).collect()}
+        assert len(got) == len(rows)
+        for i, r in enumerate(rows):
+            after = rows[(i + 1) % len(rows)]
+            half = len(r.text) // 2
+            edited = r.text[: len(r.text) - half] + after.text[:half]
+            g = got[r.doc_id]
+            assert g.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and g.n_chars == len(r.text)
+            differ = (int(g.fingerprint, 16) ^ int(got[after.doc_id].fingerprint, 16)).bit_count()
+            assert g.near_next == 1 - differ / 128
+        same = {}
+        for r in rows:
+            assert same.setdefault(r.text, got[r.doc_id].fingerprint) == got[r.doc_id].fingerprint
+        assert np.mean([g.near_edited > g.near_next for g in got.values()]) > 0.9
+
+
+def test_edited_of_odd_rows(spark):
+    got = termprints.edited_likeness(odd_docs(spark, True)).collect()
+    assert len(got) == len(ODD) + 3
+    assert {r.fingerprint for r in got if r.doc_id in (0, 1, 2)} == {"0" * 32}
+    lone = termprints.edited_likeness(odd_docs(spark).where("doc_id = 5")).collect()
+    assert [(r.near_next, r.n_chars) for r in lone] == [(1.0, 13)]
+    assert termprints.edited_likeness(nothing(spark)).count() == 0
+
+
+def test_block_tables_find_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    values = sorted({int(b) ^ sum(1 << int(x) for x in rng.choice(63, int(k))) for b in rng.integers(0, 1 << 62, 8) for k in rng.integers(0, 6, 10)})
+    df = spark.createDataFrame([(v,) for v in values * 2] + [(None,)], "fp0 long")
+    for radius in (1, 3):
+        got = sorted((r.a, r.b) for r in termprints.within_radius(df, radius).collect())
+        assert got == [(a, b) for i, a in enumerate(values) for b in values[i + 1 :] if (a ^ b).bit_count() <= radius]
+
+
+# 8 ---------------------------------------------------------------------------------------------------------
+
+
+def test_shards_by_bytes_and_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    for law in ("bytes", "rows"):
+        got = sharding.shard(docs, 10, law).collect()
+        assert len(got) == len(texts)
+        slots, size = {}, {}
+        for r in got:
+            raw = texts[r.doc_id].encode()
+            assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(raw) + 16, zlib.crc32(raw), law, None)
+            slots.setdefault(r.shard, []).append(r.slot)
+            size[r.shard] = size.get(r.shard, 0) + r.size
+        assert sorted(slots) == list(range(10)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+        if law == "rows":
+            assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+        else:
+            assert max(size.values()) - min(size.values()) <= 2 * max(r.size for r in got)
+
+
+def test_shards_of_hot_and_odd_rows(spark):
+    hot = spark.range(5000).selectExpr("id AS doc_id", "CASE WHEN id % 2 = 0 THEN 'the same text' ELSE concat('text ', id) END AS text")
+    again = hot.where("doc_id = 0").crossJoin(spark.range(2000)).select("doc_id", "text")
+    got = sharding.shard(hot.union(again), 7, "rows").groupBy("shard").count().collect()
+    assert {r["count"] for r in got} == {1000}
+    odd = sharding.shard(odd_docs(spark, True), 40).collect()
+    assert len(odd) == len(ODD) + 3 and {r.size for r in odd if r.doc_id in (0, 1)} == {16}
+    assert sharding.shard(nothing(spark)).count() == 0
+
+
+# 9 ---------------------------------------------------------------------------------------------------------
+
+
+def test_packing_restores_every_text(spark, sf):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").repartition(5)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    pieces = packing.pack(docs, path).collect()
+    whole, length, filled = {}, {}, {}
+    for p in pieces:
+        ids = np.frombuffer(p.ids, "<u4").tolist()
+        assert len(ids) == p.length and p.offset + p.length <= 2048
+        whole.setdefault(p.doc_id, []).append((p.start, ids))
+        length[p.doc_id] = p.doc_tokens
+        filled.setdefault(p.sequence_id, []).append((p.offset, p.length))
+    for doc_id, text in texts.items():
+        ids = [x for _, part in sorted(whole[doc_id]) for x in part]
+        assert ids == library.encode(text, add_special_tokens=False).ids + [1] and len(ids) == length[doc_id]
+    for s, parts in filled.items():
+        ends = [0, *(o + n for o, n in sorted(parts))]
+        assert [o for o, _ in sorted(parts)] == ends[:-1] and (ends[-1] == 2048 or s == max(filled))
+
+
+def test_packing_of_odd_rows(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    got = packing.digests(packing.pack(odd_docs(spark, True), path)).collect()
+    total = {}
+    for r in got:
+        total[r.doc_id] = total.get(r.doc_id, 0) + r.length
+    assert total[0] == total[1] == 1 and total[3] == 3 * (len(library.encode("One two", add_special_tokens=False).ids) + 1)
+    assert total[10] == len(library.encode(ODD[10], add_special_tokens=False).ids) + 1
+    assert packing.pack(nothing(spark), path).count() == 0
+
+
+# 10 --------------------------------------------------------------------------------------------------------
+
+
+def test_language_accuracy_on_held_out(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("held_out", langid.held_out())
+    model = langid.fit(docs.where("not held_out"))
+    assert {m for ms in model.members.values() for m in ms} == {"en", "de", "fr", "es"}
+    got = {r.doc_id: r for r in langid.predict(docs, model, also=("doc_id", "held_out")).collect()}
+    truth = [(r.lang, got[r.doc_id]) for r in docs.collect() if r.held_out and r.lang]
+    assert all(g.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= g.score <= 1 for i, g in got.items())
+    assert np.mean([a == g.lang_pred for a, g in truth]) > 0.98
+    odd = {r.doc_id: r for r in langid.predict(odd_docs(spark, True), model).collect()}
+    assert len(odd) == len(ODD) + 1 and {odd[i].lang_pred for i in (0, 1, 2, 9)} == {"und"} and odd[8].lang_pred != "und"
+    assert langid.predict(nothing(spark), langid.fit(nothing(spark))).count() == 0
+
+
+# pipeline --------------------------------------------------------------------------------------------------
+
+
+def test_pipeline_stages(spark, sf):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kept, columns = docs, docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, kept = kept, stage(spark, kept, sf).persist()
+        assert kept.columns == columns and 0 < kept.count() <= before.count()
+    assert kept.where("text rlike 'token = \"[0-9a-f]{40}'").count() == 0
+    packed = corpus_pipeline.run(spark, sf)
+    assert packed.select("doc_id").distinct().count() == kept.count()
