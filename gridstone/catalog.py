@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
+from . import plans
+from .plans.base import QUERIES, SQL, Query
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    plans.load()
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    plans.load()
+    return dict(SQL)
