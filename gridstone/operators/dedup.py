@@ -46,9 +46,9 @@ def alike(a: str, b: str) -> Column:
 def fuzzy_pairs(df: DataFrame, key: str = "id", threshold: float = 0.85, width: int = 15000) -> DataFrame:
     """``(a, b, score)`` of pairs within a block of price bucket and city whose likeness reaches the threshold; an equi-join on the block with the order of ids as residual."""
     blocked = df.withColumns({"block": price_block(F.col("price"), width), "place": F.substring(normalised(F.col("city")), 1, 20)})
-    a, b = blocked.alias("a"), blocked.alias("b")
-    met = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.place") == F.col("b.place")) & (F.col(f"a.{key}") < F.col(f"b.{key}")))
-    return met.select(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"), F.round(alike("a", "b"), 4).alias("score")).where(F.col("score") >= threshold)
+    a, b = blocked.alias("one"), blocked.alias("two")
+    met = a.join(b, (F.col("one.block") == F.col("two.block")) & (F.col("one.place") == F.col("two.place")) & (F.col(f"one.{key}") < F.col(f"two.{key}")))
+    return met.select(F.col(f"one.{key}").alias("a"), F.col(f"two.{key}").alias("b"), F.round(alike("one", "two"), 4).alias("score")).where(F.col("score") >= threshold)
 
 
 def greedy_survivors(df: DataFrame, pairs: DataFrame, key: str, order: Sequence[Column | str]) -> DataFrame:
