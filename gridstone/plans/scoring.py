@@ -183,7 +183,7 @@ def r18_table_estimate(spark: SparkSession, d: str) -> DataFrame:
     return c.crossJoin(F.broadcast(q)).where("m <= p75").select("city", "n", r(F.col("m") * 20, 2).alias("predicted"), r(F.col("m") * 16, 2).alias("low"), r(F.col("m") * 24, 2).alias("high"), clamp(F.round(70 + F.col("n") / 50), 45, 95).alias("confidence"))
 
 
-@query("SELECT n_name AS zone, k AS month, round(median(o_totalprice) * (1 + 0.005 * k), 2) AS forecast, round(median(o_totalprice) * (1 + 0.005 * k) * 0.92, 2) AS low, round(median(o_totalprice) * (1 + 0.005 * k) * 1.08, 2) AS high FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey, range(1, 7) t(k) GROUP BY ALL")
+@query("WITH m AS (SELECT n_name AS zone, median(o_totalprice) AS m FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY n_name) SELECT zone, k AS month, round(m * (1 + 0.005 * k), 2) AS forecast, round(m * (1 + 0.005 * k) * 0.92, 2) AS low, round(m * (1 + 0.005 * k) * 1.08, 2) AS high FROM m, range(1, 7) t(k)")
 def r20_forecast_points(spark: SparkSession, d: str) -> DataFrame:
     m = zoned_orders(spark, d).groupBy("zone").agg(median("price").alias("m")).select("zone", "m", F.explode(F.sequence(F.lit(1), F.lit(6)).cast("array<long>")).alias("month"))
     v = F.col("m") * (1 + 0.005 * F.col("month"))
