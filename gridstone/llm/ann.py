@@ -101,7 +101,7 @@ class Codebook:
         return out
 
 
-def fit(sample: np.ndarray, lists: int, width: int = 4, threshold: float = 0.2, target: float = 0.97, k: int = 5, seed: int = 7) -> Codebook:
+def fit(sample: np.ndarray, lists: int, width: int = 4, threshold: float = 0.2, target: float = 0.995, k: int = 5, seed: int = 7) -> Codebook:
     """Train on unit vectors ``sample``; eta = (dims - 1) t^2 / (1 - t^2) for the score threshold t, at least 1."""
     rng = np.random.default_rng(seed)
     dims = sample.shape[1]
@@ -150,7 +150,7 @@ def usable(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding")
     return both.where(F.col("vec_id").isNotNull() & F.col("vec").isNotNull()).where(finite & F.exists("vec", lambda x: x != 0))
 
 
-def nearest(base: DataFrame, queries: DataFrame, k: int = 5, sample: int = 8192, list_rows: int = 1024, block_rows: int = 4096, block_queries: int = 256, rerank: int = 64) -> DataFrame:
+def nearest(base: DataFrame, queries: DataFrame, k: int = 5, sample: int = 8192, list_rows: int = 1024, block_rows: int = 4096, block_queries: int = 256, rerank: int = 160) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the nearest ``k`` found for each query, by cosine, ties to the smaller id.
 
     ``base`` and ``queries`` have ``(vec_id, vec)``, as from ``usable``, of one dimension. A query's own id is no candidate.
