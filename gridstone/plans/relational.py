@@ -189,9 +189,9 @@ def k3_price_history(spark: SparkSession, d: str) -> DataFrame:
     return h.where("old_price is not null and abs(price - old_price) > 60000").select("part", "url", "old_price", F.col("price").alias("new_price"), r((F.col("price") - F.col("old_price")) / F.col("old_price") * 100, 2).alias("change"))
 
 
-@query("SELECT doc_id, left(text, 200) AS description, coalesce(lang, 'unknown') AS lang, round(n_chars / nullif(n_chars - length(text), 0), 2) AS density FROM documents WHERE doc_id < 400")
+@query("SELECT doc_id, left(text, 2000) AS description, coalesce(lang, 'unknown') AS lang, round(n_chars / nullif(n_chars - length(text), 0), 2) AS density FROM documents")
 def k4_row_data(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("doc_id < 400").select("doc_id", F.substring("text", 1, 200).alias("description"), F.coalesce("lang", F.lit("unknown")).alias("lang"), r(F.try_divide("n_chars", F.col("n_chars") - F.length("text")), 2).alias("density"))
+    return table(spark, d, "documents").select("doc_id", F.substring("text", 1, 2000).alias("description"), F.coalesce("lang", F.lit("unknown")).alias("lang"), r(F.try_divide("n_chars", F.col("n_chars") - F.length("text")), 2).alias("density"))
 
 
 @query("SELECT user_id, event_type, min(event_id) AS event_id, count(*) AS n FROM events WHERE event_type IN ('view', 'purchase') GROUP BY ALL")
@@ -274,16 +274,16 @@ def d13_duplicate_risk(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy(F.round(risk, 2).alias("risk")).agg(F.count("*").alias("n"))
 
 
-@query("WITH q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS q, label FROM embeddings WHERE vec_id < 20) SELECT qid, vec_id, round(list_cosine_similarity(q, embedding::DOUBLE[]), 4) AS score FROM q JOIN embeddings e ON e.label = q.label AND vec_id <> qid WHERE list_cosine_similarity(q, embedding::DOUBLE[]) > 0.2")
+@query("WITH q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS q, label FROM embeddings WHERE vec_id % 20 = 0) SELECT qid, vec_id, round(list_cosine_similarity(q, embedding::DOUBLE[]), 4) AS score FROM q JOIN embeddings e ON e.label = q.label AND vec_id <> qid WHERE list_cosine_similarity(q, embedding::DOUBLE[]) > 0.2")
 def d11_cosine(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
-    q = e.where("vec_id < 20").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"), "label")
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"), "label")
     return q.join(e, "label").where("vec_id <> qid").withColumn("s", cosine("q", "embedding")).where("s > 0.2").select("qid", "vec_id", r("s").alias("score"))
 
 
-@query("SELECT source, lang, md5(concat_ws('|', source, lang, left(text, 20))) AS k, min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY ALL HAVING count(*) > 1")
+@query("SELECT source, lang, md5(concat_ws('|', source, lang, text)) AS k, min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY ALL HAVING count(*) > 1")
 def d19_hash_dedup(spark: SparkSession, d: str) -> DataFrame:
-    k = F.md5(F.concat_ws("|", "source", "lang", F.substring("text", 1, 20)))
+    k = F.md5(F.concat_ws("|", "source", "lang", "text"))
     return table(spark, d, "documents").groupBy("source", "lang", k.alias("k")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
 
 
