@@ -3,13 +3,18 @@
 Reading plans byte ranges: small files share a partition, large ones are cut at record starts, found by hopping from header to header.
 Predicates on ``record_type`` and on header columns are pushed down: headers are parsed first, and the block of a record that no predicate wants, or of any record with option
 ``payload`` = false, is stepped over by its Content-Length without being read or decoded.
+
+Files are plain or gzipped by record. Each gzip member that the writer makes states its own length in the extra field ``sl`` (skip lengths), so a reader inflates a
+record's headers and steps over the rest of the member; members of other writers, without that field, are inflated to their end in chunks.
 """
 
 from __future__ import annotations
 
 import io
 import re
+import struct
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,6 +32,10 @@ SCHEMA = "record_type string, record_id string, target_uri string, date string,
 HEADERS = {"record_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri", "date": "warc-date", "refers_to": "warc-refers-to", "payload_digest": "warc-payload-digest"}
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BATCH_BYTES = 8 << 20
+GZIP_MAGIC = b"\x1f\x8b"
+#: The fixed part of a gzip header whose only extra field is ``sl``: its length, its name, and the length of its two 32-bit numbers.
+SKIP_FIELD = struct.pack("<H2sH", 12, b"sl", 8)
+CHUNK = 1 << 16
 
 
 def _fs(path: str) -> tuple[pafs.FileSystem, str]:
@@ -60,6 +69,70 @@ def _open(fs: pafs.FileSystem, path: str) -> io.BufferedReader:
     return io.BufferedReader(fs.open_input_file(path), 1 << 18)
 
 
+class Member(io.RawIOBase):
+    """The inflated bytes of the gzip member at the reading position of ``f``; ``length`` is the member's own, if it states it, else 0."""
+
+    def __init__(self, f: io.BufferedReader):
+        self.f, self.z, at = f, zlib.decompressobj(31), f.tell()
+        head = f.read(24)
+        f.seek(at)
+        self.length = struct.unpack_from("<I", head, 16)[0] if len(head) == 24 and head[3] == 4 and head[10:16] == SKIP_FIELD else 0
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, buffer: memoryview) -> int:
+        while not self.z.eof:
+            data = self.z.unconsumed_tail or self.f.read(CHUNK)
+            out = self.z.decompress(data, len(buffer))
+            if out:
+                buffer[: len(out)] = out
+                return len(out)
+            if not data and not self.z.eof:
+                raise ValueError("a gzip member ends too early")
+        return 0
+
+
+class Block:
+    """A record's block. What its user leaves unread is stepped over when the next record is asked for."""
+
+    def __init__(self, f: io.BufferedReader, length: int):
+        self.f, self.left = f, length
+
+    def readline(self) -> bytes:
+        line = self.f.readline(self.left)
+        self.left -= len(line)
+        return line
+
+    def read(self) -> bytes:
+        data, self.left = self.f.read(self.left), 0
+        return data
+
+
+def records(f: io.BufferedReader, start: int, stop: int) -> Iterator[tuple[int, dict[str, str], Block]]:
+    """Offset, headers and block of the records that begin in [start, stop); the offset of a gzipped record is that of its member."""
+    f.seek(start)
+    zipped = f.read(2) == GZIP_MAGIC
+    f.seek(start)
+    while (at := f.tell()) < stop:
+        member = Member(f) if zipped else None
+        source = io.BufferedReader(member, CHUNK) if zipped else f
+        while (head := read_headers(source)) is not None:
+            block = Block(source, int(head.get("content-length", 0)))
+            yield at, head, block
+            if not zipped:
+                f.seek(block.left, io.SEEK_CUR)
+                break
+            if member.length:
+                break
+            while block.left and (data := source.read(min(block.left, CHUNK))):
+                block.left -= len(data)
+        if zipped:
+            f.seek(at + member.length if member.length else f.tell() - len(member.z.unused_data))
+        elif head is None:
+            return
+
+
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"]
@@ -97,9 +170,8 @@ class WarcReader(DataSourceReader):
     def _cut(self, fs: pafs.FileSystem, path: str, size: int) -> Iterator[tuple[str, int, int]]:
         start = 0
         with _open(fs, path) as f:
-            while (head := read_headers(f)) is not None:
-                f.seek(int(head.get("content-length", 0)), io.SEEK_CUR)
-                if (at := f.tell()) - start >= self.bytes:
+            for at, _, _ in records(f, 0, size):
+                if at - start >= self.bytes:
                     yield path, start, at
                     start = at
         if start < size:
@@ -111,13 +183,10 @@ class WarcReader(DataSourceReader):
         rows, held = [], 0
         for path, start, stop in partition.parts:
             with _open(fs, path) as f:
-                f.seek(start)
-                while f.tell() < stop and (head := read_headers(f)) is not None:
-                    length = int(head.get("content-length", 0))
+                for _, head, block in records(f, start, stop):
                     if not all(head.get(h) in values if values else h in head for h, values in self.wanted):
-                        f.seek(length, io.SEEK_CUR)
                         continue
-                    rows.append([*(head.get(h) for h in HEADERS.values()), *self._block(f, head, length)])
+                    rows.append([*(head.get(h) for h in HEADERS.values()), *self._block(head, block)])
                     held += 500 + len(rows[-1][-1] or b"")
                     if held > BATCH_BYTES:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
@@ -125,18 +194,14 @@ class WarcReader(DataSourceReader):
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
-    def _block(self, f: io.BufferedReader, head: dict[str, str], length: int) -> tuple[int | None, bytes | None]:
+    def _block(self, head: dict[str, str], block: Block) -> tuple[int | None, bytes | None]:
         """The length that the HTTP headers state, and the payload (None if it isn't wanted)."""
-        if not head.get("content-type", "").startswith("application/http"):
-            return None, f.read(length) if self.payload else f.seek(length, io.SEEK_CUR) and None
-        end, stated = f.tell() + length, None
-        while f.tell() < end and (line := f.readline()) not in (b"\r\n", b"\n", b""):
-            if line.lower().startswith(b"content-length:"):
-                stated = int(line.split(b":")[1])
-        if self.payload:
-            return stated, f.read(end - f.tell())
-        f.seek(end)
-        return stated, None
+        stated = None
+        if head.get("content-type", "").startswith("application/http"):
+            while (line := block.readline()) not in (b"\r\n", b"\n", b""):
+                if line.lower().startswith(b"content-length:"):
+                    stated = int(line.split(b":")[1])
+        return stated, block.read() if self.payload else None
 
 
 @dataclass
@@ -145,11 +210,15 @@ class Files(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    """Rows of SCHEMA become records. Tasks write hidden files; the commit gives those of successful attempts their names."""
+    """Rows of SCHEMA become records, gzipped one by one unless option ``compression`` is ``none``.
+
+    Tasks write hidden files; the commit gives those of successful attempts their names.
+    """
 
     def __init__(self, options: dict):
         self.path = options["path"]
         self.roll = int(options.get("filebytes", options.get("fileBytes", 256 << 20)))
+        self.gzip = options.get("compression", "gzip") != "none"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Files:
         fs, root = _fs(self.path)
@@ -161,9 +230,9 @@ class WarcWriter(DataSourceArrowWriter):
                 if out is None or size > self.roll:
                     if out:
                         out.close()
-                    paths.append(f"{root}/.{uuid.uuid4().hex}.warc")
-                    out, size = fs.open_output_stream(paths[-1]), 0
-                out.write(data := record(row))
+                    paths.append(f"{root}/.{uuid.uuid4().hex}.warc{'.gz' if self.gzip else ''}")
+                    out, size = fs.open_output_stream(paths[-1], compression=None), 0
+                out.write(data := zipped(record(row)) if self.gzip else record(row))
                 size += len(data)
         if out:
             out.close()
@@ -173,7 +242,8 @@ class WarcWriter(DataSourceArrowWriter):
         fs, root = _fs(self.path)
         fs.create_dir(root, recursive=True)
         for n, path in enumerate(p for m in messages if m for p in m.paths):
-            fs.move(path, f"{root}/part-{n:06d}-{path.rpartition('.warc')[0][-8:]}.warc")
+            stem, dot, ending = path.rpartition(".warc")
+            fs.move(path, f"{root}/part-{n:06d}-{stem[-8:]}{dot}{ending}")
 
     def abort(self, messages: list[Files | None]) -> None:
         fs, _ = _fs(self.path)
@@ -203,6 +273,16 @@ def record(row: dict) -> bytes:
     return b"".join((head.encode("utf-8", "replace"), b"\r\n", block, b"\r\n\r\n"))
 
 
+def zipped(data: bytes) -> bytes:
+    """``data`` as one gzip member that states its length (left out beyond 32 bits, where readers inflate to the end)."""
+    deflate = zlib.compressobj(6, zlib.DEFLATED, -15)
+    body = deflate.compress(data) + deflate.flush()
+    length = 10 + 14 + len(body) + 8
+    fits = length < 1 << 32
+    head = GZIP_MAGIC + struct.pack("<BBIBB", 8, 4 if fits else 0, 0, 0, 255) + (SKIP_FIELD + struct.pack("<II", length, len(data) & 0xFFFFFFFF) if fits else b"")
+    return b"".join((head, body, struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)))
+
+
 class WarcSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -223,7 +303,7 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WarcSource)
 
 
-def archive(pages: DataFrame, path: str, least: int = 100, date: str = "2024-01-01T00:00:00Z") -> None:
+def archive(pages: DataFrame, path: str, least: int = 100, date: str = "2024-01-01T00:00:00Z", compression: str = "gzip") -> None:
     """Write one record per row of ``pages(page_id, url, html)``; further columns are ignored.
 
     Payloads of at least ``least`` bytes that are equal: the smallest page_id's record is the response, the others revisit it. A null html is an empty payload. Rows
@@ -240,7 +320,7 @@ def archive(pages: DataFrame, path: str, least: int = 100, date: str = "2024-01-
         F.when(revisit, urn("first")).alias("refers_to"), F.concat(F.lit("sha256:"), "digest").alias("payload_digest"), F.col("bytes").alias("http_length"), F.when(~revisit, F.col("payload")).alias("payload"),
     )
     register(pages.sparkSession)
-    out.write.format("warc").mode("append").save(path)
+    out.write.format("warc").mode("append").option("compression", compression).save(path)
 
 
 def page_records(spark: SparkSession, path: str) -> DataFrame:

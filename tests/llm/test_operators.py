@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import zlib
 
@@ -173,10 +174,11 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
-def test_warc_cuts_and_pushed_filters(spark):
+@pytest.mark.parametrize("compression", ["none", "gzip"])
+def test_warc_cuts_and_pushed_filters(spark, compression):
     rows, df = pages(spark)
     path = fresh_path(spark, "warc-test")
-    warc.archive(df.coalesce(1), path)
+    warc.archive(df.coalesce(1), path, compression=compression)
     whole = spark.read.format("warc").load(path)
     cut = spark.read.format("warc").option("partitionBytes", 700).load(path)
     key = lambda d: sorted((r.record_type, r.record_id or "", bytes(r.payload or b"")) for r in d.collect())
@@ -189,6 +191,24 @@ def test_warc_cuts_and_pushed_filters(spark):
     assert spark.read.format("warc").option("payload", "false").load(path).where("payload is not null").count() == 0
 
 
+def test_warc_reads_any_gzip(spark, tmp_path):
+    """Members without stated lengths, of several records, and the writer's own, in one file; own members are ordinary gzip too."""
+    row = lambda i: {"record_type": "response" if i % 2 else "revisit", "record_id": f"<urn:page:{i}>", "target_uri": "u", "date": "d", "refers_to": None, "payload_digest": "x", "http_length": 7, "payload": b"p" * i * 50_000}
+    plain = [warc.record(row(i)) for i in range(8)]
+    assert gzip.decompress(warc.zipped(plain[5])) == plain[5] and gzip.decompress(warc.zipped(b"")) == b""
+    members = [gzip.compress(plain[0]), warc.zipped(plain[1]), gzip.compress(plain[2] + plain[3] + plain[4]), warc.zipped(plain[5]), gzip.compress(plain[6] + plain[7])]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(members))
+    warc.register(spark)
+    for size in (1 << 20, 300):
+        got = spark.read.format("warc").option("partitionBytes", size).load(str(tmp_path)).collect()
+        assert sorted((r.record_id, bytes(r.payload)) for r in got) == [(f"<urn:page:{i}>", b"p" * (i * 50_000 if i % 2 else 0)) for i in range(8)]
+    reader = spark.read.format("warc").option("payload", "false").load(str(tmp_path)).where("record_type = 'revisit'")
+    assert sorted((r.record_id, r.http_length) for r in reader.collect()) == [(f"<urn:page:{i}>", 7) for i in (0, 2, 4, 6)]
+    (tmp_path / "a.warc.gz").write_bytes(members[1][:-40])
+    with pytest.raises(ValueError, match="ends too early"):
+        list(warc.records(warc._open(*warc._fs(str(tmp_path / "a.warc.gz"))), 0, 10**6))
+
+
 # 4 ---------------------------------------------------------------------------------------------------------
 
 
