@@ -64,16 +64,14 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * votes > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-#: Odd multipliers that give further, independent fingerprints from the same shingle hashes (fixed values).
-_MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xA0761D6478BD642F)
-
-
 def mixed(hashes: np.ndarray, lane: int) -> np.ndarray:
-    """Lane 0: the hashes; further lanes: other 64-bit hashes made from them."""
+    """Lane 0: the hashes; further lanes: other 64-bit hashes made from them by the SplitMix64 finaliser (its constants are fixed values)."""
     if not lane:
         return hashes
-    x = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(_MIX[lane - 1])
-    return (x ^ (x >> np.uint64(29))) * np.uint64(_MIX[-lane])
+    x = hashes + np.uint64(lane * 0x9E3779B97F4A7C15 % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -155,8 +153,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, pair_bucke
     return marks.join(classes.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Differing bits of 8 x 64 that stand for a similarity of 0.8 on five-word shingles (measured, see the README).
-SIMILAR_BITS = 56
+#: Differing bits a fingerprint of 64, on average over all lanes, that stand for a similarity of 0.8 on five-word shingles (measured, see the README).
+SIMILAR_BITS = 7
 
 
 def _forest(a: np.ndarray, most: int) -> list[tuple[int, int]]:
@@ -177,15 +175,15 @@ def _forest(a: np.ndarray, most: int) -> list[tuple[int, int]]:
     return out
 
 
-def similar(docs: DataFrame, words: int = 2, lanes: int = 8, radius: int = 3, most: int = SIMILAR_BITS, pair_bucket: int = 8, group_bucket: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar(docs: DataFrame, words: int = 2, lanes: int = 16, radius: int = 3, bits: int = SIMILAR_BITS, pair_bucket: int = 8, group_bucket: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, component_id)``: near-duplicate classes of a wider similarity than one fingerprint's radius allows.
 
     Each text has ``lanes`` independent fingerprints of word pairs. Two texts are candidates if some lane differs in at most ``radius`` bits (by the covering
-    tables of that lane), and linked if all lanes together differ in at most ``most`` bits. Buckets of up to ``pair_bucket`` texts are compared in pairs; those of up to ``group_bucket`` by one task
+    tables of that lane), and linked if they differ in at most ``bits`` bits a lane on average. Buckets of up to ``pair_bucket`` texts are compared in pairs; those of up to ``group_bucket`` by one task
     each, which gives a spanning forest of their links; what lies together in larger ones is dealt by the next lanes' leading bits first.
     Classes are connected components, named by their least id. Nulls, repeated rows and empty tables are as in ``near_duplicates``.
     """
-    names = ["fp", *(f"fp{i}" for i in range(1, lanes))]
+    names, most = ["fp", *(f"fp{i}" for i in range(1, lanes))], bits * lanes
     marks = written(fingerprints(docs, words, lanes=lanes, id_col=id_col, text_col=text_col).withColumn("node", F.xxhash64(*names)), "similar-marks")
     distinct = marks.groupBy("node", *names).agg(F.min("doc_id").alias("least"))
     masks = covering_masks(radius)
