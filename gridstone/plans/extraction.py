@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.stats import average_rank_pct, median, quantile
 from ..functions.text import any_of, how_many, jaccard, tokens
@@ -129,7 +130,7 @@ def x23_fallback_parse(spark: SparkSession, d: str) -> DataFrame:
     return x.select("conv_id", "turn", status.alias("status"), how_many(low, synonyms).cast("long").alias("n_terms"), F.coalesce(*(F.when(low.contains(w), w) for w in synonyms)).alias("actor"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def first_json(texts: pd.Series) -> pd.Series:
     """The first balanced JSON object or array in each text, written compactly with sorted keys; null if there is none."""
     decoder = json.JSONDecoder()
