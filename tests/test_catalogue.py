@@ -39,3 +39,18 @@ def test_streams_equal_batches(spark, sf):
     days = QUERIES["z3_daily_windows"](spark, sf).collect()
     whole = {(r.day, r.event_type): r.n for r in spark.read.parquet(f"{sf}/events.parquet").selectExpr("to_date(ts) AS day", "event_type").groupBy("day", "event_type").count().withColumnRenamed("count", "n").collect()}
     assert days and all(whole[(r.start.date(), r.event_type)] == r.n for r in days)
+
+
+def test_distinct_sentences_match_brute_force(spark, sf):
+    import re
+
+    got = sorted((r.conv_id, r.turn, r.n_sentences, r.n_kept) for r in QUERIES["d15_distinct_sentences"](spark, sf).collect())
+    want = []
+    for m in spark.read.parquet(f"{sf}/conversations.parquet").where("text is not null").collect():
+        sets = [set(re.split(r"[ \t\n\x0b\f\r]+", s.strip(" ").lower())) for s in re.split(r"[.!?][ \t\n\x0b\f\r]*", m.text) if s.strip(" ")]
+        kept = []
+        for s in sets:
+            if all(len(s & k) / len(s | k) < 0.6 for k in kept):
+                kept.append(s)
+        want.append((m.conv_id, m.turn, len(sets), len(kept)))
+    assert got == sorted(want)
