@@ -43,11 +43,16 @@ def alike(a: str, b: str) -> Column:
     return 0.30 * ratio(x("price"), y("price")) + 0.25 * ratio(x("surface"), y("surface")) + 0.25 * title + 0.20 * city
 
 
-def fuzzy_pairs(df: DataFrame, key: str = "id", threshold: float = 0.85, width: int = 15000) -> DataFrame:
-    """``(a, b, score)`` of pairs within a block of price bucket and city whose likeness reaches the threshold; an equi-join on the block with the order of ids as residual."""
+def block_pairs(df: DataFrame, key: str = "id", width: int = 15000) -> DataFrame:
+    """Rows ``one`` and ``two`` (aliases) of each pair within a block of price bucket and city: an equi-join on the block with the order of ids as residual."""
     blocked = df.withColumns({"block": price_block(F.col("price"), width), "place": F.substring(normalised(F.col("city")), 1, 20)})
     a, b = blocked.alias("one"), blocked.alias("two")
-    met = a.join(b, (F.col("one.block") == F.col("two.block")) & (F.col("one.place") == F.col("two.place")) & (F.col(f"one.{key}") < F.col(f"two.{key}")))
+    return a.join(b, (F.col("one.block") == F.col("two.block")) & (F.col("one.place") == F.col("two.place")) & (F.col(f"one.{key}") < F.col(f"two.{key}")))
+
+
+def fuzzy_pairs(df: DataFrame, key: str = "id", threshold: float = 0.85, width: int = 15000) -> DataFrame:
+    """``(a, b, score)`` of pairs within a block whose likeness reaches the threshold."""
+    met = block_pairs(df, key, width)
     return met.select(F.col(f"one.{key}").alias("a"), F.col(f"two.{key}").alias("b"), F.round(alike("one", "two"), 4).alias("score")).where(F.col("score") >= threshold)
 
 
@@ -66,13 +71,16 @@ def greedy_survivors(df: DataFrame, pairs: DataFrame, key: str, order: Sequence[
     return joined.groupBy("block").applyInPandas(visit, f"{key} long")
 
 
-def upsert(current: DataFrame, incoming: DataFrame, key: str, values: Sequence[str]) -> DataFrame:
-    """``(key, action, old values, new values)``: insert, update (the content's hash differs), skip, or keep (not in the new rows). One full outer join."""
+def upsert(current: DataFrame, incoming: DataFrame, key: str, values: Sequence[str], also: Sequence[str] = ()) -> DataFrame:
+    """``(key, action, old values, new values)``: insert, update (the content's hash differs), skip, or keep (not in the new rows). One full outer join.
+
+    Columns ``also`` are carried along but don't count as content.
+    """
     digest = lambda p: F.substring(F.sha2(F.concat_ws("|", *(F.col(f"{p}.{v}").cast("string") for v in values)), 256), 1, 16)
     c, i = current.alias("c"), incoming.alias("i")
     action = F.when(F.col(f"c.{key}").isNull(), "insert").when(F.col(f"i.{key}").isNull(), "keep").when(digest("c") != digest("i"), "update").otherwise("skip")
     both = c.join(i, F.col(f"c.{key}") == F.col(f"i.{key}"), "full_outer")
-    return both.select(F.coalesce(f"c.{key}", f"i.{key}").alias(key), action.alias("action"), *(F.col(f"c.{v}").alias(f"old_{v}") for v in values), *(F.col(f"i.{v}").alias(f"new_{v}") for v in values))
+    return both.select(F.coalesce(f"c.{key}", f"i.{key}").alias(key), action.alias("action"), *(F.col(f"c.{v}").alias(f"old_{v}") for v in (*values, *also)), *(F.col(f"i.{v}").alias(f"new_{v}") for v in (*values, *also)))
 
 
 def changes(current: DataFrame, before: DataFrame, key: str, value: str) -> DataFrame:

@@ -149,13 +149,17 @@ def m8_emergence_classifier(spark: SparkSession, d: str) -> DataFrame:
     return model.transform(x).select("zone", r(p).alias("chance"), F.when(p > 0.7, "buy").otherwise("watch").alias("advice"))
 
 
-@query()
-def m9_trust_net(spark: SparkSession, d: str) -> DataFrame:
+def trust_net(spark: SparkSession, d: str) -> DataFrame:
+    """Listings with the net's ``prediction`` and an array ``p`` of its three class probabilities."""
     raw = VectorAssembler(inputCols=_FEATURES, outputCol="raw").transform(_listing_frame(spark, d)).withColumn("label", F.when(F.col("ppm2") < 1200, 0.0).when(F.col("ppm2") < 1800, 1.0).otherwise(2.0))
     x = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(raw).transform(raw)
     model = MultilayerPerceptronClassifier(layers=[4, 6, 3], maxIter=15, seed=1).fit(x)
-    p = vector_to_array(F.col("probability"))
-    return model.transform(x).select("url", F.col("prediction").cast("long").alias("class"), *(r(p[i]).alias(f"p{i}") for i in range(3)))
+    return model.transform(x).withColumn("p", vector_to_array(F.col("probability")))
+
+
+@query()
+def m9_trust_net(spark: SparkSession, d: str) -> DataFrame:
+    return trust_net(spark, d).select("url", F.col("prediction").cast("long").alias("class"), *(r(F.col("p")[i]).alias(f"p{i}") for i in range(3)))
 
 
 @query()

@@ -92,16 +92,24 @@ def r6_enriched_trust(spark: SparkSession, d: str) -> DataFrame:
 _SENT = f"(CASE WHEN length(text) < 20 THEN 0.3 ELSE 0.6 - 0.15 * (lower(text) LIKE '%urgent%')::INT - 0.10 * ({_COUNT(['idiot', 'moron', 'clown', 'worthless'])} > 0)::INT - 0.30 * regexp_matches(text, '[0-9]{{8,}}')::INT + least(0.20, 0.05 * ({_COUNT(QUALITY)})) + CASE WHEN length(text) > 300 THEN 0.10 WHEN length(text) < 50 THEN -0.15 ELSE 0 END END)::DOUBLE"
 
 
-@query(f"WITH s AS (SELECT round({_SENT}, 4) AS s FROM documents) SELECT CASE WHEN s >= 0.75 THEN 'positive' WHEN s >= 0.55 THEN 'neutral' WHEN s >= 0.35 THEN 'doubtful' ELSE 'negative' END AS label, count(*) AS n, round(avg(s), 4) AS mean_score FROM s GROUP BY label")
-def r7_sentiment(spark: SparkSession, d: str) -> DataFrame:
-    t, low = F.col("text"), F.lower("text")
+def sentiment(text: str = "text") -> Column:
+    """The score of one text by rule: flags lower it; words of quality and length raise it."""
+    t, low = F.col(text), F.lower(text)
     one = lambda c: c.cast("int")
-    s = F.when(F.length(t) < 20, 0.3).otherwise(
+    return F.when(F.length(t) < 20, 0.3).otherwise(
         0.6 - 0.15 * one(low.contains("urgent")) - 0.10 * one(any_of(low, ["idiot", "moron", "clown", "worthless"])) - 0.30 * one(t.rlike("[0-9]{8,}"))
         + F.least(F.lit(0.20), 0.05 * how_many(low, QUALITY)) + F.when(F.length(t) > 300, 0.10).when(F.length(t) < 50, -0.15).otherwise(0.0)
     )
-    x = table(spark, d, "documents").select(r(s).alias("s"))
-    return x.groupBy(F.when(F.col("s") >= 0.75, "positive").when(F.col("s") >= 0.55, "neutral").when(F.col("s") >= 0.35, "doubtful").otherwise("negative").alias("label")).agg(F.count("*").alias("n"), r(F.avg("s")).alias("mean_score"))
+
+
+def sentiment_label(score: Column) -> Column:
+    return F.when(score >= 0.75, "positive").when(score >= 0.55, "neutral").when(score >= 0.35, "doubtful").otherwise("negative")
+
+
+@query(f"WITH s AS (SELECT round({_SENT}, 4) AS s FROM documents) SELECT CASE WHEN s >= 0.75 THEN 'positive' WHEN s >= 0.55 THEN 'neutral' WHEN s >= 0.35 THEN 'doubtful' ELSE 'negative' END AS label, count(*) AS n, round(avg(s), 4) AS mean_score FROM s GROUP BY label")
+def r7_sentiment(spark: SparkSession, d: str) -> DataFrame:
+    x = table(spark, d, "documents").select(r(sentiment()).alias("s"))
+    return x.groupBy(sentiment_label(F.col("s")).alias("label")).agg(F.count("*").alias("n"), r(F.avg("s")).alias("mean_score"))
 
 
 @query("SELECT round(0.5 + 0.1 * (n_chars > 200)::INT + 0.1 * (lang = 'en')::INT + CASE WHEN source = 'src0' THEN 0.15 ELSE 0.05 END, 4)::DOUBLE AS trust, count(*) AS n FROM documents GROUP BY 1")

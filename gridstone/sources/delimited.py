@@ -31,6 +31,28 @@ def read_robust(spark: SparkSession, path: str, schema: StructType | str | None
     return df.select([c for c in df.columns if c and not c.startswith(("Unnamed", "_c"))])
 
 
+def read_latin(spark: SparkSession, path: str, names: dict[str, str], sep: str = ";") -> DataFrame:
+    """Latin-1 text whose headers get other names; the columns stay text."""
+    return spark.read.option("header", True).option("sep", sep).option("encoding", "ISO-8859-1").csv(path).withColumnsRenamed(names)
+
+
+def newest(spark: SparkSession, folder: str, pattern: str = "*.csv") -> str | None:
+    """The path of the file under ``folder`` that was changed last (ties: the greatest path). Only file listings are read, no contents."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder).select("path", "modificationTime")
+    last = files.orderBy(F.desc("modificationTime"), F.desc("path")).first()
+    return last and last.path
+
+
+def read_upload(spark: SparkSession, content: bytes, path: str) -> DataFrame:
+    """A delimited upload (UTF-8, else Latin-1), kept at ``path``, where executors can read it; unnamed columns go."""
+    try:
+        text = content.decode("utf-8-sig")
+    except UnicodeDecodeError:
+        text = content.decode("iso-8859-1")
+    spark.createDataFrame([(text.rstrip("\r\n"),)], "value string").coalesce(1).write.text(path)
+    return read_robust(spark, path)
+
+
 def union_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Files of differing columns as one frame, missing columns null, with ``_source_file``."""
     parts = [read_robust(spark, p).withColumn("_source_file", F.lit(p.rsplit("/", 1)[-1])) for p in paths]

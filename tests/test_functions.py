@@ -102,3 +102,52 @@ def test_micro_markets(spark):
     points = [(i, 36.8 + 0.001 * i, 10.1) for i in range(5)] + [(10, 37.5, 10.1), (11, 37.5 + 0.018, 10.1)]
     got = {r.id: r.market for r in micro_markets(spark.createDataFrame(points, "id long, lat double, lon double"), 2.0, 3).collect()}
     assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 10: None, 11: None}
+
+
+def test_paged_source_retries_with_growing_pauses():
+    from gridstone.sources.paged import PagedReader, attempted
+
+    calls = []
+
+    def fetch(page):
+        calls.append(page)
+        if len(calls) < 3:
+            raise OSError("try again")
+        return [(page,)]
+
+    assert attempted(fetch, 7, pause=0) == [(7,)] and calls == [7, 7, 7]
+    calls.clear()
+    with pytest.raises(OSError):
+        attempted(fetch, 7, attempts=2, pause=0)
+    parts = PagedReader(fetch, 10, 4).partitions()
+    assert [(p.first, p.last) for p in parts] == [(1, 5), (5, 9), (9, 11)]
+
+
+def test_upload_in_latin_1_loses_unnamed_columns(spark, tmp_path):
+    from gridstone.sources.delimited import read_upload
+
+    got = read_upload(spark, "Unnamed: 0;ville\n0;Béja\n1;\n".encode("iso-8859-1"), str(tmp_path / "up"))
+    assert got.columns == ["ville"] and [r.ville for r in got.collect()] == ["Béja", None]
+
+
+def test_newest_file_by_time_then_path(spark, tmp_path):
+    import os
+
+    from gridstone.sources.delimited import newest
+
+    for name, at in (("a.csv", 2000), ("b.csv", 1000), ("c.txt", 3000)):
+        (tmp_path / name).write_text("x\n1\n")
+        os.utime(tmp_path / name, (at, at))
+    assert newest(spark, str(tmp_path)).endswith("a.csv")
+    os.utime(tmp_path / "b.csv", (2000, 2000))
+    assert newest(spark, str(tmp_path)).endswith("b.csv")
+
+
+def test_rules_that_users_add(spark):
+    from pyspark.sql import functions as F
+
+    from gridstone.plans.surfaces import Rules
+
+    df = spark.createDataFrame([(1, None), (2, 5.0)], "id int, v double")
+    got = Rules().expect("rows", F.count("*"), 2, critical=True).expect("known", F.count("v"), 2).check(df).collect()
+    assert [(x.rule, x.critical, x.value, x.passed) for x in got] == [("rows", True, 2.0, True), ("known", False, 1.0, False)]
