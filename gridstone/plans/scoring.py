@@ -62,14 +62,14 @@ def _trust(spark: SparkSession, d: str) -> DataFrame:
     twins = F.count("*").over(Window.partitionBy("surface", "city", "property_type", "seen"))
     price = F.greatest(F.lit(0.0), 1 - F.abs(F.col("ppm2") - F.col("med")) / F.col("sd") / 4)
     source = F.when(F.col("source") == "A", 0.92).when(F.col("source") == "N", 0.78).otherwise(0.65)
-    return x.withColumn("twins", twins).join(F.broadcast(c), "city").withColumn("trust", 0.30 * price + 0.45 + 0.15 * source + 0.10 * F.when(F.col("twins") == 1, 0.9).otherwise(0.7))
+    return x.withColumn("twins", twins).join(c, "city").withColumn("trust", 0.30 * price + 0.45 + 0.15 * source + 0.10 * F.when(F.col("twins") == 1, 0.9).otherwise(0.7))
 
 
 @query(", c AS (SELECT city, median(ppm2) AS med, stddev(ppm2) AS sd FROM listing GROUP BY city) SELECT city, count(*) AS n, round(avg(greatest(0, 1 - abs(ppm2 - med) / sd / 4)), 4) AS coherence FROM listing JOIN c USING (city) GROUP BY city", True)
 def r2_price_coherence(spark: SparkSession, d: str) -> DataFrame:
     x = listings(spark, d)
     c = x.groupBy("city").agg(median("ppm2").alias("med"), F.stddev_samp("ppm2").alias("sd"))
-    return x.join(F.broadcast(c), "city").groupBy("city").agg(F.count("*").alias("n"), r(F.avg(F.greatest(F.lit(0.0), 1 - F.abs(F.col("ppm2") - F.col("med")) / F.col("sd") / 4))).alias("coherence"))
+    return x.join(c, "city").groupBy("city").agg(F.count("*").alias("n"), r(F.avg(F.greatest(F.lit(0.0), 1 - F.abs(F.col("ppm2") - F.col("med")) / F.col("sd") / 4))).alias("coherence"))
 
 
 @query(", g AS (SELECT median(price) AS med FROM listing), f AS (SELECT list_filter([CASE WHEN price < 0.3 * med THEN 'very low' END, CASE WHEN price > 1.9 * med THEN 'very high' END, CASE WHEN surface <= 1 THEN 'no surface' END], lambda x: x IS NOT NULL) AS flags FROM listing, g) SELECT array_to_string(flags, ',') AS flags, count(*) AS n FROM f GROUP BY 1", True)
@@ -214,7 +214,7 @@ def r25_graph_edges(spark: SparkSession, d: str) -> DataFrame:
 @query(", c AS (SELECT city, median(ppm2) AS med FROM listing GROUP BY city), g AS (SELECT median(ppm2) AS nat FROM listing) SELECT CASE WHEN ppm2 > 1.1 * med THEN 'above' WHEN ppm2 < 0.9 * med THEN 'below' ELSE 'in line' END AS position, count(*) AS n, round(avg((ppm2 / med - 1) * 100), 2) AS vs_city, round(avg((ppm2 / nat - 1) * 100), 2) AS vs_nation FROM listing JOIN c USING (city), g GROUP BY position", True)
 def r27_market_context(spark: SparkSession, d: str) -> DataFrame:
     x = listings(spark, d)
-    y = x.join(F.broadcast(x.groupBy("city").agg(median("ppm2").alias("med"))), "city").crossJoin(F.broadcast(x.agg(median("ppm2").alias("nat"))))
+    y = x.join(x.groupBy("city").agg(median("ppm2").alias("med")), "city").crossJoin(F.broadcast(x.agg(median("ppm2").alias("nat"))))
     p = F.col("ppm2")
     return y.groupBy(F.when(p > 1.1 * F.col("med"), "above").when(p < 0.9 * F.col("med"), "below").otherwise("in line").alias("position")).agg(F.count("*").alias("n"), r(F.avg((p / F.col("med") - 1) * 100), 2).alias("vs_city"), r(F.avg((p / F.col("nat") - 1) * 100), 2).alias("vs_nation"))
 
