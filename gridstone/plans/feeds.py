@@ -12,7 +12,7 @@ from ..sources.delimited import Registry, read_robust, union_files
 from ..streaming.micro_batch import shared_folder
 from .aggregates import monthly, zoned_orders
 from .base import listings, query, r, table
-from .scoring import invest
+from .scoring import _INVEST, invest
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -286,8 +286,8 @@ def j8_alert_dispatch(spark: SparkSession, d: str) -> DataFrame:
     return e.crossJoin(F.broadcast(subs)).where(F.array_contains(wanted, F.col("channel"))).groupBy("event_type", "severity").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(_INVEST + "SELECT url, part, seller, price, round(score, 4) AS score, decision FROM v WHERE price <= 1.15 * 60000 ORDER BY round(v.score, 9) DESC, url, part, seller LIMIT 15", True)
 def r15_investment_shortlist(spark: SparkSession, d: str) -> DataFrame:
     """The fifteen best within 1.15 times the budget, with what makes the score."""
     x = invest(listings(spark, d)).where(F.col("price") <= 1.15 * 60000)
-    return x.orderBy(F.desc("score"), "url", "part", "seller").limit(15).select("url", "part", "seller", "price", r("score").alias("score"), "decision")
+    return x.orderBy(F.desc(r("score", 9)), "url", "part", "seller").limit(15).select("url", "part", "seller", "price", r("score").alias("score"), "decision")

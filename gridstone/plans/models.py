@@ -22,7 +22,7 @@ from ..functions.text import cosine
 from ..operators import dedup
 from .aggregates import monthly
 from .base import listings, query, r, table
-from .scoring import invest
+from .scoring import _INVEST, invest
 
 # forecasts ---------------------------------------------------------------------------------------------------
 
@@ -276,18 +276,22 @@ def micro_markets(points: DataFrame, eps_km: float = 2.0, least: int = 3, rounds
     return points.select("id").join(reach, F.col("id") == F.col("a"), "left").select("id", "market")
 
 
-@query()
+@query(_INVEST + "SELECT decision, round(avg(0.40 * norm), 4) AS roi_part, round(avg(0.05 / (1 + ppm2)), 6) AS competition_part, round(avg(score), 4) AS score FROM v GROUP BY decision", True)
 def m10_occlusion(spark: SparkSession, d: str) -> DataFrame:
     s = invest(listings(spark, d))
     return s.groupBy("decision").agg(r(F.avg(0.40 * F.col("norm"))).alias("roi_part"), r(F.avg(0.05 / (1 + F.col("ppm2"))), 6).alias("competition_part"), r(F.avg("score")).alias("score"))
 
 
-@query()
+_BEST = "round(score, 9) DESC, url, part, seller"
+
+
+@query(_INVEST + f", b AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY city ORDER BY {_BEST}) <= 3), t AS (SELECT * FROM b ORDER BY {_BEST} LIMIT 60), c AS (SELECT *, sum(price) OVER (ORDER BY {_BEST} ROWS UNBOUNDED PRECEDING) AS spent FROM t) SELECT count(*) AS chosen, count(DISTINCT city) AS cities, round(0.55 * avg(roi) + 0.10 * 0.05 * count(DISTINCT city), 4) AS reward FROM c WHERE spent <= 1000000", True)
 def r16_greedy_selection(spark: SparkSession, d: str) -> DataFrame:
     """Assets taken in the order of score while the budget lasts, best of each city first; the reward is that of the chosen set."""
-    best = Window.partitionBy("city").orderBy(F.desc("score"), "url", "part", "seller")
-    top = invest(listings(spark, d)).withColumn("k", F.row_number().over(best)).where("k <= 3").orderBy(F.desc("score"), "url", "part", "seller").limit(60)  # at most 60 rows from here
-    spent = F.sum("price").over(Window.orderBy(F.desc("score"), "url", "part", "seller").rowsBetween(Window.unboundedPreceding, 0))
+    order = [F.desc(r("score", 9)), "url", "part", "seller"]
+    best = Window.partitionBy("city").orderBy(*order)
+    top = invest(listings(spark, d)).withColumn("k", F.row_number().over(best)).where("k <= 3").orderBy(*order).limit(60)  # at most 60 rows from here
+    spent = F.sum("price").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return top.withColumn("spent", spent).where("spent <= 1000000").agg(F.count("*").alias("chosen"), F.count_distinct("city").alias("cities"), r(0.55 * F.avg("roi") + 0.10 * 0.05 * F.count_distinct("city")).alias("reward"))
 
 
@@ -316,7 +320,7 @@ def d17_sequence_ratio(spark: SparkSession, d: str) -> DataFrame:
     return pairs.mapInPandas(score, "a string, b string, score double")
 
 
-@query()
+@query("WITH q(asked) AS (VALUES ('red wigdet'), ('smal ring'), ('blue bolt'), ('zzz')), h AS (SELECT asked, min({'edits': levenshtein(asked, p_name), 't': p_name}) AS m FROM q, (SELECT DISTINCT p_name FROM part) WHERE levenshtein(asked, p_name) <= 3 GROUP BY asked) SELECT asked, coalesce(m.t, 'unknown') AS name, m.edits::BIGINT AS edits FROM q LEFT JOIN h USING (asked)")
 def d18_resolve_name(spark: SparkSession, d: str) -> DataFrame:
     """The nearest known name by edit distance, at most 3 edits; else the default. The questions are a fixed list."""
     q = spark.createDataFrame([("red wigdet",), ("smal ring",), ("blue bolt",), ("zzz",)], "asked string")
