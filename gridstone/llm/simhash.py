@@ -175,12 +175,24 @@ def _forest(a: np.ndarray, most: int) -> list[tuple[int, int]]:
     return out
 
 
+def blocks(members: DataFrame, size: str, most: int) -> DataFrame:
+    """``members`` with the block pairs ``(i, j)`` they belong to: a group of over ``most`` by its ``size`` is dealt into row blocks of about half that, and any two of its members meet in some pair.
+
+    So no task gets more than about ``most`` rows of a group, and the pairs' edges together connect what the whole group's would.
+    """
+    p = F.when(F.col(size) > most, F.ceil(F.col(size) * 2 / most)).otherwise(1).cast("int")
+    own = F.pmod(F.xxhash64("node", F.lit(7)), p).cast("int")
+    # a block meets all others; alone it would be met in any of its pairs, so it needs no pair with itself
+    met = F.when(p == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), p - 1), lambda k: k != own))
+    return members.withColumn("at", own).withColumn("other", F.explode(met)).withColumns({"i": F.least("at", "other"), "j": F.greatest("at", "other")}).drop("at", "other")
+
+
 def similar(docs: DataFrame, words: int = 2, lanes: int = 16, radius: int = 3, bits: int = SIMILAR_BITS, pair_bucket: int = 8, group_bucket: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, component_id)``: near-duplicate classes of a wider similarity than one fingerprint's radius allows.
 
     Each text has ``lanes`` independent fingerprints of word pairs. Two texts are candidates if some lane differs in at most ``radius`` bits (by the covering
     tables of that lane), and linked if they differ in at most ``bits`` bits a lane on average. Buckets of up to ``pair_bucket`` texts are compared in pairs; those of up to ``group_bucket`` by one task
-    each, which gives a spanning forest of their links; what lies together in larger ones is dealt by the next lanes' leading bits first.
+    each, which gives a spanning forest of their links; larger ones are dealt into row blocks, and a task takes each two blocks, so no pair is left out.
     Classes are connected components, named by their least id. Nulls, repeated rows and empty tables are as in ``near_duplicates``.
     """
     names, most = ["fp", *(f"fp{i}" for i in range(1, lanes))], bits * lanes
@@ -204,10 +216,7 @@ def similar(docs: DataFrame, words: int = 2, lanes: int = 16, radius: int = 3, b
         edges = np.array(_forest(a, most), np.int64).reshape(-1, 2)
         return pa.table({"a": node[edges[:, 0]], "b": node[edges[:, 1]]})
 
-    # a part of a bucket that is too large for one task: texts that agree in a further lane's masked bits
-    part = F.when(F.col("n") > group_bucket, F.xxhash64(*(F.element_at("all", i).bitwiseAND(F.lit(_signed(masks[0]))) for i in range(2, min(lanes, 3) + 1)))).otherwise(F.lit(0).cast("long"))
-    dense = shared.where(F.col("n") > pair_bucket).withColumn("part", part).select("key", "part", "node", "all")
-    forest = dense.groupBy("key", "part").applyInArrow(group, "a long, b long")
+    forest = blocks(shared.where(F.col("n") > pair_bucket), "n", group_bucket).select("key", "i", "j", "node", "all").groupBy("key", "i", "j").applyInArrow(group, "a long, b long")
     roots = connected_components(pairs.union(forest))
     classes = distinct.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     named = classes.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -105,6 +105,27 @@ def test_similar_keeps_one_of_each_class_and_all_others(spark, sf):
     assert simhash.first_of_each(odd_docs(spark)).count() > 0
 
 
+def edits_of(words: int, n: int, edits: int, seed: int) -> list[str]:
+    """A text of ``words`` invented words and copies of it with up to ``edits`` words replaced, each by others."""
+    rng = np.random.default_rng(seed)
+    base = [f"w{i}" for i in rng.integers(0, 10**6, words)]
+    out = [" ".join(base)]
+    for i in range(1, n):
+        copy = base.copy()
+        for at in rng.choice(words, int(rng.integers(1, edits + 1)), replace=False):
+            copy[at] = f"x{rng.integers(0, 10**6)}"
+        out.append(" ".join(copy))
+    return out
+
+
+def test_similar_loses_no_link_of_large_buckets(spark):
+    texts = edits_of(120, 90, 4, 1) + edits_of(90, 30, 3, 2)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = {r.doc_id: r.component_id for r in simhash.similar(docs).collect()}
+    for most in (4, 16):
+        assert {r.doc_id: r.component_id for r in simhash.similar(docs, pair_bucket=1, group_bucket=most).collect()} == whole
+
+
 def test_components_of_long_paths_and_hubs(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, i) for i in range(1001, 1300)] + [(5, 5), (2000, 2001), (2001, 2000)]
     got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
