@@ -10,7 +10,7 @@ table: no linked pair is missed. Distinct fingerprints only enter the tables, an
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -153,8 +153,48 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, pair_bucke
     return marks.join(classes.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Differing bits a fingerprint of 64, on average over all lanes, that stand for a similarity of 0.8 on five-word shingles (measured, see the README).
-SIMILAR_BITS = 7
+#: Two texts are near duplicates if the Jaccard similarity of their sets of five-word shingles is at least 4 / 5.
+ALIKE = (4, 5)
+#: Min-hashes a text, and how many of them make a table's key: at a similarity of 4 / 5 all 42 tables miss a pair with a chance of 3e-6.
+MINS, BAND = 256, 6
+#: Differing last bits of the min-hashes up to which two texts are candidates: expected at 4 / 5 are 25.6 with deviation 4.8, so a chance below 1e-5 to miss.
+CANDIDATE_BITS = 48
+_TIMES = np.random.default_rng(1).integers(0, 1 << 63, MINS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
+_PLUS = np.random.default_rng(2).integers(0, 1 << 63, MINS, dtype=np.uint64) << np.uint64(1)
+
+
+def signature(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The table keys and the min-hashes' last bits (as four numbers) of a set of hashes; an empty set has no keys."""
+    if not len(shingles):
+        return np.empty(0, np.int64), np.zeros(MINS // 64, np.int64)
+    least = np.full(MINS, np.iinfo(np.uint64).max)
+    for at in range(0, len(shingles), 1 << 11):
+        least = np.minimum(least, (shingles[at : at + (1 << 11), None] * _TIMES + _PLUS).min(0))
+    bits = np.packbits((mixed(least, 1) & np.uint64(1)).astype(np.uint8), bitorder="little").view(np.int64)
+    bands = MINS // BAND
+    rows = mixed(least[: bands * BAND], 2).reshape(bands, BAND) * _TIMES[:BAND]
+    return mixed(rows.sum(1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64), 3).view(np.int64), bits
+
+
+def shingle_sets(docs: DataFrame, schema: str, words: int, id_col: str, text_col: str) -> DataFrame:
+    """Of ``doc_id, node, size, bits, keys, held`` those named in ``schema``: a text's id, the hash of its set of shingles, that set's size, signature and sorted hashes."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), words)) for t in batch.column(1)]
+            signs = [signature(x) for x in sets] if "bits" in names else []
+            made = {
+                "doc_id": lambda: batch.column(0),
+                "node": lambda: pa.array([_signed(xxhash.xxh64_intdigest(x.tobytes(), 3)) for x in sets], pa.int64()),
+                "size": lambda: pa.array([len(x) for x in sets], pa.int64()),
+                "bits": lambda: pa.array([x for _, x in signs], pa.list_(pa.int64())),
+                "keys": lambda: pa.array([x for x, _ in signs], pa.list_(pa.int64())),
+                "held": lambda: pa.array([x.tobytes() for x in sets], pa.binary()),
+            }
+            yield pa.RecordBatch.from_arrays([made[n]() for n in names], names=names)
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def _forest(a: np.ndarray, most: int) -> list[tuple[int, int]]:
@@ -175,6 +215,34 @@ def _forest(a: np.ndarray, most: int) -> list[tuple[int, int]]:
     return out
 
 
+def _alike(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Which of the sets ``others`` have a Jaccard similarity of at least ALIKE with ``one``, in whole numbers. All are sorted."""
+    shared = np.empty(len(others), np.int64)
+    for i, x in enumerate(others):
+        at = np.searchsorted(one, x)
+        at[at == len(one)] = 0
+        shared[i] = (one[at] == x).sum()
+    either = len(one) + np.fromiter(map(len, others), np.int64, len(others)) - shared
+    return shared * ALIKE[1] >= either * ALIKE[0]
+
+
+def _exact_forest(bits: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Edges that connect all that pairs of similar sets connect, at most one a row: breadth first as ``_forest``, with the sets compared where size and bits allow it."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    rest, out = np.arange(len(sets)), []
+    while len(rest):
+        queue, rest = [int(rest[0])], rest[1:]
+        while queue and len(rest):
+            at = queue.pop()
+            fits = np.minimum(sizes[rest], sizes[at]) * ALIKE[1] >= np.maximum(sizes[rest], sizes[at]) * ALIKE[0]
+            maybe = np.flatnonzero(fits & (np.bitwise_count(bits[rest] ^ bits[at]).sum(1) <= CANDIDATE_BITS))
+            near = maybe[_alike(sets[at], [sets[i] for i in rest[maybe]])]
+            queue += rest[near].tolist()
+            out += [(at, int(i)) for i in rest[near]]
+            rest = np.delete(rest, near)
+    return out
+
+
 def blocks(members: DataFrame, size: str, most: int) -> DataFrame:
     """``members`` with the block pairs ``(i, j)`` they belong to: a group of over ``most`` by its ``size`` is dealt into row blocks of about half that, and any two of its members meet in some pair.
 
@@ -187,38 +255,45 @@ def blocks(members: DataFrame, size: str, most: int) -> DataFrame:
     return members.withColumn("at", own).withColumn("other", F.explode(met)).withColumns({"i": F.least("at", "other"), "j": F.greatest("at", "other")}).drop("at", "other")
 
 
-def similar(docs: DataFrame, words: int = 2, lanes: int = 16, radius: int = 3, bits: int = SIMILAR_BITS, pair_bucket: int = 8, group_bucket: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, component_id)``: near-duplicate classes of a wider similarity than one fingerprint's radius allows.
+def similar(docs: DataFrame, words: int = 5, pair_bucket: int = 8, group_bucket: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, component_id)``: near-duplicate classes, the connected components of pairs whose sets of ``words``-word shingles have a Jaccard similarity of at least ALIKE.
 
-    Each text has ``lanes`` independent fingerprints of word pairs. Two texts are candidates if some lane differs in at most ``radius`` bits (by the covering
-    tables of that lane), and linked if they differ in at most ``bits`` bits a lane on average. Buckets of up to ``pair_bucket`` texts are compared in pairs; those of up to ``group_bucket`` by one task
-    each, which gives a spanning forest of their links; larger ones are dealt into row blocks, and a task takes each two blocks, so no pair is left out.
-    Classes are connected components, named by their least id. Nulls, repeated rows and empty tables are as in ``near_duplicates``.
+    Candidates share a table's key (six min-hashes) and differ in at most CANDIDATE_BITS bits of their signatures. Buckets of up to ``pair_bucket`` texts are compared in
+    pairs; those of up to ``group_bucket`` by one task each, which gives a spanning forest of their candidates; larger ones are dealt into row blocks, and a task takes
+    each two blocks, so no pair is left out. Within each connected group of candidates the whole sets of shingles are then compared (in block pairs too), so no
+    pair of a lower similarity is linked. Equal sets are one node. Classes are named by their least id. Nulls, repeated rows and empty tables are as in ``near_duplicates``.
     """
-    names, most = ["fp", *(f"fp{i}" for i in range(1, lanes))], bits * lanes
-    marks = written(fingerprints(docs, words, lanes=lanes, id_col=id_col, text_col=text_col).withColumn("node", F.xxhash64(*names)), "similar-marks")
-    distinct = marks.groupBy("node", *names).agg(F.min("doc_id").alias("least"))
-    masks = covering_masks(radius)
-    keys = F.flatten(F.array(*(_keys(n, masks, lane * len(masks)) for lane, n in enumerate(names))))
-    rows = distinct.select("node", F.explode(keys).alias("key"))
+    marks = written(shingle_sets(docs, "doc_id long, node long, size long, bits array<long>, keys array<long>", words, id_col, text_col), "similar-marks")
+    distinct = written(marks.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("size", "bits", "keys"))), "similar-nodes")
+    rows = distinct.select("node", F.explode("keys").alias("key"))
     sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = rows.join(sizes, "key")
-    shared = written(met.join(distinct.select("node", F.array(*names).alias("all")), "node"), "similar-buckets")
+    shared = written(rows.join(sizes, "key").join(distinct.select("node", "bits"), "node"), "similar-buckets")
     apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, v: s + v)
     light = shared.where(F.col("n") <= pair_bucket)
-    side = lambda n, v: light.select("key", F.col("node").alias(n), F.col("all").alias(v))
-    pairs = side("a", "x").join(side("b", "y"), "key").where((F.col("a") < F.col("b")) & (apart <= most)).select("a", "b")
+    side = lambda n, v: light.select("key", F.col("node").alias(n), F.col("bits").alias(v))
+    pairs = side("a", "x").join(side("b", "y"), "key").where((F.col("a") < F.col("b")) & (apart <= CANDIDATE_BITS)).select("a", "b")
 
-    def group(table: pa.Table) -> pa.Table:
+    def edges(table: pa.Table, of: Callable[[np.ndarray, pa.Table], list[tuple[int, int]]]) -> pa.Table:
         table = table.sort_by("node")  # the least node leads, so that a dense group's many buckets mostly give the same edges
         node = table["node"].to_numpy()
-        a = table["all"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
-        edges = np.array(_forest(a, most), np.int64).reshape(-1, 2)
-        return pa.table({"a": node[edges[:, 0]], "b": node[edges[:, 1]]})
+        found = np.array(of(table["bits"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), -1), table), np.int64).reshape(-1, 2)
+        return pa.table({"a": node[found[:, 0]], "b": node[found[:, 1]]})
 
-    forest = blocks(shared.where(F.col("n") > pair_bucket), "n", group_bucket).select("key", "i", "j", "node", "all").groupBy("key", "i", "j").applyInArrow(group, "a long, b long")
-    roots = connected_components(pairs.union(forest))
-    classes = distinct.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    def group(table: pa.Table) -> pa.Table:
+        return edges(table, lambda bits, _: _forest(bits, CANDIDATE_BITS))
+
+    def exact(table: pa.Table) -> pa.Table:
+        return edges(table, lambda bits, t: _exact_forest(bits, [np.frombuffer(x.as_buffer(), np.uint64) for c in t["held"].chunks for x in c]))
+
+    forest = blocks(shared.where(F.col("n") > pair_bucket), "n", group_bucket).select("key", "i", "j", "node", "bits").groupBy("key", "i", "j").applyInArrow(group, "a long, b long")
+    met = connected_components(pairs.union(forest)).join(distinct.select("node", "least", "size", "bits"), "node")
+    weights = met.groupBy("root").agg(F.greatest(F.count("*"), F.ceil(F.sum("size") / 200)).alias("n"))  # a row of 200 shingles, or less, weighs one
+    wanted = met.select(F.col("least").alias("__least")).distinct()
+    texts = docs.join(wanted, F.col(id_col).cast("long").eqNullSafe(F.col("__least")), "left_semi")
+    sets = shingle_sets(texts, "node long, held binary", words, id_col, text_col).groupBy("node").agg(F.first("held").alias("held"))
+    whole = blocks(met.select("node", "root", "bits").join(weights, "root").join(sets, "node"), "n", group_bucket)
+    linked = whole.select("root", "i", "j", "node", "bits", "held").groupBy("root", "i", "j").applyInArrow(exact, "a long, b long")
+    classes = distinct.join(connected_components(linked), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     named = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     return marks.select("doc_id", "node").join(classes.join(named, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
 

@@ -118,6 +118,15 @@ def edits_of(words: int, n: int, edits: int, seed: int) -> list[str]:
     return out
 
 
+def test_similar_is_exact_at_its_threshold(spark, sf):
+    texts = [t for k in range(12) for t in edits_of(60 + 20 * k, 14, 3 + k, k)] + [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(120).collect()] + ["", None, "one two", "One two"]
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    likeness = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j]) if sets[i] or sets[j] else 1.0
+    assert sum(0.7 <= likeness(i, j) < 0.8 for i in range(168) for j in range(i)) > 50
+    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_components(len(texts), lambda i, j: likeness(i, j) >= 0.8)
+
+
 def test_similar_loses_no_link_of_large_buckets(spark):
     texts = edits_of(120, 90, 4, 1) + edits_of(90, 30, 3, 2)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
