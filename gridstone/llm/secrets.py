@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 #: Key characters in a row that make a candidate; shorter ones only after a naming word and a sign of assignment.
 LONG, SHORT = 16, 8
-_LONG = re.compile(rf"[A-Za-z0-9+/_=\-]{{{LONG},}}")
-_NAMED = re.compile(rf"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|apikey|auth)[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?([^\s\"'<>,;]{{{SHORT},}})")
+_LONG = re.compile(rf"[A-Za-z0-9+/_\-]{{{LONG},}}(?:={{1,2}}(?![A-Za-z0-9+/_=\-]))?")  # '=' as trailing padding only: before more characters it ends a name
+_NAME = r"(?:password|passwd|pwd|secret|token|api[_-]?key|apikey|auth)[\"']?\s{0,3}[:=]"
+_NAMED = re.compile(rf"(?i){_NAME}\s{{0,3}}[\"']?(?!{_NAME})((?:(?!&[a-z_][\w.\-]*=)[^\s\"'<>,;]){{{SHORT},}})")  # up to the next parameter of an address
 #: Words that name a secret, and words that name something else of that look (fixed values).
 NAMING = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "api-key", "key", "auth", "bearer", "credential", "private")
 OTHER = ("commit", "sha", "sha256", "md5", "checksum", "digest", "hash", "etag", "uuid", "guid", "id", "version", "revision", "build", "isbn", "card", "phone", "integrity")
@@ -108,6 +109,9 @@ def sample_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, int, int,
             bare = body.startswith(PREFIXES) and rng.random() < 0.5
             left = prose(4) + " " + ("" if bare else name + sign + quote)
             right = ("" if bare else quote) + " " + prose(3)
+            if not bare and rng.random() < 0.2:  # a parameter of an address
+                left = prose(3) + " https://www.example.com/" + pick(words) + "?" + pick(("", "page=2&", "user=ann&")) + name + "="
+                right = pick((" ", "&page=2 ", "&lang=en ")) + prose(3)
         else:
             kind = int(rng.integers(9))
             if kind == 0:
@@ -196,10 +200,17 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = 24, depth: int = 10, least:
     return Forest(made)
 
 
+def _seen(text: str, start: int, length: int) -> tuple[int, int]:
+    """The candidate that covers most of a labelled span, as a scan would judge it; the span itself if none meets it."""
+    shared = lambda c: min(c[0] + c[1], start + length) - max(c[0], start)
+    best = max(candidates(text), key=shared, default=(start, length))
+    return best if shared(best) > 0 else (start, length)
+
+
 def fit(findings: list[tuple[str, int, int, int]] | None = None) -> Forest:
-    """Train on labelled findings (by default those of ``sample_findings``)."""
+    """Train on labelled findings (by default those of ``sample_findings``), each by the candidate that a scan finds there."""
     rows = findings if findings is not None else sample_findings()
-    return grow(np.array([describe(t, s, n) for t, s, n, _ in rows]), np.array([float(y) for *_, y in rows]))
+    return grow(np.array([describe(t, *_seen(t, s, n)) for t, s, n, _ in rows]), np.array([float(y) for *_, y in rows]))
 
 
 def found(text: str, forest: Forest, threshold: float = 0.5) -> list[tuple[int, int, float]]:

@@ -284,6 +284,28 @@ def test_forest_on_unseen_findings():
     assert ((score >= 0.5) == truth).mean() > 0.93
 
 
+def unquoted_findings(n: int = 400) -> list[tuple[str, str]]:
+    """Texts with a secret as an unquoted value of a name, in files of settings and in addresses, and the secret."""
+    rng = np.random.default_rng(21)
+    mixed = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    chars = lambda a, k: "".join(a[i] for i in rng.integers(0, len(a), k))
+    out = []
+    for i in range(n):
+        value = (lambda: "AKIA" + chars(mixed[26:], 16), lambda: "ghp_" + chars(mixed, 36), lambda: "sk_live_" + chars(mixed, 24), lambda: chars("0123456789abcdef", 40), lambda: chars(mixed + "+/", 42) + "==")[i % 5]()
+        form = ("HOST=local\nAPI_KEY={}\nDEBUG=1", "run with password={} and go on", "see https://api.example.org/v1/list?token={}&lang=en there", "export AWS_SECRET_ACCESS_KEY={}\nexport REGION=eu", "call https://example.org/a?user=ann&api_key={} now")[i // 5 % 5]
+        out.append((form.format(value), value))
+    return out
+
+
+def test_scan_finds_unquoted_values():
+    forest, rows = secrets.fit(), unquoted_findings()
+    hits = [[t[s : s + n] for s, n, _ in secrets.found(t, forest)] for t, _ in rows]
+    assert np.mean([v in h for (_, v), h in zip(rows, hits)]) > 0.95
+    assert np.mean([set(h) <= {v} for (_, v), h in zip(rows, hits)]) > 0.95
+    plain = ["commit=24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "https://example.org/view?page=about-our-company-and-team", "id=24be6443-9e3e-49cf-46b2-d7c90f3602a3", "password=your_password_here"]
+    assert [secrets.found(t, forest) for t in plain] == [[], [], [], []]
+
+
 def test_scan_and_redact(spark):
     key = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
     text = f'Some prose token = "{key}" and commit {key} ends.'
