@@ -154,6 +154,7 @@ def nearest(base: DataFrame, queries: DataFrame, k: int = 5, sample: int = 8192,
     """``(query_id, rank, vec_id, score)``: the nearest ``k`` found for each query, by cosine, ties to the smaller id.
 
     ``base`` and ``queries`` have ``(vec_id, vec)``, as from ``usable``, of one dimension. A query's own id is no candidate.
+    Repeated rows count once, among queries too. An id with several vectors has one list, of the best scores of any of its vectors; as a hit it comes once, with its best score.
     Equal vectors: only the k + 1 smallest ids of a vector can be among any query's nearest k, so only those are indexed; that
     is exact, however often a vector occurs. A list is dealt into blocks of about ``block_rows`` rows and ``block_queries`` queries, so no task
     gets a whole hot list. With fewer than 64 vectors to fit on, or no base, all lists are visited. Empty inputs give an empty result.
@@ -188,7 +189,7 @@ def nearest(base: DataFrame, queries: DataFrame, k: int = 5, sample: int = 8192,
                 yield pa.RecordBatch.from_arrays([*batch.columns, rank], names=["query_id", "q", "cells"])
 
     indexed = written(copies.mapInArrow(index, "vec_id long, vec array<double>, cell int, code binary"), "ann-index")
-    asked = written(queries.select(F.col("vec_id").alias("query_id"), F.col("vec").alias("q")).mapInArrow(visit, "query_id long, q array<double>, cells array<int>").select("query_id", "q", F.explode("cells").alias("cell")), "ann-asked")
+    asked = written(queries.distinct().select(F.col("vec_id").alias("query_id"), F.col("vec").alias("q")).mapInArrow(visit, "query_id long, q array<double>, cells array<int>").select("query_id", "q", F.explode("cells").alias("cell")), "ann-asked")
     counts = {r[0]: [r[1], 0] for r in indexed.groupBy("cell").count().collect()}  # at most 4096 lists
     for r in asked.groupBy("cell").count().collect():
         counts.setdefault(r[0], [0, 0])[1] = r[1]
@@ -208,13 +209,17 @@ def nearest(base: DataFrame, queries: DataFrame, k: int = 5, sample: int = 8192,
             top = np.argpartition(-rough, min(rerank, len(vec_id)) - 1, axis=1)[:, :rerank]
             exact = np.einsum("qd,qrd->qr", q, x[top]) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[top])
             own = vec_id[top] == query_id[:, None]
-            order = np.lexsort((vec_id[top], -np.where(own, -np.inf, exact)))[:, :k]
+            order = np.lexsort((vec_id[top], -np.where(own, -np.inf, exact)))
+            if len(np.unique(vec_id)) < len(vec_id):  # ids with several vectors: all but their best go behind the others
+                later = [~np.isin(np.arange(len(r)), np.unique(r, return_index=True)[1]) for r in np.take_along_axis(vec_id[top], order, 1)]
+                order = np.take_along_axis(order, np.argsort(later, axis=1, kind="stable"), 1)
+            order = order[:, :k]
             keep = ~np.take_along_axis(own, order, 1)
             ids = [np.repeat(query_id, order.shape[1]).reshape(order.shape)[keep], np.take_along_axis(vec_id[top], order, 1)[keep]]
             found = [np.take_along_axis(exact, order, 1)[keep]]
         return pa.table({"query_id": pa.array(ids[0], pa.int64()), "vec_id": pa.array(ids[1], pa.int64()), "score": pa.array(found[0], pa.float64())})
 
     keys = ["cell", "row_block", "query_block"]
-    hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(block, "query_id long, vec_id long, score double")
+    hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(block, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -170,6 +170,18 @@ def test_nearest_recall_and_scores(spark, sf):
             assert abs(s - a @ b / np.linalg.norm(a) / np.linalg.norm(b)) < 1e-12
 
 
+def test_nearest_of_repeated_queries(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(12)]
+    once = ann.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    twice = ann.usable(spark.createDataFrame(rows + rows, "vec_id long, embedding array<double>"))
+    ask = lambda base: [(r.query_id, r["rank"], r.vec_id) for r in ann.nearest(base, base.where("vec_id in (0, 5)")).orderBy("query_id", "rank").collect()]
+    got = ask(twice)
+    assert len(got) == 10 and len({(q, v) for q, _, v in got}) == 10 and got == ask(once)
+    many = ann.usable(spark.createDataFrame([(0, [1.0, 0.0]), *((1, [1.0, 0.001 * i]) for i in range(1, 9)), *((i, [1.0, 0.1 * i]) for i in range(2, 7))], "vec_id long, embedding array<double>"))
+    assert [r.vec_id for r in ann.nearest(many, many.where("vec_id = 0")).orderBy("rank").collect()] == [1, 2, 3, 4, 5]
+
+
 def test_nearest_of_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, None), (2, []), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [1.0, None]), (None, [1.0, 1.0])] + [(i, [2.0, 0.0]) for i in range(10, 40)] + [(50, [0.0, 1.0])]
