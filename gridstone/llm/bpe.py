@@ -74,7 +74,9 @@ class Bpe:
             s = spelt[t]
             self.shorter.append(next((at[s[:n]] for n in range(len(s) - 1, 0, -1) if s[:n] in at), -1))
         self.fits: dict[tuple[int, int], bool] = {}
+        #: Ids of words as they stand in texts, and of words in byte symbols; one spelling can occur in both with other ids.
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.symbol_cache: dict[str, tuple[int, ...]] = {}
         self._offset_table(spec)
 
     def _spell(self, token: str) -> str:
@@ -164,15 +166,15 @@ class Bpe:
         return [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))]
 
     def _word_ids(self, word: str, symbols: bool) -> tuple[int, ...]:
-        key = word if not symbols else "\x00" + word
-        found = self.cache.get(key)
+        cache = self.symbol_cache if symbols else self.cache
+        found = cache.get(word)
         if found is None:
             spelt = word if symbols else word.encode().decode("latin-1").translate(self._table)
             if self.suffix:
                 spelt = spelt[:-1] + chr(_LAST + ord(spelt[-1]))
-            if len(self.cache) >= CACHE_WORDS:
-                self.cache.clear()
-            found = self.cache[key] = self.encode_word(spelt)
+            if len(cache) >= CACHE_WORDS:
+                cache.clear()
+            found = cache[word] = self.encode_word(spelt)
         return found
 
     @property

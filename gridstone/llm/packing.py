@@ -7,6 +7,7 @@ total, and is cut where a window of the global stream ends. No document moves be
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,13 +19,17 @@ from pyspark.sql import functions as F
 from .common import written
 
 WINDOW = 2048
+#: White space in a row beyond which a text goes to the library: the fast splitter's stack overflows at about a million characters.
+LONG_SPACE = 100_000
+_SPACES = re.compile(rf"\s{{{LONG_SPACE}}}")
 _LOADED: dict = {}
 
 
 def _encoder(path: str):
     """``text -> ids`` as the tokenizers library gives them for a byte-level BPE file without normaliser and with special tokens in texts.
 
-    The same ranks run several times as fast in tiktoken, and give the same ids; other kinds of files run in the library itself.
+    The same ranks run several times as fast in tiktoken, and give the same ids; other kinds of files, and texts with very long white space, run in
+    the library itself.
     """
     if path not in _LOADED:
         import json
@@ -34,6 +39,10 @@ def _encoder(path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, level = spec["model"], spec.get("pre_tokenizer") or {}
+        library = Tokenizer.from_file(path)
+        library.no_padding()
+        library.no_truncation()
+        slow = lambda text: np.array(library.encode(text, add_special_tokens=False).ids, np.uint32)
         plain = model["type"] == "BPE" and level.get("type") == "ByteLevel" and level.get("use_regex") and not level.get("add_prefix_space") and not spec.get("normalizer") and not model.get("end_of_word_suffix") and not any(x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"] for x in spec["added_tokens"])
         if plain:
             import tiktoken
@@ -45,12 +54,9 @@ def _encoder(path: str):
             special = {x["content"]: x["id"] for x in spec["added_tokens"]}
             split = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # a fixed value: the byte-level splitter's pattern
             fast = tiktoken.Encoding("words", pat_str=split, mergeable_ranks=ranks, special_tokens=special)
-            _LOADED[path] = lambda text: fast.encode_to_numpy(text, allowed_special="all")
+            _LOADED[path] = lambda text: slow(text) if len(text) >= LONG_SPACE and _SPACES.search(text) else fast.encode_to_numpy(text, allowed_special="all")
         else:
-            library = Tokenizer.from_file(path)
-            library.no_padding()
-            library.no_truncation()
-            _LOADED[path] = lambda text: np.array(library.encode(text, add_special_tokens=False).ids, np.uint32)
+            _LOADED[path] = slow
     return _LOADED[path]
 
 

@@ -254,11 +254,8 @@ def test_warc_reads_any_gzip(spark, tmp_path):
 # 4 ---------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
-def test_bpe_is_exact_on_words(name):
-    if name.startswith("byte"):
-        pytest.skip("the encoder is for split and suffix vocabularies; packing has its own")
-    path = public_tokenizers.path(name)
+def test_bpe_is_exact_on_words():
+    path = public_tokenizers.path("word_bpe_49k.json")
     mine, library = bpe.vocabulary(path), Tokenizer.from_file(path)
 
     @settings(max_examples=300, deadline=None)
@@ -271,6 +268,35 @@ def test_bpe_is_exact_on_words(name):
     check()
 
 
+def test_bpe_ids_do_not_depend_on_earlier_texts():
+    """One encoder takes many texts: what it keeps of one must not change another's ids."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    said = lambda text: library.encode(text, add_special_tokens=False).ids
+    mine = bpe.Bpe(path)
+    for first, second in (("日本 !!", "\x00!!"), ("é漢 abc", "\x00abc"), ("Ġx 漢", "Ġx"), ("漢 Ġx", "\x00 Ġx")):
+        for text in (first, second, first):
+            assert mine.encode(text) == said(text)
+
+    @settings(max_examples=200, deadline=None)
+    @given(st.lists(st.text(alphabet="\x00 a!'1é漢Ġ"), min_size=2, max_size=4))
+    def check(texts):
+        assert [mine.encode(t) for t in texts] == [said(t) for t in texts]
+
+    check()
+    for c in map(chr, range(0x250)):  # all code points that are split here, beside each kind of neighbour
+        text = f"a{c}b {c}1{c} !{c}'{c}s {c}{c}"
+        assert mine.encode(text) == said(text)
+
+
+def test_bpe_of_very_long_words_and_spaces():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, mine = Tokenizer.from_file(path), bpe.Bpe(path)
+    for text in ("x" + " " * 300_000 + "y", "ab" * 100_000, "漢字" * 20_000, "!?" * 50_000):
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert mine.encode(text) == ids and mine.decode(ids) == library.decode(ids, skip_special_tokens=False)
+
+
 def test_bpe_digests(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
@@ -455,6 +481,23 @@ def test_packing_restores_every_text(spark, sf):
         assert [o for o, _ in sorted(parts)] == ends[:-1] and (ends[-1] == 2048 or s == max(filled))
 
 
+@pytest.mark.parametrize("n", [packing.LONG_SPACE - 1, packing.LONG_SPACE, 1_000_000, 5_000_000])
+def test_packing_ids_of_long_white_space(n):
+    """Runs of white space of any length, below and above the edge at which the library takes over."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, mine = Tokenizer.from_file(path), packing._encoder(path)
+    for space in " \n\u00a0":
+        text = f"one{space * n}x two  "
+        assert mine(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_of_long_white_space_in_spark(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = spark.createDataFrame([(1, " " * 1_200_000 + "x"), (2, "one two")], "doc_id long, text string")
+    n = len(Tokenizer.from_file(path).encode(" " * 1_200_000 + "x", add_special_tokens=False).ids)
+    assert {r.doc_id: r.doc_tokens for r in packing.pack(docs, path).collect()} == {1: n + 1, 2: 3}
+
+
 def test_packing_of_odd_rows(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
