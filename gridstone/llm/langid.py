@@ -135,26 +135,28 @@ def train(x: np.ndarray, langs: list[str]) -> Model:
     return Model(families, members, [t[0] for t in tasks], weights, bias)
 
 
-def fit(labelled: DataFrame, per_language: int = 200, languages: int = 64, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Train on ``labelled``: up to ``per_language`` documents with letters of each of the ``languages`` most common languages.
+def fit(labelled: DataFrame, per_language: int = 200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Train on ``labelled``: up to ``per_language`` documents with letters of every language that it names.
 
-    The documents are those whose ids have the smallest hashes, so the choice is the same at every run. Null labels and ids are left out.
+    The documents are those whose ids have the smallest hashes, so the choice is the same at every run; of rows that repeat an id and a language, the least text counts. Null
+    labels and ids are left out. What reaches the driver is ``per_language`` vectors a language, so it grows with the number of languages only.
     """
     known = labelled.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    common = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    common = known.groupBy("lang").agg(F.approx_count_distinct("doc_id")).collect()  # one row a language
     # only hashes low enough for three times the wanted number reach the window, so a common language sends no more rows than a rare one
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     low = F.create_map(*(F.lit(v) for r in common for v in (r[0], min(1 << 30, (1 << 30) * 3 * per_language // r[1] + 1)))) if common else F.create_map()
     order = Window.partitionBy("lang").orderBy(draw, "doc_id")
-    few = known.select("doc_id", "lang").where(draw < F.try_element_at(low, F.col("lang"))).distinct() if common else known.select("doc_id", "lang").limit(0)
-    picked = few.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("doc_id", "lang")
+    drawn = known.where((draw < F.try_element_at(low, F.col("lang"))) & F.col("text").rlike(r"\p{L}")) if common else known.limit(0)
+    picked = drawn.select("doc_id", "lang").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("doc_id", "lang")
+    least = known.join(F.broadcast(picked), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))  # at most per_language rows a language are broadcast
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = [(g, features(t).astype(np.float16).tobytes()) for g, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if t and _LETTER.search(t)]
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in kept], pa.string()), pa.array([k[1] for k in kept], pa.binary())], names=["lang", "x"])
 
-    chosen = known.join(F.broadcast(picked), ["doc_id", "lang"]).select("lang", "text").mapInArrow(run, "lang string, x binary")
+    chosen = least.select("lang", "text").mapInArrow(run, "lang string, x binary")
     rows = chosen.toArrow().sort_by([("lang", "ascending"), ("x", "ascending")])
     if not len(rows):
         return Model([], {}, [], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))

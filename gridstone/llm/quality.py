@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 BUCKETS = 1 << 12
 GOOD, NONE, BAD = 1, 0, -1
-CHUNK = 1 << 20
+#: Characters or bytes of one text that are looked at at a time, so a long text needs bounded memory; words over which variety is measured.
+CHUNK, WINDOW = 1 << 20, 1000
 #: Common function words of four languages (fixed values).
 FUNCTION_WORDS = frozenset("the of and to in is that for it on as with be by at this from or an are was have not but he she we they you a der die das und ist in den von zu mit im für auf nicht ein eine sich des dem le la les et de des est en un une que qui dans pour pas sur au du par el los las y en es un una por con para del se al lo su".split())
 _SYMBOL = np.zeros(256, bool)
@@ -40,25 +41,51 @@ _KIND = _kinds()
 LABELLERS = ("symbols", "capitals", "repeats", "variety", "exclaims", "sentences", "function words", "word length", "letters", "prose")
 
 
-def measures(text: str) -> dict[str, float]:
-    """Shares that the labellers judge, over the whole text."""
-    data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
-    words = text.split()
-    n, size = len(words), max(len(data), 1)
-    count = np.bincount(data, minlength=256)
-    upper, lower = int(count[65:91].sum()), int(count[97:123].sum())
-    low = [w.strip(".,;:!?\"'()").lower() for w in words] if n <= 400_000 else [w.lower() for w in words]
+def blocks(text: str, size: int = CHUNK) -> Iterator[str]:
+    """The whole text in blocks of at least ``size`` characters that end before white space, so that no word is cut."""
+    at = 0
+    while at < len(text):
+        end = at + size
+        while end < len(text) and not text[end].isspace():
+            end += 1
+        yield text[at:end]
+        at = end
+
+
+def measures(text: str, size: int = CHUNK) -> dict[str, float]:
+    """Shares that the labellers judge, over the whole text and by one rule at every length.
+
+    Variety falls with length, so it is measured over windows of WINDOW words (the last may be shorter) and averaged by their words.
+    """
+    count, n, repeats, function, windows, last, rest = np.zeros(256, np.int64), 0, 0, 0, 0.0, None, []
+
+    def variety(window: list[str]) -> float:
+        return len(set(window)) / max(len(window), 1) ** 0.75 * len(window)
+
+    for block in blocks(text, size):
+        count += np.bincount(np.frombuffer(block.encode("utf-8", "replace"), np.uint8), minlength=256)
+        low = [w.strip(".,;:!?\"'()").lower() for w in block.split()]
+        n += len(low)
+        repeats += sum(map(operator.eq, low, low[1:])) + (bool(low) and low[0] == last)
+        function += sum(map(FUNCTION_WORDS.__contains__, low))
+        last = low[-1] if low else last
+        rest += low
+        whole = len(rest) - len(rest) % WINDOW
+        windows += sum(variety(rest[at : at + WINDOW]) for at in range(0, whole, WINDOW))
+        rest = rest[whole:]
+    windows += variety(rest)
+    bytes_, upper, lower = max(int(count.sum()), 1), int(count[65:91].sum()), int(count[97:123].sum())
     return {
         "words": n,
-        "symbols": count[_SYMBOL].sum() / size,
+        "symbols": count[_SYMBOL].sum() / bytes_,
         "capitals": upper / max(upper + lower, 1),
-        "repeats": sum(map(operator.eq, low, low[1:])) / max(n - 1, 1),
-        "variety": len(set(low)) / max(n, 1) ** 0.75,
-        "exclaims": text.count("!") / max(n, 1),
-        "sentences": (count[46] + count[63] + text.count("!")) / max(n, 1),
-        "function": sum(map(FUNCTION_WORDS.__contains__, low)) / max(n, 1),
+        "repeats": repeats / max(n - 1, 1),
+        "variety": windows / max(n, 1),
+        "exclaims": int(count[33]) / max(n, 1),
+        "sentences": int(count[33] + count[46] + count[63]) / max(n, 1),
+        "function": function / max(n, 1),
         "length": len(text) / max(n, 1),
-        "letters": (upper + lower + int(count[128:].sum())) / size,
+        "letters": (upper + lower + int(count[128:].sum())) / bytes_,
     }
 
 
@@ -72,7 +99,7 @@ def votes(m: dict[str, float]) -> list[int]:
         m["symbols"] > 0.05,
         not few and m["capitals"] > 0.5,
         not few and m["repeats"] > 0.25,
-        not few and m["variety"] < 0.45 and m["words"] < 2000,
+        not few and m["variety"] < 0.45,
         not few and m["exclaims"] > 0.3,
         not few and (m["sentences"] < 0.004 or m["sentences"] > 0.6) and m["words"] > 20,
         not few and m["function"] < 0.03 and m["words"] > 20,
@@ -118,11 +145,11 @@ def fit_labels(patterns: np.ndarray, counts: np.ndarray, prior: float = 0.8, rou
     return model
 
 
-def buckets(text: str) -> Iterator[np.ndarray]:
-    """Hashed features of the whole text: 4-grams of byte classes, and classes around repeated words and line shapes."""
+def buckets(text: str, size: int = CHUNK) -> Iterator[np.ndarray]:
+    """Hashed features of the whole text: every 4-gram of byte classes, chunk by chunk (chunks overlap by 3 bytes)."""
     data = text.encode("utf-8", "replace")
-    for at in range(0, max(len(data), 1), CHUNK):
-        a = _KIND[np.frombuffer(data[at : at + CHUNK], np.uint8)]
+    for at in range(0, max(len(data), 1), size):
+        a = _KIND[np.frombuffer(data[at : at + size + 3], np.uint8)]
         if len(a) >= 4:
             yield ((a[:-3] * np.uint32(0x9E3779B1) ^ a[1:-2] * np.uint32(0x85EBCA6B) ^ a[2:-1] * np.uint32(0xC2B2AE35) ^ a[3:] * np.uint32(0x27D4EB2F)) >> np.uint32(20)) % np.uint32(BUCKETS - 16) + np.uint32(16)
 

@@ -372,6 +372,32 @@ def test_label_model_recovers_accuracies():
     assert ((model.posterior(vote) > 0.5) == truth).mean() > 0.93
 
 
+def test_measures_follow_one_rule_at_every_length():
+    """Against a plain version over the whole text at once, with blocks of any size, on both sides of every block and window edge."""
+
+    def plain(text):
+        low = [w.strip(".,;:!?\"'()").lower() for w in text.split()]
+        parts = [low[i : i + quality.WINDOW] for i in range(0, len(low), quality.WINDOW)]
+        return len(low), sum(a == b for a, b in zip(low, low[1:])) / max(len(low) - 1, 1), sum(len(set(p)) / len(p) ** 0.75 * len(p) for p in parts) / max(len(low), 1), sum(w in quality.FUNCTION_WORDS for w in low) / max(len(low), 1)
+
+    rng = np.random.default_rng(2)
+    texts = ["", " ", "Word. word, " * 200_002, "the cat the cat " * 5000, *(" ".join(f"w{x}" for x in rng.integers(0, 50, n)) for n in (1, 4, 999, 1000, 1001, 2001)), "é漢" * 3000 + " x"]
+    for text in texts:
+        for size in (7, 64, 1 << 20):
+            if size < 64 and len(text) > 20_000:
+                continue
+            m = quality.measures(text, size)
+            assert np.allclose([m[k] for k in ("words", "repeats", "variety", "function")], plain(text))
+    # the verdicts of a text and of a longer one of the same making agree
+    for make in ("Word. word, ", "one two three four five six. ", "A clean line of the text that is for all of us in one place. "):
+        assert len({tuple(quality.votes(quality.measures(make * n))) for n in (100, 1000, 60_000, 250_000)}) == 1
+    for n in (3, 4, 5, 4999, 5000, 5001):
+        data = "".join("aB 1é\n."[i % 7] for i in rng.integers(0, 7, n))
+        whole = np.sort(np.concatenate([*quality.buckets(data), np.empty(0, np.uint32)]))
+        for size in (4, 5, 1000):
+            assert np.array_equal(np.sort(np.concatenate([*quality.buckets(data, size), np.empty(0, np.uint32)])), whole)
+
+
 def test_quality_agrees_with_labels(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -526,6 +552,18 @@ def test_language_accuracy_on_held_out(spark):
     assert langid.predict(nothing(spark), langid.fit(nothing(spark))).count() == 0
 
 
+def test_language_learns_every_label_and_one_row_an_id(spark):
+    words = {f"l{k:02d}": " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{chr(97 + j)}o" for j in range(20)) for k in range(70)}
+    rows = [(i * 100 + j, t, g) for i, (g, t) in enumerate(words.items()) for j in range(3)]
+    model = langid.fit(spark.createDataFrame(rows + [(0, "", "l00"), (1, "12 !", "l00"), (None, "x", "l00"), (7000, "x", None)], "doc_id long, text string, lang string"))
+    assert sorted(m for ms in model.members.values() for m in ms) == sorted(words)
+    assert np.mean([model.predict(t)[0] == g for g, t in words.items()]) > 0.98
+    few = spark.createDataFrame([(1, "eins zwei drei", "de"), (2, "one two three", "en"), (3, "123", "en")], "doc_id long, text string, lang string")
+    many = few.union(few.where("doc_id = 1").crossJoin(spark.range(3000)).select("doc_id", "text", "lang")).union(spark.createDataFrame([(1, "zzz", "de")], few.schema))
+    a, b = langid.fit(few), langid.fit(many)
+    assert np.array_equal(a.weights, b.weights) and a.members == b.members
+
+
 # pipeline --------------------------------------------------------------------------------------------------
 
 
