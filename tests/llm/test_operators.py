@@ -473,6 +473,47 @@ def test_shards_by_bytes_and_rows(spark):
             assert max(size.values()) - min(size.values()) <= 2 * max(r.size for r in got)
 
 
+@pytest.mark.parametrize("whole", [0.0, 0.02, 0.5])
+def test_shards_match_brute_force(spark, whole):
+    """The query's forty shards by a plain sort of all records; groups of equal texts on both sides of the edge ``whole``."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    docs = docs.union(docs.where("doc_id = 7").crossJoin(spark.range(2500)).selectExpr("100000 + id", "text")).union(docs.where("doc_id in (11, 12, 13)").crossJoin(spark.range(30)).selectExpr("200000 + 100 * doc_id + id", "text"))
+    rows = sorted((r.h, r.doc_id, r.size, r.text) for r in docs.selectExpr("xxhash64(text) AS h", "doc_id", "octet_length(text) + 16 AS size", "text").collect())
+    total = sum(r[2] for r in rows)
+    bytes_, start, below = {}, {}, 0
+    for h, _, size, _ in rows:
+        bytes_[h] = bytes_.get(h, 0) + size
+        start.setdefault(h, below)
+        below += size
+    want, below, together = {}, 0, [h for h in bytes_ if bytes_[h] <= whole * total / 40]
+    for h, doc_id, size, _ in rows:
+        middle = start[h] + bytes_[h] / 2 if bytes_[h] <= whole * total / 40 else below + size / 2
+        want[doc_id] = min(39, int(middle * 40 / total))
+        below += size
+    got = {r.doc_id: r for r in sharding.shard(docs, 40, "bytes", whole).collect()}
+    assert {i: r.shard for i, r in got.items()} == want
+    if whole:
+        assert together
+        for h in together:
+            assert len({got[i].shard for g, i, *_ in rows if g == h}) == 1
+    slots = {}
+    for r in got.values():
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_ranges_are_subdivided_until_none_is_overfull(spark):
+    """Starting from no boundary inside a hot key, and from far too few ranges' worth of samples; sums per range by brute force."""
+    rows = spark.range(20_000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id = 7 THEN repeat('x', 3000000) ELSE concat('t', id) END AS text")
+    for overfull in (1.2, 2.0):
+        got = sharding.split(sharding.records(rows), 50, overfull).groupBy("range").agg({"size": "sum", "doc_id": "count"}).toDF("range", "bytes", "n").collect()
+        total, largest = sum(r.bytes for r in got), 3_000_016
+        assert sum(r.n for r in got) == 20_000 and max(r.n for r in got) <= overfull * 20_000 / 50
+        assert all(r.bytes <= overfull * total / 50 or r.bytes - largest <= overfull * total / 50 for r in got)
+    keys = sharding.split(sharding.records(rows), 50).select("range", "h", "doc_id").orderBy("h", "doc_id").collect()
+    assert [k.range for k in keys] == sorted(k.range for k in keys)
+
+
 def test_shards_of_hot_and_odd_rows(spark):
     hot = spark.range(5000).selectExpr("id AS doc_id", "CASE WHEN id % 2 = 0 THEN 'the same text' ELSE concat('text ', id) END AS text")
     again = hot.where("doc_id = 0").crossJoin(spark.range(2000)).select("doc_id", "text")
