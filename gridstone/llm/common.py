@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
-from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,14 +34,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def range_index(key: Column, bounds: Sequence[Column]) -> Column:
-    """How many of the sorted literal ``bounds`` are at most ``key``; a binary search in one expression.
+def range_index(key: Column, bounds: list[tuple], schema: str) -> Column:
+    """How many of the sorted ``bounds`` (rows of ``schema``, as ``key`` is one) are at most ``key``; a binary search in one expression.
 
-    A null key has index 0.
+    The bounds are one literal, read from text while the query is planned, so plans stay small however many there are.
     """
     if not bounds:
         return F.lit(0)
-    table = F.array(*bounds)
+    names = [c.split()[0] for c in schema.split(", ")]
+    table = F.from_json(F.lit(json.dumps([dict(zip(names, b)) for b in bounds])), f"array<struct<{schema.replace(' ', ':').replace(',:', ',')}>>")
     steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
     return F.aggregate(
         F.array(*map(F.lit, steps)),

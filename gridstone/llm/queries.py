@@ -48,7 +48,7 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_term_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return termprints.edited_likeness(_table(spark, sf_dir, "documents"))
+    return termprints.compared(_table(spark, sf_dir, "documents"))
 
 
 def op8_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:

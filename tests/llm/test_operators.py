@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import re
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -413,9 +415,28 @@ def test_quality_agrees_with_labels(spark):
 # 7 ---------------------------------------------------------------------------------------------------------
 
 
+def xx64(data: bytes, seed: int) -> int:
+    return xxhash.xxh64_intdigest(data, seed)
+
+
+def plain_fingerprint(text: str) -> int:
+    """128 weighted votes, counted one by one: the low half by the words' XXH64 (seed 42), the high half by it after the number 7."""
+    votes, weight = np.zeros(128, np.int64), 0
+    for w in filter(None, re.split(r"[ \t\n\x0b\f\r]+", text.lower())):
+        k = max(1, min(len(w), termprints.LONGEST) - 2)
+        second = xx64(w.encode(), xx64((7).to_bytes(4, "little"), 42))
+        bits = xx64(w.encode(), 42) | second << 64
+        votes += k * np.array([bits >> i & 1 for i in range(128)])
+        weight += k
+    return sum(1 << i for i in range(128) if 2 * votes[i] > weight)
+
+
 def test_edited_texts_and_likeness(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = docs.select("doc_id", "text").orderBy("doc_id").collect()
+    text = lambda p: f"{p & (1 << 64) - 1:016x}{p >> 64:016x}"
+    likeness = lambda p, q: 1 - (p ^ q).bit_count() / 128
+    prints = [plain_fingerprint(r.text) for r in rows]
     for size in (1 << 30, 1 << 14):  # one range, and many
         got = {r.doc_id: r for r in termprints.edited_likeness(docs, size).collect()}
         assert len(got) == len(rows)
@@ -423,32 +444,45 @@ def test_edited_texts_and_likeness(spark, sf):
             after = rows[(i + 1) % len(rows)]
             half = len(r.text) // 2
             edited = r.text[: len(r.text) - half] + after.text[:half]
-            g = got[r.doc_id]
+            g, p, e = got[r.doc_id], prints[i], plain_fingerprint(edited)
             assert g.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and g.n_chars == len(r.text)
-            differ = (int(g.fingerprint, 16) ^ int(got[after.doc_id].fingerprint, 16)).bit_count()
-            assert g.near_next == 1 - differ / 128
-        same = {}
-        for r in rows:
-            assert same.setdefault(r.text, got[r.doc_id].fingerprint) == got[r.doc_id].fingerprint
+            assert (g.fingerprint, g.edited_fingerprint) == (text(p), text(e))
+            assert (g.near_edited, g.near_next) == (likeness(p, e), likeness(p, prints[(i + 1) % len(rows)]))
         assert np.mean([g.near_edited > g.near_next for g in got.values()]) > 0.9
+    classes = brute_components(len(rows), lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 3)
+    assert {r.doc_id: r.near_class for r in termprints.compared(docs).collect()} == {r.doc_id: rows[c].doc_id for r, c in zip(rows, classes)}
 
 
 def test_edited_of_odd_rows(spark):
-    got = termprints.edited_likeness(odd_docs(spark, True)).collect()
+    got = termprints.compared(odd_docs(spark, True)).collect()
     assert len(got) == len(ODD) + 3
-    assert {r.fingerprint for r in got if r.doc_id in (0, 1, 2)} == {"0" * 32}
-    lone = termprints.edited_likeness(odd_docs(spark).where("doc_id = 5")).collect()
-    assert [(r.near_next, r.n_chars) for r in lone] == [(1.0, 13)]
-    assert termprints.edited_likeness(nothing(spark)).count() == 0
+    assert {(r.fingerprint, r.near_class) for r in got if r.doc_id in (0, 1, 2)} == {("0" * 32, 0)}
+    lone = termprints.compared(odd_docs(spark).where("doc_id = 5")).collect()
+    assert [(r.near_next, r.n_chars, r.near_class) for r in lone] == [(1.0, 13, 5)]
+    assert termprints.compared(nothing(spark)).count() == 0
+
+
+def test_edited_of_hot_ids_and_many_ranges(spark):
+    """One id, and the null id, on many rows: they are dealt into ranges by their texts too, and rows stay whole."""
+    hot = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN 5 ELSE id END AS doc_id", "concat('some words of text number ', id * 7919 % 3000) AS text")
+    rows = sorted(hot.selectExpr("doc_id IS NULL AS last", "coalesce(doc_id, 0) AS id", "xxhash64(text) AS tie", "text").collect())
+    want = sorted((0 if r.last else r.id, r.last, hashlib.sha256((r.text[: len(r.text) - len(r.text) // 2] + rows[(i + 1) % 3000].text[: len(r.text) // 2]).encode()).hexdigest()) for i, r in enumerate(rows))
+    got = sorted((r.doc_id or 0, r.doc_id is None, r.edited_sha256) for r in termprints.edited_likeness(hot, 2000).collect())
+    assert got == want
 
 
-def test_block_tables_find_all_pairs(spark):
+@pytest.mark.parametrize("radius", [1, 2, 3])
+@pytest.mark.parametrize("bucket", [1, 8, 20_000])
+def test_block_tables_link_all_pairs(spark, radius, bucket):
+    """Over all 128 bits: below the edge the very pairs, above it the same classes by true links only."""
     rng = np.random.default_rng(5)
-    values = sorted({int(b) ^ sum(1 << int(x) for x in rng.choice(63, int(k))) for b in rng.integers(0, 1 << 62, 8) for k in rng.integers(0, 6, 10)})
-    df = spark.createDataFrame([(v,) for v in values * 2] + [(None,)], "fp0 long")
-    for radius in (1, 3):
-        got = sorted((r.a, r.b) for r in termprints.within_radius(df, radius).collect())
-        assert got == [(a, b) for i, a in enumerate(values) for b in values[i + 1 :] if (a ^ b).bit_count() <= radius]
+    values = sorted({(int(b) << 64 | int(c)) ^ sum(1 << int(x) for x in rng.choice(128, int(k), replace=False)) for b, c in rng.integers(0, 1 << 63, (5, 2)) for k in rng.integers(0, 4, 9)})
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    df = spark.createDataFrame([(i, signed(v & (1 << 64) - 1), signed(v >> 64)) for i, v in enumerate(values)], "node long, fp0 long, fp1 long")
+    got = {(min(r.a, r.b), max(r.a, r.b)) for r in termprints.within_radius(df, radius, pair_bucket=bucket).collect()}
+    pairs = {(i, j) for j in range(len(values)) for i in range(j) if (values[i] ^ values[j]).bit_count() <= radius}
+    assert got == pairs if bucket > 100 else got <= pairs
+    assert brute_components(len(values), lambda i, j: (j, i) in got) == brute_components(len(values), lambda i, j: (j, i) in pairs)
 
 
 # 8 ---------------------------------------------------------------------------------------------------------
