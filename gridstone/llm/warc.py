@@ -1,6 +1,7 @@
 """WARC archives as a Python data source (``format("warc")``), for reading and writing.
 
-Reading plans byte ranges: small files share a partition, large ones are cut at record starts, found by hopping from header to header.
+Reading plans partitions of whole files from their listed sizes: small files share a partition, and none is opened to plan. A file isn't cut, as a payload may itself hold records, so
+that no place inside a file shows for certain where one starts; the writer begins a new file at the size of a partition instead.
 Predicates on ``record_type`` and on header columns are pushed down: headers are parsed first, and the block of a record that no predicate wants, or of any record with option
 ``payload`` = false, is stepped over by its Content-Length without being read or decoded.
 
@@ -25,13 +26,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from .common import fresh_path
+from .common import fresh_path, written
 
 SCHEMA = "record_type string, record_id string, target_uri string, date string, refers_to string, payload_digest string, http_length long, payload binary"
 #: The header that each column comes from (fixed values of the WARC format).
 HEADERS = {"record_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri", "date": "warc-date", "refers_to": "warc-refers-to", "payload_digest": "warc-payload-digest"}
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-BATCH_BYTES = 8 << 20
+#: Payload that a batch holds, and bytes after which the writer begins another file and the planner another partition.
+BATCH_BYTES, FILE_BYTES = 8 << 20, 64 << 20
 GZIP_MAGIC = b"\x1f\x8b"
 #: The fixed part of a gzip header whose only extra field is ``sl``: its length, its name, and the length of its two 32-bit numbers.
 SKIP_FIELD = struct.pack("<H2sH", 12, b"sl", 8)
@@ -44,9 +46,9 @@ def _fs(path: str) -> tuple[pafs.FileSystem, str]:
 
 @dataclass
 class Span(InputPartition):
-    """Parts of files: (path, first byte, byte after the last)."""
+    """Whole files."""
 
-    parts: tuple[tuple[str, int, int], ...]
+    paths: tuple[str, ...]
 
 
 def read_headers(f: io.BufferedReader) -> dict[str, str] | None:
@@ -105,30 +107,35 @@ class Block:
         return line
 
     def read(self) -> bytes:
-        data, self.left = self.f.read(self.left), 0
+        data = self.f.read(self.left)
+        if len(data) < self.left:
+            raise ValueError("a record ends too early")
+        self.left = 0
         return data
 
 
-def records(f: io.BufferedReader, start: int, stop: int) -> Iterator[tuple[int, dict[str, str], Block]]:
-    """Offset, headers and block of the records that begin in [start, stop); the offset of a gzipped record is that of its member."""
-    f.seek(start)
-    zipped = f.read(2) == GZIP_MAGIC
-    f.seek(start)
-    while (at := f.tell()) < stop:
+def records(f: io.BufferedReader) -> Iterator[tuple[dict[str, str], Block]]:
+    """Headers and block of a file's records in order; a file that ends inside a record is an error."""
+    zipped = f.peek(2)[:2] == GZIP_MAGIC
+    end = f.seek(0, io.SEEK_END)
+    f.seek(0)
+    while (at := f.tell()) < end:
         member = Member(f) if zipped else None
         source = io.BufferedReader(member, CHUNK) if zipped else f
         while (head := read_headers(source)) is not None:
             block = Block(source, int(head.get("content-length", 0)))
-            yield at, head, block
+            yield head, block
             if not zipped:
-                f.seek(block.left, io.SEEK_CUR)
+                if f.seek(block.left, io.SEEK_CUR) > end:
+                    raise ValueError("a record ends too early")
                 break
             if member.length:
                 break
             while block.left and (data := source.read(min(block.left, CHUNK))):
                 block.left -= len(data)
         if zipped:
-            f.seek(at + member.length if member.length else f.tell() - len(member.z.unused_data))
+            if f.seek(at + member.length if member.length else f.tell() - len(member.z.unused_data)) > end:
+                raise ValueError("a gzip member ends too early")
         elif head is None:
             return
 
@@ -137,7 +144,7 @@ class WarcReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"]
         self.payload = options.get("payload", "true") != "false"
-        self.bytes = int(options.get("partitionbytes", options.get("partitionBytes", 64 << 20)))
+        self.bytes = int(options.get("partitionbytes", options.get("partitionBytes", FILE_BYTES)))
         self.wanted: list[tuple[str, frozenset]] = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
@@ -159,31 +166,20 @@ class WarcReader(DataSourceReader):
         whole = sorted((x.path, x.size) for x in files if x.type == pafs.FileType.File and x.size and not x.base_name.startswith(("_", ".")))
         plan, group, size = [], [], 0
         for path, n in whole:
-            for part in [(path, 0, n)] if n <= self.bytes else self._cut(fs, path, n):
-                if group and size + part[2] - part[1] > self.bytes:
-                    plan.append(Span(tuple(group)))
-                    group, size = [], 0
-                group.append(part)
-                size += part[2] - part[1]
+            if group and size + n > self.bytes:
+                plan.append(Span(tuple(group)))
+                group, size = [], 0
+            group.append(path)
+            size += n
         return [*plan, Span(tuple(group))]
 
-    def _cut(self, fs: pafs.FileSystem, path: str, size: int) -> Iterator[tuple[str, int, int]]:
-        start = 0
-        with _open(fs, path) as f:
-            for at, _, _ in records(f, 0, size):
-                if at - start >= self.bytes:
-                    yield path, start, at
-                    start = at
-        if start < size:
-            yield path, start, size
-
     def read(self, partition: Span) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([*((n, pa.string()) for n in HEADERS), ("http_length", pa.int64()), ("payload", pa.binary())])
         fs, _ = _fs(self.path)
         rows, held = [], 0
-        for path, start, stop in partition.parts:
+        for path in partition.paths:
             with _open(fs, path) as f:
-                for _, head, block in records(f, start, stop):
+                for head, block in records(f):
                     if not all(head.get(h) in values if values else h in head for h, values in self.wanted):
                         continue
                     rows.append([*(head.get(h) for h in HEADERS.values()), *self._block(head, block)])
@@ -217,7 +213,7 @@ class WarcWriter(DataSourceArrowWriter):
 
     def __init__(self, options: dict):
         self.path = options["path"]
-        self.roll = int(options.get("filebytes", options.get("fileBytes", 256 << 20)))
+        self.roll = int(options.get("filebytes", options.get("fileBytes", FILE_BYTES)))
         self.gzip = options.get("compression", "gzip") != "none"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Files:
@@ -226,7 +222,7 @@ class WarcWriter(DataSourceArrowWriter):
         paths: list[str] = []
         out, size = None, 0
         for batch in iterator:
-            for row in batch.to_pylist():
+            for row in (dict(zip(batch.schema.names, (c[i].as_py() for c in batch.columns))) for i in range(len(batch))):
                 if out is None or size > self.roll:
                     if out:
                         out.close()
@@ -309,10 +305,12 @@ def archive(pages: DataFrame, path: str, least: int = 100, date: str = "2024-01-
     Payloads of at least ``least`` bytes that are equal: the smallest page_id's record is the response, the others revisit it. A null html is an empty payload. Rows
     that repeat the smallest page_id with the same payload are responses too. A null page_id gives a record without an id; it is a response only if
     its group has no id. The date is a parameter, so that runs are repeatable.
+    Who is a response is decided on (digest, smallest page_id) of the payloads that recur, a table written first: while it is small, Catalyst broadcasts it
+    by its size and no payload is shuffled.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("payload"))
     rows = rows.withColumns({"bytes": F.octet_length("payload").cast("long"), "digest": F.sha2("payload", 256)})
-    first = rows.where(F.col("bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    first = written(rows.where(F.col("bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first"), "warc-repeated")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.col(c).cast("string"), F.lit(">"))
     out = rows.join(first, "digest", "left").select(
@@ -330,13 +328,11 @@ def page_records(spark: SparkSession, path: str) -> DataFrame:
     """
     register(spark)
     number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
-    full = spark.read.format("warc").load(path).where("record_type = 'response'")
-    again = spark.read.format("warc").option("payload", "false").load(path).where("record_type = 'revisit'")
-    parts = [
-        full.select("record_id", "refers_to", "record_type", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest")),
-        again.select("record_id", "refers_to", "record_type", F.col("http_length").alias("payload_bytes"), F.substring_index("payload_digest", ":", -1).alias("payload_digest")),
-    ]
-    return parts[0].union(parts[1]).select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+    both = spark.read.format("warc").load(path).where("record_type IN ('response', 'revisit')")
+    own = F.col("record_type") == "response"
+    length = F.when(own, F.octet_length("payload").cast("long")).otherwise(F.col("http_length"))
+    digest = F.when(own, F.sha2("payload", 256)).otherwise(F.substring_index("payload_digest", ":", -1))
+    return both.select(number("record_id").alias("page_id"), length.alias("payload_bytes"), digest.alias("payload_digest"), "record_type", number("refers_to").alias("refers_to"))
 
 
 def round_trip(pages: DataFrame) -> DataFrame:

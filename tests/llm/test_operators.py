@@ -219,12 +219,13 @@ def test_warc_round_trip(spark):
 
 
 @pytest.mark.parametrize("compression", ["none", "gzip"])
-def test_warc_cuts_and_pushed_filters(spark, compression):
+def test_warc_files_and_pushed_filters(spark, compression):
     rows, df = pages(spark)
     path = fresh_path(spark, "warc-test")
     warc.archive(df.coalesce(1), path, compression=compression)
     whole = spark.read.format("warc").load(path)
-    cut = spark.read.format("warc").option("partitionBytes", 700).load(path)
+    whole.repartition(1).write.format("warc").option("compression", compression).option("fileBytes", 900).mode("append").save(f"{path}-cut")
+    cut = spark.read.format("warc").option("partitionBytes", 700).load(f"{path}-cut")
     key = lambda d: sorted((r.record_type, r.record_id or "", bytes(r.payload or b"")) for r in d.collect())
     assert cut.rdd.getNumPartitions() > 3 and key(cut) == key(whole)
     one = whole.where("record_id = '<urn:page:5>' and record_type = 'revisit'")
@@ -248,9 +249,13 @@ def test_warc_reads_any_gzip(spark, tmp_path):
         assert sorted((r.record_id, bytes(r.payload)) for r in got) == [(f"<urn:page:{i}>", b"p" * (i * 50_000 if i % 2 else 0)) for i in range(8)]
     reader = spark.read.format("warc").option("payload", "false").load(str(tmp_path)).where("record_type = 'revisit'")
     assert sorted((r.record_id, r.http_length) for r in reader.collect()) == [(f"<urn:page:{i}>", 7) for i in (0, 2, 4, 6)]
-    (tmp_path / "a.warc.gz").write_bytes(members[1][:-40])
-    with pytest.raises(ValueError, match="ends too early"):
-        list(warc.records(warc._open(*warc._fs(str(tmp_path / "a.warc.gz"))), 0, 10**6))
+    for broken in (members[1][:-40], members[0][:-30], plain[5][:-20], plain[1] + plain[3][:-70_000]):
+        (tmp_path / "broken").write_bytes(broken)
+        with pytest.raises(ValueError, match="ends too early"):
+            for _, block in warc.records(warc._open(*warc._fs(str(tmp_path / "broken")))):
+                block.read()
+        with pytest.raises(ValueError, match="ends too early"):
+            list(warc.records(warc._open(*warc._fs(str(tmp_path / "broken")))))
 
 
 # 4 ---------------------------------------------------------------------------------------------------------
