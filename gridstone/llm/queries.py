@@ -38,7 +38,7 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(_table(spark, sf_dir, "documents"))
+    found = secrets.scan(_table(spark, sf_dir, "documents"), secrets.fit(words=_tokenizer("word_bpe_49k.json")))
     return found.select("doc_id", "start", "length", F.sha2(F.encode("finding", "utf-8"), 256).alias("finding_sha256"), "score")
 
 

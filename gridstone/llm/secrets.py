@@ -4,13 +4,15 @@ Candidates are long runs of key characters in whole texts. The forest judges eac
 transitions between character kinds, how much of it known words cover, whether it stands in a path or address, and the words
 around it. It is trained on labelled findings: a table of (text, start, length, is_secret), of which
 ``sample_findings`` makes a default one from rules (keys of common kinds after naming words; hashes, ids, paths, placeholders and long words that are none).
+Known words come from a dictionary: the whole words of a public tokenizer's vocabulary, whose path is a parameter, or a short list of words of program texts.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,18 +23,26 @@ from pyspark.sql import functions as F
 #: Key characters in a row that make a candidate; shorter ones only after a naming word and a sign of assignment.
 LONG, SHORT = 16, 8
 _LONG = re.compile(rf"[A-Za-z0-9+/_\-]{{{LONG},}}(?:={{1,2}}(?![A-Za-z0-9+/_=\-]))?")  # '=' as trailing padding only: before more characters it ends a name
-_NAME = r"(?:password|passwd|pwd|secret|token|api[_-]?key|apikey|auth)[\"']?\s{0,3}[:=]"
+_NAME = r"(?:password|passwd|pwd|secret|token|(?:api|secret|access|private|signing)[_-]?key|auth)[\"']?\s{0,3}[:=]"
 _NAMED = re.compile(rf"(?i){_NAME}\s{{0,3}}[\"']?(?!{_NAME})((?:(?!&[a-z_][\w.\-]*=)[^\s\"'<>,;]){{{SHORT},}})")  # up to the next parameter of an address
 #: Words that name a secret, and words that name something else of that look (fixed values).
 NAMING = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "api-key", "key", "auth", "bearer", "credential", "private")
 OTHER = ("commit", "sha", "sha256", "md5", "checksum", "digest", "hash", "etag", "uuid", "guid", "id", "version", "revision", "build", "isbn", "card", "phone", "integrity")
 PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "glpat-", "xoxb-", "xoxp-", "sk_live_", "rk_live_", "AIza", "eyJ", "npm_", "hf_")
-#: Letter runs that are taken for words of a language in the default findings and in coverage (fixed values).
-WORDS = frozenset("account action address admin all and api app archive asset assets auth backup base build button cache center class client cloud code color com commit common config container content control count data date default delete demo dev directory document download en error event example false field file files filter first font form from function group header height help home html http https id image images img index info input internal item items java js json key label language last layout left length lib line link list local log login main manager master media menu message method mobile model module name network new next node none number object online open option order output package page panel password path pipeline placeholder png point position post prod product profile project property public query read record release request resource response result right role root row sample script search section secret select server service session set setting size source spark src staging start state static status storage store string style sub system tab table target template test text the theme this time title token tool top train true type update upload url user users util utils value version video view warehouse web width window with world www your".split())
+#: Words of program texts, of which the default findings are made, and the dictionary where none is given (fixed values).
+WORDS = frozenset("account action address admin all and api app archive asset auth backup base build button cache center class client code color com commit common config container content control count data date default delete demo dev directory document download en error event example false field file files filter first font form from function group header height help home id img index info input internal item key language layout left length line link list local log login main manager master media menu message method mobile model module name network next node none number object online open option order output package page panel password path pipeline placeholder point position post prod product profile project property public query read record release request resource response result right role root row sample script search section secret select server service session set setting size source spark src start state static status storage store string style sub system tab table target template test text the theme this time title token tool top train true type update url user users value version video web window with world your".split())
 
 FEATURES = ("length", "kinds", "switches", "case switches", "digits", "uppers", "hex", "entropy", "most common", "runs", "pairs", "known words", "prefix", "signs", "in path", "assigned", "quoted", "naming word", "other word", "near naming")
 
 
+def dictionary(path: str) -> frozenset[str]:
+    """The whole words of at least four letters in the BPE vocabulary at ``path`` (a file of the tokenizers library whose tokens mark word ends), and WORDS."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    end = model["end_of_word_suffix"]
+    return WORDS | {w for t in model["vocab"] if t.endswith(end) and len(w := t.removesuffix(end)) >= 4 and w.isalpha() and w.isascii()}
+
+
 def candidates(text: str) -> list[tuple[int, int]]:
     """``(start, length)`` in code points of all candidates of a whole text, in order, without overlaps."""
     found = {m.start(): m.end() for m in _LONG.finditer(text)}
@@ -54,18 +64,18 @@ def _kind(c: str) -> int:
     return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
 
 
-def _covered(s: str) -> float:
+def _covered(s: str, known: Collection[str]) -> float:
     """The share of characters in letter runs that are known words, or that look like words (vowels among few consonants, one case)."""
     good = 0
     for m in re.finditer(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])", s):
         w = m[0].lower()
         vowels = sum(c in "aeiouy" for c in w)
-        if w in WORDS or len(w) >= 5 and 0.2 <= vowels / len(w) <= 0.7 and not re.search(r"[^aeiouy]{6}", w):
+        if w in known or len(w) >= 5 and 0.2 <= vowels / len(w) <= 0.7 and not re.search(r"[^aeiouy]{6}", w):
             good += len(w)
     return good / len(s)
 
 
-def describe(text: str, start: int, length: int) -> list[float]:
+def describe(text: str, start: int, length: int, known: Collection[str] = WORDS) -> list[float]:
     """The features of a candidate, as named in FEATURES."""
     s = text[start : start + length]
     kinds = [_kind(c) for c in s]
@@ -78,7 +88,7 @@ def describe(text: str, start: int, length: int) -> list[float]:
     return [
         min(n, 120), len(set(kinds)), sum(a != b for a, b in steps) / max(n - 1, 1), sum({a, b} == {0, 1} for a, b in steps) / max(n - 1, 1),
         kinds.count(2) / n, kinds.count(1) / n, sum(c in "0123456789abcdefABCDEF" for c in s) / n, -sum(x / n * math.log2(x / n) for x in count), max(count) / n,
-        max(len(m[0]) for m in re.finditer(r"(.)\1*", s, re.S)), len({s[i : i + 2] for i in range(n - 1)}) / max(n - 1, 1), _covered(s), float(s.startswith(PREFIXES)),
+        max(len(m[0]) for m in re.finditer(r"(.)\1*", s, re.S)), len({s[i : i + 2] for i in range(n - 1)}) / max(n - 1, 1), _covered(s, known), float(s.startswith(PREFIXES)),
         sum(c in "-_/" for c in s) / n, float(bool(re.search(r"[/\\.@]$|://\S*$", before)) or after[:1] in ("/", "@") or s.count("/") > 1 or "." in after[:1] and after[1:2].isalpha()),
         float(bool(re.search(r"[:=]\s*[\"']?$", before))), float(before[-1:] in "\"'" and before[-1:] != "" and after[:1] == before[-1:]),
         float(any(w in NAMING or w.endswith(("token", "secret", "password", "_key")) for w in last)), float(any(w in OTHER for w in last)), float(any(w in NAMING for w in words)),
@@ -146,9 +156,10 @@ def sample_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, int, int,
 
 @dataclass
 class Forest:
-    """Trees as arrays of one layout: feature (-1 at a leaf), edge, left and right child, share of secrets."""
+    """Trees as arrays of one layout: feature (-1 at a leaf), edge, left and right child, share of secrets; and the known words that features were measured with."""
 
     trees: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+    known: Collection[str] = WORDS
 
     def score(self, x: np.ndarray) -> np.ndarray:
         total = np.zeros(len(x))
@@ -207,10 +218,11 @@ def _seen(text: str, start: int, length: int) -> tuple[int, int]:
     return best if shared(best) > 0 else (start, length)
 
 
-def fit(findings: list[tuple[str, int, int, int]] | None = None) -> Forest:
-    """Train on labelled findings (by default those of ``sample_findings``), each by the candidate that a scan finds there."""
-    rows = findings if findings is not None else sample_findings()
-    return grow(np.array([describe(t, *_seen(t, s, n)) for t, s, n, _ in rows]), np.array([float(y) for *_, y in rows]))
+def fit(findings: list[tuple[str, int, int, int]] | None = None, words: str | None = None) -> Forest:
+    """Train on labelled findings (by default those of ``sample_findings``), each by the candidate that a scan finds there; ``words`` is the path of a ``dictionary``."""
+    rows, known = findings if findings is not None else sample_findings(), dictionary(words) if words else WORDS
+    forest = grow(np.array([describe(t, *_seen(t, s, n), known) for t, s, n, _ in rows]), np.array([float(y) for *_, y in rows]))
+    return Forest(forest.trees, known)
 
 
 def found(text: str, forest: Forest, threshold: float = 0.5) -> list[tuple[int, int, float]]:
@@ -218,7 +230,7 @@ def found(text: str, forest: Forest, threshold: float = 0.5) -> list[tuple[int,
     spans = candidates(text)
     if not spans:
         return []
-    score = forest.score(np.array([describe(text, s, n) for s, n in spans]))
+    score = forest.score(np.array([describe(text, s, n, forest.known) for s, n in spans]))
     return [(s, n, float(p)) for (s, n), p in zip(spans, score) if p >= threshold]
 
 
