@@ -6,8 +6,9 @@ residual's part along the vector ``eta`` times as heavily as the part across it,
 part changes large inner products. A query scans the codes of its nearest lists by look-up tables (one table look-up
 for a byte, so two codes), and the best of each block are ranked again by exact cosine in double precision.
 
-The codebook is fitted on ``sample`` vectors (a documented bound: those of the smallest hashes); every row is indexed. How
-many lists a query visits is chosen on the sample, so that its measured recall reaches ``target``.
+The codes are fitted on ``sample`` vectors and the lists on 16 each (documented bounds: those of the smallest hashes, at most 65,536); every row is indexed. How
+many lists a query visits is chosen on the sample, so that its measured recall reaches ``target``. Beyond 4096 lists of ``list_rows`` rows (4 million), lists grow with
+the table: a query then scans a like share of all codes, half a byte for each ``width`` numbers, in blocks over all tasks.
 """
 
 from __future__ import annotations
@@ -26,7 +27,13 @@ from .common import written
 LEVELS = 16
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, so that no square leaves the range of doubles; cosines stay the same to the last bit."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1]) if x.size else x
+
+
 def unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -101,13 +108,13 @@ class Codebook:
         return out
 
 
-def fit(sample: np.ndarray, lists: int, width: int = 4, threshold: float = 0.2, target: float = 0.995, k: int = 5, seed: int = 7) -> Codebook:
-    """Train on unit vectors ``sample``; eta = (dims - 1) t^2 / (1 - t^2) for the score threshold t, at least 1."""
+def fit(points: np.ndarray, lists: int, sample: int = 8192, width: int = 2, threshold: float = 0.2, target: float = 0.995, k: int = 5, seed: int = 7) -> Codebook:
+    """Train on unit vectors: lists on all ``points``, codes on the first ``sample``; eta = (dims - 1) t^2 / (1 - t^2) for the score threshold t, at least 1."""
     rng = np.random.default_rng(seed)
-    dims = sample.shape[1]
+    dims = points.shape[1]
     eta = max(1.0, (dims - 1) * threshold**2 / (1 - threshold**2))
     subspaces = -(-dims // width)
-    book = Codebook(_kmeans(sample, lists, rng), np.zeros((subspaces, LEVELS, width)), eta)
+    book, sample = Codebook(_kmeans(points, lists, rng), np.zeros((subspaces, LEVELS, width)), eta), points[:sample]
     left = book.pad(sample - book.coarse[book.cells(sample)]).reshape(len(sample), subspaces, width)
     along = book.pad(sample).reshape(len(sample), subspaces, width)
     for s in range(subspaces):
@@ -153,7 +160,8 @@ def usable(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding")
 def nearest(base: DataFrame, queries: DataFrame, k: int = 5, sample: int = 8192, list_rows: int = 1024, block_rows: int = 4096, block_queries: int = 256, rerank: int = 160) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the nearest ``k`` found for each query, by cosine, ties to the smaller id.
 
-    ``base`` and ``queries`` have ``(vec_id, vec)``, as from ``usable``, of one dimension. A query's own id is no candidate.
+    ``base`` and ``queries`` have ``(vec_id, vec)``, as from ``usable``. A query's own id is no candidate. Vectors that haven't the dimension of most of ``base`` (of equally
+    common ones, the smaller) take no part.
     Repeated rows count once, among queries too. An id with several vectors has one list, of the best scores of any of its vectors; as a hit it comes once, with its best score.
     Equal vectors: only the k + 1 smallest ids of a vector can be among any query's nearest k, so only those are indexed; that
     is exact, however often a vector occurs. A list is dealt into blocks of about ``block_rows`` rows and ``block_queries`` queries, so no task
@@ -162,14 +170,16 @@ def nearest(base: DataFrame, queries: DataFrame, k: int = 5, sample: int = 8192,
     spark = base.sparkSession
     first = Window.partitionBy("vec").orderBy("vec_id")
     copies = written(base.distinct().withColumn("copy", F.row_number().over(first)).where(F.col("copy") <= k + 1).select("vec_id", "vec"), "ann-rows")
-    rows = copies.count()
-    fitted = copies.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vec").toArrow()
+    dims = copies.groupBy(F.size("vec").alias("dims")).count().orderBy(F.desc("count"), "dims").first()
     schema = "query_id long, rank int, vec_id long, score double"
-    if not rows:
+    if dims is None:
         return spark.createDataFrame([], schema)
+    copies, rows = copies.where(F.size("vec") == dims[0]), dims[1]
+    lists = max(1, min(4096, rows // list_rows))
+    fitted = copies.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(sample, 16 * lists)).select("vec").toArrow()
     points = unit(_matrix(fitted.column(0)))
-    lists = max(1, min(4096, rows // list_rows, len(points) // 16))
-    book = fit(points, lists, k=k)
+    lists = max(1, min(lists, len(points) // 16))
+    book = fit(points, lists, sample, k=k)
     shared = spark.sparkContext.broadcast(book)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +199,7 @@ def nearest(base: DataFrame, queries: DataFrame, k: int = 5, sample: int = 8192,
                 yield pa.RecordBatch.from_arrays([*batch.columns, rank], names=["query_id", "q", "cells"])
 
     indexed = written(copies.mapInArrow(index, "vec_id long, vec array<double>, cell int, code binary"), "ann-index")
-    asked = written(queries.distinct().select(F.col("vec_id").alias("query_id"), F.col("vec").alias("q")).mapInArrow(visit, "query_id long, q array<double>, cells array<int>").select("query_id", "q", F.explode("cells").alias("cell")), "ann-asked")
+    asked = written(queries.where(F.size("vec") == dims[0]).distinct().select(F.col("vec_id").alias("query_id"), F.col("vec").alias("q")).mapInArrow(visit, "query_id long, q array<double>, cells array<int>").select("query_id", "q", F.explode("cells").alias("cell")), "ann-asked")
     counts = {r[0]: [r[1], 0] for r in indexed.groupBy("cell").count().collect()}  # at most 4096 lists
     for r in asked.groupBy("cell").count().collect():
         counts.setdefault(r[0], [0, 0])[1] = r[1]
@@ -207,6 +217,7 @@ def nearest(base: DataFrame, queries: DataFrame, k: int = 5, sample: int = 8192,
             rough = shared.value.scan(unit(q), rows["cell"][0].as_py(), packed)
             rough[query_id[:, None] == vec_id[None]] = -np.inf
             top = np.argpartition(-rough, min(rerank, len(vec_id)) - 1, axis=1)[:, :rerank]
+            x, q = scaled(x), scaled(q)
             exact = np.einsum("qd,qrd->qr", q, x[top]) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[top])
             own = vec_id[top] == query_id[:, None]
             order = np.lexsort((vec_id[top], -np.where(own, -np.inf, exact)))

@@ -17,6 +17,7 @@ from tokenizers import Tokenizer
 
 from gridstone.llm import ann, bpe, components, langid, packing, quality, secrets, sharding, simhash, termprints, warc
 from gridstone.llm.common import fresh_path
+from tests.llm import recall
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"word{i % 977} other{i % 31}" for i in range(40_000))
@@ -172,6 +173,34 @@ def test_nearest_recall_and_scores(spark, sf):
             assert abs(s - a @ b / np.linalg.norm(a) / np.linalg.norm(b)) < 1e-12
 
 
+def test_nearest_over_many_lists_and_blocks(spark, monkeypatch):
+    """Several lists of which a query visits some, row and query blocks in each, and a list that a third of the rows share; against brute force."""
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(30, 64))
+    x = centres[np.where(rng.random(6000) < 0.33, 0, rng.integers(0, 30, 6000))] + 0.5 * rng.normal(size=(6000, 64))
+    base = ann.usable(spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>"))
+    books, fitted = [], ann.fit
+    monkeypatch.setattr(ann, "fit", lambda *a, **k: books.append(fitted(*a, **k)) or books[-1])
+    got = {}
+    for r in ann.nearest(base, base.where("vec_id % 20 = 0"), list_rows=200, block_rows=400, block_queries=8, rerank=60).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    want = recall.brute(np.arange(6000), x, np.arange(0, 6000, 20))
+    assert len(books[0].coarse) == 30 and 1 < books[0].probes < 30
+    assert all(len(v) == len(set(v)) == 5 for v in got.values()) and len(got) == 300
+    assert np.mean([len(set(got[q]) & set(w)) / 5 for q, w in want.items()]) >= 0.9
+
+
+def test_nearest_of_large_small_and_ragged_vectors(spark):
+    rows = [(0, [1e200, 0.0]), (1, [1e-200, 1e-210]), (2, [0.0, 1e300]), (3, [3.0, 3.0]), (4, [1.0, 2.0, 3.0]), (5, [5e-324, 0.0]), (50, [1e308, 1e308])]
+    base = ann.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = {}
+    for r in ann.nearest(base, base.where("vec_id in (0, 4, 50)")).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, round(r.score, 6)))
+    assert got == {0: [(1, 1.0), (5, 1.0), (3, 0.707107), (50, 0.707107), (2, 0.0)], 50: [(3, 1.0), (1, 0.707107), (0, 0.707107), (2, 0.707107), (5, 0.707107)]}
+    x = np.random.default_rng(1).normal(size=(50, 7))
+    assert np.array_equal(np.linalg.norm(ann.scaled(x), axis=1) / np.abs(ann.scaled(x)).max(1), np.linalg.norm(x, axis=1) / np.abs(x).max(1))
+
+
 def test_nearest_of_repeated_queries(spark):
     rng = np.random.default_rng(4)
     rows = [(i, rng.normal(size=4).tolist()) for i in range(12)]
