@@ -164,8 +164,8 @@ def fit(labelled: DataFrame, per_language: int = 200, id_col: str = "doc_id", te
     return train(x, rows["lang"].to_pylist())
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text", also: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``(*also, lang_pred, score)``: the predicted language of each whole text and a score from 0 to 1.
+def predict(docs: DataFrame, model: Model, text_col: str = "text", also: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``(*also, lang_pred, score)``, or by other ``names`` where ``also`` has columns of these: the predicted language of each whole text and a score from 0 to 1.
 
     ``und`` with score 0 where the text is null or has no letter. Columns besides the text and ``also`` aren't read; rows come back one for one.
     """
@@ -175,11 +175,11 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", also: tuple[s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shared.value.predict(t.as_py()) for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(also)], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*also, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(also)], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*also, *names])
 
     source = docs.select(*also) if text_col in also else docs.select(*also, F.col(text_col).alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[: len(also)])
-    return source.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return source.mapInArrow(run, f"{schema}, {names[0]} string, {names[1]} double")
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -224,8 +224,8 @@ def fit(docs: DataFrame, sample: int = 1500, id_col: str = "doc_id", text_col: s
     return Quality(labels, fit_scorer(x, good))
 
 
-def scored(docs: DataFrame, model: Quality, text_col: str = "text", also: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``(*also, posterior, score)``: the label model's and the scorer's chance that each whole text is good.
+def scored(docs: DataFrame, model: Quality, text_col: str = "text", also: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("posterior", "score")) -> DataFrame:
+    """``(*also, posterior, score)``, or by other ``names`` where ``also`` has columns of these: the label model's and the scorer's chance that each whole text is good.
 
     A null text counts as empty. Rows come back one for one; columns besides the text and ``also`` aren't read.
     """
@@ -237,8 +237,8 @@ def scored(docs: DataFrame, model: Quality, text_col: str = "text", also: tuple[
             found = [features(t.as_py() or "") for t in batch.column(at)]
             posterior = shared.value.labels.posterior(np.array([v for v, _ in found]).reshape(-1, len(LABELLERS)))
             score = [shared.value.scorer.score(x) for _, x in found]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(also)], pa.array(posterior, pa.float64()), pa.array(score, pa.float64())], names=[*also, "posterior", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(also)], pa.array(posterior, pa.float64()), pa.array(score, pa.float64())], names=[*also, *names])
 
     source = docs.select(*also) if text_col in also else docs.select(*also, F.col(text_col).alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[: len(also)])
-    return source.mapInArrow(run, f"{schema}, posterior double, score double")
+    return source.mapInArrow(run, f"{schema}, {names[0]} double, {names[1]} double")

@@ -767,6 +767,68 @@ def test_language_learns_every_label_and_one_row_an_id(spark):
 # pipeline --------------------------------------------------------------------------------------------------
 
 
+def test_pipeline_stages_match_plain_versions(spark, sf):
+    """Each stage on its own input, with odd rows and a column of a clashing name in it, against a loop over the rows."""
+    import corpus_pipeline
+
+    stage = dict(corpus_pipeline.STAGES)
+    near = [(i, t, "en", "s", len(t)) for i, t in enumerate(["The words of this text are all in one line and it is clean. " * 3 + t for t in ("", "One more.", "And again it is one more.")], 900_000)]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").union(odd_docs(spark).selectExpr("doc_id + 800000 AS doc_id", "text", "lang", "source", "n_chars")).union(spark.createDataFrame(near, DOCS)).selectExpr("*", "doc_id AS score")
+    key = lambda rows: sorted(((-1 if r.doc_id is None else r.doc_id), r.text or "", r.lang or "", r.source or "", -1 if r.n_chars is None else r.n_chars, -1 if r.score is None else r.score) for r in rows)
+
+    def plain(kept, **changed):
+        return sorted(((-1 if r.doc_id is None else r.doc_id), changed.get("text", lambda r: r.text)(r) or "", changed.get("lang", lambda r: r.lang)(r) or "", r.source or "", changed.get("n_chars", lambda r: -1 if r.n_chars is None else r.n_chars)(r), -1 if r.score is None else r.score) for r in kept)
+
+    rows, model = docs.collect(), langid.fit(docs.where(~langid.held_out()))
+    told = stage["language"](spark, docs, sf).persist()
+    assert key(told.collect()) == plain([r for r in rows if model.predict(r.text)[0] != "und"], lang=lambda r: model.predict(r.text)[0])
+
+    rows, judge = told.collect(), quality.fit(told)
+    good = stage["quality"](spark, told, sf).persist()
+    assert key(good.collect()) == plain([r for r in rows if judge.scorer.score(quality.features(r.text)[1]) >= 0.5])
+    assert 0 < good.count() < told.count()
+
+    rows = sorted(good.collect(), key=lambda r: (r.doc_id is None, r.doc_id))
+    sets = [set(simhash.shingle_hashes(r.text, 5).tolist()) for r in rows]
+    root = brute_components(len(rows), lambda i, j: not sets[i] ^ sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    least = {}
+    for r, c in zip(rows, root):
+        least.setdefault(c, r.doc_id)
+    want = {r.doc_id for r, c in zip(rows, root) if r.doc_id is not None and least[c] == r.doc_id}
+    one = stage["near_duplicates"](spark, good, sf).persist()
+    ids = [r.doc_id for r in one.collect()]
+    assert sorted(i for i in ids if i is not None) == sorted(want) and ids.count(None) == sum(r.doc_id is None for r in rows) > 0
+    assert len(want) < len({r.doc_id for r in rows})
+
+    rows, forest = one.collect(), secrets.fit(words=public_tokenizers.path("word_bpe_49k.json"))
+
+    def clean(text):
+        for s, n, _ in reversed(secrets.found(text, forest)):
+            text = text[:s] + "[SECRET]" + text[s + n :]
+        return text
+
+    safe = stage["secrets"](spark, one, sf).persist()
+    assert key(safe.collect()) == plain(rows, text=lambda r: clean(r.text), n_chars=lambda r: len(clean(r.text)))
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces, filled = sorted(stage["packing"](spark, safe, sf).collect(), key=lambda p: (p.sequence_id, p.offset)), {}
+    want = sorted(zlib.crc32(np.array([*library.encode(r.text, add_special_tokens=False).ids, 1], "<u4").tobytes()) for r in safe.collect() if len(library.encode(r.text, add_special_tokens=False).ids) < 2000)
+    assert set(want) >= {p.ids_crc32 for p in pieces if p.length == p.doc_tokens <= 2000} and len(want) > 100
+    for p in pieces:
+        assert p.offset == filled.get(p.sequence_id, 0)
+        filled[p.sequence_id] = p.offset + p.length
+    assert all(n == 2048 for s, n in filled.items() if s < max(filled))
+    assert sum(filled.values()) == sum(len(library.encode(r.text, add_special_tokens=False).ids) + 1 for r in safe.collect())
+
+
+def test_pipeline_stages_of_an_empty_table(spark, sf):
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, nothing(spark), sf)
+        assert out.count() == 0 and (name == "packing" or out.columns == nothing(spark).columns)
+
+
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline
 
