@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, normalised, trigrams
+from ..session import shared_folder
+
+#: Rows of a part of a block; larger blocks are dealt into parts.
+BLOCK_ROWS = 2000
 
 
 def keep_first(df: DataFrame, key: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
@@ -43,11 +46,27 @@ def alike(a: str, b: str) -> Column:
     return 0.30 * ratio(x("price"), y("price")) + 0.25 * ratio(x("surface"), y("surface")) + 0.25 * title + 0.20 * city
 
 
-def block_pairs(df: DataFrame, key: str = "id", width: int = 15000) -> DataFrame:
-    """Rows ``one`` and ``two`` (aliases) of each pair within a block of price bucket and city: an equi-join on the block with the order of ids as residual."""
+def met_in_blocks(df: DataFrame, block: Sequence[str], key: str, most: int = BLOCK_ROWS) -> DataFrame:
+    """Rows ``one`` and ``two`` (aliases) of each pair within a block, ``one`` with the smaller key: an equi-join on the block.
+
+    A block of over ``most`` rows is dealt into parts, and each two parts meet under a key of their own, so that no task gets more than about twice ``most`` rows of it
+    a side, however large it is. Every pair meets once.
+    """
+    large = df.groupBy(*block).agg(F.ceil(F.count("*") / most).cast("int").alias("__parts")).where("__parts > 1")
+    parts = F.coalesce("__parts", F.lit(1))
+    dealt = df.join(large, [*block], "left").withColumn("__own", F.pmod(F.xxhash64(key), parts).cast("int")).withColumn("__other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    dealt = dealt.withColumns({"__i": F.least("__own", "__other"), "__j": F.greatest("__own", "__other")})
+    met = F.lit(True)
+    for c in (*block, "__i", "__j"):
+        met = met & (F.col(f"one.{c}") == F.col(f"two.{c}"))
+    once = (F.col("one.__i") == F.col("one.__j")) | (F.col("one.__own") != F.col("two.__own"))
+    return dealt.alias("one").join(dealt.alias("two"), met & (F.col(f"one.{key}") < F.col(f"two.{key}")) & once)
+
+
+def block_pairs(df: DataFrame, key: str = "id", width: int = 15000, most: int = BLOCK_ROWS) -> DataFrame:
+    """Rows ``one`` and ``two`` (aliases) of each pair within a block of price bucket and city."""
     blocked = df.withColumns({"block": price_block(F.col("price"), width), "place": F.substring(normalised(F.col("city")), 1, 20)})
-    a, b = blocked.alias("one"), blocked.alias("two")
-    return a.join(b, (F.col("one.block") == F.col("two.block")) & (F.col("one.place") == F.col("two.place")) & (F.col(f"one.{key}") < F.col(f"two.{key}")))
+    return met_in_blocks(blocked, ["block", "place"], key, most)
 
 
 def fuzzy_pairs(df: DataFrame, key: str = "id", threshold: float = 0.85, width: int = 15000) -> DataFrame:
@@ -56,19 +75,46 @@ def fuzzy_pairs(df: DataFrame, key: str = "id", threshold: float = 0.85, width:
     return met.select(F.col(f"one.{key}").alias("a"), F.col(f"two.{key}").alias("b"), F.round(alike("one", "two"), 4).alias("score")).where(F.col("score") >= threshold)
 
 
-def greedy_survivors(df: DataFrame, pairs: DataFrame, key: str, order: Sequence[Column | str]) -> DataFrame:
-    """Rows that stay when rows are visited in order and each leaves if a staying earlier one is its pair. Pairs are grouped by the later row's block."""
-    ranked = df.select(key, "block", F.row_number().over(Window.partitionBy("block").orderBy(*order)).alias("place"))
-    joined = ranked.join(pairs.groupBy(F.col("b").alias(key)).agg(F.collect_list("a").alias("near")), key, "left")
+def greedy_survivors(df: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
+    """The keys of ``df`` that stay when rows are visited in the order of ``key`` and each leaves if an earlier one that stays is its pair. ``pairs`` are ``(a, b)`` with a < b.
+
+    By rounds of joins: rows without an earlier pair stay for certain, so their pairs leave, and with those go the pairs that they make. Each round ends in a checkpoint; there are as many as a chain of
+    pairs is long, at most, and the least row settles in each, so it ends.
+    """
+    shared_folder(df.sparkSession)
+    edges, gone = pairs.select("a", "b").distinct().checkpoint(), None
+    while edges.limit(1).count():
+        sure = edges.select("a").distinct().join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        left = edges.join(sure, "a").select("b").distinct().checkpoint()
+        gone = left if gone is None else gone.union(left)
+        edges = edges.join(left, "b", "left_anti").join(left.select(F.col("b").alias("a")), "a", "left_anti").checkpoint()
+    return df.select(key) if gone is None else df.select(key).join(gone.select(F.col("b").alias(key)), key, "left_anti")
 
-    def visit(pdf: pd.DataFrame) -> pd.DataFrame:
-        stay: set[int] = set()
-        for i, near in zip(*(pdf.sort_values("place")[c] for c in (key, "near"))):
-            if near is None or not any(n in stay for n in near):
-                stay.add(i)
-        return pd.DataFrame({key: sorted(stay)})
 
-    return joined.groupBy("block").applyInPandas(visit, f"{key} long")
+#: The same in DuckDB over ``p(a, b)``: ``gone.ids`` are the keys that leave.
+GREEDY_SQL = (
+    "n AS (SELECT b, list(a) AS near FROM p GROUP BY b), gone AS (SELECT coalesce(list_reduce(list({'b': b, 'near': near} ORDER BY b), "
+    "lambda acc, x: CASE WHEN len(list_filter(x.near, lambda a: NOT list_contains(acc, a))) > 0 THEN list_append(acc, x.b) ELSE acc END, []::BIGINT[]), []) AS ids FROM n)"
+)
+
+
+def unlike_sets(df: DataFrame, threshold: int = 88, most: int = BLOCK_ROWS) -> DataFrame:
+    """``(id,)``: of ``df(id, w)``, the rows that stay when, in the order of ids, each leaves whose non-empty set ``w`` of numbers has a Jaccard similarity of at least ``threshold`` percent with one that stays.
+
+    Of equal sets only the first can stay, so only those are compared. Exact, without comparing all: sets are ordered by how rare their members are in the whole table, and two sets that are so alike share one of the first
+    n - ceil(threshold n) + 1 members of each. Pairs come from an equi-join on those, and are then compared whole.
+    """
+    sets = df.where(F.size("w") > 0).select("id", F.array_sort(F.array_distinct("w")).alias("w")).withColumns({"h": F.xxhash64("w"), "g": F.xxhash64(F.lit(1), "w")})
+    first = sets.groupBy("h", "g").agg(F.min("id").alias("id"), F.first("w").alias("w"))
+    words = first.select("id", F.explode("w").alias("x"))
+    rare = words.join(words.groupBy("x").agg(F.count("*").alias("n")), "x").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "x"))).alias("o"))
+    size = F.size("o")
+    head = rare.select("id", size.alias("n"), F.explode(F.slice("o", F.lit(1), size - F.expr(f"({threshold} * size(o) + 99) div 100").cast("int") + 1)).alias("m")).select("id", "n", F.col("m.x").alias("x"))
+    met = met_in_blocks(head, ["x"], "id", most).where(F.least("one.n", "two.n") * 100 >= F.greatest("one.n", "two.n") * threshold).select(F.col("one.id").alias("a"), F.col("two.id").alias("b")).distinct()
+    side = lambda n, v: first.select(F.col("id").alias(n), F.col("w").alias(v))
+    both = F.size(F.array_intersect("x", "y"))
+    pairs = met.join(side("a", "x"), "a").join(side("b", "y"), "b").where(both * 100 >= (F.size("x") + F.size("y") - both) * threshold)
+    return greedy_survivors(first, pairs, "id").union(df.where(F.size("w") == 0).select("id"))
 
 
 def upsert(current: DataFrame, incoming: DataFrame, key: str, values: Sequence[str], also: Sequence[str] = ()) -> DataFrame:

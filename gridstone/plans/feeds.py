@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import median
 from ..sources.delimited import Registry, read_robust, union_files
-from ..streaming.micro_batch import shared_folder
+from ..session import shared_folder
 from .aggregates import monthly, zoned_orders
 from .base import listings, query, r, table
 from .scoring import _INVEST, invest

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.stats import median
 from ..functions.text import cosine
 from ..operators import dedup
+from ..session import shared_folder
 from .aggregates import monthly
 from .base import listings, query, r, table
 from .scoring import _INVEST, invest
@@ -241,39 +242,46 @@ def m2_isolation_forest(spark: SparkSession, d: str) -> DataFrame:
     return scored.crossJoin(F.broadcast(edge)).where("score > edge").drop("edge")
 
 
-@query()
+_PLACES = "SELECT s_suppkey AS id, 30 + (s_suppkey % 10) * 0.01 + (s_suppkey % 3) * 0.5 AS lat, 8 + (s_suppkey % 7) * 0.012 AS lon FROM supplier"
+
+
+@query(f"WITH RECURSIVE pt AS ({_PLACES}), pr AS (SELECT a.id AS a, b.id AS b FROM pt a, pt b WHERE 2 * 6371.0 * asin(sqrt(least(1.0, sin(radians(b.lat - a.lat) / 2) ** 2 + cos(radians(a.lat)) * cos(radians(b.lat)) * sin(radians(b.lon - a.lon) / 2) ** 2))) <= 2.0), core AS (SELECT a FROM pr GROUP BY a HAVING count(*) >= 5), l AS (SELECT pr.a, pr.b FROM pr JOIN core x ON x.a = pr.a JOIN core y ON y.a = pr.b), reach(a, m) AS (SELECT a, a FROM core UNION SELECT l.a, reach.m FROM reach JOIN l ON l.b = reach.a), lab AS (SELECT a, min(m) AS m FROM reach GROUP BY a), near AS (SELECT pr.a, min(m) AS market FROM pr JOIN lab ON lab.a = pr.b GROUP BY pr.a) SELECT id, market FROM pt LEFT JOIN near ON near.a = id")
 def m5_micro_markets(spark: SparkSession, d: str) -> DataFrame:
-    points = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), (30 + (F.col("s_suppkey") % 70) * 0.1 * 0.1).alias("lat"), (8 + (F.col("s_suppkey") % 40) * 0.01).alias("lon"), F.col("s_acctbal").alias("v"))
-    return micro_markets(points)
+    k = F.col("s_suppkey")
+    return micro_markets(table(spark, d, "supplier").select(k.alias("id"), (30 + (k % 10) * 0.01 + (k % 3) * 0.5).alias("lat"), (8 + (k % 7) * 0.012).alias("lon")))
 
 
-def micro_markets(points: DataFrame, eps_km: float = 2.0, least: int = 3, rounds: int = 40) -> DataFrame:
-    """``(id, market)``: density clusters of points (id, lat, lon); market is the least core id, null for noise.
+def micro_markets(points: DataFrame, eps_km: float = 2.0, least: int = 5) -> DataFrame:
+    """``(id, market)``: density clusters of points (id, lat, lon); market is the least core id in reach, null for noise.
 
-    Neighbours come from an equi-join on grid cells of the radius's size and the eight around; core points then take the least label near them until none changes, with a checkpoint each round.
+    Neighbours come from an equi-join on grid cells, each point also in the cells that its radius reaches (more of them in higher latitudes, and across the 180th meridian). Core points then take
+    the least label near them, and that one's own label, until none changes; a checkpoint ends each round.
     """
     step = eps_km / 111.0
-    cell = points.withColumns({"y": F.floor(F.col("lat") / step), "x": F.floor(F.col("lon") / (step * 1.3))})
-    near = F.explode(F.flatten(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda j: F.struct((F.col("y") + i).alias("y"), (F.col("x") + j).alias("x"))))))
-    a = cell.select(F.col("id").alias("a"), F.col("lat").alias("la"), F.col("lon").alias("lo"), near.alias("c")).select("a", "la", "lo", "c.y", "c.x")
-    b = cell.select(F.col("id").alias("b"), "lat", "lon", "y", "x")
+    across = int(360 / step)
+    width = 360 / across
+    reach = step / F.cos(F.radians(F.least(F.lit(89.0), F.abs("lat") + step)))
+    column = lambda lon: F.floor((lon + 180) / width)
+    own = points.select("id", "lat", "lon", F.floor(F.col("lat") / step).alias("y"))
+    b = own.select(F.col("id").alias("b"), "lat", "lon", "y", F.pmod(column(F.col("lon")), F.lit(across)).alias("x"))
+    low = column(F.col("lon") - reach)
+    a = own.withColumns({"x": F.explode(F.sequence(low, F.least(column(F.col("lon") + reach), low + across - 1)))}).withColumn("y", F.explode(F.sequence(F.col("y") - 1, F.col("y") + 1)))
+    a = a.select(F.col("id").alias("a"), F.col("lat").alias("la"), F.col("lon").alias("lo"), "y", F.pmod("x", F.lit(across)).alias("x"))
     km = 2 * 6371.0 * F.asin(F.sqrt(F.least(F.lit(1.0), F.sin(F.radians(F.col("lat") - F.col("la")) / 2) ** 2 + F.cos(F.radians("la")) * F.cos(F.radians("lat")) * F.sin(F.radians(F.col("lon") - F.col("lo")) / 2) ** 2)))
-    pairs = a.join(b, ["y", "x"]).where(km <= eps_km).select("a", "b").distinct()
-    from ..streaming.micro_batch import shared_folder
-
     shared_folder(points.sparkSession)
-    pairs = pairs.checkpoint()
+    pairs = a.join(b, ["y", "x"]).where(km <= eps_km).select("a", "b").checkpoint()
     core = pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("a")
     links = pairs.join(core, "a").join(core.select(F.col("a").alias("b")), "b").checkpoint()
     label = core.select("a", F.col("a").alias("m"))
-    for _ in range(rounds):
-        new = links.join(label.select(F.col("a").alias("b"), "m"), "b").groupBy("a").agg(F.min("m").alias("m")).checkpoint()
+    while True:
+        near = links.join(label.select(F.col("a").alias("b"), "m"), "b").groupBy("a").agg(F.min("m").alias("m")).checkpoint()
+        new = near.join(label.select(F.col("a").alias("m"), F.col("m").alias("further")), "m").select("a", F.least("m", "further").alias("m")).checkpoint()
         moved = new.join(label.withColumnRenamed("m", "old"), "a").where("m < old").limit(1).count()
         label = new
         if not moved:
             break
-    reach = pairs.join(label.select(F.col("a").alias("b"), "m"), "b").groupBy("a").agg(F.min("m").alias("market"))
-    return points.select("id").join(reach, F.col("id") == F.col("a"), "left").select("id", "market")
+    reached = pairs.join(label.select(F.col("a").alias("b"), "m"), "b").groupBy("a").agg(F.min("m").alias("market"))
+    return points.select("id").join(reached, F.col("id") == F.col("a"), "left").select("id", "market")
 
 
 @query(_INVEST + "SELECT decision, round(avg(0.40 * norm), 4) AS roi_part, round(avg(0.05 / (1 + ppm2)), 6) AS competition_part, round(avg(score), 4) AS score FROM v GROUP BY decision", True)
@@ -298,20 +306,23 @@ def r16_greedy_selection(spark: SparkSession, d: str) -> DataFrame:
 # similarity with order ---------------------------------------------------------------------------------------
 
 
-@query()
+@query(f"WITH x AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings), p AS (SELECT a.id AS a, b.id AS b FROM x a JOIN x b ON a.label = b.label AND a.id < b.id WHERE list_cosine_similarity(a.v, b.v) >= 0.88), {dedup.GREEDY_SQL} SELECT id FROM x, gone WHERE NOT list_contains(ids, id)")
 def d12_embedding_dedup(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors of a label that are alike, by cosine of at least 0.45; the smaller id stays."""
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.col("label").alias("block"))
-    a, b = e.alias("one"), e.alias("two")
-    met = a.join(b, (F.col("one.block") == F.col("two.block")) & (F.col("one.id") < F.col("two.id"))).select(F.col("one.id").alias("a"), F.col("two.id").alias("b"), cosine("one.embedding", "two.embedding").alias("s")).where("s >= 0.45")
-    return dedup.greedy_survivors(e.drop("embedding"), met, "id", ["id"])
+    """Vectors of a block (the label) that are alike, by cosine of at least 0.88; the smaller id stays."""
+    return alike_vectors(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.col("label").alias("block")))
+
+
+def alike_vectors(e: DataFrame, threshold: float = 0.88, most: int = dedup.BLOCK_ROWS) -> DataFrame:
+    """``(id,)``: of ``e(id, embedding, block)``, the rows that stay when, in the order of ids, each leaves that has a cosine of at least ``threshold`` with one of its block that stays."""
+    near = dedup.met_in_blocks(e, ["block"], "id", most).where(cosine("one.embedding", "two.embedding") >= threshold)
+    return dedup.greedy_survivors(e, near.select(F.col("one.id").alias("a"), F.col("two.id").alias("b")), "id")
 
 
 @query()
 def d17_sequence_ratio(spark: SparkSession, d: str) -> DataFrame:
     """Ratcliff-Obershelp likeness of distinct part names that share their first word; containment counts 0.87."""
     x = table(spark, d, "part").select("p_name").distinct().withColumn("first", F.substring_index("p_name", " ", 1))
-    pairs = x.alias("a").join(x.alias("b"), (F.col("a.first") == F.col("b.first")) & (F.col("a.p_name") < F.col("b.p_name"))).select(F.col("a.p_name").alias("a"), F.col("b.p_name").alias("b"))
+    pairs = dedup.met_in_blocks(x, ["first"], "p_name").select(F.col("one.p_name").alias("a"), F.col("two.p_name").alias("b"))
 
     def score(batches):
         for pdf in batches:
@@ -329,14 +340,12 @@ def d18_resolve_name(spark: SparkSession, d: str) -> DataFrame:
     return q.join(hit, "asked", "left").select("asked", F.coalesce("m.t", F.lit("unknown")).alias("name"), F.col("m.edits").cast("long").alias("edits"))
 
 
-@query()
+@query("WITH x AS (SELECT doc_id AS id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: length(w) >= 4)) AS w FROM documents), s AS (SELECT id, len(w) AS n FROM x), c AS (SELECT id, unnest(w) AS t FROM x), i AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM c a JOIN c b ON a.t = b.t AND a.id < b.id GROUP BY ALL), p AS (SELECT a, b FROM i JOIN s u ON u.id = a JOIN s v ON v.id = b WHERE 100 * k >= 88 * (u.n + v.n - k)), " + dedup.GREEDY_SQL + " SELECT id FROM x, gone WHERE NOT list_contains(ids, id)")
 def d14_dedup_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Of each source's texts with the same first words, those that stay when nearly equal word sets leave."""
-    x = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat_ws(":", "source", F.substring("text", 1, 12)).alias("block"), F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: F.length(w) >= 4)).alias("w"))
-    a, b = x.alias("one"), x.alias("two")
-    score = F.size(F.array_intersect("one.w", "two.w")) / F.greatest(F.size(F.array_union("one.w", "two.w")), F.lit(1))
-    met = a.join(b, (F.col("one.block") == F.col("two.block")) & (F.col("one.id") < F.col("two.id"))).where(score >= 0.88).select(F.col("one.id").alias("a"), F.col("two.id").alias("b"))
-    return dedup.greedy_survivors(x.drop("w"), met, "id", ["id"])
+    """Texts that stay when, in the order of ids, each leaves whose set of words of 4 letters or more is nearly that of one that stays. Over all texts, without blocks."""
+    words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda w: F.length(w) >= 4))
+    x = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.transform(words, lambda w: F.xxhash64(w)).alias("w"))
+    return dedup.unlike_sets(x)
 
 
 @query()

@@ -255,15 +255,19 @@ def _sample_listings(spark: SparkSession, d: str) -> DataFrame:
     return s.select(F.col("s_suppkey").alias("id"), (F.col("s_acctbal") * 10).alias("price"), (F.col("s_suppkey") % 40 + 20).cast("double").alias("surface"), F.col("s_name").alias("title"), F.col("n_name").alias("city"))
 
 
-@query(f"WITH s AS (SELECT s_suppkey AS id, s_acctbal * 10 AS price, (s_suppkey % 40 + 20)::DOUBLE AS surface, n_name AS city, {_NORM.format('s_name')} AS t FROM supplier JOIN nation ON n_nationkey = s_nationkey), x AS (SELECT *, CASE WHEN price <= 0 THEN -1 ELSE floor(price / 15000) * 15000 END AS block, {_TRI.format('t')} AS g FROM s), p AS (SELECT a.id AS a, b.id AS b, round(0.30 * coalesce(1 - abs(a.price - b.price) / greatest(abs(a.price), abs(b.price)), 0.5) + 0.25 * (1 - abs(a.surface - b.surface) / greatest(a.surface, b.surface)) + 0.25 * len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))) + 0.2, 4) AS score FROM x a JOIN x b ON a.block = b.block AND a.city = b.city AND a.id < b.id) SELECT * FROM p WHERE score >= 0.7")
+_FUZZY = f"WITH s AS (SELECT s_suppkey AS id, s_acctbal * 10 AS price, (s_suppkey % 40 + 20)::DOUBLE AS surface, n_name AS city, {_NORM.format('s_name')} AS t FROM supplier JOIN nation ON n_nationkey = s_nationkey), x AS (SELECT *, CASE WHEN price <= 0 THEN -1 ELSE floor(price / 15000) * 15000 END AS block, {_TRI.format('t')} AS g FROM s), p AS (SELECT a.id AS a, b.id AS b, round(0.30 * coalesce(1 - abs(a.price - b.price) / greatest(abs(a.price), abs(b.price)), 0.5) + 0.25 * (1 - abs(a.surface - b.surface) / greatest(a.surface, b.surface)) + 0.25 * len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))) + 0.2, 4) AS score FROM x a JOIN x b ON a.block = b.block AND a.city = b.city AND a.id < b.id)"
+
+
+@query(_FUZZY + " SELECT * FROM p WHERE score >= 0.7")
 def d6_fuzzy_pairs(spark: SparkSession, d: str) -> DataFrame:
     return dedup.fuzzy_pairs(_sample_listings(spark, d), threshold=0.7)
 
 
-@query()
+@query(_FUZZY.replace("s_suppkey AS id", "(s_suppkey % 3) * 1000000000000 + s_suppkey AS id").replace("p AS", "q AS") + f", p AS (SELECT a, b FROM q WHERE score >= 0.7), {dedup.GREEDY_SQL} SELECT id % 1000000000000 AS id FROM x, gone WHERE NOT list_contains(ids, id)")
 def d7_fuzzy_dedup(spark: SparkSession, d: str) -> DataFrame:
-    x = _sample_listings(spark, d).withColumn("block", F.concat_ws(":", dedup.price_block(F.col("price")).cast("string"), "city"))
-    return dedup.greedy_survivors(x, dedup.fuzzy_pairs(x, threshold=0.7), "id", ["id"])
+    """Survivors in the order of the source's priority, then id: both are one number, by which rows are visited. Three sources are told by the id here."""
+    x = _sample_listings(spark, d).withColumn("turn", F.col("id") % 3 * 1_000_000_000_000 + F.col("id"))
+    return dedup.greedy_survivors(x, dedup.fuzzy_pairs(x, "turn", 0.7), "turn").select((F.col("turn") % 1_000_000_000_000).alias("id"))
 
 
 @query(", t AS (SELECT url, count(*) OVER (PARTITION BY surface, city, property_type, seen) - 1 AS twins FROM listing) SELECT round(CASE WHEN twins = 0 THEN 0.9 WHEN twins <= 2 THEN 0.7 ELSE greatest(0.3, 0.7 - 0.1 * twins) END, 2)::DOUBLE AS risk, count(*) AS n FROM t GROUP BY risk", True)

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import ks_distance, median, quantile, share
+from ..functions.stats import ks_distance, median, quantile, running, share
 from ..functions.text import any_of, how_many
 from .aggregates import zoned_orders
 from .base import listings, query, r, table
 
-#: Words that lower or raise a description's score (fixed values), in this catalogue applied to the texts at hand.
-SUSPECT = ["urgent", "affaire exceptionnelle", "prix cassé", "contact direct", "offre limitée", "idiot", "moron", "clown"]
-QUALITY = ["acte notarié", "titre foncier", "vue mer", "parking", "license", "released"]
+#: Words that lower or raise a description's score (fixed values).
+SUSPECT = ["urgent", "affaire exceptionnelle", "prix cassé", "ne pas rater", "contact direct", "sans intermédiaire", "paiement cash uniquement", "pas de visite", "à saisir", "offre limitée", "promotion flash"]
+QUALITY = ["acte notarié", "titre foncier", "permis de construire", "vue mer", "résidence sécurisée", "ascenseur", "gardien", "parking", "climatisation", "chauffage central"]
 SOURCE_TRUST = {"src0": 0.92, "src1": 0.90, "src2": 0.78, "src3": 0.65}
 
 
@@ -163,11 +163,10 @@ def invest(df: DataFrame) -> DataFrame:
     """Yield by type, ROI rank, risk, and a weighted score scaled over all rows to BUY, HOLD or AVOID."""
     rate = F.when(F.col("property_type") == "SMALL", 0.068).when(F.col("property_type") == "LARGE", 0.057).otherwise(0.062) - F.when(F.col("ppm2") > 7000, 0.01).otherwise(0.0)
     x = df.withColumn("roi", clamp(12 * F.greatest(F.col("price") * rate / 12, F.lit(550.0)) / F.col("price"), 0.048, 0.092))
-    # ranks over few distinct rates: peers are counted once for each value, not in one window over all rows
+    # ranks over distinct rates: peers are counted once for each value, and summed range by range
     per = x.groupBy("roi").agg(F.count("*").alias("n"))
-    upto = Window.orderBy("roi").rowsBetween(Window.unboundedPreceding, -1)
-    total = F.sum("n").over(Window.partitionBy())
-    pct = per.select("roi", ((F.coalesce(F.sum("n").over(upto), F.lit(0)) + 1 + (F.col("n") - 1) / 2) / total).alias("norm"))
+    total = per.agg(F.sum("n").alias("total"))
+    pct = running(per, "roi", "n").crossJoin(F.broadcast(total)).select("roi", ((F.col("n_upto") - F.col("n") + 1 + (F.col("n") - 1) / 2) / F.col("total")).alias("norm"))
     x = x.join(pct, "roi")
     risk = F.when(F.col("price") < 80000, 0.25).otherwise(0.0) + F.when(F.col("surface") > 40, 0.20).otherwise(0.0)
     raw = x.withColumn("raw", 0.40 * F.col("norm") + 0.25 * (1 - risk) + 0.15 * 0.82 + 0.05 / (1 + F.col("ppm2")))

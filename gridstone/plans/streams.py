@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
 from ..streaming import micro_batch as M
 from .base import query, r, table
 
@@ -17,7 +18,7 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _path(spark: SparkSession, name: str) -> str:
-    return f"{M.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query("SELECT user_id, max(event_id) AS event_id, count(*) AS n FROM events GROUP BY user_id")
@@ -34,7 +35,8 @@ def z1_micro_batch_upsert(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_id, user_id FROM events")
 def z4_first_seen(spark: SparkSession, d: str) -> DataFrame:
-    s = M.first_seen(_stream(spark, d), "event_id", "ts").select("event_id", "user_id")
+    """A feed that delivers every event at least once, here twice: each id comes out once."""
+    s = M.first_seen(_stream(spark, d).union(_stream(spark, d)), "event_id", "ts").select("event_id", "user_id")
     return M.drain(s, _path(spark, "z4"))
 
 
@@ -50,6 +52,14 @@ def z2_process_each_batch(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{path}/batch=*").agg(F.count("*").alias("batches_rows"), r(F.sum("value"), 2).alias("total"))
 
 
-@query()
+@query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
 def z3_daily_windows(spark: SparkSession, d: str) -> DataFrame:
-    return M.drain(M.tumbling(_stream(spark, d), "ts", "1 day", "1 hour", "event_type"), _path(spark, "z3"))
+    return M.newest(M.tumbling(_stream(spark, d), "ts", "1 day", "1 hour", "event_type"), _path(spark, "z3"), "start", "event_type")
+
+
+@query("SELECT 'new_data' AS type, event_type || ' by user ' || user_id AS message, event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS timestamp FROM events WHERE value > 50 AND strftime(ts, '%Y-%m-%dT%H:%M:%S') > '2024-01-10T00:00:00'")
+def z6_notifications(spark: SparkSession, d: str) -> DataFrame:
+    """Events of a high value are put on the notification log; a reader asks for those since its last visit."""
+    path = _path(spark, "z6")
+    M.notify(_stream(spark, d).where("value > 50"), path, "new_data", F.concat("event_type", F.lit(" by user "), F.col("user_id").cast("string")), "ts", "event_id")
+    return M.notifications(spark, path, "event_id: bigint", "2024-01-10T00:00:00").select("type", "message", "data.event_id", "timestamp")

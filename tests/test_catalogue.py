@@ -38,7 +38,15 @@ def test_streams_equal_batches(spark, sf):
     assert len({(r.key, r.place) for r in log}) == len(log) and all(r.old != r.new for r in log)
     days = QUERIES["z3_daily_windows"](spark, sf).collect()
     whole = {(r.day, r.event_type): r.n for r in spark.read.parquet(f"{sf}/events.parquet").selectExpr("to_date(ts) AS day", "event_type").groupBy("day", "event_type").count().withColumnRenamed("count", "n").collect()}
-    assert days and all(whole[(r.start.date(), r.event_type)] == r.n for r in days)
+    assert {(r.start.date(), r.event_type): r.n for r in days} == whole  # open windows too
+
+
+def test_sequence_ratio_matches_brute_force(spark, sf):
+    from difflib import SequenceMatcher
+
+    names = sorted({r.p_name for r in spark.read.parquet(f"{sf}/part.parquet").collect()})
+    want = {(a, b): 0.87 if a in b or b in a else round(SequenceMatcher(None, a, b).ratio(), 4) for i, b in enumerate(names) for a in names[:i] if a.split(" ")[0] == b.split(" ")[0]}
+    assert {(r.a, r.b): r.score for r in QUERIES["d17_sequence_ratio"](spark, sf).collect()} == want
 
 
 def test_distinct_sentences_match_brute_force(spark, sf):

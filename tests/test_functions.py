@@ -1,6 +1,7 @@
 """Hand-computed values, and properties, of the building blocks."""
 
 import math
+import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -11,7 +12,7 @@ from gridstone.functions import stats, text
 from gridstone.operators import dedup
 from gridstone.plans.aggregates import emerging
 from gridstone.plans.feeds import harmonise
-from gridstone.plans.models import micro_markets
+from gridstone.plans.models import alike_vectors, micro_markets
 
 
 def one(spark, **columns):
@@ -98,10 +99,133 @@ def test_harmonise_skips_empty_aliases(spark):
     assert [tuple(r) for r in harmonise(df, {"t": ["a", "b"], "m": ["zz"]}).collect()] == [("x", None), (None, None)]
 
 
-def test_micro_markets(spark):
-    points = [(i, 36.8 + 0.001 * i, 10.1) for i in range(5)] + [(10, 37.5, 10.1), (11, 37.5 + 0.018, 10.1)]
+def kilometres(p, q):
+    a, b, c, d = map(math.radians, (*p, *q))
+    return 2 * 6371.0 * math.asin(math.sqrt(min(1.0, math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2)))
+
+
+def brute_markets(points, eps, least):
+    near = {i: [j for j, *q in points if kilometres(p, q) <= eps] for i, *p in points}
+    core = {i for i, js in near.items() if len(js) >= least}
+    label = {i: i for i in core}
+    while True:
+        new = {i: min(label[j] for j in near[i] if j in core) for i in core}
+        if new == label:
+            return {i: min((label[j] for j in js if j in core), default=None) for i, js in near.items()}
+        label = new
+
+
+@pytest.mark.parametrize(("lat", "lon"), [(36.8, 10.1), (-0.005, 0.0), (66.0, 179.99), (-82.0, -180.0)])
+def test_micro_markets_match_brute_force(spark, lat, lon):
+    """Near the equator, in high latitudes and across the 180th meridian; chains of many links settle however long they are."""
+    rng = random.Random(lat)
+    wide = 1 / math.cos(math.radians(lat))
+    turn = lambda x: (x + 180) % 360 - 180
+    points = [(i, lat + rng.uniform(-0.06, 0.06), turn(lon + wide * rng.uniform(-0.06, 0.06))) for i in range(120)] + [(200 + i, lat + 0.1, turn(lon + wide * 0.015 * i)) for i in range(60)]
+    for least in (3, 5):
+        got = {r.id: r.market for r in micro_markets(spark.createDataFrame(points, "id long, lat double, lon double"), 2.0, least).collect()}
+        assert got == brute_markets(points, 2.0, least)
+
+
+def test_micro_markets_of_few_points(spark):
+    points = [(10, 37.5, 10.1), (11, 37.5 + 0.018, 10.1), *((i, 36.8, 10.1) for i in range(3))]
     got = {r.id: r.market for r in micro_markets(spark.createDataFrame(points, "id long, lat double, lon double"), 2.0, 3).collect()}
-    assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 10: None, 11: None}
+    assert got == {0: 0, 1: 0, 2: 0, 10: None, 11: None}
+    assert micro_markets(spark.createDataFrame([], "id long, lat double, lon double")).count() == 0
+
+
+def greedy(ids, alike):
+    stay = []
+    for i in sorted(ids):
+        if not any(alike(j, i) for j in stay):
+            stay.append(i)
+    return stay
+
+
+def test_pairs_of_a_block_meet_once_however_it_is_dealt(spark):
+    rows = [(i, "hot" if i < 60 else f"b{i % 7}", None if i == 99 else 1) for i in range(100)] + [(200, None, 1)]
+    df = spark.createDataFrame(rows, "id long, block string, x int")
+    want = sorted((a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and a[1] is not None)
+    for most in (1, 7, 10, 1000):
+        got = dedup.met_in_blocks(df, ["block"], "id", most).select(F.col("one.id").alias("a"), F.col("two.id").alias("b"))
+        assert sorted(map(tuple, got.collect())) == want
+
+
+def test_greedy_survivors_match_a_visit_in_order(spark):
+    rng = random.Random(3)
+    pairs = sorted({tuple(sorted(rng.sample(range(40), 2))) for _ in range(70)}) + [(i, i + 1) for i in range(100, 120)]
+    df = spark.createDataFrame([(i,) for i in [*range(40), *range(100, 121), 500]], "id long")
+    got = sorted(r.id for r in dedup.greedy_survivors(df, spark.createDataFrame(pairs + pairs[:5], "a long, b long"), "id").collect())
+    assert got == greedy([r.id for r in df.collect()], lambda a, b: (a, b) in set(pairs))
+    assert dedup.greedy_survivors(df, spark.createDataFrame([], "a long, b long"), "id").count() == df.count()
+
+
+def test_unlike_sets_match_brute_force(spark):
+    """Sets near the threshold on both sides, copies of a set whose first leaves, empty sets, and blocks dealt into parts."""
+    rng = random.Random(5)
+    base = [rng.sample(range(300), 40) for _ in range(6)]
+    rows = [(i, sorted({*rng.sample(base[i % 6], rng.randint(36, 40)), *rng.sample(range(1000, 1100), rng.randint(0, 3))})) for i in range(90)]
+    rows += [(100 + i, rows[i * 3][1]) for i in range(12)] + [(200, []), (201, []), (202, [1]), (203, [1])]
+    sets = {i: set(w) for i, w in rows}
+    alike = lambda a, b: bool(sets[a]) and 100 * len(sets[a] & sets[b]) >= 88 * len(sets[a] | sets[b])
+    for most in (3, 2000):
+        got = sorted(r.id for r in dedup.unlike_sets(spark.createDataFrame(rows, "id long, w array<long>"), 88, most).collect())
+        assert got == greedy(sets, alike)
+    assert dedup.unlike_sets(spark.createDataFrame([], "id long, w array<long>")).count() == 0
+
+
+def test_alike_vectors_match_brute_force(spark):
+    rng = random.Random(6)
+    base = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(5)]
+    rows = [(i, [x + rng.gauss(0, 0.35) for x in base[i % 5]], i % 2) for i in range(80)]
+    dot = lambda x, y: sum(a * b for a, b in zip(x, y))
+    alike = lambda a, b: rows[a][2] == rows[b][2] and dot(rows[a][1], rows[b][1]) >= 0.88 * math.sqrt(dot(rows[a][1], rows[a][1]) * dot(rows[b][1], rows[b][1]))
+    want = greedy(range(80), alike)
+    assert 10 < len(want) < 70
+    for most in (6, 2000):
+        assert sorted(r.id for r in alike_vectors(spark.createDataFrame(rows, "id long, embedding array<double>, block int"), most=most).collect()) == want
+
+
+@pytest.mark.parametrize("pieces", [1, 2, 40])
+def test_running_sums_in_ranges(spark, pieces):
+    rng = random.Random(pieces)
+    rows = [(x, rng.randint(1, 9), rng.randint(0, 3)) for x in sorted({round(rng.gauss(0, 5), 2) for _ in range(400)})]
+    got = {r.x: (r.a_upto, r.b_upto) for r in stats.running(spark.createDataFrame(rows, "x double, a long, b long"), "x", "a", "b", pieces=pieces).collect()}
+    assert got == {x: (sum(r[1] for r in rows[: i + 1]), sum(r[2] for r in rows[: i + 1])) for i, (x, *_) in enumerate(rows)}
+    assert stats.running(spark.createDataFrame([], "x double, a long"), "x", "a", pieces=pieces).count() == 0
+
+
+def test_notifications_and_run_log(spark, tmp_path):
+    from gridstone.streaming import micro_batch as M
+
+    folder, log = str(tmp_path / "in"), M.RunLog()
+    spark.streams.addListener(log)
+    try:
+        for day in (1, 2):
+            spark.createDataFrame([(day * 10 + i, f"2024-05-0{day} 0{i}:00:00") for i in range(3)], "id long, at string").selectExpr("id", "cast(at AS timestamp) AS at").write.mode("append").parquet(folder)
+            stream = spark.readStream.schema("id long, at timestamp").parquet(folder)
+            M.notify(stream, str(tmp_path / "log"), "new_data", F.concat(F.lit("é row "), F.col("id").cast("string")), "at", "id")
+        for _ in range(100):
+            if sum(x["event"] == "ended" for x in log.lines) == 2:
+                break
+            __import__("time").sleep(0.1)
+    finally:
+        spark.streams.removeListener(log)
+    said = lambda after: sorted(tuple(r) for r in M.notifications(spark, str(tmp_path / "log"), "id: bigint", after).select("type", "message", "data.id").collect())
+    assert said(None) == [("new_data", f"é row {i}", i) for i in (10, 11, 12, 20, 21, 22)]  # each row once, over two runs
+    assert said("2024-05-02T00:00:00") == [("new_data", f"é row {i}", i) for i in (21, 22)]
+    assert sum(x["event"] == "ended" for x in log.lines) == 2 and sum(x.get("rows", 0) for x in log.lines) == 6
+
+
+def test_shared_folder_needs_a_name_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from gridstone.session import shared_folder
+
+    assert shared_folder(spark) == spark.sparkContext.getCheckpointDir()
+    conf = SimpleNamespace(get=lambda name, default: default)
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        shared_folder(SimpleNamespace(sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://x"), conf=conf))
 
 
 def test_paged_source_retries_with_growing_pauses():
