@@ -1,24 +1,14 @@
-"""Helpers that several operators share: the shared folder, written stages, range keys."""
+"""Helpers that several operators share: written stages, range keys."""
 
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: that of ``spark.checkpoint.dir``.
-
-    Only where the session has none (as in local tests) a temporary folder is set.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridstone-"))
-    return sc.getCheckpointDir()
+from gridstone.session import shared_folder
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
