@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,11 +40,11 @@ def normal_cdf_sql(z: str) -> str:
 
 
 def iqr_keep(df: DataFrame, column: str, factor: float = 3.0) -> DataFrame:
-    """Rows inside the Tukey fence, and nulls; all rows where the spread is null or zero. One aggregate row is broadcast."""
-    q = df.agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.75))).alias("q")).select(F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
-    spread = F.col("q3") - F.col("q1")
-    inside = F.col(column).isNull() | spread.isNull() | (spread == 0) | F.col(column).between(F.col("q1") - factor * spread, F.col("q3") + factor * spread)
-    return df.crossJoin(F.broadcast(q)).where(inside).drop("q1", "q3")
+    """Rows inside the Tukey fence, and nulls; all rows where the spread is null or zero."""
+    low, high = exact_quantiles(df, column, 0.25, 0.75)
+    if low is None or low == high:
+        return df
+    return df.where(F.col(column).isNull() | F.col(column).between(low - factor * (high - low), high + factor * (high - low)))
 
 
 def mann_kendall(series: DataFrame, key: str, at: str, value: str) -> DataFrame:
@@ -69,14 +71,14 @@ def average_rank_pct(order: Column, *partition: Column | str) -> Column:
     return (first + (ties - 1) / 2) / F.count("*").over(whole)
 
 
-def running(df: DataFrame, by: str, *sums: str, pieces: int | None = None) -> DataFrame:
+def running(df: DataFrame, by: str, *sums: str, pieces: int | None = None, cuts: list[float] | None = None) -> DataFrame:
     """``df`` (one row for each value of ``by``) with ``<sum>_upto`` for each of ``sums``: its total over the values up to the row's own.
 
-    Values are dealt into ranges by approximate quantiles, ``pieces`` of them (four for each shuffle partition by default), so that no task sorts them all; a range's total, one row each, is
-    then added to the ranges after it.
+    Values are dealt into ranges, at ``cuts`` or by approximate quantiles, ``pieces`` of them (four for each shuffle partition by default), so that no task sorts them all; a range's total, one row
+    each, is then added to the ranges after it.
     """
     n = pieces or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted(set(df.select(F.percentile_approx(by, [i / n for i in range(1, n)], 20 * n)).first()[0] or [])) if n > 1 else []
+    cuts = sorted(set(cuts)) if cuts is not None else sorted(set(df.select(F.percentile_approx(by, [i / n for i in range(1, n)], 20 * n)).first()[0] or [])) if n > 1 else []
     table, steps = F.array(*map(F.lit, cuts)), [1 << k for k in reversed(range(len(cuts).bit_length()))]
     at = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda s, k: F.when((s + k <= len(cuts)) & (F.try_element_at(table, s + k) <= F.col(by)), s + k).otherwise(s)) if cuts else F.lit(0)
     dealt = df.withColumn("__range", at)
@@ -88,6 +90,29 @@ def running(df: DataFrame, by: str, *sums: str, pieces: int | None = None) -> Da
     return both.withColumns({f"{c}_upto": F.sum(c).over(upto) + F.col(f"__{c}") for c in sums}).drop("__range", *(f"__{c}" for c in sums))
 
 
+def exact_quantiles(df: DataFrame, column: str, *shares: float, accuracy: int = 10_000) -> list[float | None]:
+    """The exact quantiles (with interpolation) of a whole column, nulls left out; None for each if there are no values.
+
+    An approximate pass finds edges that enclose each one; then the values between them are counted one by one, and all below and above as one each. So no
+    task holds the column's values, as an exact percentile does.
+    """
+    known = df.select(F.col(column).cast("double").alias("x")).where("x is not null")
+    slack, inf = 2 / accuracy, float("inf")
+    n, edges = known.agg(F.count("*"), F.percentile_approx("x", [p for q in shares for p in (max(0.0, q - slack), min(1.0, q + slack))], accuracy)).first()
+    out: list[float | None] = []
+    for q, lo, hi in zip(shares, (edges or [])[::2], (edges or [])[1::2]):
+        k = q * (n - 1)
+        for low, high in ((lo, hi), (-inf, inf)):  # the second if the edges don't enclose it
+            key = F.when(F.col("x") < low, -inf).when(F.col("x") > high, inf).otherwise(F.col("x"))
+            at = running(known.groupBy(key.alias("x")).agg(F.count("*").alias("n")), "x", "n", cuts=[lo + (hi - lo) * i / 64 for i in range(65)])
+            least = lambda rank: F.min(F.when(F.col("n_upto") > rank, F.col("x")))
+            a, b = at.agg(least(math.floor(k)), least(math.ceil(k))).first()
+            if abs(a) < inf and abs(b) < inf:
+                break
+        out.append(a + (b - a) * (k - math.floor(k)))
+    return out or [None] * len(shares)
+
+
 def ks_distance(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     """``(d, n1, n2)``: the largest gap of two samples' distribution functions; counts are added up by value first."""
     both = a.select(F.col(column).alias("x"), F.lit(1).alias("one"), F.lit(0).alias("two")).unionAll(b.select(column, F.lit(0), F.lit(1))).where(F.col("x").isNotNull())

@@ -17,7 +17,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import median
+from ..functions.stats import exact_quantiles, median
 from ..functions.text import cosine
 from ..operators import dedup
 from ..session import shared_folder
@@ -238,8 +238,7 @@ def m2_isolation_forest(spark: SparkSession, d: str) -> DataFrame:
             yield pdf[["url", "part", "seller"]].assign(score=np.round(2 ** (-depth / usual), 4))
 
     scored = x.mapInPandas(score, "url long, part long, seller long, score double")
-    edge = scored.agg(F.percentile("score", F.lit(0.95)).alias("edge"))
-    return scored.crossJoin(F.broadcast(edge)).where("score > edge").drop("edge")
+    return scored.where(F.col("score") > F.lit(exact_quantiles(scored, "score", 0.95)[0]).cast("double"))
 
 
 _PLACES = "SELECT s_suppkey AS id, 30 + (s_suppkey % 10) * 0.01 + (s_suppkey % 3) * 0.5 AS lat, 8 + (s_suppkey % 7) * 0.012 AS lon FROM supplier"

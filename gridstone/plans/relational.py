@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import average_rank_pct, median, quantile
+from ..functions.stats import average_rank_pct, exact_quantiles, median
 from ..functions.text import cosine, jaccard, normalised, trigrams
 from ..operators import dedup
 from .aggregates import zoned_orders
@@ -92,7 +92,7 @@ def f7_keyword_or_range(spark: SparkSession, d: str) -> DataFrame:
 def f8_p99_trim(spark: SparkSession, d: str) -> DataFrame:
     x = listings(spark, d)
     for c in ("price", "surface"):
-        x = x.crossJoin(F.broadcast(x.agg(quantile(c, 0.99).alias("top")))).where(F.col(c) <= F.col("top")).drop("top")
+        x = x.where(F.col(c) <= F.lit(exact_quantiles(x, c, 0.99)[0]).cast("double"))
     return x.agg(F.count("*").alias("n"), r(F.sum("price"), 2).alias("total"))
 
 
@@ -115,7 +115,7 @@ def j2_drops_with_attributes(spark: SparkSession, d: str) -> DataFrame:
 def j4_row_with_city_statistics(spark: SparkSession, d: str) -> DataFrame:
     x = listings(spark, d)
     c = x.groupBy("city", "property_type").agg(median("ppm2").alias("med"), F.stddev_samp("ppm2").alias("sd"), F.count("*").alias("n"))
-    g = x.agg(median("ppm2").alias("gmed"), F.stddev_samp("ppm2").alias("gsd"))
+    g = x.agg(F.lit(exact_quantiles(x, "ppm2", 0.5)[0]).cast("double").alias("gmed"), F.stddev_samp("ppm2").alias("gsd"))
     own = F.col("n") >= 5
     z = F.abs(F.col("ppm2") - F.when(own, F.col("med")).otherwise(F.col("gmed"))) / F.when(own, F.col("sd")).otherwise(F.col("gsd"))
     both = x.join(c, ["city", "property_type"]).crossJoin(F.broadcast(g)).withColumn("score", F.greatest(F.lit(0.0), 1 - z / 4))

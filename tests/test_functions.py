@@ -195,6 +195,18 @@ def test_running_sums_in_ranges(spark, pieces):
     assert stats.running(spark.createDataFrame([], "x double, a long"), "x", "a", pieces=pieces).count() == 0
 
 
+def test_exact_quantiles(spark):
+    import numpy as np
+
+    rng = random.Random(9)
+    for values in ([rng.gauss(0, 1) for _ in range(3001)], [1.0] * 500 + [2.0] * 499, [5.0], [1.0, 2.0], [float(rng.randint(0, 3)) for _ in range(800)] + [None] * 50):
+        df = spark.createDataFrame([(v,) for v in values], "v double")
+        for accuracy in (10_000, 20):
+            got = stats.exact_quantiles(df, "v", 0.0, 0.25, 0.5, 0.99, 1.0, accuracy=accuracy)
+            assert np.allclose(got, np.quantile([v for v in values if v is not None], [0.0, 0.25, 0.5, 0.99, 1.0]), atol=1e-12)
+    assert stats.exact_quantiles(df.limit(0), "v", 0.5, 0.9) == [None, None]
+
+
 def test_notifications_and_run_log(spark, tmp_path):
     from gridstone.streaming import micro_batch as M
 
