@@ -34,6 +34,8 @@ HEADERS = {"record_type": "warc-type", "record_id": "warc-record-id", "target_ur
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Payload that a batch holds, and bytes after which the writer begins another file and the planner another partition.
 BATCH_BYTES, FILE_BYTES = 8 << 20, 64 << 20
+#: The least that a partition is planned to hold where option ``minPartitions`` asks for more partitions than FILE_BYTES gives.
+LEAST_BYTES = 4 << 20
 GZIP_MAGIC = b"\x1f\x8b"
 #: The fixed part of a gzip header whose only extra field is ``sl``: its length, its name, and the length of its two 32-bit numbers.
 SKIP_FIELD = struct.pack("<H2sH", 12, b"sl", 8)
@@ -145,6 +147,7 @@ class WarcReader(DataSourceReader):
         self.path = options["path"]
         self.payload = options.get("payload", "true") != "false"
         self.bytes = int(options.get("partitionbytes", options.get("partitionBytes", FILE_BYTES)))
+        self.parts = int(options.get("minpartitions", options.get("minPartitions", 1)))
         self.wanted: list[tuple[str, frozenset]] = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
@@ -165,8 +168,9 @@ class WarcReader(DataSourceReader):
         files = [info] if info.type == pafs.FileType.File else fs.get_file_info(pafs.FileSelector(root, recursive=True))
         whole = sorted((x.path, x.size) for x in files if x.type == pafs.FileType.File and x.size and not x.base_name.startswith(("_", ".")))
         plan, group, size = [], [], 0
+        most = min(self.bytes, max(LEAST_BYTES, sum(n for _, n in whole) // self.parts))
         for path, n in whole:
-            if group and size + n > self.bytes:
+            if group and size + n > most:
                 plan.append(Span(tuple(group)))
                 group, size = [], 0
             group.append(path)
@@ -328,7 +332,7 @@ def page_records(spark: SparkSession, path: str) -> DataFrame:
     """
     register(spark)
     number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
-    both = spark.read.format("warc").load(path).where("record_type IN ('response', 'revisit')")
+    both = spark.read.format("warc").option("minPartitions", spark.sparkContext.defaultParallelism).load(path).where("record_type IN ('response', 'revisit')")
     own = F.col("record_type") == "response"
     length = F.when(own, F.octet_length("payload").cast("long")).otherwise(F.col("http_length"))
     digest = F.when(own, F.sha2("payload", 256)).otherwise(F.substring_index("payload_digest", ":", -1))
