@@ -28,23 +28,40 @@ from .scoring import _INVEST, invest
 # forecasts ---------------------------------------------------------------------------------------------------
 
 
-def quadratic(pdf: pd.DataFrame, periods: int, value: str = "med", at: str = "month") -> pd.DataFrame:
-    """A parabola by least squares, ``periods`` steps ahead, with a band of 1.96 population deviations of the residuals."""
-    pdf = pdf.sort_values(at)
-    y = pdf[value].to_numpy(float)
-    x = np.arange(len(y))
-    fit = np.polyfit(x, y, min(2, max(len(y) - 1, 0)))
-    ahead = np.arange(len(y), len(y) + periods)
-    centre, band = np.polyval(fit, ahead), 1.96 * float(np.std(y - np.polyval(fit, x)))
-    return pd.DataFrame({"zone": pdf["zone"].iloc[0], "step": np.arange(1, periods + 1), "forecast": centre.round(2), "low": (centre - band).round(2), "high": (centre + band).round(2)})
+def quadratic(points: DataFrame, periods: int, key: str = "zone", at: str = "month", value: str = "med") -> DataFrame:
+    """``(key, step, forecast, low, high)``: a parabola by least squares through each key's points in order, ``periods`` steps ahead, with a band of 1.96 population deviations of the residuals.
 
-
-@query()
+    By orthogonal polynomials of the place, so that sums over a key's points give the coefficients. Two points make a line, one a constant.
+    """
+    n, place = F.count("*").over(Window.partitionBy(key)), F.row_number().over(Window.partitionBy(key).orderBy(at)) - 1
+    line = lambda x: x - (F.col("n") - 1) / 2
+    bend = lambda u: u * u - (F.col("n") * F.col("n") - 1) / 12
+    x = points.select(key, F.col(value).alias("y"), n.alias("n"), place.alias("x")).withColumn("u", line(F.col("x"))).withColumn("v", bend(F.col("u")))
+    part = lambda c: F.coalesce(F.try_divide(F.sum(F.col("y") * F.col(c)), F.sum(F.col(c) * F.col(c))), F.lit(0.0))
+    fit = x.groupBy(key, "n").agg(F.avg("y").alias("b0"), part("u").alias("b1"), part("v").alias("b2"))
+    centre = F.col("b0") + F.col("b1") * F.col("u") + F.col("b2") * F.col("v")
+    fit = x.join(fit, [key, "n"]).groupBy(key, "n", "b0", "b1", "b2").agg((1.96 * F.sqrt(F.avg((F.col("y") - centre) ** 2))).alias("band"))
+    ahead = fit.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(periods)).cast("array<long>"))).withColumn("u", line(F.col("n") - 1 + F.col("step"))).withColumn("v", bend(F.col("u")))
+    return ahead.select(key, "step", r(centre, 2).alias("forecast"), r(centre - F.col("band"), 2).alias("low"), r(centre + F.col("band"), 2).alias("high"))
+
+
+_QUADRATIC = (
+    "WITH m AS (SELECT n_name AS zone, date_trunc('month', o_orderdate) AS month, median(o_totalprice) AS y FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY ALL), "
+    "p AS (SELECT zone, y, count(*) OVER (PARTITION BY zone) AS n, row_number() OVER (PARTITION BY zone ORDER BY month) - 1 - (count(*) OVER (PARTITION BY zone) - 1) / 2.0 AS u FROM m), "
+    "x AS (SELECT *, u * u - (n * n - 1) / 12.0 AS v FROM p), "
+    "c AS (SELECT zone, n, avg(y) AS b0, coalesce(sum(y * u) / nullif(sum(u * u), 0), 0) AS b1, coalesce(sum(y * v) / nullif(sum(v * v), 0), 0) AS b2 FROM x GROUP BY zone, n), "
+    "e AS (SELECT zone, c.n, b0, b1, b2, 1.96 * sqrt(avg((y - b0 - b1 * u - b2 * v) ** 2)) AS band FROM x JOIN c USING (zone) GROUP BY zone, c.n, b0, b1, b2), "
+    "s AS (SELECT zone, k AS step, band, b0 + b1 * ((n - 1) / 2.0 + k) + b2 * (((n - 1) / 2.0 + k) ** 2 - (n * n - 1) / 12.0) AS centre FROM e, range(1, 7) t(k)), "
+    "f AS (SELECT zone, step, round(centre, 2) AS forecast, round(centre - band, 2) AS low, round(centre + band, 2) AS high FROM s)"
+)
+
+
+@query(_QUADRATIC + " SELECT * FROM f")
 def t7_quadratic_forecast(spark: SparkSession, d: str) -> DataFrame:
-    return monthly(spark, d).groupBy("zone").applyInPandas(lambda p: quadratic(p, 6), "zone string, step long, forecast double, low double, high double")
+    return quadratic(monthly(spark, d), 6)
 
 
-@query()
+@query(_QUADRATIC + ", g AS (SELECT zone, min_by(forecast, step) AS a, max_by(forecast, step) AS b, avg(high - low) AS width FROM f GROUP BY zone) SELECT zone, round((b - a) / a, 4) AS change, CASE WHEN (b - a) / a > 0.02 THEN 'up' WHEN (b - a) / a < -0.02 THEN 'down' ELSE 'stable' END AS trend, round(width, 2) AS width FROM g")
 def t6_forecast_with_trend(spark: SparkSession, d: str) -> DataFrame:
     f = t7_quadratic_forecast(spark, d).groupBy("zone").agg(F.min_by("forecast", "step").alias("a"), F.max_by("forecast", "step").alias("b"), F.avg(F.col("high") - F.col("low")).alias("width"))
     change = (F.col("b") - F.col("a")) / F.col("a")
@@ -93,7 +110,7 @@ def t8_seasonal_model(spark: SparkSession, d: str) -> DataFrame:
     return q.groupBy("zone").applyInPandas(lambda p: seasonal(p), "zone string, step long, forecast double, low double, high double, aic double")
 
 
-@query()
+@query(_QUADRATIC + ", g AS (SELECT zone, max_by(forecast, step) AS ahead FROM f GROUP BY zone), w AS (SELECT zone, max_by(y, month) AS now FROM m GROUP BY zone HAVING count(*) >= 8) SELECT zone, round(greatest(ahead, now), 2) AS projected, round(greatest(0.02, least(0.18, ahead / now - 1)), 4)::DOUBLE AS roi FROM w JOIN g USING (zone)")
 def t11_projected_prices(spark: SparkSession, d: str) -> DataFrame:
     f = t7_quadratic_forecast(spark, d).groupBy("zone").agg(F.max_by("forecast", "step").alias("ahead"))
     now = monthly(spark, d).groupBy("zone").agg(F.max_by("med", "month").alias("now"), F.count("*").alias("n")).where("n >= 8")

@@ -24,13 +24,14 @@ def test_query_without_sql_runs(spark, sf, name):
     assert len(set(df.columns)) == len(df.columns) and df.count() > 0
 
 
-def test_forecast_follows_a_parabola():
-    import pandas as pd
-
+def test_forecast_follows_a_parabola(spark):
     from gridstone.plans.models import quadratic
 
-    pdf = pd.DataFrame({"zone": "z", "month": range(8), "med": [float(x * x - 3 * x + 7) for x in range(8)]})
-    assert quadratic(pdf, 2)["forecast"].tolist() == [8 * 8 - 24 + 7, 9 * 9 - 27 + 7]
+    rows = [("z", x, float(x * x - 3 * x + 7)) for x in range(8)] + [("line", 0, 1.0), ("line", 5, 3.0), ("one", 2, 4.0)]
+    got = {}
+    for r in quadratic(spark.createDataFrame(rows, "zone string, month int, med double"), 2).orderBy("step").collect():
+        got.setdefault(r.zone, []).append((r.forecast, r.low, r.high))
+    assert got == {"z": [(47.0, 47.0, 47.0), (61.0, 61.0, 61.0)], "line": [(5.0, 5.0, 5.0), (7.0, 7.0, 7.0)], "one": [(4.0, 4.0, 4.0)] * 2}
 
 
 def test_streams_equal_batches(spark, sf):
@@ -62,3 +63,58 @@ def test_distinct_sentences_match_brute_force(spark, sf):
                 kept.append(s)
         want.append((m.conv_id, m.turn, len(sets), len(kept)))
     assert got == sorted(want)
+
+
+def test_seasonal_model_continues_a_season():
+    import pandas as pd
+
+    from gridstone.plans.models import seasonal
+
+    season = [5.0, -2.0, 0.5, 9.0]
+    y = [100 + 3 * i + season[i % 4] for i in range(20)]
+    got = seasonal(pd.DataFrame({"zone": "z", "quarter": range(20), "v": y}))
+    assert got["forecast"].tolist() == pytest.approx([100 + 3 * i + season[i % 4] for i in range(20, 26)], abs=0.01)
+    assert seasonal(pd.DataFrame({"zone": "z", "quarter": range(5), "v": range(5)})).empty
+
+
+def test_segments_are_a_fixed_point_of_k_means(spark, sf):
+    """Every city is in the segment whose mean, in standard units, is nearest to it."""
+    import numpy as np
+
+    from gridstone.functions.stats import median
+    from gridstone.plans.base import listings
+
+    rows = {r.city: (r.price, r.ppm2) for r in listings(spark, sf).groupBy("city").agg(median("price").alias("price"), median("ppm2").alias("ppm2")).collect()}
+    cell = {r.city: r.segment for r in QUERIES["m7_segments"](spark, sf).collect()}
+    x = np.array([rows[c] for c in sorted(rows)])
+    x, k = (x - x.mean(0)) / x.std(0, ddof=1), np.array([cell[c] for c in sorted(rows)])
+    centres = {s: x[k == s].mean(0) for s in set(k.tolist())}
+    assert 2 <= len(centres) <= 4
+    assert all(min(centres, key=lambda s: ((p - centres[s]) ** 2).sum()) == s for p, s in zip(x, k.tolist()))
+
+
+def test_chunks_of_a_cell_are_its_best(spark, sf):
+    got = QUERIES["m16_hybrid_chunks"](spark, sf).collect()
+    cells = {}
+    for r in sorted(got, key=lambda r: r.place):
+        cells.setdefault(r.cell, []).append(r)
+    assert len({r.vec_id for r in got}) == len(got)
+    for rows in cells.values():
+        assert [r.place for r in rows] == list(range(1, len(rows) + 1)) and len(rows) <= 6
+        assert [r.score for r in rows] == sorted((r.score for r in rows), reverse=True)
+
+
+def test_price_models_are_no_worse_than_the_mean(spark, sf):
+    scores = {r.metric: r.value for r in QUERIES["m11_price_forest"](spark, sf).collect()}
+    assert set(scores) == {"rmse", "r2"} and -0.05 < scores["r2"] <= 1 and scores["rmse"] > 0
+    told = QUERIES["r17_price_estimate"](spark, sf).collect()
+    assert all(r.estimate > 0 and abs(r.delta) < 1 for r in told)
+
+
+def test_class_chances_are_chances(spark, sf):
+    for r in QUERIES["m9_trust_net"](spark, sf).limit(500).collect():
+        p = (r.p0, r.p1, r.p2)
+        assert abs(sum(p) - 1) < 0.001 and p[r["class"]] >= max(p) - 1e-4
+    labels = {r.url: r.l_linestatus for r in spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr("l_orderkey * 10 + l_linenumber AS url", "l_linestatus").collect()}
+    told = QUERIES["m1_trust_classifier"](spark, sf).collect()
+    assert all(0 <= r.trust <= 1 and r.reliable == (r.trust >= 0.6) for r in told if abs(r.trust - 0.6) > 1e-4) and {r.url for r in told} <= set(labels)
