@@ -243,25 +243,78 @@ def _exact_forest(bits: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, i
     return out
 
 
-def blocks(members: DataFrame, size: str, most: int) -> DataFrame:
-    """``members`` with the block pairs ``(i, j)`` they belong to: a group of over ``most`` by its ``size`` is dealt into row blocks of about half that, and any two of its members meet in some pair.
+def _table_edges(table: pa.Table, of: Callable[[np.ndarray, pa.Table], list[tuple[int, int]]]) -> pa.Table:
+    """``of``'s edges between rows of ``table(node, bits, ...)`` as pairs of nodes. Rows go by node, so that the least leads and a dense group's many buckets mostly give the same edges; of a node's rows one counts."""
+    table = table.sort_by("node")
+    node = table["node"].to_numpy()
+    once = np.concatenate((np.ones(min(len(node), 1), bool), node[1:] != node[:-1]))
+    table, node = table.filter(pa.array(once)), node[once]
+    found = np.array(of(_rows(table["bits"].combine_chunks()), table), np.int64).reshape(-1, 2)
+    return pa.table({"a": node[found[:, 0]], "b": node[found[:, 1]]})
 
-    So no task gets more than about ``most`` rows of a group, and the pairs' edges together connect what the whole group's would.
+
+def _rows(bits: pa.ListArray) -> np.ndarray:
+    return bits.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(bits), -1)
+
+
+def _sets(column: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), np.uint64) for x in column]
+
+
+def _candidates(table: pa.Table) -> pa.Table:
+    return _table_edges(table, lambda bits, _: _forest(bits, CANDIDATE_BITS))
+
+
+def _similar_sets(table: pa.Table) -> pa.Table:
+    return _table_edges(table, lambda bits, t: _exact_forest(bits, _sets(t["held"])))
+
+
+def _near_lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches with ``near`` in the place of the lead's columns: whether a row is a candidate of its lead and, where sets are held, similar to it."""
+    for batch in batches:
+        names = [c for c in batch.schema.names if not c.startswith("lead_")]
+        near = np.bitwise_count(_rows(batch["bits"]) ^ _rows(batch["lead_bits"])).sum(1) <= CANDIDATE_BITS
+        if "held" in names:
+            for i in np.flatnonzero(near):
+                near[i] = _alike(np.frombuffer(batch["lead_held"][i].as_buffer(), np.uint64), [np.frombuffer(batch["held"][i].as_buffer(), np.uint64)])[0]
+        yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(near)], names=[*names, "near"])
+
+
+def group_edges(members: DataFrame, key: str, size: str, most: int, forest: Callable[[pa.Table], pa.Table]) -> DataFrame:
+    """``(a, b)``: edges that connect all that alike rows of a group connect, from ``members(key, size, node, bits[, held])``; ``forest`` gives them for a table of rows.
+
+    A group of up to ``most`` by its ``size`` is one task's. In a larger one all rows are first compared with the one of the least node. Those alike with it are connected through it, so only
+    the others are left to be compared: they are dealt into blocks, and each row of the group meets each of those blocks, in tasks of about ``most`` rows. So no pair is left out, and the work grows
+    with the rows times those that are unlike the lead (few, in groups of copies with edits), not with all pairs.
     """
-    p = F.when(F.col(size) > most, F.ceil(F.col(size) * 2 / most)).otherwise(1).cast("int")
-    own = F.pmod(F.xxhash64("node", F.lit(7)), p).cast("int")
-    # a block meets all others; alone it would be met in any of its pairs, so it needs no pair with itself
-    met = F.when(p == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), p - 1), lambda k: k != own))
-    return members.withColumn("at", own).withColumn("other", F.explode(met)).withColumns({"i": F.least("at", "other"), "j": F.greatest("at", "other")}).drop("at", "other")
+    payload = [c for c in ("bits", "held") if c in members.columns]
+    light = members.where(F.col(size) <= most).select(key, F.lit(0).alias("i"), F.lit(0).alias("j"), "node", *payload)
+    parts = F.ceil(F.col(size) * 2 / most).cast("int")
+    heavy = written(members.where(F.col(size) > most).select(key, "node", *payload, parts.alias("parts"), F.pmod(F.xxhash64("node", F.lit(7)), parts).cast("int").alias("i")), "similar-heavy")
+    star = None
+    if heavy.limit(1).count():
+        first = heavy.groupBy(key).agg(F.min("node").alias("lead"), F.min_by(F.struct(*payload), "node").alias("x"), F.max("parts").alias("parts"))
+        # once for each block of the group, so that no task joins a whole group
+        leads = first.select(key, "lead", *(F.col(f"x.{c}").alias(f"lead_{c}") for c in payload), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"))
+        met = heavy.join(leads, [key, "i"])
+        fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in met.schema.fields if not f.name.startswith("lead_"))
+        told = written(met.mapInArrow(_near_lead, f"{fields}, near boolean"), "similar-led")
+        star = told.where("near AND node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+        others = told.groupBy(key).agg(F.count_if(~F.col("near")).alias("k"), F.count("*").alias("m"), F.max("parts").alias("p")).where("k > 0")
+        rest = told.join(others.select(key, F.ceil(F.col("p") * F.col("k") / F.col("m")).cast("int").alias("across")), key)
+        every = rest.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("across") - 1)))
+        apart = rest.where(~F.col("near")).withColumn("j", F.pmod(F.xxhash64("node", F.lit(8)), F.col("across")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        light = light.unionByName(every.select(light.columns)).unionByName(apart.select(light.columns))
+    edges = light.groupBy(key, "i", "j").applyInArrow(forest, "a long, b long")
+    return edges if star is None else edges.union(star)
 
 
 def similar(docs: DataFrame, words: int = 5, pair_bucket: int = 8, group_bucket: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, component_id)``: near-duplicate classes, the connected components of pairs whose sets of ``words``-word shingles have a Jaccard similarity of at least ALIKE.
 
     Candidates share a table's key (six min-hashes) and differ in at most CANDIDATE_BITS bits of their signatures. Buckets of up to ``pair_bucket`` texts are compared in
-    pairs; those of up to ``group_bucket`` by one task each, which gives a spanning forest of their candidates; larger ones are dealt into row blocks, and a task takes
-    each two blocks, so no pair is left out. Within each connected group of candidates the whole sets of shingles are then compared (in block pairs too), so no
-    pair of a lower similarity is linked. Equal sets are one node. Classes are named by their least id. Nulls, repeated rows and empty tables are as in ``near_duplicates``.
+    pairs; larger ones as in ``group_edges``: those of up to ``group_bucket`` by one task each, which gives a spanning forest of their candidates, others through a lead and blocks. Within each
+    connected group of candidates the whole sets of shingles are then compared (by ``group_edges`` too), so no pair of a lower similarity is linked and none is left out. Equal sets are one node. Classes are named by their least id. Nulls, repeated rows and empty tables are as in ``near_duplicates``.
     """
     marks = written(shingle_sets(docs, "doc_id long, node long, size long, bits array<long>, keys array<long>", words, id_col, text_col), "similar-marks")
     distinct = written(marks.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("size", "bits", "keys"))), "similar-nodes")
@@ -273,26 +326,13 @@ def similar(docs: DataFrame, words: int = 5, pair_bucket: int = 8, group_bucket:
     side = lambda n, v: light.select("key", F.col("node").alias(n), F.col("bits").alias(v))
     pairs = side("a", "x").join(side("b", "y"), "key").where((F.col("a") < F.col("b")) & (apart <= CANDIDATE_BITS)).select("a", "b")
 
-    def edges(table: pa.Table, of: Callable[[np.ndarray, pa.Table], list[tuple[int, int]]]) -> pa.Table:
-        table = table.sort_by("node")  # the least node leads, so that a dense group's many buckets mostly give the same edges
-        node = table["node"].to_numpy()
-        found = np.array(of(table["bits"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), -1), table), np.int64).reshape(-1, 2)
-        return pa.table({"a": node[found[:, 0]], "b": node[found[:, 1]]})
-
-    def group(table: pa.Table) -> pa.Table:
-        return edges(table, lambda bits, _: _forest(bits, CANDIDATE_BITS))
-
-    def exact(table: pa.Table) -> pa.Table:
-        return edges(table, lambda bits, t: _exact_forest(bits, [np.frombuffer(x.as_buffer(), np.uint64) for c in t["held"].chunks for x in c]))
-
-    forest = blocks(shared.where(F.col("n") > pair_bucket), "n", group_bucket).select("key", "i", "j", "node", "bits").groupBy("key", "i", "j").applyInArrow(group, "a long, b long")
+    forest = group_edges(shared.where(F.col("n") > pair_bucket), "key", "n", group_bucket, _candidates)
     met = connected_components(pairs.union(forest)).join(distinct.select("node", "least", "size", "bits"), "node")
     weights = met.groupBy("root").agg(F.greatest(F.count("*"), F.ceil(F.sum("size") / 200)).alias("n"))  # a row of 200 shingles, or less, weighs one
     wanted = met.select(F.col("least").alias("__least")).distinct()
     texts = docs.join(wanted, F.col(id_col).cast("long").eqNullSafe(F.col("__least")), "left_semi")
     sets = shingle_sets(texts, "node long, held binary", words, id_col, text_col).groupBy("node").agg(F.first("held").alias("held"))
-    whole = blocks(met.select("node", "root", "bits").join(weights, "root").join(sets, "node"), "n", group_bucket)
-    linked = whole.select("root", "i", "j", "node", "bits", "held").groupBy("root", "i", "j").applyInArrow(exact, "a long, b long")
+    linked = group_edges(met.select("node", "root", "bits").join(weights, "root").join(sets, "node"), "root", "n", group_bucket, _similar_sets)
     classes = distinct.join(connected_components(linked), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     named = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     return marks.select("doc_id", "node").join(classes.join(named, "root").select("node", "component_id"), "node").select("doc_id", "component_id")

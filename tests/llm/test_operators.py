@@ -126,8 +126,10 @@ def test_similar_is_exact_at_its_threshold(spark, sf):
     sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
     likeness = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j]) if sets[i] or sets[j] else 1.0
     assert sum(0.7 <= likeness(i, j) < 0.8 for i in range(168) for j in range(i)) > 50
-    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    assert [got[i] for i in range(len(texts))] == brute_components(len(texts), lambda i, j: likeness(i, j) >= 0.8)
+    want, docs = brute_components(len(texts), lambda i, j: likeness(i, j) >= 0.8), spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for options in ({}, {"pair_bucket": 1, "group_bucket": 3}):  # small groups, and all through leads and blocks
+        got = {r.doc_id: r.component_id for r in simhash.similar(docs, **options).collect()}
+        assert [got[i] for i in range(len(texts))] == want
 
 
 def test_similar_loses_no_link_of_large_buckets(spark):
