@@ -71,14 +71,14 @@ def average_rank_pct(order: Column, *partition: Column | str) -> Column:
     return (first + (ties - 1) / 2) / F.count("*").over(whole)
 
 
-def running(df: DataFrame, by: str, *sums: str, pieces: int | None = None, cuts: list[float] | None = None) -> DataFrame:
+def running(df: DataFrame, by: str, *sums: str, pieces: int | None = None, cuts: list[float] | None = None, source: DataFrame | None = None) -> DataFrame:
     """``df`` (one row for each value of ``by``) with ``<sum>_upto`` for each of ``sums``: its total over the values up to the row's own.
 
-    Values are dealt into ranges, at ``cuts`` or by approximate quantiles, ``pieces`` of them (four for each shuffle partition by default), so that no task sorts them all; a range's total, one row
-    each, is then added to the ranges after it.
+    Values are dealt into ranges, at ``cuts`` or by approximate quantiles of ``df`` or of its ``source`` (the rows that it was counted from), ``pieces`` of them (four for each shuffle partition by
+    default), so that no task sorts them all; a range's total, one row each, is then added to the ranges after it.
     """
     n = pieces or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted(set(cuts)) if cuts is not None else sorted(set(df.select(F.percentile_approx(by, [i / n for i in range(1, n)], 20 * n)).first()[0] or [])) if n > 1 else []
+    cuts = sorted(set(cuts)) if cuts is not None else sorted(set((df if source is None else source).select(F.percentile_approx(by, [i / n for i in range(1, n)], 20 * n)).first()[0] or [])) if n > 1 else []
     table, steps = F.array(*map(F.lit, cuts)), [1 << k for k in reversed(range(len(cuts).bit_length()))]
     at = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda s, k: F.when((s + k <= len(cuts)) & (F.try_element_at(table, s + k) <= F.col(by)), s + k).otherwise(s)) if cuts else F.lit(0)
     dealt = df.withColumn("__range", at)
@@ -118,5 +118,5 @@ def ks_distance(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     both = a.select(F.col(column).alias("x"), F.lit(1).alias("one"), F.lit(0).alias("two")).unionAll(b.select(column, F.lit(0), F.lit(1))).where(F.col("x").isNotNull())
     steps = both.groupBy("x").agg(F.sum("one").alias("a"), F.sum("two").alias("b"))
     total = steps.agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"))
-    run = running(steps, "x", "a", "b").select(F.col("a_upto").alias("ca"), F.col("b_upto").alias("cb")).crossJoin(F.broadcast(total))
+    run = running(steps, "x", "a", "b", source=both).select(F.col("a_upto").alias("ca"), F.col("b_upto").alias("cb")).crossJoin(F.broadcast(total))
     return run.groupBy("n1", "n2").agg(F.round(F.max(F.abs(F.col("ca") / F.col("n1") - F.col("cb") / F.col("n2"))), 6).alias("d")).select("d", "n1", "n2")
