@@ -19,7 +19,7 @@ HALVES = 2
 #: The longest word length that still adds weight.
 LONGEST = 16
 #: About so many bytes of text make a bucket of neighbouring documents, or more where that would be over MOST_BUCKETS buckets: a larger bucket is sorted on disk, and none is held in memory.
-BUCKET_BYTES, MOST_BUCKETS = 2 << 20, 1 << 16
+BUCKET_BYTES, MOST_BUCKETS = 512 << 10, 1 << 16
 #: Keys drawn for each bucket, on average, by size.
 DRAWN = 32
 #: Fingerprints in a block table's bucket up to which pairs are compared (a second's work); beyond it, hubs.
