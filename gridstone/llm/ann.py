@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import written
 
 LEVELS = 16
+#: Vectors that are gathered at a time to be ranked again.
+RERANK_BYTES = 64 << 20
 
 
 def scaled(x: np.ndarray) -> np.ndarray:
@@ -157,7 +159,7 @@ def usable(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding")
     return both.where(F.col("vec_id").isNotNull() & F.col("vec").isNotNull()).where(finite & F.exists("vec", lambda x: x != 0))
 
 
-def nearest(base: DataFrame, queries: DataFrame, k: int = 5, sample: int = 8192, list_rows: int = 1024, block_rows: int = 4096, block_queries: int = 256, rerank: int = 160) -> DataFrame:
+def nearest(base: DataFrame, queries: DataFrame, k: int = 5, sample: int = 8192, list_rows: int = 1024, block_rows: int = 4096, block_queries: int = 256, rerank: int = 512) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the nearest ``k`` found for each query, by cosine, ties to the smaller id.
 
     ``base`` and ``queries`` have ``(vec_id, vec)``, as from ``usable``. A query's own id is no candidate. Vectors that haven't the dimension of most of ``base`` (of equally
@@ -218,7 +220,9 @@ def nearest(base: DataFrame, queries: DataFrame, k: int = 5, sample: int = 8192,
             rough[query_id[:, None] == vec_id[None]] = -np.inf
             top = np.argpartition(-rough, min(rerank, len(vec_id)) - 1, axis=1)[:, :rerank]
             x, q = scaled(x), scaled(q)
-            exact = np.einsum("qd,qrd->qr", q, x[top]) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[top])
+            few, size = max(1, RERANK_BYTES // (8 * x.shape[1] * top.shape[1])), np.linalg.norm(x, axis=1)
+            exact = np.concatenate([np.einsum("qd,qrd->qr", q[i : i + few], x[top[i : i + few]]) for i in range(0, len(q), few)])
+            exact /= np.linalg.norm(q, axis=1)[:, None] * size[top]
             own = vec_id[top] == query_id[:, None]
             order = np.lexsort((vec_id[top], -np.where(own, -np.inf, exact)))
             if len(np.unique(vec_id)) < len(vec_id):  # ids with several vectors: all but their best go behind the others
