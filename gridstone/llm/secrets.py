@@ -113,7 +113,7 @@ def sample_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, int, int,
         if good:
             body = pick((
                 lambda: chars(hexa, pick((32, 40, 64))), lambda: chars(b64, int(rng.integers(20, 64))), lambda: chars(low + up + num, int(rng.integers(16, 48))), lambda: chars(hexa, pick((32, 40, 64))).upper(),
-                lambda: pick(("AKIA", "ASIA")) + chars(up + num, 16), lambda: pick(("ghp_", "gho_", "glpat-", "npm_", "hf_")) + chars(low + up + num, 36), lambda: pick(("sk_live_", "rk_live_")) + chars(low + up + num, 24), lambda: "eyJ" + chars(b64, 60),
+                lambda: pick(("AKIA", "ASIA")) + chars(up + pick((num, num, num, "")), 16), lambda: pick(("ghp_", "gho_", "glpat-", "npm_", "hf_")) + chars(low + up + num, 36), lambda: pick(("sk_live_", "rk_live_")) + chars(low + up + num, 24), lambda: "eyJ" + chars(b64, 60),
                 lambda: chars(low + up + num + "!%&", int(rng.integers(10, 18))),
             ))()
             bare = body.startswith(PREFIXES) and rng.random() < 0.5
