@@ -280,19 +280,19 @@ def _near_lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(near)], names=[*names, "near"])
 
 
-def group_edges(members: DataFrame, key: str, size: str, most: int, forest: Callable[[pa.Table], pa.Table]) -> DataFrame:
+def group_edges(members: DataFrame, sizes: DataFrame, key: str, size: str, most: int, forest: Callable[[pa.Table], pa.Table]) -> DataFrame:
     """``(a, b)``: edges that connect all that alike rows of a group connect, from ``members(key, size, node, bits[, held])``; ``forest`` gives them for a table of rows.
 
     A group of up to ``most`` by its ``size`` is one task's. In a larger one all rows are first compared with the one of the least node. Those alike with it are connected through it, so only
     the others are left to be compared: they are dealt into blocks, and each row of the group meets each of those blocks, in tasks of about ``most`` rows. So no pair is left out, and the work grows
-    with the rows times those that are unlike the lead (few, in groups of copies with edits), not with all pairs.
+    with the rows times those that are unlike the lead (few, in groups of copies with edits), not with all pairs. ``sizes`` are the groups' sizes from a cheaper table: where none is large, ``members`` is
+    read once only.
     """
     payload = [c for c in ("bits", "held") if c in members.columns]
     light = members.where(F.col(size) <= most).select(key, F.lit(0).alias("i"), F.lit(0).alias("j"), "node", *payload)
-    parts = F.ceil(F.col(size) * 2 / most).cast("int")
-    heavy = written(members.where(F.col(size) > most).select(key, "node", *payload, parts.alias("parts"), F.pmod(F.xxhash64("node", F.lit(7)), parts).cast("int").alias("i")), "similar-heavy")
-    star = None
-    if heavy.limit(1).count():
+    star, parts = None, F.ceil(F.col(size) * 2 / most).cast("int")
+    if sizes.where(F.col(size) > most).limit(1).count():
+        heavy = written(members.where(F.col(size) > most).select(key, "node", *payload, parts.alias("parts"), F.pmod(F.xxhash64("node", F.lit(7)), parts).cast("int").alias("i")), "similar-heavy")
         first = heavy.groupBy(key).agg(F.min("node").alias("lead"), F.min_by(F.struct(*payload), "node").alias("x"), F.max("parts").alias("parts"))
         # once for each block of the group, so that no task joins a whole group
         leads = first.select(key, "lead", *(F.col(f"x.{c}").alias(f"lead_{c}") for c in payload), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"))
@@ -326,13 +326,13 @@ def similar(docs: DataFrame, words: int = 5, pair_bucket: int = 8, group_bucket:
     side = lambda n, v: light.select("key", F.col("node").alias(n), F.col("bits").alias(v))
     pairs = side("a", "x").join(side("b", "y"), "key").where((F.col("a") < F.col("b")) & (apart <= CANDIDATE_BITS)).select("a", "b")
 
-    forest = group_edges(shared.where(F.col("n") > pair_bucket), "key", "n", group_bucket, _candidates)
+    forest = group_edges(shared.where(F.col("n") > pair_bucket), shared, "key", "n", group_bucket, _candidates)
     met = connected_components(pairs.union(forest)).join(distinct.select("node", "least", "size", "bits"), "node")
     weights = met.groupBy("root").agg(F.greatest(F.count("*"), F.ceil(F.sum("size") / 200)).alias("n"))  # a row of 200 shingles, or less, weighs one
     wanted = met.select(F.col("least").alias("__least")).distinct()
     texts = docs.join(wanted, F.col(id_col).cast("long").eqNullSafe(F.col("__least")), "left_semi")
     sets = shingle_sets(texts, "node long, held binary", words, id_col, text_col).groupBy("node").agg(F.first("held").alias("held"))
-    linked = group_edges(met.select("node", "root", "bits").join(weights, "root").join(sets, "node"), "root", "n", group_bucket, _similar_sets)
+    linked = group_edges(met.select("node", "root", "bits").join(weights, "root").join(sets, "node"), weights, "root", "n", group_bucket, _similar_sets)
     classes = distinct.join(connected_components(linked), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     named = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     return marks.select("doc_id", "node").join(classes.join(named, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
