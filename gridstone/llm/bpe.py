@@ -26,7 +26,10 @@ from pyspark.sql import functions as F
 _LAST = 0xE000
 #: Texts of these code points are split here; others by the library's own normaliser and splitter, as Unicode versions differ.
 _PLAIN = regex.compile(r"[\x00-ɏ]*")
+#: What a worker keeps: so many words of at most so many characters, and so many pairs. Longer words are encoded each time.
 CACHE_WORDS = 400_000
+CACHE_LENGTH = 100
+CACHE_PAIRS = 1_000_000
 
 
 def _byte_symbols() -> dict[int, str]:
@@ -36,48 +39,29 @@ def _byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-class Bpe:
-    """A byte-level BPE vocabulary in the tokenizers library's JSON format, read on each worker from ``path``."""
+class Merges:
+    """The tokens of a BPE vocabulary in the tokenizers library's JSON format, in the order of their making, and which of them may stand side by side."""
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, spec: dict):
         model = spec["model"]
         self.suffix = model.get("end_of_word_suffix") or ""
         self.vocab: dict[str, int] = model["vocab"]
-        self.symbol = {chr(b): c for b, c in _byte_symbols().items()}
-        self.library = Tokenizer.from_file(path)
-        self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.words = regex.compile(pattern)
-
         spelt = {t: self._spell(t) for t in self.vocab}
         rank = {(a, b): i for i, (a, b) in enumerate(tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"])}
         # tokens in the order of their making: symbols, then merges by rank
         made = {a + b: (a, b) for a, b in rank}
         order = sorted(self.vocab, key=lambda t: (t in made, rank[made[t]] if t in made else 0, self.vocab[t]))
-        self.place = {t: i for i, t in enumerate(order)}
+        place = {t: i for i, t in enumerate(order)}
         self.ids = [self.vocab[t] for t in order]
-        self.length = [len(spelt[t]) for t in order]
-        self.halves = [tuple(self.place[x] for x in made[t]) if t in made else None for t in order]
-        self.joined = {(self.place[a], self.place[b]): self.place[a + b] for a, b in rank}
+        self.spelt = [spelt[t] for t in order]
+        self.length = [len(s) for s in self.spelt]
+        self.halves = [tuple(place[x] for x in made[t]) if t in made else None for t in order]
+        self.joined = {(place[a], place[b]): place[a + b] for a, b in rank}
         self.trie = ahocorasick.Automaton()
-        for t, i in self.place.items():
-            self.trie.add_word(spelt[t], i)
+        for i, s in enumerate(self.spelt):
+            self.trie.add_word(s, i)
         self.trie.make_automaton()
-        at = {spelt[t]: i for t, i in self.place.items()}
-        self.shorter = []
-        for t in order:
-            s = spelt[t]
-            self.shorter.append(next((at[s[:n]] for n in range(len(s) - 1, 0, -1) if s[:n] in at), -1))
         self.fits: dict[tuple[int, int], bool] = {}
-        #: Ids of words as they stand in texts, and of words in byte symbols; one spelling can occur in both with other ids.
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.symbol_cache: dict[str, tuple[int, ...]] = {}
-        self._offset_table(spec)
 
     def _spell(self, token: str) -> str:
         """One character a symbol; the last of a word end is moved to a private range."""
@@ -86,21 +70,6 @@ class Bpe:
             return body[:-1] + chr(_LAST + ord(body[-1]))
         return token
 
-    def _offset_table(self, spec: dict) -> None:
-        """All tokens' output bytes end to end, and where each id's begin."""
-        byte = {c: b for b, c in _byte_symbols().items()}
-        level = (spec.get("decoder") or {}).get("type") == "ByteLevel"
-        size = max([*self.vocab.values(), *self.special.values()]) + 1
-        out = [b""] * size
-        for t, i in self.vocab.items():
-            out[i] = bytes(byte[c] for c in t) if level else t.encode()
-        for t, i in self.special.items():
-            out[i] = t.encode()
-        self.joint = b"" if level else b" "
-        parts = [x + self.joint for x in out]
-        self.blob = np.frombuffer(b"".join(parts), np.uint8)
-        self.starts = np.concatenate(([0], np.cumsum(np.fromiter(map(len, parts), np.int64, size))))
-
     def compatible(self, a: int, b: int) -> bool:
         """Whether BPE of the two tokens' joint symbols gives a, b. Memoised.
 
@@ -110,7 +79,7 @@ class Bpe:
         key = (a, b)
         if (known := self.fits.get(key)) is not None:
             return known
-        if len(self.fits) > 4_000_000:
+        if len(self.fits) >= CACHE_PAIRS:
             self.fits.clear()
         undone, good = len(self.ids), True
         left, right = a, b
@@ -129,6 +98,44 @@ class Bpe:
         self.fits[key] = good
         return good
 
+
+class Bpe(Merges):
+    """A byte-level BPE vocabulary with a splitter of its own, read on each worker from ``path``."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        super().__init__(spec)
+        self.symbol = {chr(b): c for b, c in _byte_symbols().items()}
+        self.library = Tokenizer.from_file(path)
+        self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+        self.words = regex.compile(pattern)
+        at = {t: i for i, t in enumerate(self.spelt)}
+        self.shorter = [next((at[s[:n]] for n in range(len(s) - 1, 0, -1) if s[:n] in at), -1) for s in self.spelt]
+        #: Ids of words as they stand in texts, and of words in byte symbols; one spelling can occur in both with other ids.
+        self.cache: dict[str, tuple[int, ...]] = {}
+        self.symbol_cache: dict[str, tuple[int, ...]] = {}
+        self._offset_table(spec)
+
+    def _offset_table(self, spec: dict) -> None:
+        """All tokens' output bytes end to end, and where each id's begin."""
+        byte = {c: b for b, c in _byte_symbols().items()}
+        level = (spec.get("decoder") or {}).get("type") == "ByteLevel"
+        size = max([*self.vocab.values(), *self.special.values()]) + 1
+        out = [b""] * size
+        for t, i in self.vocab.items():
+            out[i] = bytes(byte[c] for c in t) if level else t.encode()
+        for t, i in self.special.items():
+            out[i] = t.encode()
+        self.joint = b"" if level else b" "
+        parts = [x + self.joint for x in out]
+        self.blob = np.frombuffer(b"".join(parts), np.uint8)
+        self.starts = np.concatenate(([0], np.cumsum(np.fromiter(map(len, parts), np.int64, size))))
+
     def encode_word(self, word: str) -> tuple[int, ...]:
         """Ids of one word, already in byte symbols, the last one moved if the vocabulary marks word ends."""
         n, trie, length = len(word), self.trie, self.length
@@ -172,9 +179,11 @@ class Bpe:
             spelt = word if symbols else word.encode().decode("latin-1").translate(self._table)
             if self.suffix:
                 spelt = spelt[:-1] + chr(_LAST + ord(spelt[-1]))
-            if len(cache) >= CACHE_WORDS:
-                cache.clear()
-            found = cache[word] = self.encode_word(spelt)
+            found = self.encode_word(spelt)
+            if len(word) <= CACHE_LENGTH:
+                if len(cache) >= CACHE_WORDS:
+                    cache.clear()
+                cache[word] = found
         return found
 
     @property
@@ -232,7 +241,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
             ids = [bpe.encode(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.decode(x) for x in ids], pa.string())], names=["doc_id", "ids", "decoded"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -250,4 +259,4 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                 second.append(sha(bpe.decode(ids)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
