@@ -21,7 +21,7 @@ from .common import written
 WINDOW = 2048
 #: White space in a row beyond which a text goes to the library: the fast splitter's stack overflows at about a million characters.
 LONG_SPACE = 100_000
-_SPACES = re.compile(rf"\s{{{LONG_SPACE}}}")
+_SPACES = re.compile(rf"(?<!\s)\s{{{LONG_SPACE}}}")  # looked for at the beginning of a run only, so in linear time
 _LOADED: dict = {}
 
 
