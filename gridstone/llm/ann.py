@@ -27,6 +27,21 @@ from .common import written
 LEVELS = 16
 #: Vectors that are gathered at a time to be ranked again.
 RERANK_BYTES = 64 << 20
+#: Products of vectors with all centres that are held at a time.
+CELL_BYTES = 64 << 20
+
+
+def _near(x: np.ndarray, centres: np.ndarray, k: int) -> np.ndarray:
+    """The ``k`` centres of largest product for each row, the largest first, in blocks of rows."""
+    out, few = np.empty((len(x), k), np.int64), max(1, CELL_BYTES // (8 * len(centres)))
+    for at in range(0, len(x), few):
+        score = x[at : at + few] @ centres.T
+        if k == 1:
+            out[at : at + few, 0] = score.argmax(1)
+            continue
+        top = np.sort(np.argpartition(-score, k - 1, axis=1)[:, :k], axis=1) if k < len(centres) else np.broadcast_to(np.arange(k), score.shape)
+        out[at : at + few] = np.take_along_axis(top, np.argsort(-np.take_along_axis(score, top, 1), axis=1, kind="stable"), 1)
+    return out
 
 
 def scaled(x: np.ndarray) -> np.ndarray:
@@ -43,7 +58,7 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -
     """Spherical k-means; an empty cell takes over a random point."""
     centres = x[rng.choice(len(x), k, replace=len(x) < k)].copy()
     for _ in range(rounds):
-        cell = (x @ centres.T).argmax(1)
+        cell = _near(x, centres, 1)[:, 0]
         total = np.zeros_like(centres)
         np.add.at(total, cell, x)
         empty = np.bincount(cell, minlength=k) == 0
@@ -69,7 +84,7 @@ class Codebook:
         return np.pad(x, ((0, 0), (0, self.padded - x.shape[1])))
 
     def cells(self, x: np.ndarray) -> np.ndarray:
-        return (x @ self.coarse.T).argmax(1)
+        return _near(x, self.coarse, 1)[:, 0]
 
     def encode(self, x: np.ndarray, cell: np.ndarray, passes: int = 2) -> np.ndarray:
         """Codes by coordinate descent on |r|^2 + (eta - 1) <r, x>^2, r being what is left of the residual."""
@@ -140,7 +155,7 @@ def _probes(book: Codebook, sample: np.ndarray, target: float, k: int, rng: np.r
     score = sample[picks] @ sample.T
     score[np.arange(len(picks)), picks] = -np.inf
     best = np.argsort(-score, axis=1)[:, : min(k, len(sample) - 1)]
-    order = np.argsort(-(sample[picks] @ book.coarse.T), axis=1)
+    order = _near(sample[picks], book.coarse, len(book.coarse))
     place = np.empty_like(order)
     np.put_along_axis(place, order, np.arange(order.shape[1])[None], 1)
     needed = np.sort(np.take_along_axis(place, book.cells(sample)[best], 1).ravel())
@@ -196,7 +211,7 @@ def nearest(base: DataFrame, queries: DataFrame, k: int = 5, sample: int = 8192,
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
-                near = np.argsort(-(unit(_matrix(batch.column(1))) @ shared.value.coarse.T), axis=1)[:, : shared.value.probes]
+                near = _near(unit(_matrix(batch.column(1))), shared.value.coarse, min(shared.value.probes, len(shared.value.coarse)))
                 rank = pa.ListArray.from_arrays(pa.array(np.arange(len(near) + 1) * near.shape[1], pa.int32()), pa.array(near.ravel(), pa.int32()))
                 yield pa.RecordBatch.from_arrays([*batch.columns, rank], names=["query_id", "q", "cells"])
 
