@@ -27,12 +27,19 @@ _NAME = r"(?:password|passwd|pwd|secret|token|(?:api|secret|access|private|signi
 _NAMED = re.compile(rf"(?i){_NAME}\s{{0,3}}[\"']?(?!{_NAME})((?:(?!&[a-z_][\w.\-]*=)[^\s\"'<>,;]){{{SHORT},}})")  # up to the next parameter of an address
 #: Words that name a secret, and words that name something else of that look (fixed values).
 NAMING = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "api-key", "key", "auth", "bearer", "credential", "private")
-OTHER = ("commit", "sha", "sha256", "md5", "checksum", "digest", "hash", "etag", "uuid", "guid", "id", "version", "revision", "build", "isbn", "card", "phone", "integrity")
+OTHER = ("commit", "sha", "sha256", "md5", "checksum", "digest", "hash", "etag", "uuid", "guid", "id", "version", "revision", "build", "isbn", "card", "phone", "integrity", "list", "playlist", "video", "cid", "ipfs", "fingerprint", "thumbprint", "asset", "mappings", "serial", "blob", "image", "src", "certificate", "crt", "cert", "publickey", "public_key", "pubkey")
+#: Ends of names that tell of something else; first characters of public encodings; and schemes of public keys (fixed values).
+OTHER_ENDS = ("hash", "digest", "checksum", "etag", "integrity", "fingerprint", "_id", "-id", "_sha", "version", "publickey", "public_key", "certificate", "playlist")
+PUBLIC = ("Qm", "bafy", "bafk", "PL", "UU", "sha1-", "sha256-", "sha384-", "sha512-", "AAAA", "iVBOR", "R0lGOD", "PHN2Zy", "/9j/", "W/", "AAAB")
+SCHEMES = re.compile(r"(?:ssh-(?:rsa|dss|ed25519)|ecdsa-sha2-nistp\d+|ssh-ed25519-cert\S*)\s+$")
+_URI, _HEADER = re.compile(r"(?i)data:[\w.+-]*/?[\w.+-]*(?:;[\w=.-]+)*;base64,\s*$"), re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]{1,40})-----")
+#: How far before a candidate the head of its block is looked for.
+BLOCK = 16_384
 PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "glpat-", "xoxb-", "xoxp-", "sk_live_", "rk_live_", "AIza", "eyJ", "npm_", "hf_")
 #: Words of program texts, of which the default findings are made, and the dictionary where none is given (fixed values).
 WORDS = frozenset("account action address admin all and api app archive asset auth backup base build button cache center class client code color com commit common config container content control count data date default delete demo dev directory document download en error event example false field file files filter first font form from function group header height help home id img index info input internal item key language layout left length line link list local log login main manager master media menu message method mobile model module name network next node none number object online open option order output package page panel password path pipeline placeholder point position post prod product profile project property public query read record release request resource response result right role root row sample script search section secret select server service session set setting size source spark src start state static status storage store string style sub system tab table target template test text the theme this time title token tool top train true type update url user users value version video web window with world your".split())
 
-FEATURES = ("length", "kinds", "switches", "case switches", "digits", "uppers", "hex", "entropy", "most common", "runs", "pairs", "known words", "prefix", "signs", "in path", "assigned", "quoted", "naming word", "other word", "near naming")
+FEATURES = ("length", "kinds", "switches", "case switches", "digits", "uppers", "hex", "entropy", "most common", "runs", "pairs", "known words", "prefix", "signs", "in path", "assigned", "quoted", "naming word", "other word", "near naming", "public start", "public scheme", "data address", "block", "whole line")
 
 
 def dictionary(path: str) -> frozenset[str]:
@@ -75,28 +82,58 @@ def _covered(s: str, known: Collection[str]) -> float:
     return good / len(s)
 
 
+def _block(text: str, start: int) -> float:
+    """1 inside a private key's block, -1 inside another one (a certificate, a public key), 0 outside of any."""
+    last = None
+    if text.rfind("-----BEGIN ", max(0, start - BLOCK), start) >= 0:
+        for last in _HEADER.finditer(text, max(0, start - BLOCK), start):
+            pass
+    return 0.0 if last is None or last[1] == "END" else 1.0 if "PRIVATE" in last[2] else -1.0
+
+
+def _shape(s: str, chunk: int = 1 << 20) -> tuple[list[int], int, int, int, int, list[int]]:
+    """``(characters of each kind, changes of kind, changes of case, longest run, different pairs, counts of characters)``, in chunks so that a long candidate takes little memory."""
+    alphabet = np.array(sorted(map(ord, set(s))), np.uint32)
+    kind_of = np.array([_kind(chr(c)) for c in alphabet], np.int8)
+    count, kinds, switches, cases, longest, edge, pairs = np.zeros(len(alphabet), np.int64), [0] * 4, 0, 0, 1, 0, np.empty(0, np.int64)
+    for at in range(0, len(s), chunk):
+        code = np.searchsorted(alphabet, np.frombuffer(s[at : at + chunk + 1].encode("utf-32-le", "surrogatepass"), "<u4"))  # one more, to see the pair across the border
+        count += np.bincount(code[:chunk], minlength=len(alphabet))
+        kind = kind_of[code]
+        changed = kind[1:] != kind[:-1]
+        switches += int(changed.sum())
+        cases += int((changed & (kind[1:] < 2) & (kind[:-1] < 2)).sum())
+        pairs = np.union1d(pairs, code[:-1] * len(alphabet) + code[1:])
+        edges = np.flatnonzero(code[1:] != code[:-1]) + at + 1
+        if len(edges):
+            longest, edge = max(longest, int(np.diff(edges, prepend=edge).max())), int(edges[-1])
+    for k in range(4):
+        kinds[k] = int(count[kind_of == k].sum())
+    return kinds, switches, cases, max(longest, len(s) - edge), len(pairs), count.tolist()
+
+
 def describe(text: str, start: int, length: int, known: Collection[str] = WORDS) -> list[float]:
     """The features of a candidate, as named in FEATURES."""
     s = text[start : start + length]
-    kinds = [_kind(c) for c in s]
-    steps = list(zip(kinds, kinds[1:]))
-    count = [s.count(c) for c in set(s)]
+    kinds, switches, cases, longest, pairs, count = _shape(s)
     n = len(s)
     before, after = text[max(0, start - 60) : start], text[start + length : start + length + 30]
     words = re.findall(r"[A-Za-z][A-Za-z_\-]*\d*", before.lower())[-5:]
     last = words[-2:]
     return [
-        min(n, 120), len(set(kinds)), sum(a != b for a, b in steps) / max(n - 1, 1), sum({a, b} == {0, 1} for a, b in steps) / max(n - 1, 1),
-        kinds.count(2) / n, kinds.count(1) / n, sum(c in "0123456789abcdefABCDEF" for c in s) / n, -sum(x / n * math.log2(x / n) for x in count), max(count) / n,
-        max(len(m[0]) for m in re.finditer(r"(.)\1*", s, re.S)), len({s[i : i + 2] for i in range(n - 1)}) / max(n - 1, 1), _covered(s, known), float(s.startswith(PREFIXES)),
-        sum(c in "-_/" for c in s) / n, float(bool(re.search(r"[/\\.@]$|://\S*$", before)) or after[:1] in ("/", "@") or s.count("/") > 1 or "." in after[:1] and after[1:2].isalpha()),
+        min(n, 120), sum(k > 0 for k in kinds), switches / max(n - 1, 1), cases / max(n - 1, 1),
+        kinds[2] / n, kinds[1] / n, sum(s.count(c) for c in "0123456789abcdefABCDEF") / n, -sum(x / n * math.log2(x / n) for x in count), max(count) / n,
+        longest, pairs / max(n - 1, 1), _covered(s, known), float(s.startswith(PREFIXES)),
+        sum(s.count(c) for c in "-_/") / n, float(bool(re.search(r"[/\\.@]$|://\S*$", before)) or after[:1] in ("/", "@") or s.count("/") > 1 or "." in after[:1] and after[1:2].isalpha()),
         float(bool(re.search(r"[:=]\s*[\"']?$", before))), float(before[-1:] in "\"'" and before[-1:] != "" and after[:1] == before[-1:]),
-        float(any(w in NAMING or w.endswith(("token", "secret", "password", "_key")) for w in last)), float(any(w in OTHER for w in last)), float(any(w in NAMING for w in words)),
+        float(any(w in NAMING or w.endswith(("token", "secret", "password", "_key")) for w in last)), float(any(w in OTHER or w.endswith(OTHER_ENDS) for w in last)), float(any(w in NAMING for w in words)),
+        float(s.startswith(PUBLIC)), float(bool(SCHEMES.search(before)) or bool(re.match(r"sha(?:1|224|256|384|512)-", s))), float(bool(_URI.search(before))), _block(text, start),
+        float((not before or before[-1] == "\n") and (not after or after[0] in "\r\n")),
     ]
 
 
 def sample_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, int, int, int]]:
-    """``n`` labelled findings ``(text, start, length, is_secret)`` made from rules; the same at every call."""
+    """``n`` labelled findings ``(text, start, length, is_secret)`` made from rules, and half as many of public encodings and secrets of the same look; the same at every call."""
     rng = np.random.default_rng(seed)
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
     chars = lambda alphabet, k: "".join(alphabet[i] for i in rng.integers(0, len(alphabet), k))
@@ -151,6 +188,28 @@ def sample_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, int, int,
                 body = pick(words) + pick(("", "_", "-")) + pick(words) + pick(("", "_id", "-name"))
                 left, right = prose(2) + " " + name + sign, " " + prose(2)
         out.append((left + body + right, len(left), len(body), int(good)))
+    for i in range(n // 2):  # public things of the same look, and secrets beside them
+        prose = lambda k: " ".join("".join(pick(syllables) for _ in range(int(rng.integers(1, 5)))) for _ in range(k))
+        size, quote, url = int(rng.integers(20, 90)), pick(('"', '"', "'")), b64 + "-_"
+        wrapped = lambda head, first: f"{prose(2)}\n-----BEGIN {head}-----\n" + first + "".join(chars(b64, 64) + "\n" for _ in range(int(rng.integers(0, 24))))
+        left, body, right, good = pick((
+            lambda: (pick(('<img src="', "url(", "href='", prose(2) + " ")) + "data:" + pick(("image/png", "image/gif", "image/svg+xml", "font/woff2", "application/pdf", "text/plain;charset=utf-8")) + ";base64,", pick(("iVBORw0KGgo", "R0lGODlh", "/9j/", "PHN2Zy", "d09GMg", "")) + chars(b64, size + int(rng.integers(0, 200))), pick(('"', ")", "'", " ")) + prose(2), 0),
+            lambda: (pick((f"integrity={quote}", f"{quote}integrity{quote}: {quote}", "integrity ", prose(2) + " ")), pick(("sha256-", "sha384-", "sha512-", "sha1-")) + chars(b64, pick((27, 43, 64, 86))) + pick(("=", "==", "")), quote + " crossorigin " + prose(1), 0),
+            lambda: (prose(1) + pick((" ssh-rsa ", "\nssh-rsa ", " ssh-ed25519 ", " ecdsa-sha2-nistp256 ")), pick(("AAAAB3NzaC1yc2E", "AAAAC3NzaC1lZDI1NTE5", "AAAAE2VjZHNhLXNoYTItbmlzdHAyNTY")) + chars(b64, size + 40), pick((" ann@example.com", " user@host ", "\n")) + prose(2), 0),
+            lambda: (wrapped(pick(("CERTIFICATE", "CERTIFICATE", "PUBLIC KEY", "CERTIFICATE REQUEST", "RSA PUBLIC KEY", "PGP SIGNATURE")), pick(("", "MII" + chars(b64, 61) + "\n"))), chars(b64, pick((64, 64, 64, int(rng.integers(16, 64))))), "\n" + pick(("", chars(b64, 64) + "\n")), 0),
+            lambda: (prose(2) + " {" + quote + pick(("contentHash", "content_hash", "fileHash", "hash", "digest", "checksum", "bodyDigest", "sourceHash", "treeHash", "integrity")) + f"{quote}: {quote}", chars(b64, pick((22, 27, 43, 86))) + pick(("=", "==", "")), quote + pick(("}", ", ")) + prose(2), 0),
+            lambda: (prose(2) + pick(("\nETag: ", " etag: ", " If-None-Match: ", " ETag=")) + pick(('"', 'W/"')), chars(pick((hexa, url, b64)), int(rng.integers(16, 44))), '"\n' + prose(2), 0),
+            lambda: (prose(2) + pick((" ipfs://", " /ipfs/", " cid: ", " https://www.example.com/ipfs/", " ")), pick(("Qm" + chars(low + up + num, 44), "bafy" + chars(low + "234567", 55))), pick((" ", "/readme ", "\n")) + prose(2), 0),
+            lambda: (prose(2) + pick((" https://www.example.com/playlist?list=", " https://www.example.com/watch?v=abc&list=", " playlist: ", " list=")), pick(("PL", "UU", "OL")) + chars(url.replace("+/", ""), pick((16, 22, 32))), pick((" ", "&index=2 ", "\n")) + prose(2), 0),
+            lambda: (prose(1) + pick((' "mappings": "', ' "names":[],"mappings":"')), "".join(pick(("AAA", "CAC", "EAA", "GAI", "IAC", "SAA", "QAG")) + chars(up, 1) for _ in range(size // 2)), pick((",", ";")) + "AAAA", 0),
+            lambda: (prose(2) + pick((" /assets/", " /static/js/", " main.", " bundle-", " chunk-")), pick(words) + pick(("-", ".", "_")).replace(".", "-") + chars(pick((hexa, low + num)), pick((16, 20, 32))), pick((".js", ".css", ".png", ".woff2")) + " " + prose(1), 0),
+            lambda: (wrapped(pick(("PRIVATE KEY", "RSA PRIVATE KEY", "EC PRIVATE KEY", "OPENSSH PRIVATE KEY", "ENCRYPTED PRIVATE KEY")), pick(("", "MII" + chars(b64, 61) + "\n"))), chars(b64, pick((64, 64, 64, int(rng.integers(20, 64))))), "\n" + pick(("", chars(b64, 64) + "\n")), 1),
+            lambda: (prose(2) + pick((" Authorization: Bearer ", " authorization: Basic ", " -H 'Authorization: Bearer ", " Authorization: token ")), chars(pick((b64, url, hexa)), size) , pick(("\n", "' ", " ")) + prose(2), 1),
+            lambda: (prose(2) + " {" + quote + pick(("clientSecret", "apiKey", "accessToken", "privateKey", "secretKey", "refresh_token", "password", "api_secret")) + f"{quote}: {quote}", chars(pick((b64, url, hexa, low + up + num)), size) + pick(("", "=", "==")), quote + pick(("}", ", ")) + prose(2), 1),
+            lambda: (prose(1) + pick((" AccountKey=", " SharedAccessKey=", " account_key = ", " storage_key: ")), chars(b64, pick((43, 86))) + pick(("=", "==")), pick((";", " ", "\n")) + prose(2), 1),
+            lambda: (prose(1) + pick((" export ", "\n", " ENV ")) + pick(("GITHUB_TOKEN=", "AWS_SECRET_ACCESS_KEY=", "DB_PASSWORD=", "STRIPE_SECRET=", "SESSION_SECRET=", "API_TOKEN=")), chars(pick((b64, low + up + num, url)), int(rng.integers(20, 60))), pick(("\n", " ")) + prose(2), 1),
+        ))()
+        out.append((left + body + right, len(left), len(body), good))
     return out
 
 
