@@ -133,7 +133,7 @@ def mine(rows: DataFrame, anchors: Column, positives: int = 5, negatives: int =
                     if not windows:
                         continue
                     s = score[i - a]
-                    which = np.flatnonzero((s >= min(w[1] for w in windows)) & (s <= max(w[2] for w in windows)) & (labels != own_label[i]))
+                    which = np.flatnonzero((s >= min(w[1] for w in windows)) & (s <= max(w[2] for w in windows)) & (labels != own_label[i]) & (ids != own[i]))
                     which = which[np.argsort(-s[which], kind="stable")]
                     down = -s[which]
                     for p, least, most in windows:
