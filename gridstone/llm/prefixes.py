@@ -12,6 +12,8 @@ word), a contraction, or the string of a special token.
 from __future__ import annotations
 
 import json
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,45 +22,67 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import _PLAIN, CACHE_LENGTH, CACHE_WORDS, Merges, _byte_symbols
+from .bpe import _PLAIN, CACHE_LENGTH, CACHE_PAIRS, CACHE_WORDS, Merges, _byte_symbols
 
 #: The splitter of byte-level vocabularies, and its contractions of which a prefix splits in two.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LONG_CONTRACTIONS = ("'re", "'ve", "'ll")
 
 
+class _ByteMerges(Merges):
+    """Tokens spelt as their bytes, one character each, so that words need no translation."""
+
+    _byte = {c: chr(b) for b, c in _byte_symbols().items()}
+
+    def _spell(self, token: str) -> str:
+        return "".join(map(self._byte.__getitem__, token))
+
+
 class _Words(dict):
     """Counts of a word's prefixes, one for each character, as little-endian numbers of 32 bits; words of moderate length are kept."""
 
     def __init__(self, merges: Merges):
         super().__init__()
         self.merges = merges
-        self.symbols = {b: c for b, c in _byte_symbols().items() if chr(b) != c}
+        self.fits: dict[int, bool] = {}
 
     def __missing__(self, word: str) -> bytes:
-        found = self.counts(word).astype("<u4").tobytes()
+        found = self.counts(word)
         if len(word) <= CACHE_LENGTH:
             if len(self) >= CACHE_WORDS:
                 self.clear()
             self[word] = found
         return found
 
-    def counts(self, word: str) -> np.ndarray:
-        raw = word.encode()
-        n, length, compatible = len(raw), self.merges.length, self.merges.compatible
-        last, count = [-1] * (n + 1), [0] * (n + 1)
-        for end, token in self.merges.trie.iter(raw.decode("latin-1").translate(self.symbols)):
-            if last[end + 1] < 0:
-                before = end + 1 - length[token]
-                if not before or compatible(last[before], token):
-                    last[end + 1], count[end + 1] = token, count[before] + 1
-        found = np.array(count[1:], np.int64)
+    def counts(self, word: str) -> bytes:
+        spelt = word if word.isascii() else word.encode().decode("latin-1")
+        n, length, fits = len(spelt), self.merges.length, self.fits
+        last, count = [0] * (n + 1), [0] * (n + 1)
+        for end, token in self.merges.trie.iter(spelt):
+            end += 1
+            if count[end]:
+                continue
+            before = end - length[token]
+            if before:
+                pair = last[before] << 24 | token
+                good = fits.get(pair)
+                if good is None:
+                    if len(fits) >= CACHE_PAIRS:
+                        fits.clear()
+                    good = fits[pair] = self.merges.compatible(last[before], token)
+                if not good:
+                    continue
+            last[end], count[end] = token, count[before] + 1
+        del count[0]
         if word in LONG_CONTRACTIONS:
-            found[1] = 2
-        if n == len(word):
-            return found
-        follows = np.frombuffer(raw, np.uint8) & 0xC0 == 0x80
-        return found[np.append(~follows[1:], True)]  # at the last byte of each character
+            count[1] = 2
+        found = array("I", count)
+        if sys.byteorder == "big":
+            found.byteswap()
+        if spelt is word:
+            return found.tobytes()
+        follows = np.frombuffer(spelt.encode("latin-1"), np.uint8) & 0xC0 == 0x80
+        return np.frombuffer(found.tobytes(), "<u4")[np.append(~follows[1:], True)].tobytes()  # at the last byte of each character
 
 
 class PrefixCounts:
@@ -74,7 +98,7 @@ class PrefixCounts:
         plain = spec["model"]["type"] == "BPE" and level.get("type") == "ByteLevel" and level.get("use_regex") and not level.get("add_prefix_space") and not spec.get("normalizer") and not spec["model"].get("end_of_word_suffix") and not spec["model"].get("ignore_merges")
         if not plain or any(x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"] for x in added):
             raise ValueError(f"{path} is not a plain byte-level BPE vocabulary")
-        self.words, self.split = _Words(Merges(spec)), regex.compile(SPLIT)
+        self.words, self.split = _Words(_ByteMerges(spec)), regex.compile(SPLIT)
         self.runs = regex.compile(r"(?<!\s)\s{2,}+(?=\S)")
         self.library = Tokenizer.from_file(path).pre_tokenizer
         special = sorted((x["content"] for x in added), key=len, reverse=True)
