@@ -49,31 +49,34 @@ def _keyed(vocabulary: DataFrame) -> DataFrame:
     return vocabulary.select("word", "n", F.array_distinct(letters).alias("letters"), key.alias("key"), F.length("word").alias("size"))
 
 
-def _halves(word: Column, size: Column, cut: Column) -> Column:
-    """The parts before and behind a cut of the longer or equal word, each with its side, hashed: what a near word shares one of."""
-    return F.array(F.xxhash64(F.lit(0), F.substring(word, F.lit(1), cut)), F.xxhash64(F.lit(1), F.substring(word, cut + 1, size)))
+def _meeting(kind: int, key: Column, size: Column, *halves: Column) -> Column:
+    """One number for a key, a length and each half of a word: what a near word shares one of. (Equal numbers of unlike things only add candidates.)"""
+    return F.explode(F.array(*(F.xxhash64(F.lit(2 * kind + i), key, size, half) for i, half in enumerate(halves))))
 
 
 def near_pairs(vocabulary: DataFrame) -> DataFrame:
     """``(a, b, b_n)``, both ways: different words of ``(word, n)`` that differ by exactly one added, removed or replaced letter.
 
-    A word of L letters (d of them different) has 2 d reduced keys and 2 own ones. Words meet only in equi-joins on key and half; what meets is verified by Levenshtein distance.
+    A word of L letters (d of them different) has 2 d reduced keys for either join, and 2 own ones. Words meet only in equi-joins on key, length and half; what meets is verified by Levenshtein distance.
     """
     keyed = _keyed(vocabulary)
+    word, size = F.col("word"), F.col("size")
+    before = lambda cut: F.substring(word, F.lit(1), cut)
+    behind = lambda cut: F.substring(word, cut + 1, size)
     reduced = keyed.select("word", "n", "size", "key", F.explode("letters").alias("letter")).withColumn("key", F.pmod(F.col("key") - _value(F.col("letter")), F.lit(MODULUS)))
-    # one letter replaced: both words lack it, and agree before or behind the middle
-    middle = (F.col("size") / 2).cast("int")
-    parts = reduced.select("word", "n", "size", "key", "letter", F.explode(_halves(F.col("word"), F.col("size"), middle)).alias("half"))
-    other = parts.select("key", "size", "half", F.col("word").alias("b"), F.col("n").alias("b_n"), F.col("letter").alias("b_letter"))
-    replaced = parts.join(other, ["key", "size", "half"]).where("letter != b_letter AND word != b").select(F.col("word").alias("a"), "n", "b", "b_n")
+    # one letter replaced: both words lack it, and agree before or behind the middle; anagrams lack the same one
+    middle = (size / 2).cast("int")
+    parts = reduced.select("word", "n", F.ascii("letter").alias("letter"), _meeting(0, F.col("key"), size, before(middle), behind(middle)).alias("met"))
+    one, two = parts.alias("one"), parts.alias("two")
+    replaced = one.join(two, F.col("one.met") == F.col("two.met")).where("one.letter < two.letter").select(F.col("one.word").alias("a"), F.col("one.n").alias("n"), F.col("two.word").alias("b"), F.col("two.n").alias("b_n"))
     # one letter removed from the longer word: its reduced key is the shorter one's key; the shorter word's middle cuts both
-    cut = ((F.col("size") - 1) / 2).cast("int")
-    behind = F.array(F.xxhash64(F.lit(0), F.substring(F.col("word"), F.lit(1), cut)), F.xxhash64(F.lit(1), F.substring(F.col("word"), cut + 2, F.col("size"))))
-    longer = reduced.select("key", (F.col("size") - 1).alias("size"), F.col("word").alias("a"), "n", F.explode(behind).alias("half"))
-    shorter = keyed.select("key", "size", F.col("word").alias("b"), F.col("n").alias("b_n"), F.explode(_halves(F.col("word"), F.col("size"), middle)).alias("half"))
-    removed = longer.join(shorter, ["key", "size", "half"]).select("a", "n", "b", "b_n")
-    added = removed.select(F.col("b").alias("a"), F.col("b_n").alias("n"), F.col("a").alias("b"), F.col("n").alias("b_n"))
-    return replaced.union(removed).union(added).where(F.levenshtein("a", "b", 1) == 1).select("a", "b", "b_n").distinct()
+    cut = ((size - 1) / 2).cast("int")
+    longer = reduced.select(word.alias("a"), "n", _meeting(1, F.col("key"), size - 1, before(cut), behind(cut + 1)).alias("met"))
+    shorter = keyed.select(word.alias("b"), F.col("n").alias("b_n"), _meeting(1, F.col("key"), size, before(middle), behind(middle)).alias("met"))
+    removed = longer.join(shorter, "met").select("a", "n", "b", "b_n")
+    pairs = replaced.union(removed).where(F.levenshtein("a", "b", 1) == 1).distinct()
+    sides = F.array(F.struct("a", "b", "b_n"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("n").alias("b_n")))
+    return pairs.select(F.explode(sides).alias("pair")).select("pair.*")
 
 
 def variants(vocabulary: DataFrame, ratio: int = 2) -> DataFrame:
