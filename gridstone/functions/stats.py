@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,14 +64,6 @@ def mann_kendall(series: DataFrame, key: str, at: str, value: str) -> DataFrame:
     return out.select(key, "n", "s", F.round("z", 4).alias("z"), F.round("p", 4).alias("p"), F.round(F.when(n > 1, 2.0 * F.col("s") / (n * (n - 1))).otherwise(0.0), 4).alias("tau"), trend.alias("trend"))
 
 
-def average_rank_pct(order: Column, *partition: Column | str) -> Column:
-    """Rank over count with ties given their average rank, which is not SQL's percent_rank."""
-    whole = Window.partitionBy(*partition)
-    first = F.rank().over(whole.orderBy(order))
-    ties = F.count("*").over(Window.partitionBy(*partition, order))
-    return (first + (ties - 1) / 2) / F.count("*").over(whole)
-
-
 def running(df: DataFrame, by: str, *sums: str, pieces: int | None = None, cuts: list[float] | None = None, source: DataFrame | None = None) -> DataFrame:
     """``df`` (one row for each value of ``by``) with ``<sum>_upto`` for each of ``sums``: its total over the values up to the row's own.
 
@@ -120,3 +113,69 @@ def ks_distance(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     total = steps.agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"))
     run = running(steps, "x", "a", "b", source=both).select(F.col("a_upto").alias("ca"), F.col("b_upto").alias("cb")).crossJoin(F.broadcast(total))
     return run.groupBy("n1", "n2").agg(F.round(F.max(F.abs(F.col("ca") / F.col("n1") - F.col("cb") / F.col("n2"))), 6).alias("d")).select("d", "n1", "n2")
+
+
+def matched(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """A join on ``keys`` in which nulls are equal, with the keys of ``left``."""
+    named = right.select(*(F.col(k).alias(f"__{k}") for k in keys), *(c for c in right.columns if c not in keys))
+    met = F.lit(True)
+    for k in keys:
+        met = met & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return left.join(named, met, how).drop(*(f"__{k}" for k in keys))
+
+
+def grouped_quantiles(df: DataFrame, by: Sequence[str], wanted: dict[str, tuple[str | Column, float]], pieces: int = 64) -> DataFrame:
+    """``(*by, *wanted)``: exact quantiles (with interpolation) of columns by group, nulls left out; null where a group has no values.
+
+    No buffer and no task holds a group's values: equal values are counted together, approximate edges cut each group into ``pieces``, the counts of the pieces tell which of them hold the wanted ranks, and
+    only those are put in order. A hot group is spread over its values for counting and over its pieces for ordering.
+    """
+    by, columns = list(by), {}
+    for value, _ in wanted.values():
+        columns.setdefault(value if isinstance(value, str) else value._jc.toString(), F.col(value) if isinstance(value, str) else value)
+    place = {name: i for i, name in enumerate(columns)}
+    which = {name: (place[v if isinstance(v, str) else v._jc.toString()], q) for name, (v, q) in wanted.items()}
+    values = F.filter(F.array(*(F.struct(F.lit(i).alias("c"), x.cast("double").alias("x")) for i, x in enumerate(columns.values()))), lambda s: s["x"].isNotNull())
+    long = df.select(*by, F.explode(values).alias("__v")).select(*by, F.col("__v.c").alias("__c"), F.col("__v.x").alias("__x"))
+    keys = [*by, "__c"]
+    counted = long.groupBy(*keys, "__x").agg(F.count("*").alias("__n"))
+    edges = long.groupBy(*keys).agg(F.percentile_approx("__x", [i / pieces for i in range(1, pieces)], 8 * pieces).alias("__edges"), F.count("*").alias("__size"))
+    # how many edges lie below a value: ranks stay in order whatever the edges are
+    binned = matched(counted, edges, keys).select(*keys, "__x", "__n", "__size", F.size(F.filter("__edges", lambda e: e < F.col("__x"))).alias("__bin"))
+    totals = binned.groupBy(*keys, "__bin", "__size").agg(F.sum("__n").alias("__sum"))
+    before = F.coalesce(F.sum("__sum").over(Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    asked = sorted(set(which.values()))
+    rank = lambda q: q * (F.col("__size") - 1)
+    holds = F.lit(False)
+    for c, q in asked:
+        for edge in (F.floor(rank(q)), F.ceil(rank(q))):
+            holds = holds | ((F.col("__c") == c) & (edge >= F.col("__before")) & (edge < F.col("__before") + F.col("__sum")))
+    held = totals.withColumn("__before", before).where(holds).select(*keys, "__bin", "__before")
+    inside = matched(binned, held, [*keys, "__bin"])
+    upto = F.sum("__n").over(Window.partitionBy(*keys, "__bin").orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)) + F.col("__before")
+    least = lambda c, edge: F.min(F.when((F.col("__c") == c) & (F.col("__upto") > edge), F.col("__x")))
+    picked = inside.withColumn("__upto", upto).groupBy(*by).agg(
+        *(least(c, F.floor(rank(q))).alias(f"__lo{i}") for i, (c, q) in enumerate(asked)), *(least(c, F.ceil(rank(q))).alias(f"__hi{i}") for i, (c, q) in enumerate(asked)),
+        *(F.max(F.when(F.col("__c") == c, rank(q) - F.floor(rank(q)))).alias(f"__part{i}") for i, (c, q) in enumerate(asked)),
+    )
+    mixed = lambda i: (1 - F.col(f"__part{i}")) * F.col(f"__lo{i}") + F.col(f"__part{i}") * F.col(f"__hi{i}")
+    return picked.select(*by, *(mixed(asked.index(which[name])).alias(name) for name in wanted))
+
+
+def summarised(df: DataFrame, by: Sequence[str], quantiles: dict[str, tuple[str | Column, float]], *others: Column) -> DataFrame:
+    """``(*by, *others, *quantiles)``: ordinary aggregates of each group beside its exact quantiles."""
+    return matched(df.groupBy(*by).agg(*(others or (F.count("*").alias("n"),))), grouped_quantiles(df, by, quantiles), by, "left")
+
+
+def average_ranks(df: DataFrame, column: str, out: str, cuts: list[float] | None = None, salt: int = 16) -> DataFrame:
+    """``df`` with ``out``: the rank of ``column`` over the whole table divided by the number of rows, ties at their average rank; rows with a null have none.
+
+    Equal values are counted together, counts are summed range by range, and rows look their value's rank up by the value and a salt, so a frequent value's rows are dealt over ``salt`` tasks.
+    """
+    per = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("__n"))
+    total = per.agg(F.sum("__n").alias("__total"))
+    upto = running(per, column, "__n", cuts=cuts, source=df)
+    rank = (F.col("__n_upto") - F.col("__n") + 1 + (F.col("__n") - 1) / 2) / F.col("__total")
+    ranks = upto.crossJoin(F.broadcast(total)).select(F.col(column).alias("__value"), rank.alias(out), F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("__salt"))
+    salted = df.withColumn("__own", F.pmod(F.xxhash64(*df.columns), F.lit(salt)).cast("int"))
+    return salted.join(ranks, (F.col(column) == F.col("__value")) & (F.col("__own") == F.col("__salt")), "left").drop("__own", "__value", "__salt")

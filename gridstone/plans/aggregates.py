@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import iqr_keep, mann_kendall, median, normal_cdf_sql, quantile, share
+from ..functions.stats import grouped_quantiles, iqr_keep, mann_kendall, median, normal_cdf_sql, quantile, share, summarised
 from .base import listings, query, r, table
 
 _SPATIAL = "count(*) AS n, round(median(price), 2) AS median_price, round(avg(price), 2) AS mean_price, min(price) AS min_price, max(price) AS max_price, round(median(surface), 2) AS median_surface, round(median(ppm2), 2) AS median_ppm2, round(avg(ppm2), 2) AS mean_ppm2"
@@ -13,10 +13,11 @@ _SPATIAL = "count(*) AS n, round(median(price), 2) AS median_price, round(avg(pr
 
 def spatial(df: DataFrame, *by: str) -> DataFrame:
     """Count, price, surface and price-per-m2 statistics of each zone."""
-    return df.groupBy(*by).agg(
-        F.count("*").alias("n"), r(median("price"), 2).alias("median_price"), r(F.avg("price"), 2).alias("mean_price"), F.min("price").alias("min_price"), F.max("price").alias("max_price"),
-        r(median("surface"), 2).alias("median_surface"), r(median("ppm2"), 2).alias("median_ppm2"), r(F.avg("ppm2"), 2).alias("mean_ppm2"),
+    x = summarised(
+        df, by, {"mp": ("price", 0.5), "ms": ("surface", 0.5), "mu": ("ppm2", 0.5)},
+        F.count("*").alias("n"), F.avg("price").alias("ap"), F.min("price").alias("min_price"), F.max("price").alias("max_price"), F.avg("ppm2").alias("au"),
     )
+    return x.select(*by, "n", r("mp", 2).alias("median_price"), r("ap", 2).alias("mean_price"), "min_price", "max_price", r("ms", 2).alias("median_surface"), r("mu", 2).alias("median_ppm2"), r("au", 2).alias("mean_ppm2"))
 
 
 @query(f"SELECT city, {_SPATIAL} FROM listing GROUP BY city", True)
@@ -95,7 +96,8 @@ def a7_dom_stats(spark: SparkSession, d: str) -> DataFrame:
 @query(", g AS (SELECT city, property_type, median(price) FILTER (status = 'O') / 100 AS rent, median(price) FILTER (status = 'F') AS sale, count(*) FILTER (status = 'O') AS rents, count(*) FILTER (status = 'F') AS sales FROM listing GROUP BY ALL) SELECT city, property_type, rents, sales, round(1200 * rent / sale, 2) AS gross, round(0.75 * round(1200 * rent / sale, 2), 4) AS net, CASE WHEN round(1200 * rent / sale, 2) >= 12.1 THEN 'excellent' WHEN round(1200 * rent / sale, 2) >= 12 THEN 'good' WHEN round(1200 * rent / sale, 2) >= 11.5 THEN 'fair' ELSE 'weak' END AS verdict FROM g WHERE rents >= 2 AND sales >= 2 AND rent <= 0.02 * sale", True)
 def a8_rental_yield(spark: SparkSession, d: str) -> DataFrame:
     rent, sale = F.col("status") == "O", F.col("status") == "F"
-    g = listings(spark, d).groupBy("city", "property_type").agg((median(F.when(rent, F.col("price"))) / 100).alias("rent"), median(F.when(sale, F.col("price"))).alias("sale"), F.count_if(rent).alias("rents"), F.count_if(sale).alias("sales"))
+    split = listings(spark, d).select("city", "property_type", "status", F.when(rent, F.col("price")).alias("let"), F.when(sale, F.col("price")).alias("sold"))
+    g = summarised(split, ["city", "property_type"], {"rent": ("let", 0.5), "sale": ("sold", 0.5)}, F.count_if(rent).alias("rents"), F.count_if(sale).alias("sales")).withColumn("rent", F.col("rent") / 100)
     kept = g.where("rents >= 2 and sales >= 2 and rent <= 0.02 * sale").withColumn("gross", r(1200 * F.col("rent") / F.col("sale"), 2))
     verdict = F.when(F.col("gross") >= 12.1, "excellent").when(F.col("gross") >= 12, "good").when(F.col("gross") >= 11.5, "fair").otherwise("weak")
     return kept.select("city", "property_type", "rents", "sales", "gross", r(0.75 * F.col("gross"), 4).alias("net"), verdict.alias("verdict"))
@@ -143,7 +145,11 @@ def a11_city_emergence_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT city, count(*) AS n, round(avg(price), 2) AS mean_price, round(median(price), 2) AS median_price, round(stddev(price), 2) AS sd_price, min(price) AS min_price, max(price) AS max_price, round(avg(surface), 2) AS mean_surface, round(avg(rooms), 2) AS mean_rooms FROM listing GROUP BY city HAVING count(*) >= 3", True)
 def a12_price_model_city_stats(spark: SparkSession, d: str) -> DataFrame:
-    return listings(spark, d).groupBy("city").agg(F.count("*").alias("n"), r(F.avg("price"), 2).alias("mean_price"), r(median("price"), 2).alias("median_price"), r(F.stddev_samp("price"), 2).alias("sd_price"), F.min("price").alias("min_price"), F.max("price").alias("max_price"), r(F.avg("surface"), 2).alias("mean_surface"), r(F.avg("rooms"), 2).alias("mean_rooms")).where("n >= 3")
+    x = summarised(
+        listings(spark, d), ["city"], {"median_price": ("price", 0.5)},
+        F.count("*").alias("n"), r(F.avg("price"), 2).alias("mean_price"), r(F.stddev_samp("price"), 2).alias("sd_price"), F.min("price").alias("min_price"), F.max("price").alias("max_price"), r(F.avg("surface"), 2).alias("mean_surface"), r(F.avg("rooms"), 2).alias("mean_rooms"),
+    )
+    return x.where("n >= 3").withColumn("median_price", r("median_price", 2))
 
 
 _QUARTERS = "WITH q AS (SELECT n_name AS zone, date_trunc('quarter', o_orderdate)::DATE AS quarter, median(o_totalprice) AS v FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY ALL) "
@@ -156,7 +162,7 @@ def zoned_orders(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_QUARTERS + ", x AS (SELECT zone, quarter, v, lag(v, 4) OVER (PARTITION BY zone ORDER BY quarter) AS earlier, row_number() OVER (PARTITION BY zone ORDER BY quarter DESC) AS k FROM q) SELECT zone, quarter, round(v, 2) AS latest, round(earlier, 2) AS year_ago, round((v - earlier) / earlier * 100, 2) AS yoy FROM x WHERE k = 1")
 def a13_year_on_year(spark: SparkSession, d: str) -> DataFrame:
-    q = zoned_orders(spark, d).groupBy("zone", F.date_trunc("quarter", "at").cast("date").alias("quarter")).agg(median("price").alias("v"))
+    q = grouped_quantiles(zoned_orders(spark, d).withColumn("quarter", F.date_trunc("quarter", "at").cast("date")), ["zone", "quarter"], {"v": ("price", 0.5)})
     w = Window.partitionBy("zone")
     x = q.withColumns({"e": F.lag("v", 4).over(w.orderBy("quarter")), "k": F.row_number().over(w.orderBy(F.desc("quarter")))}).where("k = 1")
     return x.select("zone", "quarter", r("v", 2).alias("latest"), r("e", 2).alias("year_ago"), r((F.col("v") - F.col("e")) / F.col("e") * 100, 2).alias("yoy"))
@@ -166,7 +172,8 @@ _MONTHS = "WITH m AS (SELECT n_name AS zone, date_trunc('month', o_orderdate)::D
 
 
 def monthly(spark: SparkSession, d: str) -> DataFrame:
-    return zoned_orders(spark, d).groupBy("zone", F.date_trunc("month", "at").cast("date").alias("month")).agg(median("price").alias("med"), F.avg("price").alias("mean"), F.count("*").alias("n"))
+    x = zoned_orders(spark, d).withColumn("month", F.date_trunc("month", "at").cast("date"))
+    return summarised(x, ["zone", "month"], {"med": ("price", 0.5)}, F.avg("price").alias("mean"), F.count("*").alias("n"))
 
 
 @query(_MONTHS + "SELECT zone, month, round(mean, 2) AS mean_price FROM m")

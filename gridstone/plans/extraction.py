@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions.stats import average_rank_pct, median, quantile
+from ..functions.stats import average_ranks, median, quantile
 from ..functions.text import any_of, how_many, jaccard, tokens
 from .base import listings, query, r, table
 
@@ -194,14 +194,15 @@ def p8_trust_features(spark: SparkSession, d: str) -> DataFrame:
 _ROI = "round(least(greatest(12 * greatest(price * (CASE property_type WHEN 'SMALL' THEN 0.068 WHEN 'LARGE' THEN 0.057 WHEN 'ECONOMY' THEN 0.038 ELSE 0.062 END - CASE WHEN ppm2 > 2500 THEN 0.01 ELSE 0 END) / 12, 150) / price, 0.048), 0.092), 6)"
 
 
-@query(f", f AS (SELECT url, part, seller, city, {_ROI}::DOUBLE AS roi FROM listing WHERE price BETWEEN 9500 AND 80000 AND surface >= 5), k AS (SELECT *, rank() OVER (PARTITION BY city ORDER BY roi) AS a, count(*) OVER (PARTITION BY city, roi) AS t, count(*) OVER (PARTITION BY city) AS n FROM f) SELECT url, part, seller, roi, round((a + (t - 1) / 2) / n, 6) AS roi_norm FROM k", True)
+@query(f", f AS (SELECT url, part, seller, city, {_ROI}::DOUBLE AS roi FROM listing WHERE price BETWEEN 9500 AND 80000 AND surface >= 5), k AS (SELECT *, rank() OVER (ORDER BY roi) AS a, count(*) OVER (PARTITION BY roi) AS t, count(*) OVER () AS n FROM f) SELECT url, part, seller, roi, round((a + (t - 1) / 2) / n, 6) AS roi_norm FROM k", True)
 def p9_investment_features(spark: SparkSession, d: str) -> DataFrame:
-    """Yield by type, rent with a floor, clipped return, and its average rank within the city (the whole table would need one task for the rank)."""
+    """Yield by type, rent with a floor, clipped return, and its average rank over the whole table."""
     rate = F.when(F.col("property_type") == "SMALL", 0.068).when(F.col("property_type") == "LARGE", 0.057).when(F.col("property_type") == "ECONOMY", 0.038).otherwise(0.062) - F.when(F.col("ppm2") > 2500, 0.01).otherwise(0.0)
     rent = F.greatest(F.col("price") * rate / 12, F.lit(150.0))
     roi = r(F.least(F.greatest(12 * rent / F.col("price"), F.lit(0.048)), F.lit(0.092)), 6)
     x = listings(spark, d).where("price between 9500 and 80000 and surface >= 5").select("url", "part", "seller", "city", roi.alias("roi"))
-    return x.select("url", "part", "seller", "roi", r(average_rank_pct(F.col("roi"), "city"), 6).alias("roi_norm"))
+    cuts = [0.048 + i * (0.092 - 0.048) / 256 for i in range(1, 256)]  # returns are clipped to these bounds
+    return average_ranks(x, "roi", "roi_norm", cuts).select("url", "part", "seller", "roi", r("roi_norm", 6).alias("roi_norm"))
 
 
 @query("SELECT p_partkey AS id, concat_ws(' | ', left(p_name, 60), nullif(p_type, 'SMALL'), left(p_brand, 6)) AS text FROM part")

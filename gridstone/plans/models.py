@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import difflib
-import math
 
 import numpy as np
 import pandas as pd
@@ -12,18 +11,20 @@ from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassif
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import exact_quantiles, median
+from ..functions import arima, semantic, trees
+from ..functions.stats import exact_quantiles, grouped_quantiles, median
 from ..functions.text import cosine
 from ..operators import dedup
+from ..operators.vectors import cosine_pairs
 from ..session import shared_folder
 from .aggregates import monthly
 from .base import listings, query, r, table
-from .scoring import _INVEST, invest
+from .scoring import _INVEST, _trust, invest
 
 # forecasts ---------------------------------------------------------------------------------------------------
 
@@ -68,46 +69,30 @@ def t6_forecast_with_trend(spark: SparkSession, d: str) -> DataFrame:
     return f.select("zone", r(change).alias("change"), F.when(change > 0.02, "up").when(change < -0.02, "down").otherwise("stable").alias("trend"), r("width", 2).alias("width"))
 
 
-def seasonal(pdf: pd.DataFrame, season: int = 4, horizon: int = 6) -> pd.DataFrame:
-    """ARIMA of order (1,1,1) with a seasonal (1,1,0) part: differences, then AR terms at lags 1 and the season and one MA term, by conditional sum of squares on a grid of the MA term."""
+SEASONAL = "zone string, step long, value double, fitted double, forecast double, low double, high double, aic double, bic double, adf double, adf_p double, growth double"
+
+
+def seasonal(pdf: pd.DataFrame, season: int = 4, horizon: int = 6, least: int = 8) -> pd.DataFrame:
+    """A zone's model of order (1, 1, 1) with a seasonal part (1, 1, 0) by exact likelihood: history with one-step predictions at steps up to 0, forecasts with a band of 95 % beyond; AIC, BIC, the unit-root test and growth on each row."""
     pdf = pdf.sort_values("quarter")
     y = pdf["v"].to_numpy(float)
-    out = pd.DataFrame(columns=["zone", "step", "forecast", "low", "high", "aic"])
-    if len(y) < 3 * season:
-        return out
-    w = np.diff(y)
-    z = w[season:] - w[:-season]
-    best = None
-    for theta in np.linspace(-0.9, 0.9, 19):
-        e = np.zeros(len(z))
-        rows = np.array([[z[t - 1], z[t - season]] for t in range(season, len(z))])
-        target = z[season:].copy()
-        for _ in range(2):
-            phi = np.linalg.lstsq(rows, target - theta * e[season - 1 : -1], rcond=None)[0]
-            for t in range(season, len(z)):
-                e[t] = z[t] - rows[t - season] @ phi - theta * e[t - 1]
-        sse = float((e[season:] ** 2).sum())
-        if best is None or sse < best[0]:
-            best = (sse, theta, phi, e.copy())
-    sse, theta, phi, e = best
-    n = len(z) - season
-    sigma = math.sqrt(sse / max(n, 1))
-    zs, ws, ys, last = list(z), list(w), list(y), e[-1]
-    rows = []
-    for h in range(1, horizon + 1):
-        nz = phi[0] * zs[-1] + phi[1] * zs[-season] + (theta * last if h == 1 else 0)
-        zs.append(nz)
-        ws.append(nz + ws[-season])
-        ys.append(ys[-1] + ws[-1])
-        band = 1.96 * sigma * math.sqrt(h)
-        rows.append((pdf["zone"].iloc[0], h, round(ys[-1], 2), round(ys[-1] - band, 2), round(ys[-1] + band, 2), round(n * math.log(max(sse / max(n, 1), 1e-12)) + 8, 2)))
-    return pd.DataFrame(rows, columns=out.columns)
+    names = [c.split()[0] for c in SEASONAL.split(", ")]
+    if len(y) < max(least, season + 3):
+        return pd.DataFrame(columns=names)
+    model = arima.fit(y, season)
+    mean, error = model.forecast(horizon)
+    tau, p = arima.dickey_fuller(y)
+    past, none = pd.DataFrame({"step": range(1 - len(y), 1), "value": y, "fitted": model.fitted()}), np.nan
+    ahead = pd.DataFrame({"step": range(1, horizon + 1), "forecast": mean, "low": mean - 1.959964 * error, "high": mean + 1.959964 * error})
+    out = pd.concat([past, ahead], ignore_index=True).assign(aic=model.aic, bic=model.bic, adf=tau, adf_p=p, growth=(mean[-1] / y[-1] - 1) * 100 if y[-1] else none)
+    return out.round({"value": 2, "fitted": 2, "forecast": 2, "low": 2, "high": 2, "aic": 2, "bic": 2, "adf": 4, "adf_p": 4, "growth": 2}).assign(zone=pdf["zone"].iloc[0])[names]
 
 
 @query()
 def t8_seasonal_model(spark: SparkSession, d: str) -> DataFrame:
+    """One zone's quarters are a task's, which is bounded by time, not by rows."""
     q = monthly(spark, d).groupBy("zone", F.date_trunc("quarter", "month").cast("date").alias("quarter")).agg(F.avg("med").alias("v"))
-    return q.groupBy("zone").applyInPandas(lambda p: seasonal(p), "zone string, step long, forecast double, low double, high double, aic double")
+    return q.groupBy("zone").applyInPandas(lambda p: seasonal(p), SEASONAL)
 
 
 @query(_QUADRATIC + ", g AS (SELECT zone, max_by(forecast, step) AS ahead FROM f GROUP BY zone), w AS (SELECT zone, max_by(y, month) AS now FROM m GROUP BY zone HAVING count(*) >= 8) SELECT zone, round(greatest(ahead, now), 2) AS projected, round(greatest(0.02, least(0.18, ahead / now - 1)), 4)::DOUBLE AS roi FROM w JOIN g USING (zone)")
@@ -151,12 +136,31 @@ def _listing_frame(spark: SparkSession, d: str) -> DataFrame:
     return x.select("url", "city", "property_type", "label", *_FEATURES)
 
 
+#: The nine features of the trust classifier.
+TRUST_FEATURES = ["price", "surface", "ppm2", "bedrooms", "bathrooms", "source_code", "city_code", "text_length", "has_place"]
+
+
+def trust_frame(x: DataFrame, top: int = 20) -> DataFrame:
+    """Listings with the nine features: unknown counts of rooms are -1, sources and cities are numbered by how common they are, cities beyond the ``top`` are one."""
+    common = x.groupBy("city").count().orderBy(F.desc("count"), "city").limit(top).select(F.col("city").alias("__city"), F.lit(True).alias("__common"))
+    y = x.join(F.broadcast(common), F.col("city") == F.col("__city"), "left").withColumn("place", F.when(F.col("__common"), F.col("city")).otherwise("other"))
+    for name, out in (("source", "source_code"), ("place", "city_code")):
+        codes = y.groupBy(name).count().select(F.col(name).alias("__key"), (F.row_number().over(Window.orderBy(F.desc("count"), name)) - 1).cast("double").alias(out))  # a row a source, at most top + 1 places
+        y = y.join(F.broadcast(codes), F.col(name).eqNullSafe(F.col("__key")), "left").drop("__key")
+    return y.withColumns({
+        "bedrooms": F.coalesce(F.col("rooms").cast("double"), F.lit(-1.0)), "bathrooms": F.lit(-1.0), "text_length": F.coalesce(F.length("title"), F.lit(0)).cast("double"), "has_place": F.col("city").isNotNull().cast("double"),
+        "price": F.coalesce("price", F.lit(0.0)), "surface": F.coalesce(F.col("surface").cast("double"), F.lit(0.0)), "ppm2": F.coalesce("ppm2", F.lit(0.0)),
+    }).drop("__city", "__common")
+
+
 @query()
 def m1_trust_classifier(spark: SparkSession, d: str) -> DataFrame:
-    x = VectorAssembler(inputCols=_FEATURES, outputCol="features").transform(_listing_frame(spark, d))
+    """Boosted trees on nine features; the label is whether the source is the trusted one, as no trained weights are given."""
+    x = trust_frame(listings(spark, d)).withColumn("label", (F.col("source") == "N").cast("double"))
+    x = VectorAssembler(inputCols=TRUST_FEATURES, outputCol="features").transform(x)
     model = GBTClassifier(maxIter=5, maxDepth=3, seed=1, subsamplingRate=0.5).fit(x)
     p = vector_to_array(F.col("probability"))[1]
-    return model.transform(x).select("url", r(p).alias("trust"), (p >= 0.6).alias("reliable"))
+    return model.transform(x).select("url", r(p).alias("trust"), (p >= 0.6).alias("reliable"), r(F.greatest(p, 1 - p)).alias("confidence"))
 
 
 @query()
@@ -197,65 +201,84 @@ def m11_price_forest(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(scores, "metric string, value double").withColumn("value", r("value"))
 
 
-@query()
-def r17_price_estimate(spark: SparkSession, d: str) -> DataFrame:
-    x = VectorAssembler(inputCols=["surface", "rooms_"], outputCol="features").transform(_listing_frame(spark, d).withColumn("label", F.col("price")))
-    model = RandomForestRegressor(numTrees=10, maxDepth=5, seed=1).fit(x)
-    c = x.groupBy("city").agg(median("surface").alias("surface"), median("rooms_").alias("rooms_"), median("price").alias("now"))
-    return model.transform(VectorAssembler(inputCols=["surface", "rooms_"], outputCol="features").transform(c)).select("city", r("prediction", 2).alias("estimate"), r(F.col("prediction") / F.col("now") - 1).alias("delta"))
+ESTIMATE = "city string, surface double, predicted double, low double, high double, confidence long, price_m2 double, city_median double, city_ppm2 double, delta_pct double, budget_delta double, surface_possible double"
 
 
-def isolation_trees(x: np.ndarray, trees: int = 50, size: int = 256, seed: int = 1) -> list:
-    """Isolation trees on bounded subsamples, as nested (feature, edge, left, right) or leaf sizes."""
-    rng = np.random.default_rng(seed)
+def estimates(asked: DataFrame, forest: trees.Trees, rmse: float, budget: float) -> DataFrame:
+    """``asked`` rows (city, surface, rooms_, and the city's med, ppm2) with the forest's mean, a band of 1.28 deviations of its trees or half the error on held-out rows if that is wider, and what a budget buys."""
 
-    def grow(rows: np.ndarray, depth: int):
-        lo, hi = rows.min(0), rows.max(0)
-        wide = np.flatnonzero(hi > lo)
-        if len(rows) <= 1 or depth >= 8 or not len(wide):
-            return float(len(rows))
-        f = int(rng.choice(wide))
-        edge = float(rng.uniform(lo[f], hi[f]))
-        low = rows[:, f] < edge
-        return f, edge, grow(rows[low], depth + 1), grow(rows[~low], depth + 1)
+    def run(batches):
+        for pdf in batches:
+            each = forest.each(pdf[["surface", "rooms_"]].to_numpy(float))
+            mean, sd = each.mean(0), each.std(0)
+            half = np.maximum(1.28 * sd, 0.5 * rmse)
+            surface, known = pdf["surface"].to_numpy(float), mean > 0
+            yield pd.DataFrame({
+                "city": pdf["city"], "surface": surface, "predicted": mean.round(2), "low": np.maximum(0, mean - half).round(2), "high": (mean + half).round(2),
+                "confidence": np.where(known, np.clip(np.floor((1 - sd / np.where(known, mean, 1)) * 100), 0, 100), 0).astype(int), "price_m2": (mean / surface).round(2), "city_median": pdf["med"].round(2), "city_ppm2": pdf["ppm2"].round(2),
+                "delta_pct": ((mean / pdf["med"] - 1) * 100).round(1), "budget_delta": (budget - mean).round(2), "surface_possible": np.round(budget / (mean / surface)),
+            })
 
-    return [grow(x[rng.choice(len(x), min(size, len(x)), replace=False)], 0) for _ in range(trees)]
+    return asked.select("city", "surface", "rooms_", "med", "ppm2").mapInPandas(run, ESTIMATE)
 
 
-def _usual(n: float) -> float:
-    return 0.0 if n <= 1 else 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else 1.0
+@query()
+def r17_price_estimate(spark: SparkSession, d: str) -> DataFrame:
+    """A forest's estimate for each city's middle listing; a fifth of the rows is held out to measure the error."""
+    x = VectorAssembler(inputCols=["surface", "rooms_"], outputCol="features").transform(_listing_frame(spark, d).withColumn("label", F.col("price")))
+    held = F.pmod(F.xxhash64("url"), F.lit(5)) == 0
+    model = RandomForestRegressor(numTrees=10, maxDepth=5, seed=1).fit(x.where(~held))
+    rmse = float(RegressionEvaluator(metricName="rmse").evaluate(model.transform(x.where(held))))
+    asked = grouped_quantiles(x, ["city"], {"surface": ("surface", 0.5), "rooms_": ("rooms_", 0.5), "med": ("price", 0.5), "ppm2": ("ppm2", 0.5)})
+    return estimates(asked, trees.of_model(model), rmse, 50_000.0)
 
 
-def path_lengths(tree, x: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(x))
+def isolation_forest(x: DataFrame, columns: list[str], n: int = 100, size: int = 256) -> tuple[trees.Trees, DataFrame, int]:
+    """``(forest, rows, size)``: isolation trees on subsamples of the whole table, and ``x`` with ``filled``, its columns with nulls at their medians, as numbers of standard deviations from their means.
 
-    def walk(node, rows, depth):
-        if isinstance(node, float):
-            out[rows] = depth + _usual(node)
-            return
-        low = x[rows, node[0]] < node[1]
-        walk(node[2], rows[low], depth + 1)
-        walk(node[3], rows[~low], depth + 1)
+    One pass deals every row to one tree by a hash, and rows of low enough hashes reach it, so each row can be drawn, whatever the table's size; trees grow in tasks of their own, on at most ``size`` rows each.
+    """
+    middle = {c: exact_quantiles(x, c, 0.5)[0] for c in columns}
+    filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(middle[c]).cast("double"), F.lit(0.0)) for c in columns}
+    stats = x.agg(F.count("*").alias("n"), *(F.avg(v).alias(f"m_{c}") for c, v in filled.items()), *(F.stddev_pop(v).alias(f"s_{c}") for c, v in filled.items())).first()
+    scaled = F.array(*((v - (stats[f"m_{c}"] or 0.0)) / (stats[f"s_{c}"] or 1.0) for c, v in filled.items()))
+    rows = x.withColumn("filled", scaled)
+    draw = F.xxhash64(*x.columns)
+    low = min(1 << 40, (1 << 40) * 2 * n * size // max(stats["n"], 1) + 1)  # twice as many as are wanted, so that every tree gets enough
+    drawn = rows.select("filled", F.pmod(draw, F.lit(n)).cast("int").alias("tree"), F.pmod(F.xxhash64(draw, F.lit(1)), F.lit(1 << 40)).alias("u")).where(F.col("u") < low)
+    drawn = drawn.withColumn("place", F.row_number().over(Window.partitionBy("tree").orderBy("u", "filled"))).where(F.col("place") <= size)
+
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        tree = int(pdf["tree"].iloc[0])
+        t = trees.isolation_tree(np.array(pdf.sort_values("place")["filled"].tolist()), np.random.default_rng(tree))
+        return pd.DataFrame({"tree": [tree], "feature": [t.feature], "edge": [t.edge], "left": [t.left], "right": [t.right], "value": [t.value], "cover": [t.cover]})
+
+    nodes = "tree int, feature array<long>, edge array<double>, left array<long>, right array<long>, value array<double>, cover array<double>"
+    grown = drawn.groupBy("tree").applyInPandas(grow, nodes).orderBy("tree").collect()  # n trees of at most 2 size nodes
+    made = [trees.Tree(*(np.array(g[c]) for c in ("feature", "edge", "left", "right", "value", "cover"))) for g in grown]
+    return trees.Trees(made, [1 / max(len(made), 1)] * len(made)), rows, min(size, max(int(max((t.cover[0] for t in made), default=1)), 1))
+
+
+def isolated(x: DataFrame, columns: list[str], contamination: float = 0.05, n: int = 100, size: int = 256) -> DataFrame:
+    """``x`` with ``score`` (near 1 where few cuts set a row apart), ``severity`` by bands of it, and ``anomaly`` for the share ``contamination`` of the highest."""
+    forest, rows, used = isolation_forest(x, columns, n, size)
+    names = x.columns
 
-    walk(tree, np.arange(len(x)), 0)
-    return out
+    def score(batches):
+        for pdf in batches:
+            v = np.array(pdf["filled"].tolist()).reshape(len(pdf), -1)
+            yield pdf[names].assign(score=np.round(trees.isolation_scores(forest, v, used), 4) if forest.trees else 0.0)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in x.schema)
+    scored = rows.mapInPandas(score, f"{schema}, score double")
+    edge = exact_quantiles(scored, "score", 1 - contamination)[0]
+    return scored.withColumns({"severity": F.when(F.col("score") > 0.6, "critical").when(F.col("score") > 0.4, "high").otherwise("low"), "anomaly": F.col("score") > F.lit(edge).cast("double")})
 
 
 @query()
 def m2_isolation_forest(spark: SparkSession, d: str) -> DataFrame:
-    x = listings(spark, d).select("url", "part", "seller", "price", "surface", "ppm2").na.drop()
-    s = x.select("price", "surface", "ppm2").orderBy(F.xxhash64("price", "surface"), "price", "surface").limit(4096).toPandas().to_numpy(float)  # a bounded sample for the trees
-    trees = isolation_trees(s)
-    usual = _usual(min(256, len(s)))
-
-    def score(batches):
-        for pdf in batches:
-            v = pdf[["price", "surface", "ppm2"]].to_numpy(float)
-            depth = np.mean([path_lengths(t, v) for t in trees], 0)
-            yield pdf[["url", "part", "seller"]].assign(score=np.round(2 ** (-depth / usual), 4))
-
-    scored = x.mapInPandas(score, "url long, part long, seller long, score double")
-    return scored.where(F.col("score") > F.lit(exact_quantiles(scored, "score", 0.95)[0]).cast("double"))
+    x = listings(spark, d).select("url", "part", "seller", "price", "surface", "ppm2", "rooms", F.length("title").alias("text_length"))
+    return isolated(x, ["price", "surface", "ppm2", "rooms", "text_length"]).where("anomaly").select("url", "part", "seller", "score", "severity")
 
 
 _PLACES = "SELECT s_suppkey AS id, 30 + (s_suppkey % 10) * 0.01 + (s_suppkey % 3) * 0.5 AS lat, 8 + (s_suppkey % 7) * 0.012 AS lon FROM supplier"
@@ -306,6 +329,39 @@ def m10_occlusion(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("decision").agg(r(F.avg(0.40 * F.col("norm"))).alias("roi_part"), r(F.avg(0.05 / (1 + F.col("ppm2"))), 6).alias("competition_part"), r(F.avg("score")).alias("score"))
 
 
+#: What the trust score's explanation is told in.
+EXPLAINED = ["price_to_city", "surface_share", "twins", "text_length", "source_trust", "rooms"]
+EXPLANATION = "url long, part long, seller long, trust double, base double, verdict string, raised array<struct<feature:string,value:double>>, lowered array<struct<feature:string,value:double>>, total double"
+
+
+def explained(x: DataFrame, forest: trees.Trees, features: list[str], keys: list[str], schema: str, top: int = 3, least: float = 0.005) -> DataFrame:
+    """``x``'s predictions with each row's largest contributions either way (those of at least ``least``), by exact tree Shapley values; ``total`` is the sum of all, prediction less base."""
+    base = forest.mean
+
+    def run(batches):
+        for pdf in batches:
+            v = pdf[features].to_numpy(float)
+            said, parts = forest.predict(v), forest.shapley(v)
+            pick = lambda row, sign: [{"feature": features[i], "value": round(float(row[i]), 4)} for i in np.argsort(-sign * row, kind="stable")[:top] if sign * row[i] > least]
+            yield pdf[keys].assign(
+                trust=said.round(6), base=round(base, 6), verdict=np.select([said >= 0.75, said >= 0.5], ["reliable", "fair"], "suspect"),
+                raised=[pick(p, 1) for p in parts], lowered=[pick(p, -1) for p in parts], total=parts.sum(1).round(6),
+            )
+
+    return x.select(*keys, *features).mapInPandas(run, schema)
+
+
+@query()
+def m10_tree_shap(spark: SparkSession, d: str) -> DataFrame:
+    """A forest fitted to the rule-based trust score, and what moves each listing's prediction off the mean."""
+    x = _trust(spark, d).select(
+        "url", "part", "seller", "trust", F.coalesce(F.try_divide("ppm2", "med"), F.lit(1.0)).alias("price_to_city"), F.coalesce(F.col("surface") / 500, F.lit(0.3)).cast("double").alias("surface_share"), F.col("twins").cast("double").alias("twins"),
+        F.least(F.coalesce(F.length("title"), F.lit(0)) / 500, F.lit(1.0)).alias("text_length"), F.when(F.col("source") == "A", 0.92).when(F.col("source") == "N", 0.78).otherwise(0.65).alias("source_trust"), F.coalesce("rooms", F.lit(-1)).cast("double").alias("rooms"),
+    )
+    model = RandomForestRegressor(numTrees=10, maxDepth=4, seed=42, labelCol="trust").fit(VectorAssembler(inputCols=EXPLAINED, outputCol="features").transform(x.where("trust IS NOT NULL")))
+    return explained(x, trees.of_model(model), EXPLAINED, ["url", "part", "seller"], EXPLANATION)
+
+
 _BEST = "round(score, 9) DESC, url, part, seller"
 
 
@@ -322,16 +378,22 @@ def r16_greedy_selection(spark: SparkSession, d: str) -> DataFrame:
 # similarity with order ---------------------------------------------------------------------------------------
 
 
-@query(f"WITH x AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings), p AS (SELECT a.id AS a, b.id AS b FROM x a JOIN x b ON a.label = b.label AND a.id < b.id WHERE list_cosine_similarity(a.v, b.v) >= 0.88), {dedup.GREEDY_SQL} SELECT id FROM x, gone WHERE NOT list_contains(ids, id)")
+@query(f"WITH x AS (SELECT (label % 5) * 1000000000000 + vec_id AS id, vec_id, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT a.id AS a, b.id AS b FROM x a JOIN x b ON a.id < b.id WHERE list_cosine_similarity(a.v, b.v) >= 0.35), {dedup.GREEDY_SQL} SELECT vec_id AS id FROM x, gone WHERE NOT list_contains(ids, id)")
 def d12_embedding_dedup(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors of a block (the label) that are alike, by cosine of at least 0.88; the smaller id stays."""
-    return alike_vectors(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.col("label").alias("block")))
+    """Vectors alike over the whole table, across labels; the one of the more trusted source (here: the label) stays, then the smaller id. The threshold is lower than in use, so that these tables have such pairs."""
+    return alike_vectors(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", (F.col("label") % 5).alias("priority")), 0.35)
 
 
-def alike_vectors(e: DataFrame, threshold: float = 0.88, most: int = dedup.BLOCK_ROWS) -> DataFrame:
-    """``(id,)``: of ``e(id, embedding, block)``, the rows that stay when, in the order of ids, each leaves that has a cosine of at least ``threshold`` with one of its block that stays."""
-    near = dedup.met_in_blocks(e, ["block"], "id", most).where(cosine("one.embedding", "two.embedding") >= threshold)
-    return dedup.greedy_survivors(e, near.select(F.col("one.id").alias("a"), F.col("two.id").alias("b")), "id")
+def alike_vectors(e: DataFrame, threshold: float = 0.88, **options: int) -> DataFrame:
+    """``(id,)``: of ``e(id, embedding, priority)``, the rows that stay when, in the order of priority and id, each leaves that has a cosine of at least ``threshold`` with one that stays. No blocks are given and no pair is left out."""
+    usable = F.col("embedding").isNotNull() & F.exists("embedding", lambda x: x != 0)
+    # of equal vectors only the first can stay: what it leaves for, they leave for too
+    first = e.where(usable).groupBy("embedding").agg(F.min(F.struct("priority", "id")).alias("k")).select("k.id", "k.priority", "embedding")
+    side = lambda i, p: first.select(F.col("id").alias(i), F.col("priority").alias(p))
+    placed = cosine_pairs(first, threshold, **options).join(side("a", "pa"), "a").join(side("b", "pb"), "b")
+    before = F.struct("pa", "a") < F.struct("pb", "b")
+    pairs = placed.select(F.when(before, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(before, F.col("b")).otherwise(F.col("a")).alias("b"))
+    return dedup.greedy_survivors(first, pairs, "id").union(e.where(~F.coalesce(usable, F.lit(False))).select("id"))
 
 
 @query()
@@ -364,12 +426,40 @@ def d14_dedup_chunks(spark: SparkSession, d: str) -> DataFrame:
     return dedup.unlike_sets(x)
 
 
+def hybrid_chunks(docs: DataFrame, cells: int = 6, top: int = 6, topics: int = 16, dims: int = 4096, seed: int = 1) -> DataFrame:
+    """``(doc_id, cell, place, lexical, semantic, score, text)``: texts in k-means cells of their TF-IDF vectors, and of each cell the ``top`` by 0.4 lexical and 0.6 semantic likeness to its centroid.
+
+    Lexical likeness is the cosine of term vectors, semantic that of their coordinates in a truncated singular value decomposition of all texts. Centroids are ``cells`` vectors of ``dims`` and of ``topics`` numbers.
+    """
+    _, rows = semantic.weighted_terms(docs, dims=dims)
+    rows = rows.where("text IS NOT NULL")
+    shared_folder(docs.sparkSession)
+    found = semantic.truncated_svd(rows, "terms", topics, dims)
+    model = KMeans(k=cells, seed=seed, featuresCol="terms", predictionCol="cell").fit(rows)
+    centres = [np.asarray(c, float) for c in model.clusterCenters()]
+    split = docs.sparkSession.createDataFrame([(i, [float(x) for x in c / (np.linalg.norm(c) or 1.0)]) for i, c in enumerate(centres)], "cell int, centre array<double>")
+    placed = model.transform(rows).select("doc_id", "text", "cell", "terms")
+    wide = semantic.dense(placed.join(F.broadcast(split), "cell").withColumn("lexical", _along("terms", "centre")).select("doc_id", "text", "cell", "lexical", "terms"), found)
+    middle = wide.groupBy("cell").agg(F.array(*(F.avg(F.col("dense")[i]) for i in range(found.vectors.shape[1]))).alias("middle"))  # a row a cell
+    both = wide.join(F.broadcast(middle), "cell").withColumn("semantic", F.coalesce(cosine("dense", "middle"), F.lit(0.0)))
+    score = both.withColumn("score", r(0.4 * F.col("lexical") + 0.6 * F.col("semantic"), 6))
+    place = F.row_number().over(Window.partitionBy("cell").orderBy(F.desc("score"), "doc_id"))
+    return score.withColumn("place", place).where(F.col("place") <= top).select("doc_id", F.col("cell").cast("long").alias("cell"), F.col("place").cast("long").alias("place"), r("lexical", 6).alias("lexical"), r("semantic", 6).alias("semantic"), "score", "text")
+
+
+def _along(terms: str, centre: str) -> Column:
+    """The inner product of a vector and an array, where the vector has a number."""
+    return F.aggregate(F.zip_with(vector_to_array(F.col(terms)), F.col(centre), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+
+
 @query()
 def m16_hybrid_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors in k-means cells, the six nearest to each centre by cosine."""
-    e = table(spark, d, "embeddings").withColumn("features", array_to_vector(F.col("embedding").cast("array<double>")))
-    model = KMeans(k=6, seed=1).fit(e)
-    centres = spark.createDataFrame([(i, [float(v) for v in c]) for i, c in enumerate(model.clusterCenters())], "prediction int, centre array<double>")
-    s = model.transform(e).join(F.broadcast(centres), "prediction").withColumn("s", cosine("centre", "embedding"))
-    top = s.withColumn("place", F.row_number().over(Window.partitionBy("prediction").orderBy(F.desc("s"), "vec_id"))).where("place <= 6")
-    return top.select("vec_id", F.col("prediction").cast("long").alias("cell"), r("s").alias("score"), "place")
+    return hybrid_chunks(table(spark, d, "documents").select("doc_id", "text")).drop("text")
+
+
+@query()
+def m16_merged_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Each cell's best texts as one, in their order."""
+    chunks = hybrid_chunks(table(spark, d, "documents").select("doc_id", "text"))
+    merged = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]), "\n\n")  # at most six texts
+    return chunks.groupBy("cell").agg(F.count("*").alias("n"), merged.alias("text"), r(F.avg("score"), 6).alias("mean_score"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import average_rank_pct, exact_quantiles, median
+from ..functions.stats import average_ranks, exact_quantiles, median, summarised
 from ..functions.text import cosine, jaccard, normalised, trigrams
 from ..operators import dedup
 from .aggregates import zoned_orders
@@ -114,7 +114,7 @@ def j2_drops_with_attributes(spark: SparkSession, d: str) -> DataFrame:
 @query(", c AS (SELECT city, property_type, median(ppm2) AS med, stddev(ppm2) AS sd, count(*) AS n FROM listing GROUP BY ALL), g AS (SELECT median(ppm2) AS med, stddev(ppm2) AS sd FROM listing) SELECT l.source, count(*) AS n, round(avg(greatest(0, 1 - abs(ppm2 - CASE WHEN c.n >= 5 THEN c.med ELSE g.med END) / CASE WHEN c.n >= 5 THEN c.sd ELSE g.sd END / 4)), 6) AS mean_score FROM listing l JOIN c USING (city, property_type), g GROUP BY l.source", True)
 def j4_row_with_city_statistics(spark: SparkSession, d: str) -> DataFrame:
     x = listings(spark, d)
-    c = x.groupBy("city", "property_type").agg(median("ppm2").alias("med"), F.stddev_samp("ppm2").alias("sd"), F.count("*").alias("n"))
+    c = summarised(x, ["city", "property_type"], {"med": ("ppm2", 0.5)}, F.stddev_samp("ppm2").alias("sd"), F.count("*").alias("n"))
     g = x.agg(F.lit(exact_quantiles(x, "ppm2", 0.5)[0]).cast("double").alias("gmed"), F.stddev_samp("ppm2").alias("gsd"))
     own = F.col("n") >= 5
     z = F.abs(F.col("ppm2") - F.when(own, F.col("med")).otherwise(F.col("gmed"))) / F.when(own, F.col("sd")).otherwise(F.col("gsd"))
@@ -307,7 +307,7 @@ def w2_top_zones(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT s_suppkey, round((rank() OVER (ORDER BY s_nationkey) + (count(*) OVER (PARTITION BY s_nationkey) - 1) / 2) / count(*) OVER (), 6) AS pct FROM supplier")
 def w3_average_rank(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "supplier").select("s_suppkey", r(average_rank_pct(F.col("s_nationkey")), 6).alias("pct"))
+    return average_ranks(table(spark, d, "supplier").select("s_suppkey", "s_nationkey"), "s_nationkey", "pct").select("s_suppkey", r("pct", 6).alias("pct"))
 
 
 @query(", t AS (SELECT url, ppm2, city, price, part, seller FROM listing WHERE property_type = 'PROMO' ORDER BY ppm2 DESC, url, part, seller LIMIT 25) SELECT *, row_number() OVER (ORDER BY ppm2 DESC, url, part, seller) AS place FROM t", True)

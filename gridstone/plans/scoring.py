@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import exact_quantiles, ks_distance, median, quantile, running, share
+from ..functions.stats import average_ranks, exact_quantiles, ks_distance, median, quantile, share
 from ..functions.text import any_of, how_many
 from .aggregates import zoned_orders
 from .base import listings, query, r, table
@@ -163,11 +163,7 @@ def invest(df: DataFrame) -> DataFrame:
     """Yield by type, ROI rank, risk, and a weighted score scaled over all rows to BUY, HOLD or AVOID."""
     rate = F.when(F.col("property_type") == "SMALL", 0.068).when(F.col("property_type") == "LARGE", 0.057).otherwise(0.062) - F.when(F.col("ppm2") > 7000, 0.01).otherwise(0.0)
     x = df.withColumn("roi", clamp(12 * F.greatest(F.col("price") * rate / 12, F.lit(550.0)) / F.col("price"), 0.048, 0.092))
-    # ranks over distinct rates: peers are counted once for each value, and summed range by range of the rates' fixed bounds
-    per = x.groupBy("roi").agg(F.count("*").alias("n"))
-    total = per.agg(F.sum("n").alias("total"))
-    pct = running(per, "roi", "n", cuts=[0.048 + i * (0.092 - 0.048) / 256 for i in range(1, 256)]).crossJoin(F.broadcast(total)).select("roi", ((F.col("n_upto") - F.col("n") + 1 + (F.col("n") - 1) / 2) / F.col("total")).alias("norm"))
-    x = x.join(pct, "roi")
+    x = average_ranks(x, "roi", "norm", [0.048 + i * (0.092 - 0.048) / 256 for i in range(1, 256)])  # within the rates' fixed bounds
     risk = F.when(F.col("price") < 80000, 0.25).otherwise(0.0) + F.when(F.col("surface") > 40, 0.20).otherwise(0.0)
     raw = x.withColumn("raw", 0.40 * F.col("norm") + 0.25 * (1 - risk) + 0.15 * 0.82 + 0.05 / (1 + F.col("ppm2")))
     edge = raw.agg(F.min("raw").alias("lo"), F.max("raw").alias("hi"))

@@ -73,7 +73,8 @@ def test_seasonal_model_continues_a_season():
     season = [5.0, -2.0, 0.5, 9.0]
     y = [100 + 3 * i + season[i % 4] for i in range(20)]
     got = seasonal(pd.DataFrame({"zone": "z", "quarter": range(20), "v": y}))
-    assert got["forecast"].tolist() == pytest.approx([100 + 3 * i + season[i % 4] for i in range(20, 26)], abs=0.01)
+    assert got["step"].tolist() == list(range(-19, 7)) and got["value"].tolist()[:20] == pytest.approx(y)
+    assert got["forecast"].tolist()[20:] == pytest.approx([100 + 3 * i + season[i % 4] for i in range(20, 26)], abs=0.01)
     assert seasonal(pd.DataFrame({"zone": "z", "quarter": range(5), "v": range(5)})).empty
 
 
@@ -98,7 +99,8 @@ def test_chunks_of_a_cell_are_its_best(spark, sf):
     cells = {}
     for r in sorted(got, key=lambda r: r.place):
         cells.setdefault(r.cell, []).append(r)
-    assert len({r.vec_id for r in got}) == len(got)
+    assert len({r.doc_id for r in got}) == len(got)
+    assert all(abs(r.score - (0.4 * r.lexical + 0.6 * r.semantic)) < 1e-5 and -1 <= r.semantic <= 1.000001 and 0 <= r.lexical <= 1.000001 for r in got)
     for rows in cells.values():
         assert [r.place for r in rows] == list(range(1, len(rows) + 1)) and len(rows) <= 6
         assert [r.score for r in rows] == sorted((r.score for r in rows), reverse=True)
@@ -108,7 +110,7 @@ def test_price_models_are_no_worse_than_the_mean(spark, sf):
     scores = {r.metric: r.value for r in QUERIES["m11_price_forest"](spark, sf).collect()}
     assert set(scores) == {"rmse", "r2"} and -0.05 < scores["r2"] <= 1 and scores["rmse"] > 0
     told = QUERIES["r17_price_estimate"](spark, sf).collect()
-    assert all(r.estimate > 0 and abs(r.delta) < 1 for r in told)
+    assert all(r.low <= r.predicted <= r.high and 0 <= r.confidence <= 100 and r.surface_possible == round(50_000 / (r.predicted / r.surface)) for r in told)
 
 
 def test_class_chances_are_chances(spark, sf):
@@ -118,3 +120,24 @@ def test_class_chances_are_chances(spark, sf):
     labels = {r.url: r.l_linestatus for r in spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr("l_orderkey * 10 + l_linenumber AS url", "l_linestatus").collect()}
     told = QUERIES["m1_trust_classifier"](spark, sf).collect()
     assert all(0 <= r.trust <= 1 and r.reliable == (r.trust >= 0.6) for r in told if abs(r.trust - 0.6) > 1e-4) and {r.url for r in told} <= set(labels)
+
+
+def test_explanations_add_up(spark, sf):
+    told = QUERIES["m10_tree_shap"](spark, sf).limit(400).collect()
+    assert told and all(abs(r.base + r.total - r.trust) < 1e-5 for r in told)
+    for r in told:
+        for side, sign in ((r.raised, 1), (r.lowered, -1)):
+            values = [sign * x["value"] for x in side]
+            assert len(side) <= 3 and values == sorted(values, reverse=True) and all(v >= 0.005 for v in values)
+
+
+def test_isolation_scores_and_bands(spark, sf):
+    from gridstone.plans.base import listings
+    from gridstone.plans.models import isolated
+
+    x = listings(spark, sf).select("url", "price", "surface").union(spark.createDataFrame([(-1, None, None), (-2, 1e9, 900.0)], "url long, price double, surface double"))
+    got = isolated(x, ["price", "surface"], n=40, size=64).collect()
+    score = {r.url: r.score for r in got}
+    assert score[-2] == max(score.values()) and score[-1] < score[-2]
+    assert all(r.severity == ("critical" if r.score > 0.6 else "high" if r.score > 0.4 else "low") for r in got)
+    assert 0 < sum(r.anomaly for r in got) <= 0.05 * len(got) + 1

@@ -41,7 +41,7 @@ def test_iqr_keeps_nulls_and_drops_the_far(spark):
 
 def test_average_rank_and_ks(spark):
     df = spark.createDataFrame([(10,), (20,), (20,), (40,)], "v int")
-    assert sorted(r[0] for r in df.select(stats.average_rank_pct(F.col("v"))).collect()) == [0.25, 0.625, 0.625, 1.0]
+    assert sorted(r["p"] for r in stats.average_ranks(df, "v", "p").collect()) == [0.25, 0.625, 0.625, 1.0]
     a, b = spark.createDataFrame([(float(v),) for v in (1, 2, 3, 4)], "v double"), spark.createDataFrame([(float(v),) for v in (3, 4, 5, 6)], "v double")
     assert stats.ks_distance(a, b, "v").first().d == 0.5 and stats.ks_distance(a, a, "v").first().d == 0.0
 
@@ -177,13 +177,58 @@ def test_unlike_sets_match_brute_force(spark):
 def test_alike_vectors_match_brute_force(spark):
     rng = random.Random(6)
     base = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(5)]
-    rows = [(i, [x + rng.gauss(0, 0.35) for x in base[i % 5]], i % 2) for i in range(80)]
+    rows = [(i, [x + rng.gauss(0, 0.35) for x in base[i % 5]], i % 3) for i in range(80)]
+    rows += [(100 + i, rows[i * 7][1], (i + 1) % 3) for i in range(8)] + [(200, None, 0), (201, [0.0] * 8, 0), (202, [0.0] * 8, 1)]
+    order = sorted(rows, key=lambda r: (r[2], r[0]))
     dot = lambda x, y: sum(a * b for a, b in zip(x, y))
-    alike = lambda a, b: rows[a][2] == rows[b][2] and dot(rows[a][1], rows[b][1]) >= 0.88 * math.sqrt(dot(rows[a][1], rows[a][1]) * dot(rows[b][1], rows[b][1]))
-    want = greedy(range(80), alike)
+    known = lambda v: v is not None and any(v)
+    alike = lambda a, b: known(order[a][1]) and known(order[b][1]) and dot(order[a][1], order[b][1]) >= 0.88 * math.sqrt(dot(order[a][1], order[a][1]) * dot(order[b][1], order[b][1]))
+    want = sorted(order[k][0] for k in greedy(range(len(order)), alike))
     assert 10 < len(want) < 70
-    for most in (6, 2000):
-        assert sorted(r.id for r in alike_vectors(spark.createDataFrame(rows, "id long, embedding array<double>, block int"), most=most).collect()) == want
+    df = spark.createDataFrame(rows, "id long, embedding array<double>, priority int")
+    for options in ({"block": 6, "pivots": 3}, {}):
+        assert sorted(r.id for r in alike_vectors(df, **options).collect()) == want
+
+
+def test_cosine_pairs_equal_all_pairs(spark):
+    import numpy as np
+
+    from gridstone.operators.vectors import cosine_pairs
+
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(6, 10)) * 3
+    x = np.vstack([centres[i % 6] + rng.normal(size=10) * rng.choice([0.3, 1.5]) for i in range(240)])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(int(i), [float(v) for v in x[i]]) for i in range(240)] + [(500, [float("nan")] * 10), (501, None), (502, [1.0]), (None, [1.0] * 10), (503, [0.0] * 10)]
+    for threshold in (0.5, 0.9):
+        want = {(i, j) for i, j in zip(*np.nonzero(np.triu(unit @ unit.T >= threshold, 1)))}
+        got = cosine_pairs(spark.createDataFrame(rows, "id long, embedding array<double>"), threshold, pivots=6, block=25).collect()
+        assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
+    copies = cosine_pairs(spark.createDataFrame([(i, [1.0, 2.0]) for i in range(50)], "id long, embedding array<double>"), 0.9).collect()
+    assert {(r.a, r.b) for r in copies} == {(0, i) for i in range(1, 50)}
+    assert cosine_pairs(spark.createDataFrame([], "id long, embedding array<double>"), 0.9).count() == 0
+
+
+def test_grouped_quantiles_and_ranks(spark):
+    import numpy as np
+
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "b", None, "hot", "hot", "hot"]), rng.choice([1.0, 2.5, rng.gauss(0, 9), None]), rng.randint(0, 5)) for _ in range(3000)] + [("alone", 7.0, None), ("none", None, 1)]
+    df = spark.createDataFrame(rows, "k string, x double, y int")
+    wanted = {"med": ("x", 0.5), "low": ("x", 0.1), "top": ("y", 0.93), "double": (F.col("x") * 2, 0.5)}
+    got = {r.k: r for r in stats.summarised(df, ["k"], wanted, F.count("*").alias("n")).collect()}
+    for key in ("a", "b", None, "hot", "alone", "none"):
+        mine = [r for r in rows if r[0] == key]
+        x, y = [r[1] for r in mine if r[1] is not None], [r[2] for r in mine if r[2] is not None]
+        assert got[key].n == len(mine)
+        for name, values, q, scale in (("med", x, 0.5, 1), ("low", x, 0.1, 1), ("top", y, 0.93, 1), ("double", x, 0.5, 2)):
+            assert got[key][name] == (pytest.approx(scale * float(np.quantile(values, q)), abs=1e-9) if values else None)
+    plan = stats.grouped_quantiles(df, ["k"], wanted)._jdf.queryExecution().toString()
+    assert "percentile(" not in plan
+    ranked = stats.average_ranks(df, "x", "rank").collect()
+    known = sorted(r[1] for r in rows if r[1] is not None)
+    place = {v: (known.index(v) + 1 + (known.count(v) - 1) / 2) / len(known) for v in set(known)}
+    assert len(ranked) == len(rows) and all(r["rank"] == (None if r.x is None else pytest.approx(place[r.x])) for r in ranked)
 
 
 @pytest.mark.parametrize("pieces", [1, 2, 40])
