@@ -195,7 +195,12 @@ def t2_mann_kendall(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_MONTHS + ", x AS (SELECT zone, med, row_number() OVER (PARTITION BY zone ORDER BY month) - 1 AS i FROM m), g AS (SELECT zone, regr_slope(med, i) AS slope, regr_slope(med, i) / greatest(abs(avg(med)), 1e-9) AS rel FROM x GROUP BY zone) SELECT zone, round(slope, 4) AS slope, round(rel, 6) AS rel, CASE WHEN rel > 0.01 THEN 'up' WHEN rel < -0.01 THEN 'down' ELSE 'stable' END AS direction, CASE WHEN abs(rel) > 0.05 THEN 'high' WHEN abs(rel) > 0.01 THEN 'medium' ELSE 'low' END AS confidence FROM g")
 def t3_linear_trend(spark: SparkSession, d: str) -> DataFrame:
-    x = monthly(spark, d).withColumn("i", F.row_number().over(Window.partitionBy("zone").orderBy("month")) - 1)
+    return linear_trend(monthly(spark, d))
+
+
+def linear_trend(months: DataFrame) -> DataFrame:
+    """Each zone's least-squares slope over its months, also in shares of its mean, with direction and confidence."""
+    x = months.withColumn("i", F.row_number().over(Window.partitionBy("zone").orderBy("month")) - 1)
     g = x.groupBy("zone").agg(F.regr_slope("med", "i").alias("slope"), F.avg("med").alias("mean")).withColumn("rel", F.col("slope") / F.greatest(F.abs("mean"), F.lit(1e-9)))
     rel = F.col("rel")
     return g.select("zone", r("slope").alias("slope"), r(rel, 6).alias("rel"), F.when(rel > 0.01, "up").when(rel < -0.01, "down").otherwise("stable").alias("direction"), F.when(F.abs(rel) > 0.05, "high").when(F.abs(rel) > 0.01, "medium").otherwise("low").alias("confidence"))
