@@ -238,14 +238,82 @@ def d10_character_tfidf(spark: SparkSession, d: str) -> DataFrame:
     return v.select("id", "gram", r(F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))).alias("weight"))
 
 
+#: Words that mark a sentence as binding, and as advice that closes an answer; and whole sentences that say nothing (fixed values).
+BINDING, CLOSING, FILLER = r"(?i)\b(article|law|decree|licen[sc]e|rights|must|shall|penalty)\b", r"(?i)\b(recommend|advise|should|finally|in short)\b", r"(?i)^(as (an|your) [a-z ]{1,40}[,:]|of course[,!.]?|sure[,!.]?|i hope this helps[.!]?|here (is|are) [a-z ]{1,40}:)\s*"
+
+
+def sentences_of(text: Column, least: int = 15) -> Column:
+    """Sentences between a mark and a capital letter, of at least ``least`` characters."""
+    flat = F.regexp_replace(text, r"\s+", " ")
+    return F.filter(F.transform(F.split(flat, r"(?<=[.!?])\s+(?=[A-ZÀ-Þ\"«])"), lambda s: F.trim(s)), lambda s: F.length(s) >= least)
+
+
+def distinct_sentences(sentences: Column, threshold: float = 0.60) -> Column:
+    """In order, those that resemble no kept one before (Jaccard of words of four letters or more); binding sentences always stay. Each as ``(s, w, binding)``."""
+    words = lambda s: F.array_distinct(F.filter(F.split(F.lower(s), r"[^\p{L}\p{N}_]+"), lambda w: F.length(w) >= 4))
+    told = F.transform(sentences, lambda s: F.struct(s.alias("s"), words(s).alias("w"), s.rlike(BINDING).alias("binding")))
+    alike = lambda a, b: (F.size(a) > 0) & (F.size(b) > 0) & (jaccard(a, b) >= threshold)
+    return F.aggregate(told, F.slice(told, 1, 0), lambda kept, s: F.when(~s["binding"] & F.exists(kept, lambda k: alike(k["w"], s["w"])), kept).otherwise(F.concat(kept, F.array(s))))
+
+
+def summary(text: Column, binding: int = 3, others: int = 2, closing: int = 1, limit: int = 700) -> Column:
+    """A text no longer than ``limit`` as it is; else its first binding sentences, others and advice, without fillers and repeats, in this order while they fit."""
+    bare = F.transform(sentences_of(text), lambda s: F.trim(F.regexp_replace(s, FILLER, "")))
+    bare = F.transform(F.filter(bare, lambda s: F.length(s) >= 10), lambda s: F.concat(F.upper(F.left(s, F.lit(1))), F.substring(s, F.lit(2), F.length(s))))
+    kept = distinct_sentences(bare)
+    free = F.filter(kept, lambda x: ~x["binding"])
+    first = lambda xs, n: F.transform(F.slice(xs, 1, n), lambda x: x["s"])
+    order = F.concat(first(F.filter(kept, lambda x: x["binding"]), binding), first(F.filter(free, lambda x: ~x["s"].rlike(CLOSING)), others), first(F.filter(free, lambda x: x["s"].rlike(CLOSING)), closing))
+    start = F.struct(F.lit("").alias("out"), F.lit(False).alias("full"))
+    add = lambda a, s: F.when(a["full"] | (F.length(a["out"]) + F.when(a["out"] == "", 0).otherwise(1) + F.length(s) + 1 > limit), F.struct(a["out"].alias("out"), F.lit(True).alias("full"))).otherwise(F.struct(F.when(a["out"] == "", s).otherwise(F.concat(a["out"], F.lit(" "), s)).alias("out"), F.lit(False).alias("full")))
+    out = F.aggregate(order, start, add)["out"]
+    whole = F.trim(text)
+    short = F.concat(F.regexp_replace(F.left(whole, F.lit(limit)), r"\s\S*$", ""), F.lit("."))
+    return F.when(F.length(whole) <= limit, whole).when(out == "", short).otherwise(F.concat(out, F.when(out.rlike(r"[.!?]$"), "").otherwise(".")))
+
+
+@query()
+def x26_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Whole conversations as one answer each, shortened to 400 characters."""
+    talk = table(spark, d, "conversations").where("text is not null").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    return talk.select("conv_id", F.length("text").cast("long").alias("n_chars"), summary(F.col("text"), limit=400).alias("summary"))
+
+
 @query()
 def d15_distinct_sentences(spark: SparkSession, d: str) -> DataFrame:
-    """Sentences of a message that resemble no kept one before them (word Jaccard below 0.6)."""
-    sentences = F.filter(F.split("text", r"[.!?]\s*"), lambda s: F.length(F.trim(s)) > 0)
-    words = F.transform(sentences, lambda s: F.array_distinct(F.split(F.lower(F.trim(s)), r"\s+")))
-    x = table(spark, d, "conversations").where("text is not null").select("conv_id", "turn", words.alias("all"))
-    kept = F.aggregate("all", F.slice("all", 1, 0), lambda acc, s: F.when(F.exists(acc, lambda k: jaccard(k, s) >= 0.6), acc).otherwise(F.concat(acc, F.array(s))))
-    return x.select("conv_id", "turn", F.size("all").alias("n_sentences"), F.size(kept).alias("n_kept"))
+    """Sentences of a message that resemble no kept one before them, and all binding ones."""
+    x = table(spark, d, "conversations").where("text is not null").select("conv_id", "turn", sentences_of(F.col("text"), 1).alias("all"))
+    return x.select("conv_id", "turn", F.size("all").alias("n_sentences"), F.size(distinct_sentences(F.col("all"))).alias("n_kept"))
+
+
+#: Phrases and what stands for them; an empty one is left out (fixed values).
+PHRASES = {"in the end": "finally", "as well as": "and", "a lot of": "many", "such as": "like", "with the": "with", "and the": "and", "the": "", "der": "the", "und": "and", "les": "the", "que": "that", "los": "the", "dans": "in"}
+
+
+def substituted(words: Column, phrases: dict[str, str] = PHRASES) -> Column:
+    """``(out, n)``: the words with the longest phrase of three, two or one words that begins at each place replaced, from left to right, and how many were."""
+    table_ = F.create_map(*(F.lit(v) for pair in phrases.items() for v in pair))
+    held = F.size(words)
+
+    def step(a: Column, i: Column) -> Column:
+        gram = lambda n: F.when(i + n - 1 <= held, F.array_join(F.slice(words, i, F.lit(n)), " "))
+        found = [F.try_element_at(table_, gram(n)) for n in (3, 2, 1)]
+        size = F.when(found[0].isNotNull(), 3).when(found[1].isNotNull(), 2).when(found[2].isNotNull(), 1).otherwise(0)
+        said = F.coalesce(*found, F.element_at(words, i))
+        return F.when(i < a["next"], a).otherwise(F.struct(F.when(said == "", a["out"]).otherwise(F.concat(a["out"], F.array(said))).alias("out"), (i + F.greatest(size, F.lit(1))).alias("next"), (a["n"] + (size > 0).cast("int")).alias("n")))
+
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(1).alias("next"), F.lit(0).alias("n"))
+    return F.when(held > 0, F.aggregate(F.sequence(F.lit(1), held), start, step)).otherwise(start)
+
+
+@query()
+def x18_normalised(spark: SparkSession, d: str) -> DataFrame:
+    """Messages in dialect with known phrases replaced, longest first; others stay as they are."""
+    c = table(spark, d, "conversations").where("text is not null").withColumn("t", tokens(F.col("text")))
+    part = lambda ws: F.size(F.filter("t", lambda w: w.isin(ws))) / F.greatest(F.size("t"), F.lit(1))
+    known = r(F.least(F.lit(1.0), 2.5 * part(_MARKS) + 0.5 * part(_WORDS)), 6) >= 0.12
+    x = c.withColumns({"dialect": known, "new": substituted(F.col("t"))})
+    return x.select("conv_id", "turn", "dialect", F.when(known, F.array_join("new.out", " ")).otherwise(F.col("text")).alias("text"), F.when(known, F.col("new.n")).otherwise(0).cast("long").alias("n_replaced"))
 
 
 @query("SELECT a.n_nationkey AS a, b.n_nationkey AS b, round(1 - levenshtein(a.n_name, b.n_name) / greatest(length(a.n_name), length(b.n_name)), 4) AS likeness FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey WHERE 1 - levenshtein(a.n_name, b.n_name) / greatest(length(a.n_name), length(b.n_name)) >= 0.85")

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import LinearSVC, OneVsRest
+from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, StringIndexer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import semantic
 from ..functions.text import cosine, tokens
 from .base import query, r, table
 
@@ -175,6 +180,65 @@ def m17_concept_candidates(spark: SparkSession, d: str) -> DataFrame:
     return k.withColumn("place", F.row_number().over(Window.partitionBy("concept").orderBy(F.desc("hits"), "doc_id"))).where("place <= 20").withColumn("hits", r("hits", 2))
 
 
+def text_classifier(train: DataFrame, text_col: str = "text", label_col: str = "label", dims: int = 1 << 14):
+    """``(features, labels, weights, bias)``: hashed TF-IDF, and one linear SVM for each class against the rest (a column of ``weights`` each)."""
+    steps = [RegexTokenizer(inputCol=text_col, outputCol="words", pattern=r"[^\p{L}\p{N}]+"), HashingTF(inputCol="words", outputCol="counts", numFeatures=dims), IDF(inputCol="counts", outputCol="features")]
+    features, classes = Pipeline(stages=steps).fit(train), StringIndexer(inputCol=label_col, outputCol="class", stringOrderType="alphabetAsc").fit(train)
+    one = OneVsRest(classifier=LinearSVC(maxIter=10, regParam=0.01), labelCol="class", featuresCol="features").fit(classes.transform(features.transform(train)))
+    return features, classes.labels, np.column_stack([m.coefficients.toArray() for m in one.models]), np.array([m.intercept for m in one.models])
+
+
+def classified(model, df: DataFrame) -> DataFrame:
+    """``df`` with ``model_type``, the class of the largest margin, and ``margin``."""
+    features, labels, weights, bias = model
+    x = semantic.dense(features.transform(df).select(*df.columns, "features"), semantic.Decomposition(bias, weights), "features", "scores")
+    margins = F.zip_with("scores", F.array(*(F.lit(float(b)) for b in bias)), lambda m, b: m + b)
+    best = F.array_position("margins", F.array_max("margins")).cast("int")
+    return x.withColumn("margins", margins).select(*df.columns, F.element_at(F.array(*map(F.lit, labels)), best).alias("model_type"), F.array_max("margins").alias("margin"))
+
+
+@query()
+def m6_type_classifier(spark: SparkSession, d: str) -> DataFrame:
+    """Types (here: languages) by text: the model's where its margin is positive, else by keywords in order; only a generic type (here: of a fifth of the rows, or null) is overridden. The model learns from the rows that have a type."""
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.when(F.crc32(F.col("doc_id").cast("string")) % 5 != 0, F.col("lang")).alias("label"))
+    model = text_classifier(docs.where("label IS NOT NULL AND text <> ''"))
+    x = classified(model, docs)
+    low = F.concat(F.lit(" "), F.lower("text"), F.lit(" "))
+    words = F.when(low.contains(" the "), "en").when(low.contains(" und "), "de").when(low.contains(" les "), "fr").when(low.contains(" que "), "es").otherwise("autre")
+    kind = F.coalesce("label", F.when((F.col("margin") > 0) & (F.col("text") != ""), F.col("model_type")).otherwise(words))
+    by = F.when(F.col("label").isNotNull(), "given").when((F.col("margin") > 0) & (F.col("text") != ""), "model").otherwise("keywords")
+    return x.select("doc_id", kind.alias("type"), by.alias("by"), r("margin").alias("margin"))
+
+
+def concept_chunks(docs: DataFrame, concepts: dict[str, list[str]], candidates: int = 20, top: int = 4, topics: int = 16, dims: int = 4096) -> DataFrame:
+    """``(concept, doc_id, place, lexical, semantic, score, coverage)``: of each concept's ``candidates`` texts with most keywords the ``top`` by 0.4 lexical (divided by the concept's largest) and 0.6 semantic score.
+
+    Semantic is the cosine between a text and the concept's keywords along the leading singular vectors of all texts' TF-IDF; coverage is the percentage of a concept's keywords that its chosen texts hold.
+    """
+    spark = docs.sparkSession
+    known = docs.where("text IS NOT NULL").select("doc_id", "text", F.lower("text").alias("t"))
+    hits = F.array(*(F.struct(F.lit(c).alias("concept"), sum((times(F.col("t"), w) for w in ws), F.lit(0.0)).alias("hits"), F.filter(F.array(*map(F.lit, ws)), lambda w: F.contains(F.col("t"), w)).alias("held")) for c, ws in concepts.items()))
+    k = known.select("doc_id", "text", F.explode(hits).alias("x")).select("x.*", "doc_id", "text").where("hits > 0")
+    some = k.withColumn("rank", F.row_number().over(Window.partitionBy("concept").orderBy(F.desc("hits"), "doc_id"))).where(F.col("rank") <= candidates).drop("rank")
+    model, rows = semantic.weighted_terms(known.select("doc_id", "text"), dims=dims)
+    found = semantic.truncated_svd(rows, "terms", topics, dims)
+    asked = spark.createDataFrame([(c, " ".join(ws)) for c, ws in concepts.items()], "concept string, text string")  # a row a concept
+    meant = semantic.dense(semantic.with_terms(model, asked).select("concept", "terms"), found, out="meant")
+    placed = semantic.dense(semantic.with_terms(model, some), found).join(F.broadcast(meant), "concept")
+    every = Window.partitionBy("concept")  # at most ``candidates`` rows each
+    x = placed.withColumns({"lexical": F.col("hits") / F.max("hits").over(every), "semantic": F.coalesce(cosine("dense", "meant"), F.lit(0.0))})
+    x = x.withColumn("score", r(0.4 * F.col("lexical") + 0.6 * F.col("semantic"), 6))
+    x = x.withColumn("place", F.row_number().over(every.orderBy(F.desc("score"), "doc_id"))).where(F.col("place") <= top)
+    total = F.create_map(*(F.lit(v) for c, ws in concepts.items() for v in (c, len(ws))))
+    x = x.withColumn("coverage", r(100 * F.size(F.array_distinct(F.flatten(F.collect_list("held").over(every)))) / total[F.col("concept")], 1))
+    return x.select("concept", "doc_id", F.col("place").cast("long").alias("place"), r("lexical", 6).alias("lexical"), r("semantic", 6).alias("semantic"), "score", "coverage")
+
+
+@query()
+def m17_concept_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return concept_chunks(table(spark, d, "documents").select("doc_id", "text"), {**_CONCEPTS, "words": ["with", "from", "that", "zzzz"]})
+
+
 @query("WITH q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS q, label AS ql FROM embeddings WHERE vec_id IN (3, 77)), s AS (SELECT qid, vec_id, list_cosine_similarity(q, embedding::DOUBLE[]) + least(0.15, 0.03 * (label = ql)::INT) AS s FROM q, embeddings WHERE vec_id <> qid) SELECT qid, vec_id, round(s, 4) AS score, CASE WHEN s >= 0.70 THEN 'high' WHEN s >= 0.45 THEN 'medium' WHEN s >= 0.25 THEN 'low' ELSE 'none' END AS confidence FROM s QUALIFY row_number() OVER (PARTITION BY qid ORDER BY s DESC, vec_id) <= 5")
 def m18_vector_search(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")

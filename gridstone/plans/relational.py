@@ -131,7 +131,36 @@ def j5_city_to_region(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT c_custkey AS subscriber, count(*) AS matches FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal <= c_acctbal WHERE c_acctbal > 8000 GROUP BY c_custkey")
 def j9_subscription_matches(spark: SparkSession, d: str) -> DataFrame:
     c, s = table(spark, d, "customer").where("c_acctbal > 8000"), table(spark, d, "supplier")
-    return c.join(s, (F.col("c_nationkey") == F.col("s_nationkey")) & (F.col("s_acctbal") <= F.col("c_acctbal"))).groupBy(F.col("c_custkey").alias("subscriber")).agg(F.count("*").alias("matches"))
+    return counted_below(
+        c.select(F.col("c_custkey").alias("subscriber"), F.col("c_nationkey").alias("city"), F.col("c_acctbal").alias("limit")), s.select(F.col("s_nationkey").alias("city"), F.col("s_acctbal").alias("price")), "city", "limit", "price", "matches"
+    ).where("matches > 0").select("subscriber", "matches")
+
+
+def counted_below(asked: DataFrame, held: DataFrame, key: str, limit: str, value: str, out: str) -> DataFrame:
+    """``asked`` with ``out``: how many rows of ``held`` have its key and a value of at most its limit. A rank join: both sides are put in one order, and counts run along it, so no pair is made."""
+    rows = asked.withColumns({"__at": F.col(limit).cast("double"), "__held": F.lit(0)}).unionByName(held.select(key, F.col(value).cast("double").alias("__at"), F.lit(1).alias("__held")), allowMissingColumns=True)
+    upto = Window.partitionBy(key).orderBy("__at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.where(F.col(key).isNotNull() & F.col("__at").isNotNull()).withColumn(out, F.sum("__held").over(upto)).where("__held = 0").drop("__at", "__held")
+
+
+_SUBS = "s AS (SELECT c_custkey AS subscriber, list_value('nation_' || c_nationkey, 'nation_' || (c_nationkey + 1) % 25) AS cities, c_acctbal * 3 AS budget, c_custkey % 40 AS least, CASE WHEN c_mktsegment = 'BUILDING' THEN ['LARGE', 'STANDARD'] WHEN c_mktsegment = 'MACHINERY' THEN ['SMALL'] ELSE [] END AS kinds, 0.5 + (c_custkey % 5) * 0.1 AS trust_min FROM customer WHERE c_acctbal > 9000)"
+
+
+@query(", c AS (SELECT city, median(ppm2) AS med, stddev(ppm2) AS sd FROM listing GROUP BY city), t AS (SELECT listing.*, round(0.7 * greatest(0, 1 - abs(ppm2 - med) / sd / 4) + 0.3 * CASE source WHEN 'A' THEN 0.92 WHEN 'N' THEN 0.78 ELSE 0.65 END, 4) AS trust FROM listing JOIN c USING (city)), " + _SUBS + " SELECT subscriber, count(*) AS matches, min(price) AS cheapest, round(avg(trust), 4) AS mean_trust FROM s JOIN t ON list_contains(cities, lower(city)) AND price <= budget AND surface >= least AND (len(kinds) = 0 OR list_contains(kinds, property_type)) AND trust >= trust_min GROUP BY subscriber", True)
+def j9_alert_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Each subscription's listings by all five conditions: any of its cities, budget, surface, types (none: any) and trust. An equi-join on city and type; listings are first counted by what the conditions see, so equal ones meet once."""
+    from .composites import trusted
+
+    c = table(spark, d, "customer").where("c_acctbal > 9000")
+    key, nation = F.col("c_custkey"), F.col("c_nationkey")
+    kinds = F.when(F.col("c_mktsegment") == "BUILDING", F.array(F.lit("LARGE"), F.lit("STANDARD"))).when(F.col("c_mktsegment") == "MACHINERY", F.array(F.lit("SMALL"))).otherwise(F.array(F.lit("*")))
+    subs = c.select(key.alias("subscriber"), F.explode(F.array_distinct(F.array(F.concat(F.lit("nation_"), nation), F.concat(F.lit("nation_"), (nation + 1) % 25)))).alias("place"), (F.col("c_acctbal") * 3).alias("budget"), (key % 40).alias("least"), kinds.alias("kinds"), (0.5 + (key % 5) * 0.1).alias("trust_min"))
+    subs = subs.withColumn("kind", F.explode("kinds")).drop("kinds")
+    seen = trusted(listings(spark, d)).groupBy(F.lower("city").alias("place"), "property_type", "price", "surface", "trust").agg(F.count("*").alias("n"))
+    held = seen.withColumn("kind", F.explode(F.array("property_type", F.lit("*"))))  # a subscription asks for types or for any, so no listing counts twice
+    fits = (F.col("price") <= F.col("budget")) & (F.col("surface") >= F.col("least")) & (F.col("trust") >= F.col("trust_min"))
+    met = subs.join(held, ["place", "kind"]).where(fits).groupBy("subscriber")
+    return met.agg(F.sum("n").alias("matches"), F.min("price").alias("cheapest"), r(F.sum(F.col("trust") * F.col("n")) / F.sum("n")).alias("mean_trust"))
 
 
 @query("SELECT count(*) AS sent FROM customer JOIN supplier ON s_nationkey = c_nationkey AND s_acctbal <= c_acctbal WHERE c_acctbal > 8000")

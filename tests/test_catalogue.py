@@ -1,6 +1,7 @@
 """Every catalogue query against its SQL in DuckDB on the smallest tables; queries without SQL by their own properties."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from gridstone import catalog
 from tests.compare import connect, difference
@@ -50,19 +51,116 @@ def test_sequence_ratio_matches_brute_force(spark, sf):
     assert {(r.a, r.b): r.score for r in QUERIES["d17_sequence_ratio"](spark, sf).collect()} == want
 
 
+def plain_sentences(text, least=15):
+    import re
+
+    return [s.strip() for s in re.split(r'(?<=[.!?])\s+(?=[A-ZÀ-Þ"«])', re.sub(r"\s+", " ", text)) if len(s.strip()) >= least]
+
+
+def plain_distinct(sentences, binding):
+    import re
+
+    words = lambda s: {w for w in re.split(r"\W+", s.lower()) if len(w) >= 4}
+    kept = []
+    for s in sentences:
+        if binding(s) or not any(words(s) and words(k) and len(words(s) & words(k)) / len(words(s) | words(k)) >= 0.6 for k in kept):
+            kept.append(s)
+    return kept
+
+
+TALK = [
+    "Sure! Here are the facts: The article must be kept. The article must be kept. Prices rose quickly in that northern city last year. Prices rose quickly in that northern city last year again. We recommend waiting until summer arrives.",
+    "Short text.", "", None, "no capital letters at all and nothing that ends " * 30, "The law shall apply here. " * 40 + "Finally buyers should wait for spring.", "Of course, " + "Another sentence number one stands here. A wholly different remark follows now. " * 9,
+]
+
+
 def test_distinct_sentences_match_brute_force(spark, sf):
     import re
 
+    from gridstone.plans import extraction
+
+    binding = lambda s: re.search(extraction.BINDING, s)
     got = sorted((r.conv_id, r.turn, r.n_sentences, r.n_kept) for r in QUERIES["d15_distinct_sentences"](spark, sf).collect())
-    want = []
-    for m in spark.read.parquet(f"{sf}/conversations.parquet").where("text is not null").collect():
-        sets = [set(re.split(r"[ \t\n\x0b\f\r]+", s.strip(" ").lower())) for s in re.split(r"[.!?][ \t\n\x0b\f\r]*", m.text) if s.strip(" ")]
-        kept = []
-        for s in sets:
-            if all(len(s & k) / len(s | k) < 0.6 for k in kept):
-                kept.append(s)
-        want.append((m.conv_id, m.turn, len(sets), len(kept)))
-    assert got == sorted(want)
+    messages = spark.read.parquet(f"{sf}/conversations.parquet").where("text is not null").collect()
+    assert got == sorted((m.conv_id, m.turn, len(s := plain_sentences(m.text, 1)), len(plain_distinct(s, binding))) for m in messages)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(TALK) if t is not None], "i long, text string")
+    kept = {r.i: [x.s for x in r.kept] for r in df.select("i", extraction.distinct_sentences(extraction.sentences_of(F.col("text"))).alias("kept")).collect()}
+    assert kept == {i: plain_distinct(plain_sentences(t), binding) for i, t in enumerate(TALK) if t is not None}
+
+
+def test_summaries_match_a_plain_version(spark):
+    import re
+
+    from gridstone.plans import extraction
+
+    binding, closing = (lambda s: re.search(extraction.BINDING, s)), (lambda s: re.search(extraction.CLOSING, s))
+
+    def plain(text, limit):
+        if text is None or len(text.strip(" ")) <= limit:
+            return text and text.strip(" ")
+        bare = [re.sub(extraction.FILLER, "", s).strip() for s in plain_sentences(text)]
+        kept = plain_distinct([s[0].upper() + s[1:] for s in bare if len(s) >= 10], binding)
+        free = [s for s in kept if not binding(s)]
+        out = []
+        for s in [s for s in kept if binding(s)][:3] + [s for s in free if not closing(s)][:2] + [s for s in free if closing(s)][:1]:
+            if len(" ".join([*out, s])) + 1 > limit:
+                break
+            out.append(s)
+        told = " ".join(out)
+        return (told + ("" if told[-1] in ".!?" else ".")) if out else re.sub(r"\s\S*$", "", text.strip(" ")[:limit]) + "."
+
+    df = spark.createDataFrame(list(enumerate(TALK)), "i long, text string")
+    for limit in (60, 150, 700):
+        got = {r.i: r.s for r in df.select("i", extraction.summary(F.col("text"), limit=limit).alias("s")).collect()}
+        assert got == {i: plain(t, limit) for i, t in enumerate(TALK)}
+
+
+def test_phrases_are_replaced_longest_first(spark):
+    from gridstone.plans import extraction
+
+    def plain(words, phrases):
+        out, n, i = [], 0, 0
+        while i < len(words):
+            for k in (3, 2, 1):
+                gram = " ".join(words[i : i + k])
+                if i + k <= len(words) and gram in phrases:
+                    out += [phrases[gram]] if phrases[gram] else []
+                    n, i = n + 1, i + k
+                    break
+            else:
+                out.append(words[i])
+                i += 1
+        return out, n
+
+    texts = ["in the end the law", "a lot of a lot as well as the the and the end", "with the", "", "und der que los", "in the in the end such as", "nothing here"]
+    got = [(list(r.x.out), r.x.n) for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(extraction.substituted(F.filter(F.split("t", " "), lambda w: w != "")).alias("x")).collect()]
+    assert got == [plain([w for w in t.split(" ") if w], extraction.PHRASES) for t in texts]
+
+
+def test_types_by_model_and_keywords(spark, sf):
+    import zlib
+
+    truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").where("text is not null").collect()}
+    told = {r.doc_id: r for r in QUERIES["m6_type_classifier"](spark, sf).collect()}
+    assert all(told[i]["by"] == "given" and told[i]["type"] == lang for i, lang in truth.items() if lang and zlib.crc32(str(i).encode()) % 5)
+    held = [i for i, lang in truth.items() if lang and zlib.crc32(str(i).encode()) % 5 == 0]
+    assert sum(told[i]["type"] == truth[i] for i in held) >= 0.9 * len(held) > 10
+
+
+def test_concepts_choose_and_cover(spark, sf):
+    from gridstone.plans import language
+
+    concepts = {"law": ["license", "rights"], "words": ["with", "from", "zzzz"]}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: (r.text or "").lower() for r in docs.collect()}
+    rows = language.concept_chunks(docs, concepts, topics=4, dims=512).collect()
+    for name, words in concepts.items():
+        mine = sorted((r for r in rows if r.concept == name), key=lambda r: r.place)
+        hits = {i: sum(t.count(w) for w in words) for i, t in texts.items()}
+        some = sorted((i for i in hits if hits[i]), key=lambda i: (-hits[i], i))[:20]
+        assert 0 < len(mine) <= 4 and {r.doc_id for r in mine} <= set(some) and [r.score for r in mine] == sorted((r.score for r in mine), reverse=True)
+        assert all(abs(r.lexical - hits[r.doc_id] / max(hits.values())) < 1e-5 and abs(r.score - 0.4 * r.lexical - 0.6 * r.semantic) < 1e-5 for r in mine)
+        assert {r.coverage for r in mine} == {round(100 * sum(any(w in texts[r.doc_id] for r in mine) for w in words) / len(words), 1)}
 
 
 def test_seasonal_model_continues_a_season():
