@@ -339,11 +339,13 @@ def similar(docs: DataFrame, words: int = 5, pair_bucket: int = 8, group_bucket:
 
 
 def first_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose id is the least of their class by ``similar``, in the columns of ``docs``; of repeated rows of one id, one stays.
+    """One row of each class by ``similar``, in the columns of ``docs``: that of the least id, and of several texts of this id in the class, that of the least hash.
 
-    Rows with a null id can't be told apart by it, so all of them stay.
+    Rows are told apart by id and text, so texts of one id are judged each by its own class; of rows that repeat both, one stays. Rows with a null id can't be told apart by it, so all of them stay.
     """
-    key = options.get("id_col", "doc_id")
-    kept = similar(docs, **options).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    named = docs.where(F.col(key).isNotNull()).join(kept, F.col(key) == F.col("__kept"), "left_semi").dropDuplicates([key])
-    return named.unionByName(docs.where(F.col(key).isNull()))
+    key, text = options.pop("id_col", "doc_id"), options.pop("text_col", "text")
+    known = docs.where(F.col(key).isNotNull()).withColumn("__row", F.xxhash64(F.col(key), F.coalesce(F.col(text), F.lit(""))))
+    classes = similar(known, id_col="__row", text_col=text, **options).distinct()
+    ids = known.select(F.col("__row").alias("doc_id"), F.col(key).alias("__id")).distinct()
+    kept = classes.join(ids, "doc_id").groupBy("component_id").agg(F.min(F.struct("__id", "doc_id")).alias("__first")).select(F.col("__first.doc_id").alias("__row"))
+    return known.join(kept, "__row", "left_semi").dropDuplicates(["__row"]).select(docs.columns).unionByName(docs.where(F.col(key).isNull()))

@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from gridstone.llm import ann, bpe, negatives, packing, prefixes, secrets, spelling
+from gridstone.llm import ann, bpe, negatives, packing, prefixes, secrets, simhash, spelling
 from gridstone.llm.queries import QUERIES, SQL
 from tests import compare
 from tests.llm.test_operators import ODD, nothing, odd_docs
@@ -254,3 +254,12 @@ def test_secrets_beside_them_are_found(forest):
 def test_shape_in_chunks_equals_whole():
     text = "aaBB11--" * 50 + "é" * 20 + "zZ9"
     assert secrets._shape(text, 7) == secrets._shape(text) and secrets._shape(text)[3] == 20
+
+
+def test_texts_of_one_id_are_judged_by_their_own_classes(spark):
+    one, two, three = (" ".join(f"{p}{i}" for i in range(40)) for p in "xyz")
+    rows = [(1, one, "a"), (2, two, "b"), (2, one, "c"), (3, three, "d"), (3, three, "e"), (4, two, "f"), (None, one, "g"), (None, one, "h"), (5, None, "i"), (6, "", "j"), (2, three, "k")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, component_id string")
+    kept = sorted((r.doc_id or 0, r.text or "") for r in simhash.first_of_each(df).collect())
+    assert kept == sorted([(1, one), (2, two), (2, three), (0, one), (0, one), (5, "")])
+    assert simhash.first_of_each(df).columns == df.columns
