@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import semantic
 from ..functions.stats import median, share
-from ..functions.text import how_many, jaccard, tokens
+from ..functions.text import cosine, how_many, jaccard, tokens
 from .base import listings, query, r, table
 from .scoring import clamp
 
@@ -103,6 +104,48 @@ def r24_compliance(spark: SparkSession, d: str) -> DataFrame:
     return counts.withColumn("verdict", F.when(F.col("violations") > 0, "VIOLATION").when(F.col("warnings") > 0, "WARNING").when(F.col("matches") > 0, "COMPLIANT").otherwise("UNKNOWN"))
 
 
+def hybrid_compliance(cases: DataFrame, rules: DataFrame, least: float = 0.55, topics: int = 16, dims: int = 1024) -> DataFrame:
+    """``(id, rule, status, met, lexical, meaning, score)`` of cases (id, actor, action, target, terms; few, so broadcast) and rules (rule, actor, action, target, status) that pass the gates.
+
+    Lexical is 0.40 actor, 0.45 action and 0.15 target (0.5 where none is asked). Meaning is the cosine along the leading singular vectors of all rules' TF-IDF. The score is their mean where meaning is positive, else lexical. The gates are 0.35 for the actor, 0.35 for the action
+    (half of that where meaning is at least 0.5), and ``least`` for the score.
+    """
+    whole = lambda x: x.withColumn("text", F.concat_ws(" ", "actor", "action", "target"))
+    model, rows = semantic.weighted_terms(whole(rules), dims=dims)
+    found = semantic.truncated_svd(rows, "terms", topics, dims)
+    told = semantic.dense(rows, found).select("rule", "status", *(F.col(c).alias(f"r_{c}") for c in ("actor", "action", "target")), "dense")
+    asked = semantic.dense(semantic.with_terms(model, whole(cases.withColumnRenamed("terms", "conditions"))), found, out="meant").drop("text")
+    words = lambda c: F.array_distinct(F.split(F.lower(c), " "))
+    sa, sb = jaccard(words("actor"), words("r_actor")), jaccard(words("action"), words("r_action"))
+    target = F.when(F.col("target") == "", 0.5).otherwise((F.col("target") == F.col("r_target")).cast("double"))
+    pairs = told.join(F.broadcast(asked), (sa >= 0.35) & (sb >= 0.175)).withColumns({"action_part": sb, "lexical": 0.40 * sa + 0.45 * sb + 0.15 * target, "meaning": F.coalesce(cosine("meant", "dense"), F.lit(0.0))})
+    score = F.when(F.col("meaning") > 0, (F.col("lexical") + F.col("meaning")) / 2).otherwise(F.col("lexical"))
+    kept = pairs.withColumn("score", score).where((F.col("score") >= least) & (F.col("action_part") >= F.when(F.col("meaning") >= 0.5, 0.175).otherwise(0.35)))
+    met = F.col("conditions").contains(F.split_part("r_action", F.lit(" "), F.lit(1)))
+    return kept.select("id", "rule", "status", met.alias("met"), r("lexical", 6).alias("lexical"), r("meaning", 6).alias("meaning"), r("score", 6).alias("score"))
+
+
+def _hybrid(spark: SparkSession, d: str) -> DataFrame:
+    rules = table(spark, d, "part").select(F.col("p_partkey").alias("rule"), F.col("p_brand").alias("actor"), F.col("p_name").alias("action"), F.col("p_type").alias("target"), F.when(F.col("p_size") % 3 == 0, "prohibited").when(F.col("p_size") % 3 == 1, "obligation").otherwise("permitted").alias("status"))
+    return hybrid_compliance(spark.createDataFrame(_CASES, "id int, actor string, action string, target string, terms string"), rules)
+
+
+@query()
+def j10_hybrid_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _hybrid(spark, d)
+
+
+@query()
+def r24_hybrid_compliance(spark: SparkSession, d: str) -> DataFrame:
+    """Each case's verdict by hybrid scores, with the best score, the number of rules in each bucket and of unmet obligations."""
+    cases = spark.createDataFrame([(c[0],) for c in _CASES], "id int")
+    of = lambda s: F.col("status") == s
+    n = cases.join(_hybrid(spark, d), "id", "left").groupBy("id").agg(
+        F.count("rule").alias("matches"), F.count_if(of("prohibited")).alias("violations"), F.count_if(of("obligation") & ~F.col("met")).alias("warnings"), F.count_if(of("permitted")).alias("permissions"), F.max("score").alias("best"),
+    )
+    return n.withColumn("verdict", F.when(F.col("violations") > 0, "VIOLATION").when(F.col("warnings") > 0, "WARNING").when(F.col("matches") > 0, "COMPLIANT").otherwise("UNKNOWN"))
+
+
 # samples, reports and bundles --------------------------------------------------------------------------------
 
 

@@ -134,8 +134,8 @@ def x29_merge_missing(spark: SparkSession, d: str) -> DataFrame:
 # classifiers -------------------------------------------------------------------------------------------------
 
 
-def naive_bayes(train: DataFrame, test: DataFrame, key: str = "id") -> DataFrame:
-    """``(key, label, score)``: the best class of each text by multinomial Naive Bayes with add-one smoothing.
+def class_scores(train: DataFrame, test: DataFrame, key: str = "id") -> DataFrame:
+    """``(key, label, score)``: the log of prior times likelihood of each text in each class, by multinomial Naive Bayes with add-one smoothing.
 
     ``train`` has (label, words), ``test`` (key, words). Counts are joined by word; unseen words weigh log(1 / (N + V)). Classes are few, and broadcast by size only.
     """
@@ -148,10 +148,50 @@ def naive_bayes(train: DataFrame, test: DataFrame, key: str = "id") -> DataFrame
     length = test.select(key, F.size("words").alias("size"))
     all_classes = length.crossJoin(F.broadcast(classes)).join(held, [key, "label"], "left")
     score = F.col("prior") + F.coalesce("gain", F.lit(0.0)) - F.col("size") * F.log("base")
-    best = all_classes.select(key, "label", score.alias("score"))
+    return all_classes.select(key, "label", score.alias("score"))
+
+
+def naive_bayes(train: DataFrame, test: DataFrame, key: str = "id") -> DataFrame:
+    """``(key, label, score)``: the best class of each text by ``class_scores``."""
+    best = class_scores(train, test, key)
     return best.groupBy(key).agg(F.max_by("label", F.struct(r("score", 6), "label")).alias("label"), r(F.max("score"), 3).alias("score"))
 
 
+def mean_posteriors(train: DataFrame, variants: list[DataFrame], key: str = "id") -> DataFrame:
+    """``(key, label, confidence)``: the class of the largest mean posterior over a text's variants."""
+    every, parts = Window.partitionBy(key), None
+    for test in variants:
+        s = class_scores(train, test, key)
+        e = s.withColumn("e", F.exp(F.col("score") - F.max("score").over(every)))  # a row a class
+        p = e.select(key, "label", (F.col("e") / F.sum("e").over(every)).alias("p"))
+        parts = p if parts is None else parts.union(p)
+    mean = parts.groupBy(key, "label").agg(F.sum("p").alias("p"))
+    mean = mean.withColumn("p", r(F.col("p") / F.sum("p").over(every)))
+    return mean.groupBy(key).agg(F.max_by("label", F.struct("p", "label")).alias("label"), F.max("p").alias("confidence"))
+
+
+_BAYES = (
+    f"c AS (SELECT conv_id * 1000 + turn AS id, role AS label, conv_id % 2 = 0 AS train, {_TOK} AS w FROM conversations), t AS (SELECT label, u AS w, count(*) AS n FROM (SELECT label, unnest(w) AS u FROM c WHERE train) GROUP BY ALL), v AS (SELECT count(DISTINCT w) AS v FROM t), s AS (SELECT label, sum(n) AS total FROM t GROUP BY label), "
+    "p AS (SELECT label, ln(count(*) / (SELECT count(*) FROM c WHERE train)) AS prior FROM c WHERE train GROUP BY label)"
+)
+
+
+def _bayes_sql(name: str, words: str) -> str:
+    """Posteriors of one variant of the messages that were not learned from."""
+    return (
+        f"{name}c AS (SELECT id, {words} AS w FROM c WHERE NOT train), {name}x AS (SELECT id, u AS w, count(*) AS k FROM (SELECT id, unnest(w) AS u FROM {name}c) GROUP BY ALL), {name}g AS (SELECT id, label, sum(k * ln(n + 1)) AS gain FROM {name}x JOIN t USING (w) GROUP BY ALL), "
+        f"{name}z AS (SELECT y.id, p.label, prior + coalesce(gain, 0) - len(y.w) * ln(total + v) AS score FROM {name}c y, p JOIN s USING (label), v LEFT JOIN {name}g g ON g.id = y.id AND g.label = p.label), {name}e AS (SELECT id, label, exp(score - max(score) OVER (PARTITION BY id)) AS e FROM {name}z), {name}p AS (SELECT id, label, e / sum(e) OVER (PARTITION BY id) AS q FROM {name}e)"
+    )
+
+
+@query("WITH " + _BAYES + ", " + _bayes_sql("one", "w") + ", " + _bayes_sql("two", "list_filter(w, lambda x: length(x) >= 4)") + ", m AS (SELECT id, label, sum(q) AS q FROM (SELECT * FROM onep UNION ALL SELECT * FROM twop) GROUP BY ALL), n AS (SELECT id, label, round(q / sum(q) OVER (PARTITION BY id), 4) AS q FROM m) SELECT id, label, q AS confidence FROM n QUALIFY row_number() OVER (PARTITION BY id ORDER BY q DESC, label DESC) = 1")
+def x16_trained_posteriors(spark: SparkSession, d: str) -> DataFrame:
+    """A message's intent (here: its role) by the trained classifier's mean posterior over its words and over its longer words."""
+    c = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("role").alias("label"), (F.col("conv_id") % 2 == 0).alias("train"), tokens(F.col("text")).alias("words"))
+    test = c.where("not train").select("id", "words")
+    return mean_posteriors(c.where("train"), [test, test.withColumn("words", F.filter("words", lambda w: F.length(w) >= 4))])
+
+
 @query(f"WITH c AS (SELECT conv_id * 1000 + turn AS id, role AS label, conv_id % 2 = 0 AS train, {_TOK} AS w FROM conversations), t AS (SELECT label, u AS w, count(*) AS n FROM (SELECT label, unnest(w) AS u FROM c WHERE train) GROUP BY ALL), v AS (SELECT count(DISTINCT w) AS v FROM t), s AS (SELECT label, sum(n) AS total FROM t GROUP BY label), p AS (SELECT label, ln(count(*) / (SELECT count(*) FROM c WHERE train)) AS prior FROM c WHERE train GROUP BY label), x AS (SELECT id, u AS w, count(*) AS k FROM (SELECT id, unnest(w) AS u FROM c WHERE NOT train) GROUP BY ALL), g AS (SELECT id, label, sum(k * ln(n + 1)) AS gain FROM x JOIN t USING (w) GROUP BY ALL), z AS (SELECT c.id, p.label, prior + coalesce(gain, 0) - len(c.w) * ln(total + v) AS score FROM c, p JOIN s USING (label), v LEFT JOIN g ON g.id = c.id AND g.label = p.label WHERE NOT c.train) SELECT id, label, round(score, 3) AS score FROM z QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(score, 6) DESC, label DESC) = 1")
 def m12_naive_bayes(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("role").alias("label"), (F.col("conv_id") % 2 == 0).alias("train"), tokens(F.col("text")).alias("words"))

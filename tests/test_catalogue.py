@@ -239,3 +239,16 @@ def test_isolation_scores_and_bands(spark, sf):
     assert score[-2] == max(score.values()) and score[-1] < score[-2]
     assert all(r.severity == ("critical" if r.score > 0.6 else "high" if r.score > 0.4 else "low") for r in got)
     assert 0 < sum(r.anomaly for r in got) <= 0.05 * len(got) + 1
+
+
+def test_hybrid_scores_are_means_behind_gates(spark):
+    from gridstone.plans.composites import hybrid_compliance
+
+    cases = spark.createDataFrame([(1, "tenant", "paint the wall", "", "paint"), (2, "owner", "sell house", "house", ""), (3, "stranger", "fly", "", "")], "id int, actor string, action string, target string, terms string")
+    rules = [(1, "tenant", "paint the wall", "flat", "permitted"), (2, "owner", "sell the house", "house", "prohibited"), (3, "tenant", "sell flat", "flat", "prohibited"), (4, "owner", "paint a wall", "house", "obligation"), (5, "guard", "close gate", "gate", "permitted")]
+    got = {(r.id, r.rule): r for r in hybrid_compliance(cases, spark.createDataFrame(rules, "rule int, actor string, action string, target string, status string"), least=0.3, topics=3, dims=256).collect()}
+    assert (1, 1) in got and (2, 2) in got and not any(i == 3 for i, _ in got)
+    for (i, k), r in got.items():
+        assert abs(r.score - ((r.lexical + r.meaning) / 2 if r.meaning > 0 else r.lexical)) < 1e-5 and r.score >= 0.3
+        assert rules[k - 1][1] == {1: "tenant", 2: "owner"}[i]
+    assert got[1, 1].met and got[1, 1].lexical == pytest.approx(0.4 + 0.45 + 0.15 * 0.5)
