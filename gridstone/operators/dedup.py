@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,14 +76,58 @@ def fuzzy_pairs(df: DataFrame, key: str = "id", threshold: float = 0.85, width:
     return met.select(F.col(f"one.{key}").alias("a"), F.col(f"two.{key}").alias("b"), F.round(alike("one", "two"), 4).alias("score")).where(F.col("score") >= threshold)
 
 
-def greedy_survivors(df: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
-    """The keys of ``df`` that stay when rows are visited in the order of ``key`` and each leaves if an earlier one that stays is its pair. ``pairs`` are ``(a, b)`` with a < b.
-
-    By rounds of joins: rows without an earlier pair stay for certain, so their pairs leave, and with those go the pairs that they make. Each round ends in a checkpoint; there are as many as a chain of
-    pairs is long, at most, and the least row settles in each, so it ends.
+#: Connected groups of up to so many pairs are settled in one step by a task each.
+GROUP_PAIRS = 50_000
+
+
+def _settled(pairs: pd.DataFrame) -> pd.DataFrame:
+    """The rows of one connected group that leave, in the order of keys."""
+    earlier: dict = {}
+    for a, b in zip(pairs["a"].tolist(), pairs["b"].tolist()):
+        earlier.setdefault(b, []).append(a)
+    gone: set = set()
+    place = dict(zip(pairs["b"].tolist(), pairs["place"].tolist()))
+    for b in sorted(earlier, key=place.__getitem__):
+        if any(a not in gone for a in earlier[b]):
+            gone.add(b)
+    return pd.DataFrame({"b": list(gone)}, dtype=pairs["b"].dtype)
+
+
+def components(pairs: DataFrame, rounds: int = 40) -> DataFrame:
+    """``(node, root)`` of ``pairs(a, b)``: every node takes the least name among its neighbours and then that one's own, until none changes, so the number of rounds grows with the logarithm of the longest path in most graphs."""
+    both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
+    label = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")).checkpoint()
+    for _ in range(rounds):
+        named = label.select(F.col("a").alias("b"), F.col("m").alias("n"))
+        near = both.join(named, "b").groupBy("a").agg(F.min("n").alias("n"))
+        new = label.join(near, "a").select("a", F.least("m", "n").alias("m"))
+        for _ in range(2):  # jumps along names
+            new = new.join(new.select(F.col("a").alias("m"), F.col("m").alias("further")), "m").select("a", F.least("m", "further").alias("m"))
+        new = new.checkpoint()
+        moved = new.join(label.withColumnRenamed("m", "old"), "a").where("m <> old").limit(1).count()
+        label = new
+        if not moved:
+            break
+    return label.select(F.col("a").alias("node"), F.col("m").alias("root"))  # not settled: groups are smaller than components, and callers go by rounds for pairs across
+
+
+def greedy_survivors(df: DataFrame, pairs: DataFrame, key: str, order: str | None = None, group_pairs: int = GROUP_PAIRS) -> DataFrame:
+    """The keys of ``df`` that stay when rows are visited in order and each leaves if an earlier one that stays is its pair. ``pairs`` are ``(a, b)`` with a before b; ``order`` names a column of ``pairs`` with the place of b, which is b itself if none is given.
+
+    Pairs are cut into connected groups, and every group of up to ``group_pairs`` pairs is settled by one task, however long its chains are. Larger ones go by rounds of joins: rows without an earlier pair stay for certain, so their pairs leave, and with those go the pairs that
+    they make; each round ends in a checkpoint, the least row settles in each, so it ends.
     """
     shared_folder(df.sparkSession)
-    edges, gone = pairs.select("a", "b").distinct().checkpoint(), None
+    edges, gone = pairs.select("a", "b", F.col(order or "b").alias("place")).distinct().checkpoint(), None
+    if edges.limit(1).count():
+        root = components(edges)
+        grouped = edges.join(root.select(F.col("node").alias("b"), "root"), "b").join(root.select(F.col("node").alias("a"), F.col("root").alias("other")), "a")
+        if grouped.where("root <> other").limit(1).count() == 0:
+            sizes = grouped.groupBy("root").agg(F.count("*").alias("n"))
+            small = grouped.join(sizes.where(F.col("n") <= group_pairs).select("root"), "root")
+            kind = edges.schema["b"].dataType.simpleString()
+            gone = small.select("root", "a", "b", "place").groupBy("root").applyInPandas(lambda p: _settled(p), f"b {kind}").checkpoint()
+            edges = grouped.join(sizes.where(F.col("n") > group_pairs).select("root"), "root").select("a", "b", "place").checkpoint()
     while edges.limit(1).count():
         sure = edges.select("a").distinct().join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
         left = edges.join(sure, "a").select("b").distinct().checkpoint()

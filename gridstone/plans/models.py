@@ -392,8 +392,10 @@ def alike_vectors(e: DataFrame, threshold: float = 0.88, **options: int) -> Data
     side = lambda i, p: first.select(F.col("id").alias(i), F.col("priority").alias(p))
     placed = cosine_pairs(first, threshold, **options).join(side("a", "pa"), "a").join(side("b", "pb"), "b")
     before = F.struct("pa", "a") < F.struct("pb", "b")
-    pairs = placed.select(F.when(before, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(before, F.col("b")).otherwise(F.col("a")).alias("b"))
-    return dedup.greedy_survivors(first, pairs, "id").union(e.where(~F.coalesce(usable, F.lit(False))).select("id"))
+    later = F.when(before, F.struct("pb", "b")).otherwise(F.struct(F.col("pa").alias("pb"), F.col("a").alias("b")))
+    place = F.concat(F.lpad(later["pb"].cast("string"), 12, "0"), F.lpad(later["b"].cast("string"), 20, "0"))  # of rows in the order of priority and id, neither negative
+    pairs = placed.select(F.when(before, F.col("a")).otherwise(F.col("b")).alias("a"), later["b"].alias("b"), place.alias("place"))
+    return dedup.greedy_survivors(first, pairs, "id", "place").union(e.where(~F.coalesce(usable, F.lit(False))).select("id"))
 
 
 @query()
@@ -409,6 +411,66 @@ def d17_sequence_ratio(spark: SparkSession, d: str) -> DataFrame:
     return pairs.mapInPandas(score, "a string, b string, score double")
 
 
+def sequence_likeness(a: str, b: str) -> float:
+    """1 for equal texts, 0.87 where one holds the other; else the Ratcliff-Obershelp ratio and 0.3 times the share of common words, at most 1."""
+    if a == b:
+        return 1.0
+    if a in b or b in a:
+        return 0.87
+    one, two = set(a.split()), set(b.split())
+    shared = len(one & two) / max(len(one), len(two)) if one and two else 0.0
+    return round(min(1.0, difflib.SequenceMatcher(None, a, b).ratio() + 0.3 * shared), 3)
+
+
+def like_texts(texts: DataFrame, threshold: float = 0.9, most: int = dedup.BLOCK_ROWS) -> DataFrame:
+    """``(a, b, score)`` with a < b for all pairs of the distinct ``texts(t)`` whose ``sequence_likeness`` is at least ``threshold`` (more than 0.87), over all texts, in lower case and trimmed.
+
+    Exact, without scoring all pairs. A ratio is at most twice the number of common letters (with repeats) over both lengths. Texts without a common word need a ratio of ``threshold``, so of their letters, the rarest first, two such texts share one of the first
+    few; texts with a common word meet at a word. What meets is tested by the bound on letters before it is scored; a frequent word or letter is dealt into parts.
+    """
+    known = texts.select(F.lower(F.trim("t")).alias("t")).where(F.col("t") != "").distinct()
+    at_word = known.select("t", F.explode(F.array_distinct(F.split("t", r"\s+"))).alias("x"))
+    # each letter with the number of its repeat, so that common members are common letters with repeats
+    letter = known.select("t", F.posexplode(F.filter(F.split("t", ""), lambda c: c != "")).alias("i", "c")).withColumn("k", F.row_number().over(Window.partitionBy("t", "c").orderBy("i"))).select("t", F.concat_ws("#", "c", "k").alias("x"))
+    rare = letter.join(letter.groupBy("x").agg(F.count("*").alias("n")), "x").groupBy("t").agg(F.array_sort(F.collect_list(F.struct("n", "x"))).alias("o"))  # a text's own letters
+    size = F.size("o")
+    # of a pair's letters at least threshold / (2 - threshold) times the longer one's are common
+    need = F.ceil(size * F.lit(threshold / (2 - threshold)) - 1e-9).cast("int")
+    head = rare.select("t", F.explode(F.slice("o", F.lit(1), F.greatest(size - need + 1, F.lit(1)))).alias("m")).select("t", F.col("m.x").alias("x"))
+    sides = lambda x: dedup.met_in_blocks(x, ["x"], "t", most).select(F.col("one.t").alias("a"), F.col("two.t").alias("b"))
+    met = sides(at_word).union(sides(head)).distinct()
+    bags = rare.select("t", F.transform("o", lambda m: m["x"]).alias("w"))
+    both = met.join(bags.select(F.col("t").alias("a"), F.col("w").alias("wa")), "a").join(bags.select(F.col("t").alias("b"), F.col("w").alias("wb")), "b")
+    one, two = F.array_distinct(F.split("a", r"\s+")), F.array_distinct(F.split("b", r"\s+"))
+    words = F.size(F.array_intersect(one, two)) / F.greatest(F.size(one), F.size(two))
+    bound = 2 * F.size(F.array_intersect("wa", "wb")) / (F.size("wa") + F.size("wb")) + 0.3 * words
+    worth = both.where(bound >= threshold - 1e-3).select("a", "b")
+
+    def score(batches):
+        for pdf in batches:
+            yield pdf.assign(score=[sequence_likeness(a, b) for a, b in zip(pdf["a"], pdf["b"])])
+
+    return worth.mapInPandas(score, "a string, b string, score double").where(F.col("score") >= threshold)
+
+
+@query()
+def d17_like_names(spark: SparkSession, d: str) -> DataFrame:
+    """Supplier and customer names that resemble each other, over all of them."""
+    names = table(spark, d, "part").select(F.concat_ws(" ", "p_name", "p_brand").alias("t")).union(table(spark, d, "supplier").select("s_name"))
+    return like_texts(names, 0.97)
+
+
+#: Groups of actors that may stand for each other; a pair from different groups is only weakly alike (fixed values).
+ACTORS = {"buyer": "client", "client": "client", "tenant": "tenant", "lodger": "tenant", "owner": "owner", "landlord": "owner", "seller": "owner"}
+
+
+def actor_likeness(a: str, b: str, groups: dict[str, str] = ACTORS, cap: float = 0.20) -> float:
+    """``sequence_likeness`` of two actors, at most ``cap`` where both belong to groups and those differ."""
+    a, b = a.lower().strip(), b.lower().strip()
+    known = sequence_likeness(a, b)
+    return min(known, cap) if groups.get(a, groups.get(b)) != groups.get(b, groups.get(a)) else known
+
+
 @query("WITH q(asked) AS (VALUES ('red wigdet'), ('smal ring'), ('blue bolt'), ('zzz')), h AS (SELECT asked, min({'edits': levenshtein(asked, p_name), 't': p_name}) AS m FROM q, (SELECT DISTINCT p_name FROM part) WHERE levenshtein(asked, p_name) <= 3 GROUP BY asked) SELECT asked, coalesce(m.t, 'unknown') AS name, m.edits::BIGINT AS edits FROM q LEFT JOIN h USING (asked)")
 def d18_resolve_name(spark: SparkSession, d: str) -> DataFrame:
     """The nearest known name by edit distance, at most 3 edits; else the default. The questions are a fixed list."""

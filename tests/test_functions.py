@@ -155,8 +155,11 @@ def test_greedy_survivors_match_a_visit_in_order(spark):
     rng = random.Random(3)
     pairs = sorted({tuple(sorted(rng.sample(range(40), 2))) for _ in range(70)}) + [(i, i + 1) for i in range(100, 120)]
     df = spark.createDataFrame([(i,) for i in [*range(40), *range(100, 121), 500]], "id long")
-    got = sorted(r.id for r in dedup.greedy_survivors(df, spark.createDataFrame(pairs + pairs[:5], "a long, b long"), "id").collect())
-    assert got == greedy([r.id for r in df.collect()], lambda a, b: (a, b) in set(pairs))
+    for most in (4, 50_000):  # by rounds, and by groups
+        got = sorted(r.id for r in dedup.greedy_survivors(df, spark.createDataFrame(pairs + pairs[:5], "a long, b long"), "id", group_pairs=most).collect())
+        assert got == greedy([r.id for r in df.collect()], lambda a, b: (a, b) in set(pairs))
+    chain = spark.range(3000).selectExpr("id AS a", "id + 1 AS b")
+    assert sorted(r.id for r in dedup.greedy_survivors(spark.range(3001), chain, "id").collect()) == list(range(0, 3001, 2))  # a round a pair would never end
     assert dedup.greedy_survivors(df, spark.createDataFrame([], "a long, b long"), "id").count() == df.count()
 
 
@@ -332,3 +335,20 @@ def test_rules_that_users_add(spark):
     df = spark.createDataFrame([(1, None), (2, 5.0)], "id int, v double")
     got = Rules().expect("rows", F.count("*"), 2, critical=True).expect("known", F.count("v"), 2).check(df).collect()
     assert [(x.rule, x.critical, x.value, x.passed) for x in got] == [("rows", True, 2.0, True), ("known", False, 1.0, False)]
+
+
+def test_like_texts_match_brute_force(spark):
+    from gridstone.plans.models import actor_likeness, like_texts, sequence_likeness
+
+    rng = random.Random(12)
+    base = ["".join(rng.choice("abcdefg ") for _ in range(rng.randint(12, 30))).strip() for _ in range(25)]
+    edit = lambda t: (lambda i: t[:i] + rng.choice(["", "x", t[i : i + 1] * 2]) + t[i + 1 :])(rng.randrange(len(t)))
+    texts = base + [edit(rng.choice(base)) for _ in range(60)] + ["", "   ", "one", "one two", "ONE two ", "two one"]
+    known = sorted({t.lower().strip(" ") for t in texts} - {""})
+    for threshold in (0.88, 0.95):
+        want = {(a, b): s for i, b in enumerate(known) for a in known[:i] if (s := sequence_likeness(a, b)) >= threshold}
+        for most in (5, 2000):
+            got = {(r.a, r.b): r.score for r in like_texts(spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string"), threshold, most).collect()}
+            assert got == want and len(want) > 10
+    assert actor_likeness("tenant", "tenants") == 0.87 and actor_likeness("Lodger", "tenant") == sequence_likeness("lodger", "tenant") and actor_likeness("owner", "owner") == 1.0
+    assert actor_likeness("first actor", "first acton", {"first actor": "x", "first acton": "y"}) == 0.20 < actor_likeness("first actor", "first acton", {"first actor": "x"})
