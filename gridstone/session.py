@@ -13,7 +13,7 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",  # long texts: a batch is held whole by a worker,
-    "spark.sql.execution.arrow.maxBytesPerBatch": "64m",  # so its bytes are bounded too
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",  # so its bytes are bounded too, and with them the copies that a worker makes
 }
 
 
