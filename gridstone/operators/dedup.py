@@ -119,13 +119,16 @@ def greedy_survivors(df: DataFrame, pairs: DataFrame, key: str, order: str | Non
     """
     shared_folder(df.sparkSession)
     edges, gone = pairs.select("a", "b", F.col(order or "b").alias("place")).distinct().checkpoint(), None
-    if edges.limit(1).count():
+    total, kind = edges.count(), edges.schema["b"].dataType.simpleString()
+    if 0 < total <= group_pairs:  # few enough for one task, connected or not
+        gone = edges.groupBy(F.lit(0).alias("root")).applyInPandas(lambda p: _settled(p), f"b {kind}").checkpoint()
+        return df.select(key).join(gone.select(F.col("b").alias(key)), key, "left_anti")
+    if total:
         root = components(edges)
         grouped = edges.join(root.select(F.col("node").alias("b"), "root"), "b").join(root.select(F.col("node").alias("a"), F.col("root").alias("other")), "a")
         if grouped.where("root <> other").limit(1).count() == 0:
             sizes = grouped.groupBy("root").agg(F.count("*").alias("n"))
             small = grouped.join(sizes.where(F.col("n") <= group_pairs).select("root"), "root")
-            kind = edges.schema["b"].dataType.simpleString()
             gone = small.select("root", "a", "b", "place").groupBy("root").applyInPandas(lambda p: _settled(p), f"b {kind}").checkpoint()
             edges = grouped.join(sizes.where(F.col("n") > group_pairs).select("root"), "root").select("a", "b", "place").checkpoint()
     while edges.limit(1).count():

@@ -155,7 +155,7 @@ def test_greedy_survivors_match_a_visit_in_order(spark):
     rng = random.Random(3)
     pairs = sorted({tuple(sorted(rng.sample(range(40), 2))) for _ in range(70)}) + [(i, i + 1) for i in range(100, 120)]
     df = spark.createDataFrame([(i,) for i in [*range(40), *range(100, 121), 500]], "id long")
-    for most in (4, 50_000):  # by rounds, and by groups
+    for most in (4, 30, 50_000):  # by rounds, by groups, and at once
         got = sorted(r.id for r in dedup.greedy_survivors(df, spark.createDataFrame(pairs + pairs[:5], "a long, b long"), "id", group_pairs=most).collect())
         assert got == greedy([r.id for r in df.collect()], lambda a, b: (a, b) in set(pairs))
     chain = spark.range(3000).selectExpr("id AS a", "id + 1 AS b")
