@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import math
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -842,3 +844,111 @@ def test_pipeline_stages(spark, sf):
     assert kept.where("text rlike 'token = \"[0-9a-f]{40}'").count() == 0
     packed = corpus_pipeline.run(spark, sf)
     assert packed.select("doc_id").distinct().count() == kept.count()
+
+
+# plain versions of the trained models ----------------------------------------------------------------------
+
+
+def test_label_model_equals_a_plain_loop():
+    """EM vote by vote over single documents, without tables of patterns."""
+    rng = np.random.default_rng(6)
+    vote = rng.choice([-1, 0, 1], size=(300, 4), p=[0.2, 0.5, 0.3])
+    vote[:120] = np.abs(vote[:120])  # many are called good by all
+    start = [[0.4, 0.5, 0.1], [0.1, 0.5, 0.4]]
+    chance, prior = [[list(c) for c in start] for _ in range(4)], 0.8
+
+    def good(v):
+        a, b = 1 - prior, prior
+        for k, x in enumerate(v):
+            a, b = a * chance[k][0][x + 1], b * chance[k][1][x + 1]
+        return b / (a + b)
+
+    for _ in range(100):
+        p = [good(v) for v in vote.tolist()]
+        seen = [[list(c) for c in start] for _ in range(4)]
+        for v, q in zip(vote.tolist(), p):
+            for k, x in enumerate(v):
+                seen[k][0][x + 1] += 1 - q
+                seen[k][1][x + 1] += q
+        chance, prior = [[[n / sum(c) for n in c] for c in s] for s in seen], min(max(sum(p) / len(p), 0.01), 0.99)
+    table, counts = np.unique(vote, axis=0, return_counts=True)
+    model = quality.fit_labels(table, counts.astype(float))
+    assert np.allclose(model.chance, chance, atol=1e-9) and abs(model.prior - prior) < 1e-9
+    assert np.allclose(model.posterior(vote), [good(v) for v in vote.tolist()], atol=1e-9)
+
+
+def plain_kind(b):
+    return 0 if 97 <= b <= 122 else 1 if 65 <= b <= 90 else 2 if 48 <= b <= 57 else 3 if b in (9, 11, 12, 13, 32) else 4 if b == 10 else 5 if b >= 128 else b + 8
+
+
+def plain_quality_features(text):
+    data, count = [plain_kind(b) for b in text.encode("utf-8", "replace")], [0.0] * quality.BUCKETS
+    for a, b, c, d in zip(data, data[1:], data[2:], data[3:]):
+        h = (a * 0x9E3779B1 & 0xFFFFFFFF) ^ (b * 0x85EBCA6B & 0xFFFFFFFF) ^ (c * 0xC2B2AE35 & 0xFFFFFFFF) ^ (d * 0x27D4EB2F & 0xFFFFFFFF)
+        count[(h >> 20) % (quality.BUCKETS - 16) + 16] += 1
+    m, n = quality.measures(text), max(sum(count), 1)
+    head = [1.0, min(8 * m["symbols"], 2), 2 * m["capitals"], 3 * m["repeats"], min(m["variety"], 3), min(2 * m["exclaims"], 2), min(2 * m["sentences"], 2), 3 * m["function"], min(m["length"] / 10, 3), m["letters"]]
+    return head + [10 * c / n for c in count[10:]]
+
+
+def test_scorer_is_the_least_of_its_loss_and_scores_like_a_plain_loop(spark):
+    """The fitted weights leave hardly any slope of the loss, as a plain sum over rows tells it; scores are plain sums over features counted one by one."""
+    rng = np.random.default_rng(7)
+    x = np.column_stack((np.ones(200), rng.normal(size=(200, 4)))).astype(np.float32)
+    good = 1 / (1 + np.exp(-(x @ np.array([0.3, 1.0, -2.0, 0.5, 0.0])) + rng.normal(size=200)))
+    decay = 1e-2
+    fitted = quality.fit_scorer(x, good.astype(np.float32), rounds=3000, decay=decay).weights.tolist()
+    slope, of = [decay * w for w in fitted], [good.sum(), (1 - good).sum()]
+    for row, g in zip(x.tolist(), good.tolist()):
+        p = 1 / (1 + math.exp(-sum(a * w for a, w in zip(row, fitted))))
+        for j, a in enumerate(row):
+            slope[j] += a * (p - g) * (g / of[0] + (1 - g) / of[1]) / 2
+    assert max(map(abs, slope)) < 1e-4
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = quality.fit(docs)
+    texts = {r.doc_id: r.text or "" for r in docs.collect() if r.doc_id % 4 == 0 or len(r.text or "") < 40}
+    for r in quality.scored(docs, model).collect():
+        if r.doc_id in texts:
+            z = sum(a * w for a, w in zip(plain_quality_features(texts[r.doc_id]), model.scorer.weights.tolist()))
+            assert abs(r.score - 1 / (1 + math.exp(-max(-30, min(30, z))))) < 1e-4
+
+
+def test_language_equals_plain_votes_and_margins(spark):
+    """n-grams counted one by one, a margin for each machine, votes of families and then of a family's languages."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.fit(docs.where(~langid.held_out()))
+    weights, bias = model.weights.tolist(), model.bias.tolist()
+
+    def plain(text):
+        if not any(unicodedata.category(c).startswith("L") for c in text or ""):
+            return "und", 0.0
+        kept = "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in text.lower())
+        data = b" " + " ".join(kept.split()).encode() + b" "
+        total, n = [0.0] * len(model.pairs), 0
+        for k, mix in ((3, lambda h, d: h), (4, lambda h, d: (h * 5 & 0xFFFFFFFF) ^ (d * 0x27D4EB2F & 0xFFFFFFFF))):
+            for i in range(len(data) - k + 1):
+                h = (data[i] * 0x9E3779B1 & 0xFFFFFFFF) ^ (data[i + 1] * 0x85EBCA6B & 0xFFFFFFFF) ^ (data[i + 2] * 0xC2B2AE35 & 0xFFFFFFFF)
+                row, n = weights[mix(h, data[i + k - 1]) >> 19], n + 1
+                total = [a + b for a, b in zip(total, row)]
+        margin = {p: 100 * t / max(n, 1) + b for p, t, b in zip(model.pairs, total, bias)}
+
+        def best(classes):
+            won = {c: [0, 0.0, 1.0] for c in classes}
+            for (a, b), m in margin.items():
+                if a in won and b in won:
+                    p = 1 / (1 + math.exp(-2 * max(-20, min(20, m))))
+                    won[a if m >= 0 else b][0] += 1
+                    won[a][1:], won[b][1:] = [won[a][1] + m, min(won[a][2], p)], [won[b][1] - m, min(won[b][2], 1 - p)]
+            name = sorted(classes, key=lambda c: (-won[c][0], -won[c][1], c))[0]
+            return name, won[name][2]
+
+        family, p = best([f"family:{f}" for f in model.families])
+        lang, q = best(model.members[family.split(":")[1]])
+        return lang, p * q
+
+    rows = docs.union(odd_docs(spark).selectExpr("doc_id + 800000", "text", "lang", "source", "n_chars")).where("length(text) < 3000 OR text IS NULL").collect()
+    got = {(r.doc_id, r.text): (r.lang_pred, r.score) for r in langid.predict(spark.createDataFrame(rows, DOCS), model, also=("doc_id", "text")).collect()}
+    assert len(rows) > 100
+    for r in rows:
+        lang, score = plain(r.text)
+        assert got[r.doc_id, r.text][0] == lang and abs(got[r.doc_id, r.text][1] - score) < 1e-6
