@@ -146,11 +146,16 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, pair_bucke
     An empty table gives an empty result.
     """
     marks = written(fingerprints(docs, words, id_col=id_col, text_col=text_col), "simhash-marks")
+    return marks.join(fingerprint_classes(marks, radius, pair_bucket), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def fingerprint_classes(marks: DataFrame, radius: int = 3, pair_bucket: int = PAIR_BUCKET) -> DataFrame:
+    """``(fp, component_id)``: each distinct fingerprint of ``marks(doc_id, fp)`` with the least ``doc_id`` of its class, a connected component of ``links``."""
     distinct = marks.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = connected_components(links(distinct, radius, pair_bucket=pair_bucket))
     classes = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marks.join(classes.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return classes.join(named, "root").select("fp", "component_id")
 
 
 #: Two texts are near duplicates if the Jaccard similarity of their sets of five-word shingles is at least 4 / 5.
@@ -159,6 +164,8 @@ ALIKE = (4, 5)
 MINS, BAND = 256, 6
 #: Differing last bits of the min-hashes up to which two texts are candidates: expected at 4 / 5 are 25.6 with deviation 4.8, so a chance below 1e-5 to miss.
 CANDIDATE_BITS = 48
+#: Differing bits up to which the fingerprints of two sets make them candidates too, by the covering tables: no such pair is missed.
+RADIUS = 3
 _TIMES = np.random.default_rng(1).integers(0, 1 << 63, MINS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 _PLUS = np.random.default_rng(2).integers(0, 1 << 63, MINS, dtype=np.uint64) << np.uint64(1)
 
@@ -177,7 +184,7 @@ def signature(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shingle_sets(docs: DataFrame, schema: str, words: int, id_col: str, text_col: str) -> DataFrame:
-    """Of ``doc_id, node, size, bits, keys, held`` those named in ``schema``: a text's id, the hash of its set of shingles, that set's size, signature and sorted hashes."""
+    """Of ``doc_id, node, size, fp, bits, keys, held`` those named in ``schema``: a text's id, the hash of its set of shingles, that set's size, fingerprint, signature and sorted hashes."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,6 +195,7 @@ def shingle_sets(docs: DataFrame, schema: str, words: int, id_col: str, text_col
                 "doc_id": lambda: batch.column(0),
                 "node": lambda: pa.array([_signed(xxhash.xxh64_intdigest(x.tobytes(), 3)) for x in sets], pa.int64()),
                 "size": lambda: pa.array([len(x) for x in sets], pa.int64()),
+                "fp": lambda: pa.array([_signed(fingerprint(x)) for x in sets], pa.int64()),
                 "bits": lambda: pa.array([x for _, x in signs], pa.list_(pa.int64())),
                 "keys": lambda: pa.array([x for x, _ in signs], pa.list_(pa.int64())),
                 "held": lambda: pa.array([x.tobytes() for x in sets], pa.binary()),
@@ -215,8 +223,16 @@ def _forest(a: np.ndarray, most: int) -> list[tuple[int, int]]:
     return out
 
 
+def _near_bits(rows: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Which rows are candidates of ``one``: by the bits of their min-hashes or, where a fingerprint follows these, by its."""
+    apart = np.bitwise_count(rows ^ one)
+    return (apart[:, : MINS // 64].sum(1) <= CANDIDATE_BITS) | (apart[:, MINS // 64 :] <= RADIUS).any(1)
+
+
 def _alike(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     """Which of the sets ``others`` have a Jaccard similarity of at least ALIKE with ``one``, in whole numbers. All are sorted."""
+    if not len(one):
+        return np.fromiter((not len(x) for x in others), bool, len(others))
     shared = np.empty(len(others), np.int64)
     for i, x in enumerate(others):
         at = np.searchsorted(one, x)
@@ -235,7 +251,7 @@ def _exact_forest(bits: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, i
         while queue and len(rest):
             at = queue.pop()
             fits = np.minimum(sizes[rest], sizes[at]) * ALIKE[1] >= np.maximum(sizes[rest], sizes[at]) * ALIKE[0]
-            maybe = np.flatnonzero(fits & (np.bitwise_count(bits[rest] ^ bits[at]).sum(1) <= CANDIDATE_BITS))
+            maybe = np.flatnonzero(fits & _near_bits(bits[rest], bits[at]))
             near = maybe[_alike(sets[at], [sets[i] for i in rest[maybe]])]
             queue += rest[near].tolist()
             out += [(at, int(i)) for i in rest[near]]
@@ -273,7 +289,7 @@ def _near_lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches with ``near`` in the place of the lead's columns: whether a row is a candidate of its lead and, where sets are held, similar to it."""
     for batch in batches:
         names = [c for c in batch.schema.names if not c.startswith("lead_")]
-        near = np.bitwise_count(_rows(batch["bits"]) ^ _rows(batch["lead_bits"])).sum(1) <= CANDIDATE_BITS
+        near = _near_bits(_rows(batch["bits"]), _rows(batch["lead_bits"]))
         if "held" in names:
             for i in np.flatnonzero(near):
                 near[i] = _alike(np.frombuffer(batch["lead_held"][i].as_buffer(), np.uint64), [np.frombuffer(batch["held"][i].as_buffer(), np.uint64)])[0]
@@ -312,12 +328,16 @@ def group_edges(members: DataFrame, sizes: DataFrame, key: str, size: str, most:
 def similar(docs: DataFrame, words: int = 5, pair_bucket: int = 8, group_bucket: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, component_id)``: near-duplicate classes, the connected components of pairs whose sets of ``words``-word shingles have a Jaccard similarity of at least ALIKE.
 
-    Candidates share a table's key (six min-hashes) and differ in at most CANDIDATE_BITS bits of their signatures. Buckets of up to ``pair_bucket`` texts are compared in
+    Candidates are first the classes of ``near_duplicates``, by the fingerprints of the sets under covering masks: every pair of at most RADIUS differing bits is among them. A pair of a similarity near ALIKE
+    differs in about ten bits, so no radius that masks can cover takes in all links; candidates are therefore also texts that share a table's key (six min-hashes) and differ in at most CANDIDATE_BITS bits of their signatures. Buckets of up to ``pair_bucket`` texts are compared in
     pairs; larger ones as in ``group_edges``: those of up to ``group_bucket`` by one task each, which gives a spanning forest of their candidates, others through a lead and blocks. Within each
     connected group of candidates the whole sets of shingles are then compared (by ``group_edges`` too), so no pair of a lower similarity is linked and none is left out. Equal sets are one node. Classes are named by their least id. Nulls, repeated rows and empty tables are as in ``near_duplicates``.
     """
-    marks = written(shingle_sets(docs, "doc_id long, node long, size long, bits array<long>, keys array<long>", words, id_col, text_col), "similar-marks")
-    distinct = written(marks.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("size", "bits", "keys"))), "similar-nodes")
+    marks = written(shingle_sets(docs, "doc_id long, node long, size long, fp long, bits array<long>, keys array<long>", words, id_col, text_col), "similar-marks")
+    distinct = written(marks.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("size", "fp", "bits", "keys"))), "similar-nodes")
+    prints = fingerprint_classes(distinct.select(F.col("node").alias("doc_id"), "fp"), RADIUS)
+    near = distinct.join(prints, "fp").where("node <> component_id").select(F.col("node").alias("a"), F.col("component_id").alias("b"))
+
     rows = distinct.select("node", F.explode("keys").alias("key"))
     sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = written(rows.join(sizes, "key").join(distinct.select("node", "bits"), "node"), "similar-buckets")
@@ -327,7 +347,7 @@ def similar(docs: DataFrame, words: int = 5, pair_bucket: int = 8, group_bucket:
     pairs = side("a", "x").join(side("b", "y"), "key").where((F.col("a") < F.col("b")) & (apart <= CANDIDATE_BITS)).select("a", "b")
 
     forest = group_edges(shared.where(F.col("n") > pair_bucket), shared, "key", "n", group_bucket, _candidates)
-    met = connected_components(pairs.union(forest)).join(distinct.select("node", "least", "size", "bits"), "node")
+    met = connected_components(near.union(pairs).union(forest)).join(distinct.select("node", "least", "size", F.concat("bits", F.array("fp")).alias("bits")), "node")
     weights = met.groupBy("root").agg(F.greatest(F.count("*"), F.ceil(F.sum("size") / 200)).alias("n"))  # a row of 200 shingles, or less, weighs one
     wanted = met.select(F.col("least").alias("__least")).distinct()
     texts = docs.join(wanted, F.col(id_col).cast("long").eqNullSafe(F.col("__least")), "left_semi")

@@ -142,6 +142,30 @@ def test_similar_loses_no_link_of_large_buckets(spark):
         assert {r.doc_id: r.component_id for r in simhash.similar(docs, pair_bucket=1, group_bucket=most).collect()} == whole
 
 
+def continued(seed: int, far, more: int | None = None, words: int = 140) -> tuple[np.ndarray, np.ndarray, str, str]:
+    """The sets of shingles of a text and of its continuation by ``more`` words (else until ``far`` is 0), each the one of 150 for which ``far`` of both sets is least; and the texts."""
+    rng = np.random.default_rng(seed)
+    shingles = lambda t: np.unique(simhash.shingle_hashes(" ".join(t), 5))
+    text = [f"w{i}" for i in rng.integers(0, 10**6, words)]
+    start, longer = shingles(text), list(text)
+    while far(start, shingles(longer)) if more is None else len(longer) < words + more:
+        longer.append(min((f"v{i}" for i in rng.integers(0, 10**6, 150)), key=lambda w: far(start, shingles([*longer, w]))))
+    return start, shingles(longer), " ".join(text), " ".join(longer)
+
+
+def test_similar_links_by_fingerprints_what_shares_no_table(spark):
+    """A similar pair that only the covering family finds is linked; one of near fingerprints that is not similar enough is not."""
+    bits = lambda x, y: (simhash.fingerprint(x) ^ simhash.fingerprint(y)).bit_count()
+    keys = lambda x, y: (simhash.signature(x)[0] == simhash.signature(y)[0]).sum()
+    x, y, one, two = continued(0, keys)
+    assert not set(simhash.signature(x)[0].tolist()) & set(simhash.signature(y)[0].tolist()) and bits(x, y) <= 3 and len(x) >= 0.8 * len(y)
+    v, w, three, four = continued(1, bits, 40)
+    assert bits(v, w) <= 3 and len(v) < 0.8 * len(w)
+    docs = spark.createDataFrame(list(enumerate([two, one, three, four, "other words that are not like these", "", None])), "doc_id long, text string")
+    for options in ({}, {"pair_bucket": 1, "group_bucket": 1}):
+        assert {r.doc_id: r.component_id for r in simhash.similar(docs, **options).collect()} == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4, 5: 5, 6: 5}
+
+
 def test_components_of_long_paths_and_hubs(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, i) for i in range(1001, 1300)] + [(5, 5), (2000, 2001), (2001, 2000)]
     got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
