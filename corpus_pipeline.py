@@ -19,11 +19,17 @@ from gridstone.session import prepare
 
 #: The score below which a document is rejected by the quality stage, and the token that ends a packed document.
 LEAST_QUALITY, END_ID = 0.5, 1
+#: Bytes of an Arrow batch: the workers of all stages run one after another beside the same executors, and each keeps the memory of its largest batches.
+BATCH = "4m"
+
+
+def _prepared(spark: SparkSession) -> None:
+    prepare(spark).conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a recognised language stay; those without letters (``und``) go. The prediction becomes ``lang``."""
-    prepare(spark)
+    _prepared(spark)
     model = langid.fit(docs.where(~langid.held_out()))
     told = langid.predict(docs, model, also=tuple(docs.columns), names=("__lang", "__sure"))
     return told.where("__lang <> 'und'").select(*(F.col("__lang").alias(c) if c == "lang" else c for c in docs.columns))
@@ -31,27 +37,27 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the scorer takes for good stay."""
-    prepare(spark)
+    _prepared(spark)
     scored = quality.scored(docs, quality.fit(docs), also=tuple(docs.columns), names=("__posterior", "__quality"))
     return scored.where(F.col("__quality") >= LEAST_QUALITY).select(*docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class stays: that of the least id."""
-    prepare(spark)
+    _prepared(spark)
     return simhash.first_of_each(docs)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced in the texts, and ``n_chars`` follows; all documents stay."""
-    prepare(spark)
+    _prepared(spark)
     forest = secrets.fit(words=_tokenizer("word_bpe_49k.json"))
     return secrets.redacted(docs, forest).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Training sequences: the pieces of all documents, with their ids' checksum."""
-    prepare(spark)
+    _prepared(spark)
     return packing.digests(packing.pack(docs, _tokenizer("byte_bpe_50k.json"), END_ID))
 
 

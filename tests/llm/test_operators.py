@@ -173,6 +173,15 @@ def test_components_of_long_paths_and_hubs(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_pipeline_stages_use_small_batches(spark):
+    """Workers keep the memory of their largest batches beside an executor's own."""
+    import corpus_pipeline
+
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    corpus_pipeline.without_secrets(spark, spark.createDataFrame([], "doc_id long, text string, n_chars long"), "")
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "4m"
+
+
 # 2 ---------------------------------------------------------------------------------------------------------
 
 
