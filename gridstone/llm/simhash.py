@@ -332,11 +332,12 @@ def similar(docs: DataFrame, words: int = 5, pair_bucket: int = 8, group_bucket:
     differs in about ten bits, so no radius that masks can cover takes in all links; candidates are therefore also texts that share a table's key (six min-hashes) and differ in at most CANDIDATE_BITS bits of their signatures. Buckets of up to ``pair_bucket`` texts are compared in
     pairs; larger ones as in ``group_edges``: those of up to ``group_bucket`` by one task each, which gives a spanning forest of their candidates, others through a lead and blocks. Within each
     connected group of candidates the whole sets of shingles are then compared (by ``group_edges`` too), so no pair of a lower similarity is linked and none is left out. Equal sets are one node. Classes are named by their least id. Nulls, repeated rows and empty tables are as in ``near_duplicates``.
+    Tables that several later joins read are written (a few numbers a text), so that no plan, and with it what the driver holds while it plans, gets long.
     """
     marks = written(shingle_sets(docs, "doc_id long, node long, size long, fp long, bits array<long>, keys array<long>", words, id_col, text_col), "similar-marks")
     distinct = written(marks.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("size", "fp", "bits", "keys"))), "similar-nodes")
     prints = fingerprint_classes(distinct.select(F.col("node").alias("doc_id"), "fp"), RADIUS)
-    near = distinct.join(prints, "fp").where("node <> component_id").select(F.col("node").alias("a"), F.col("component_id").alias("b"))
+    near = written(distinct.join(prints, "fp").where("node <> component_id").select(F.col("node").alias("a"), F.col("component_id").alias("b")), "similar-prints")
 
     rows = distinct.select("node", F.explode("keys").alias("key"))
     sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -347,13 +348,13 @@ def similar(docs: DataFrame, words: int = 5, pair_bucket: int = 8, group_bucket:
     pairs = side("a", "x").join(side("b", "y"), "key").where((F.col("a") < F.col("b")) & (apart <= CANDIDATE_BITS)).select("a", "b")
 
     forest = group_edges(shared.where(F.col("n") > pair_bucket), shared, "key", "n", group_bucket, _candidates)
-    met = connected_components(near.union(pairs).union(forest)).join(distinct.select("node", "least", "size", F.concat("bits", F.array("fp")).alias("bits")), "node")
+    met = written(connected_components(near.union(pairs).union(forest)).join(distinct.select("node", "least", "size", F.concat("bits", F.array("fp")).alias("bits")), "node"), "similar-met")
     weights = met.groupBy("root").agg(F.greatest(F.count("*"), F.ceil(F.sum("size") / 200)).alias("n"))  # a row of 200 shingles, or less, weighs one
-    wanted = met.select(F.col("least").alias("__least")).distinct()
+    wanted = met.select(F.col("least").alias("__least")).distinct().hint("shuffle_hash")  # grows with the table, so it isn't sent through the driver
     texts = docs.join(wanted, F.col(id_col).cast("long").eqNullSafe(F.col("__least")), "left_semi")
     sets = shingle_sets(texts, "node long, held binary", words, id_col, text_col).groupBy("node").agg(F.first("held").alias("held"))
     linked = group_edges(met.select("node", "root", "bits").join(weights, "root").join(sets, "node"), weights, "root", "n", group_bucket, _similar_sets)
-    classes = distinct.join(connected_components(linked), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    classes = written(distinct.join(connected_components(linked), "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "similar-classes")
     named = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     return marks.select("doc_id", "node").join(classes.join(named, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
 

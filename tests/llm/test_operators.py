@@ -173,6 +173,22 @@ def test_components_of_long_paths_and_hubs(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_that_are_stars_take_no_round(spark, monkeypatch):
+    taken, stars = [], components._stars
+    monkeypatch.setattr(components, "_stars", lambda pairs, sym: taken.append(sym) or stars(pairs, sym))
+    for edges, rounds in (([(1, 2), (3, 1), (4, 5), (4, 5), (7, 7)], 0), ([(1, 2), (2, 3)], 1)):
+        taken.clear()
+        got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert got == ({1: 1, 2: 1, 3: 1, 4: 4, 5: 4} if not rounds else {1: 1, 2: 1, 3: 1})
+        assert sum(taken) == rounds  # large stars
+
+
+def test_similar_leaves_a_short_plan(spark):
+    docs = spark.createDataFrame(list(enumerate(edits_of(20, 90, 4, 1) + edits_of(20, 30, 3, 2))), "doc_id long, text string")
+    plan = simhash.similar(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") <= 6, plan  # each is planned again after each shuffle
+
+
 def test_pipeline_stages_use_small_batches(spark):
     """Workers keep the memory of their largest batches beside an executor's own."""
     import corpus_pipeline
