@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import grouped_quantiles, iqr_keep, mann_kendall, median, normal_cdf_sql, quantile, share, summarised
+from ..functions.stats import grouped_quantiles, iqr_keep, mann_kendall, median, normal_cdf_sql, share, summarised, with_quantiles
+from ..session import stored
 from .base import listings, query, r, table
 
 _SPATIAL = "count(*) AS n, round(median(price), 2) AS median_price, round(avg(price), 2) AS mean_price, min(price) AS min_price, max(price) AS max_price, round(median(surface), 2) AS median_surface, round(median(ppm2), 2) AS median_ppm2, round(avg(ppm2), 2) AS mean_ppm2"
@@ -138,9 +139,9 @@ def a10_price_drop_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query(", c AS (SELECT city, median(ppm2) AS med, avg(ppm2) AS mean, stddev(ppm2) AS sd, count(*) AS n FROM listing GROUP BY city), g AS (SELECT median(ppm2) AS med FROM listing) SELECT city, n, round(c.med, 2) AS median_ppm2, round(mean, 2) AS mean_ppm2, round(sd, 2) AS sd_ppm2, round(c.med / g.med, 4) AS ratio FROM c, g", True)
 def a11_city_emergence_stats(spark: SparkSession, d: str) -> DataFrame:
-    x = listings(spark, d)
-    c = x.groupBy("city").agg(median("ppm2").alias("m"), F.avg("ppm2").alias("mean"), F.stddev_samp("ppm2").alias("sd"), F.count("*").alias("n"))
-    return c.crossJoin(F.broadcast(x.agg(median("ppm2").alias("g")))).select("city", "n", r("m", 2).alias("median_ppm2"), r("mean", 2).alias("mean_ppm2"), r("sd", 2).alias("sd_ppm2"), r(F.col("m") / F.col("g")).alias("ratio"))
+    x = stored(listings(spark, d).select("city", "ppm2"), "listings")
+    c = with_quantiles(x, ["city"], {"m": ("ppm2", 0.5)}, F.avg("ppm2").alias("mean"), F.stddev_samp("ppm2").alias("sd"), F.count("*").alias("n"))
+    return c.crossJoin(F.broadcast(with_quantiles(x, [], {"g": ("ppm2", 0.5)}, F.count("*").alias("all")))).select("city", "n", r("m", 2).alias("median_ppm2"), r("mean", 2).alias("mean_ppm2"), r("sd", 2).alias("sd_ppm2"), r(F.col("m") / F.col("g")).alias("ratio"))
 
 
 @query("SELECT city, count(*) AS n, round(avg(price), 2) AS mean_price, round(median(price), 2) AS median_price, round(stddev(price), 2) AS sd_price, min(price) AS min_price, max(price) AS max_price, round(avg(surface), 2) AS mean_surface, round(avg(rooms), 2) AS mean_rooms FROM listing GROUP BY city HAVING count(*) >= 3", True)

@@ -1,6 +1,15 @@
 """What larger tables and odd rows asked of single queries, on small ones."""
 
+import glob
+import os
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from gridstone.functions.stats import narrow_quantiles, with_quantiles
 from gridstone.plans import extraction
+from gridstone.session import shared_folder
 
 
 def test_words_end_at_letters_beyond_ascii(spark, tmp_path):
@@ -8,3 +17,27 @@ def test_words_end_at_letters_beyond_ascii(spark, tmp_path):
     spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "conv_id long, turn long, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
     got = {r.conv_id: r.status for r in extraction.x23_fallback_parse(spark, str(tmp_path)).collect()}
     assert [got[i][:2] for i in range(len(texts))] == ["ob", "ob", "pe", "pe", "pr", "pe", "pr"]
+
+
+@pytest.mark.parametrize("accuracy", [10_000, 20])  # the second has windows that many ranks lie in
+def test_narrow_quantiles_are_exact(spark, accuracy):
+    rng = np.random.default_rng(3)
+    columns = {"a": rng.normal(size=3000).round(2), "b": rng.integers(0, 4, 3000).astype(float), "c": rng.random(10), "d": np.array([5.0]), "e": np.array([1.0, 2.0])}
+    rows = [(k, float(v), -float(v)) for k, vs in columns.items() for v in vs] + [("a", None, None), ("none", None, None), (None, 3.0, 7.0)]
+    x = spark.createDataFrame(rows, "k string, v double, w double").repartition(5)
+    wanted = {"q1": ("v", 0.25), "med": ("v", 0.5), "high": ("w", 0.9)}
+    got = {r.k: r for r in narrow_quantiles(x, ["k"], wanted, accuracy).collect()}
+    for k, vs in columns.items():
+        assert [got[k].q1, got[k].med, got[k].high] == pytest.approx([np.quantile(vs, 0.25), np.quantile(vs, 0.5), np.quantile(-vs, 0.9)])
+    assert (got[None].med, got[None].high, "none" in got) == (3.0, 7.0, False)
+    whole = with_quantiles(x, [], {"med": ("v", 0.5)}, F.count("*").alias("n")).collect()
+    assert len(whole) == 1 and whole[0].n == len(rows) and whole[0].med == pytest.approx(np.median([v for _, v, _ in rows if v is not None]))
+    assert with_quantiles(x.where("k = 'none'"), [], {"med": ("v", 0.5)}, F.count("*").alias("n")).collect() == [(1, None)]
+
+
+def test_narrow_quantiles_shuffle_few_rows(spark):
+    """A percentile's buffer holds every value of the group; here a task hands over only those near the wanted rank."""
+    x = spark.range(100_000).select((F.col("id") * 7919 % 100_003).cast("double").alias("v"))
+    with_quantiles(x, [], {"med": ("v", 0.5)}, F.count("*").alias("n")).collect()
+    newest = max(glob.glob(shared_folder(spark).removeprefix("file:") + "/counts-*"), key=os.path.getmtime)
+    assert spark.read.parquet(newest).count() < 200
