@@ -289,7 +289,9 @@ def a22_source_health(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT count(*) AS n, round(avg(ppm2), 2) AS mean, round(median(ppm2), 2) AS med, round(quantile_cont(ppm2, 0.1), 2) AS p10, round(quantile_cont(ppm2, 0.9), 2) AS p90 FROM listing", True)
 def a23_pipeline_report(spark: SparkSession, d: str) -> DataFrame:
-    return listings(spark, d).agg(F.count("*").alias("n"), r(F.avg("ppm2"), 2).alias("mean"), r(median("ppm2"), 2).alias("med"), r(quantile("ppm2", 0.1), 2).alias("p10"), r(quantile("ppm2", 0.9), 2).alias("p90"))
+    x = stored(listings(spark, d).select("ppm2"), "listings")
+    s = with_quantiles(x, [], {"med": ("ppm2", 0.5), "p10": ("ppm2", 0.1), "p90": ("ppm2", 0.9)}, F.count("*").alias("n"), r(F.avg("ppm2"), 2).alias("mean"))
+    return s.select("n", "mean", *(r(q, 2).alias(q) for q in ("med", "p10", "p90")))
 
 
 @query("SELECT role, count(*) AS n, round(avg(length(text)), 2) AS mean_length FROM conversations GROUP BY role")
