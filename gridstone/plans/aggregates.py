@@ -260,7 +260,9 @@ def a17_missing_profile(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT count(*) AS n, round(avg(price), 2) AS mean, round(stddev(price), 2) AS sd, min(price) AS low, round(quantile_cont(price, 0.25), 2) AS q1, round(median(price), 2) AS med, round(quantile_cont(price, 0.75), 2) AS q3, max(price) AS high FROM listing", True)
 def a18_describe(spark: SparkSession, d: str) -> DataFrame:
-    return listings(spark, d).agg(F.count("*").alias("n"), r(F.avg("price"), 2).alias("mean"), r(F.stddev_samp("price"), 2).alias("sd"), F.min("price").alias("low"), r(quantile("price", 0.25), 2).alias("q1"), r(median("price"), 2).alias("med"), r(quantile("price", 0.75), 2).alias("q3"), F.max("price").alias("high"))
+    x, p = stored(listings(spark, d).select("price"), "listings"), F.col("price")
+    s = with_quantiles(x, [], {"q1": ("price", 0.25), "med": ("price", 0.5), "q3": ("price", 0.75)}, F.count("*").alias("n"), r(F.avg(p), 2).alias("mean"), r(F.stddev_samp(p), 2).alias("sd"), F.min(p).alias("low"), F.max(p).alias("high"))
+    return s.select("n", "mean", "sd", "low", *(r(q, 2).alias(q) for q in ("q1", "med", "q3")), "high")
 
 
 @query("SELECT round(corr(price, surface), 4) AS price_surface, round(corr(price, rooms), 4) AS price_rooms, round(corr(surface, rooms), 4) AS surface_rooms FROM listing", True)
