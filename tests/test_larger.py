@@ -2,13 +2,15 @@
 
 import glob
 import os
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gridstone.functions.stats import narrow_quantiles, with_quantiles
-from gridstone.plans import extraction
+from gridstone.operators import dedup
+from gridstone.plans import extraction, models
 from gridstone.session import shared_folder
 
 
@@ -41,3 +43,48 @@ def test_narrow_quantiles_shuffle_few_rows(spark):
     with_quantiles(x, [], {"med": ("v", 0.5)}, F.count("*").alias("n")).collect()
     newest = max(glob.glob(shared_folder(spark).removeprefix("file:") + "/counts-*"), key=os.path.getmtime)
     assert spark.read.parquet(newest).count() < 200
+
+
+def test_short_texts_meet_at_their_letters(spark):
+    texts = [f"supplier#{i:09d}" for i in range(60)] + [f"a{i}b" for i in range(20)] + ["abcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyz012345678", "abcdefghijklmnopqrstuvwxyz012345689", "supplier#00000001", "", "x", "red pin", "red  pin", "pin red"]
+    for threshold in (0.88, 0.9, 0.97):
+        got = {(r.a, r.b): r.score for r in models.like_texts(spark.createDataFrame([(t,) for t in texts], "t string"), threshold, 7).collect()}
+        some = sorted({t for t in texts if t})
+        assert got == {(a, b): s for i, a in enumerate(some) for b in some[i + 1 :] if (s := models.sequence_likeness(a, b)) >= threshold}
+
+
+def test_names_of_one_kind_make_few_candidates(spark):
+    """18 million pairs of numbered names share their rarest letters, but none is alike."""
+    names = spark.range(6000).select(F.format_string("supplier#%09d", "id").alias("t"))
+    began = time.time()
+    assert models.like_texts(names, 0.97).count() == 0
+    assert time.time() - began < 60
+
+
+def _homes(spark, n):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(n):
+        price, surface = (None if rng.random() < 0.1 else float(rng.integers(-2, 40) * 1000)), (None if rng.random() < 0.1 else float(rng.integers(0, 5) * 10))
+        rows.append((i * 7 % n, price, surface, ["Villa à louer", "villa a louer", "Studio", "S", "", None][rng.integers(6)], ["Tunis", "tunis ", "Sfax", None, "a" * 25, "a" * 24][rng.integers(6)]))
+    return spark.createDataFrame(rows, "id long, price double, surface double, title string, city string")
+
+
+def test_fuzzy_pairs_and_survivors_are_those_of_all_pairs(spark):
+    x = _homes(spark, 240)
+    for threshold in (0.7, 0.85, 0.95):
+        met = dedup.block_pairs(x)
+        want = {(r.a, r.b, r.score) for r in met.select(F.col("one.id").alias("a"), F.col("two.id").alias("b"), F.round(dedup.alike("one", "two"), 4).alias("score")).where(F.col("score") >= threshold).collect()}
+        assert {tuple(r) for r in dedup.fuzzy_pairs(x, "id", threshold).collect()} == want and want
+        gone = set()
+        for b in range(240):
+            if any(t == b and a not in gone for a, t, _ in want):
+                gone.add(b)
+        for most in (20_000, 12):
+            assert sorted(r.id for r in dedup.fuzzy_survivors(x, "id", threshold, most=most).collect()) == sorted(set(range(240)) - gone)
+
+
+def test_crowded_places_make_no_pairs(spark):
+    points = spark.range(40_000).select("id", (30 + F.col("id") % 2 * 0.5).alias("lat"), F.when(F.col("id") % 7 != 0, 8.0).alias("lon"))
+    got = {(r.market, r.n) for r in models.micro_markets(points, 2.0, 5).groupBy("market").agg(F.count("*").alias("n")).collect()}
+    assert got == {(None, 5715), (1, 17143), (2, 17142)}
