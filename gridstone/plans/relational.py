@@ -296,7 +296,7 @@ def d6_fuzzy_pairs(spark: SparkSession, d: str) -> DataFrame:
 def d7_fuzzy_dedup(spark: SparkSession, d: str) -> DataFrame:
     """Survivors in the order of the source's priority, then id: both are one number, by which rows are visited. Three sources are told by the id here."""
     x = _sample_listings(spark, d).withColumn("turn", F.col("id") % 3 * 1_000_000_000_000 + F.col("id"))
-    return dedup.greedy_survivors(x, dedup.fuzzy_pairs(x, "turn", 0.7), "turn").select((F.col("turn") % 1_000_000_000_000).alias("id"))
+    return dedup.fuzzy_survivors(x, "turn", 0.7).select((F.col("turn") % 1_000_000_000_000).alias("id"))
 
 
 @query(", t AS (SELECT url, count(*) OVER (PARTITION BY surface, city, property_type, seen) - 1 AS twins FROM listing) SELECT round(CASE WHEN twins = 0 THEN 0.9 WHEN twins <= 2 THEN 0.7 ELSE greatest(0.3, 0.7 - 0.1 * twins) END, 2)::DOUBLE AS risk, count(*) AS n FROM t GROUP BY risk", True)
