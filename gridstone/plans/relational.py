@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import average_ranks, exact_quantiles, median, summarised
+from ..functions.stats import average_ranks, exact_quantiles, place_among, summarised, with_quantiles
 from ..functions.text import cosine, jaccard, normalised, trigrams
 from ..operators import dedup
+from ..session import stored
 from .aggregates import zoned_orders
 from .base import listings, query, r, table
 
@@ -148,7 +149,11 @@ _SUBS = "s AS (SELECT c_custkey AS subscriber, list_value('nation_' || c_nationk
 
 @query(", c AS (SELECT city, median(ppm2) AS med, stddev(ppm2) AS sd FROM listing GROUP BY city), t AS (SELECT listing.*, round(0.7 * greatest(0, 1 - abs(ppm2 - med) / sd / 4) + 0.3 * CASE source WHEN 'A' THEN 0.92 WHEN 'N' THEN 0.78 ELSE 0.65 END, 4) AS trust FROM listing JOIN c USING (city)), " + _SUBS + " SELECT subscriber, count(*) AS matches, min(price) AS cheapest, round(avg(trust), 4) AS mean_trust FROM s JOIN t ON list_contains(cities, lower(city)) AND price <= budget AND surface >= least AND (len(kinds) = 0 OR list_contains(kinds, property_type)) AND trust >= trust_min GROUP BY subscriber", True)
 def j9_alert_matches(spark: SparkSession, d: str) -> DataFrame:
-    """Each subscription's listings by all five conditions: any of its cities, budget, surface, types (none: any) and trust. An equi-join on city and type; listings are first counted by what the conditions see, so equal ones meet once."""
+    """Each subscription's listings by all five conditions: any of its cities, budget, surface, types (none: any) and trust.
+
+    Least surface and trust are told by the key modulo 40, so they are at most 40 pairs, whatever the number of subscriptions. Listings are summed by city, type, range of prices (cut at budgets) and pair; a subscription takes the sums of the
+    ranges below its budget's, and meets single listings of its own range only.
+    """
     from .composites import trusted
 
     c = table(spark, d, "customer").where("c_acctbal > 9000")
@@ -156,11 +161,34 @@ def j9_alert_matches(spark: SparkSession, d: str) -> DataFrame:
     kinds = F.when(F.col("c_mktsegment") == "BUILDING", F.array(F.lit("LARGE"), F.lit("STANDARD"))).when(F.col("c_mktsegment") == "MACHINERY", F.array(F.lit("SMALL"))).otherwise(F.array(F.lit("*")))
     subs = c.select(key.alias("subscriber"), F.explode(F.array_distinct(F.array(F.concat(F.lit("nation_"), nation), F.concat(F.lit("nation_"), (nation + 1) % 25)))).alias("place"), (F.col("c_acctbal") * 3).alias("budget"), (key % 40).alias("least"), kinds.alias("kinds"), (0.5 + (key % 5) * 0.1).alias("trust_min"))
     subs = subs.withColumn("kind", F.explode("kinds")).drop("kinds")
-    seen = trusted(listings(spark, d)).groupBy(F.lower("city").alias("place"), "property_type", "price", "surface", "trust").agg(F.count("*").alias("n"))
-    held = seen.withColumn("kind", F.explode(F.array("property_type", F.lit("*"))))  # a subscription asks for types or for any, so no listing counts twice
-    fits = (F.col("price") <= F.col("budget")) & (F.col("surface") >= F.col("least")) & (F.col("trust") >= F.col("trust_min"))
-    met = subs.join(held, ["place", "kind"]).where(fits).groupBy("subscriber")
-    return met.agg(F.sum("n").alias("matches"), F.min("price").alias("cheapest"), r(F.sum(F.col("trust") * F.col("n")) / F.sum("n")).alias("mean_trust"))
+    cuts = sorted(set(subs.select(F.percentile_approx("budget", [i / 1024 for i in range(1, 1024)], 10_000)).first()[0] or []))
+    band = lambda c: place_among(F.col(c).cast("double"), cuts)
+    subs = stored(subs.withColumn("band", band("budget")), "subscriptions")
+    asked = subs.select("least", "trust_min").distinct()  # at most 40
+    most = subs.agg(F.max("budget").alias("most"))
+    x = stored(listings(spark, d).select("city", "property_type", "source", "price", "surface", "ppm2"), "listings")
+    dear = trusted(x, with_quantiles(x, ["city"], {"med": ("ppm2", 0.5)}, F.stddev_samp("ppm2").alias("sd"))).join(F.broadcast(most), F.col("price") <= F.col("most"))
+    seen = stored(dear.select(F.lower("city").alias("place"), "property_type", "price", "surface", "trust", band("price").alias("band")), "seen")
+    kinds = F.explode(F.array("property_type", F.lit("*")))  # a subscription asks for types or for any, so no listing counts twice
+    good = (F.col("surface") >= F.col("least")) & (F.col("trust") >= F.col("trust_min"))
+    sums = [F.sum("n").alias("n"), F.min("low").alias("low"), F.sum("total").alias("total")]
+    steps = asked.agg(F.collect_set("least").alias("leasts"), F.collect_set("trust_min").alias("trusts"))
+    level = lambda c, over: F.size(F.filter(over, lambda v: v <= F.col(c)))
+    # equal to the conditions: listings of one level of surface and of trust meet or miss each pair together
+    cells = seen.crossJoin(F.broadcast(steps)).groupBy("place", "property_type", "band", level("surface", "leasts").alias("l"), level("trust", "trusts").alias("t")).agg(
+        F.count("*").alias("n"), F.min("price").alias("low"), F.sum("trust").alias("total"), F.min("surface").alias("surface"), F.min("trust").alias("trust")
+    )
+    upto = Window.partitionBy("place", "kind", "least", "trust_min").orderBy("band").rangeBetween(Window.unboundedPreceding, -1)
+    ranges = cells.join(F.broadcast(asked), good).withColumn("kind", kinds).groupBy("place", "kind", "least", "trust_min", "band").agg(*sums)
+    # a row for each range that a subscription of the pair asks from, so that sums end there
+    wanted = subs.select("place", "kind", "least", "trust_min", "band").distinct()
+    empty = wanted.select("*", F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("low"), F.lit(0.0).alias("total"))
+    whole = ranges.unionByName(empty).groupBy("place", "kind", "least", "trust_min", "band").agg(*sums)
+    below = whole.select("place", "kind", "least", "trust_min", "band", *(f(c).over(upto).alias(c) for f, c in ((F.sum, "n"), (F.min, "low"), (F.sum, "total"))))
+    first = subs.join(below, ["place", "kind", "least", "trust_min", "band"]).where("n > 0").select("subscriber", "n", "low", "total")
+    near = subs.join(seen.withColumn("kind", kinds), ["place", "kind", "band"]).where(good & (F.col("price") <= F.col("budget")))
+    met = first.unionByName(near.select("subscriber", F.lit(1).cast("long").alias("n"), F.col("price").alias("low"), F.col("trust").alias("total"))).groupBy("subscriber")
+    return met.agg(F.sum("n").alias("matches"), F.min("low").alias("cheapest"), r(F.sum("total") / F.sum("n")).alias("mean_trust"))
 
 
 @query("SELECT count(*) AS sent FROM customer JOIN supplier ON s_nationkey = c_nationkey AND s_acctbal <= c_acctbal WHERE c_acctbal > 8000")

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from gridstone.functions.stats import narrow_quantiles, with_quantiles
 from gridstone.operators import dedup
-from gridstone.plans import extraction, models
+from gridstone.plans import extraction, models, relational
+from gridstone.plans.base import listings
+from gridstone.plans.composites import trusted
 from gridstone.session import shared_folder
 
 
@@ -88,3 +90,46 @@ def test_crowded_places_make_no_pairs(spark):
     points = spark.range(40_000).select("id", (30 + F.col("id") % 2 * 0.5).alias("lat"), F.when(F.col("id") % 7 != 0, 8.0).alias("lon"))
     got = {(r.market, r.n) for r in models.micro_markets(points, 2.0, 5).groupBy("market").agg(F.count("*").alias("n")).collect()}
     assert got == {(None, 5715), (1, 17143), (2, 17142)}
+
+
+def test_alerts_are_counted_without_pairs(spark, tmp_path):
+    """A billion pairs of 20,000 subscriptions and 50,000 listings of one city; some subscriptions are checked one by one."""
+    save = lambda df, name: df.coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    save(spark.sql("select 0 r_regionkey, 'R' r_name"), "region")
+    save(spark.sql("select 0 n_nationkey, 'NATION_0' n_name, 0 n_regionkey"), "nation")
+    save(spark.sql("select 0L s_suppkey, 0 s_nationkey"), "supplier")
+    save(spark.sql("select id p_partkey, array('LARGE', 'SMALL', 'PROMO')[id % 3] p_type, 'x' p_name, 1 p_size from range(3)"), "part")
+    h = lambda n: F.pmod(F.xxhash64("id", F.lit(n)), F.lit(1_000_000)) / 1e6
+    lines = spark.range(50_000).select(
+        F.col("id").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), (F.col("id") % 3).alias("l_partkey"), F.lit(0).cast("long").alias("l_suppkey"), F.floor(1 + h(1) * 50).cast("double").alias("l_quantity"),
+        F.round(20_000 + h(2) * 12_000, 2).alias("l_extendedprice"), F.when(h(3) < 0.5, "A").otherwise("R").alias("l_returnflag"), F.lit("O").alias("l_linestatus"), F.lit("1995-01-01").cast("timestamp").alias("l_shipdate"),
+    )
+    save(lines, "lineitem")
+    save(spark.range(20_000).select(F.col("id").alias("c_custkey"), F.lit(0).alias("c_nationkey"), F.round(9000.01 + h(4) * 900, 2).alias("c_acctbal"), F.element_at(F.array(F.lit("BUILDING"), F.lit("MACHINERY"), F.lit("OTHER")), (F.col("id") % 3 + 1).cast("int")).alias("c_mktsegment")), "customer")
+    began = time.time()
+    got = {r.subscriber: r for r in relational.j9_alert_matches(spark, str(tmp_path)).collect()}
+    assert time.time() - began < 120
+    x = trusted(listings(spark, str(tmp_path))).select("property_type", "price", "surface", "trust").toPandas()
+    customers = spark.read.parquet(str(tmp_path / "customer.parquet")).where("c_custkey % 997 = 0").collect()
+    for c in customers:
+        kinds = {"BUILDING": ["LARGE", "STANDARD"], "MACHINERY": ["SMALL"]}.get(c.c_mktsegment, ["LARGE", "SMALL", "PROMO"])
+        m = x[(x.price <= c.c_acctbal * 3) & (x.surface >= c.c_custkey % 40) & (x.trust >= 0.5 + (c.c_custkey % 5) * 0.1) & x.property_type.isin(kinds)]
+        r = got.get(c.c_custkey)
+        assert (r.matches, r.cheapest) == (len(m), m.price.min()) and r.mean_trust == pytest.approx(m.trust.mean(), abs=6e-5) if len(m) else r is None
+
+
+def test_like_sets_with_large_members_and_copies(spark):
+    rng = np.random.default_rng(8)
+    base = [rng.integers(-(2**63), 2**63 - 1, n) for n in (1, 3, 40, 300, 900)]
+    rows = []
+    for i in range(150):
+        w = base[i % 5].copy()
+        w[rng.random(len(w)) < rng.choice([0, 0.05, 0.07, 0.2])] = rng.integers(2**62)
+        rows.append((i * 13 % 150, [int(v) for v in w] + [int(w[0])]))
+    stay = []
+    for i, w in sorted(rows + [(999, [])]):
+        if not w or all(len(set(w) & v) * 100 < 88 * len(set(w) | v) for _, v in stay):
+            stay.append((i, set(w)))
+    x = spark.createDataFrame(rows + [(999, [])], "id long, w array<long>").repartition(3)
+    for most in (2000, 20):
+        assert sorted(r.id for r in dedup.unlike_sets(x, 88, most).collect()) == [i for i, _ in stay]
