@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.sql import DataFrame
@@ -31,6 +32,10 @@ def with_terms(model, docs: DataFrame, text_col: str = "text", out: str = "terms
 def _sparse(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, feature and value of every stored number of a batch of ML vectors."""
     column = column.storage if isinstance(column, pa.ExtensionArray) else column
+    parts = dict(zip((f.name for f in column.type), column.flatten()))
+    size = [pc.fill_null(pc.list_value_length(parts[c]), 0).to_numpy(zero_copy_only=False) for c in ("indices", "values")]
+    if (size[0] == size[1]).all():  # all are sparse, or missing
+        return np.repeat(np.arange(len(column)), size[1]), parts["indices"].flatten().to_numpy(zero_copy_only=False).astype(np.int64), parts["values"].flatten().to_numpy(zero_copy_only=False).astype(float)
     rows, features, values = [], [], []
     for i, v in enumerate(column.to_pylist()):
         numbers = np.array(v["values"] if v else [], float)
